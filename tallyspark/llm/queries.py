@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, decontaminate, jaccard_join, line_dedup, simhash, url_filter
+from . import brown, crf_langid, decontaminate, jaccard_join, line_dedup, simhash, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,11 @@ def op1_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.score(table(spark, sf_dir, "documents"))
 
 
+def op4_crf_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return crf_langid.identify_documents(docs).select("doc_id", "held_out", "lang_pred", "score", "n_words", "n_switches")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -60,7 +65,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_brown_lm, op5_simhash, op6_decontaminate, op8_jaccard_join, op9_line_dedup, op10_url_filter)}
+    return {f.__name__: f for f in (op1_brown_lm, op4_crf_langid, op5_simhash, op6_decontaminate, op8_jaccard_join, op9_line_dedup, op10_url_filter)}
 
 
 _WORDS6 = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
