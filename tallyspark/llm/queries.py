@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, crf_langid, decontaminate, jaccard_join, line_dedup, simhash, url_filter
+from . import brown, crf_langid, decontaminate, jaccard_join, licenses, line_dedup, mixing, packing, simhash, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,16 @@ def op1_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.score(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan_licenses(table(spark, sf_dir, "documents"), licenses.known_digests(spark))
+    return out.select("doc_id", "digest", "license", "n_notices", F.array_join("notices", ",").alias("notices"))
+
+
+def op3_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "source", "mix_tokens", F.round("mix_weight", 9).alias("mix_weight"), "mix_epoch", "mix_offset")
+
+
 def op4_crf_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return crf_langid.identify_documents(docs).select("doc_id", "held_out", "lang_pred", "score", "n_words", "n_switches")
@@ -30,6 +40,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op7_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"))
 
@@ -65,7 +79,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_brown_lm, op4_crf_langid, op5_simhash, op6_decontaminate, op8_jaccard_join, op9_line_dedup, op10_url_filter)}
+    return {f.__name__: f for f in (op1_brown_lm, op2_license_scan, op3_temperature_mix, op4_crf_langid, op5_simhash, op6_decontaminate, op7_pack_tokens, op8_jaccard_join, op9_line_dedup, op10_url_filter)}
 
 
 _WORDS6 = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
@@ -112,5 +126,24 @@ SELECT p.page_id, CAST(p.day AS VARCHAR) AS fetched_at, coalesce(action, 'allow'
 FROM p LEFT JOIN m ON p.page_id = m.page_id AND rn = 1"""
 
 
+def _sql_text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _canonical_sql(text: str) -> str:
+    out = f"regexp_replace(lower({text}), '{licenses._COPYRIGHT}', '\\1', 'g')"
+    for a, b in licenses.EQUIVALENT:
+        out = f"replace({out}, '{a}', '{b}')"
+    return f"nullif(trim(regexp_replace({out}, '{licenses._PUNCTUATION}', ' ', 'g')), '')"
+
+
+OP2_SQL = f"""
+WITH known AS (SELECT digest, min(license) AS license FROM (SELECT license, sha256({_canonical_sql("text")}) AS digest FROM (VALUES {", ".join(f"({_sql_text(a)}, {_sql_text(b)})" for a, b in licenses.KNOWN)}) t(license, text)) GROUP BY digest),
+l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents),
+n AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS names FROM (SELECT doc_id, pos, sha256({_canonical_sql("line")}) AS digest FROM l) JOIN known USING (digest) GROUP BY doc_id),
+d AS (SELECT doc_id, sha256({_canonical_sql("text")}) AS digest FROM documents)
+SELECT doc_id, digest, license, coalesce(n, 0) AS n_notices, coalesce(names, '') AS notices FROM d LEFT JOIN known USING (digest) LEFT JOIN n USING (doc_id)"""
+
+
 def oracle_sql() -> dict:
-    return {"op6_decontaminate": OP6_SQL, "op9_line_dedup": OP9_SQL, "op10_url_filter": OP10_SQL}
+    return {"op2_license_scan": OP2_SQL, "op6_decontaminate": OP6_SQL, "op9_line_dedup": OP9_SQL, "op10_url_filter": OP10_SQL}
