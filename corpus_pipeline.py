@@ -1,8 +1,54 @@
-"""Documents to packed token ids, in five stages."""
+"""Documents to packed token ids: five stages, each over all that the one before it kept."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyspark.llm import crf_langid, decontaminate, jaccard_join, mixing, packing
+from tallyspark.llm.common import written
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a language: null or letterless text, or no label with half of the words."""
+    known = crf_langid.identify_documents(docs)
+    return known.filter((F.col("lang_pred") != "und") & (F.col("score") >= 0.5)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of linked ones, that with the smallest id; of rows with one id, one."""
+    classes = written(jaccard_join.jaccard_classes(docs), "groups")
+    keep = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    spare = classes.join(keep.select("doc_id"), "doc_id", "left_anti").filter("doc_id IS NOT NULL").select("doc_id").distinct()
+    kept = docs.join(spare, "doc_id", "left_anti").select(*docs.columns)
+    twice = keep.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").limit(1).count()
+    return kept.dropDuplicates(["doc_id"]) if twice else kept
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold benchmark passages."""
+    out = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return out.filter("NOT contaminated").select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Draws the sources at flattened weights: large ones lose documents, small ones are read again."""
+    return mixing.mix(docs).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the token ids of all texts."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("language_id", language_id), ("ngram_jaccard_join", near_duplicates), ("decontamination", decontaminated), ("mixing", mixed), ("packing", packed)]
+
+#: The stages fit a model and tokenise: SQL cannot say them.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return docs
