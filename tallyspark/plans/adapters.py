@@ -141,7 +141,7 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("conv_id") * 3600 + F.col("t.turn") * 60)
     headers = F.create_map(F.lit("X-Claude-Code-Session-Id"), F.concat(F.lit("conv-"), F.col("conv_id")), F.lit("anthropic-version"), F.lit("2023-06-01"), F.lit("Authorization"), F.lit("Bearer secret"))
     return x.select(
-        (F.col("conv_id") * 1000 + F.col("t.turn")).alias("id"), at.alias("timestamp_start"), F.timestampadd("MILLISECOND", F.lit(250), at).alias("timestamp_first_chunk"), F.timestampadd("SECOND", F.lit(2), at).alias("timestamp_end"),
+        (F.col("conv_id") * 1000 + F.col("t.turn")).alias("id"), at.alias("timestamp_start"), F.timestamp_add("MILLISECOND", F.lit(250), at).alias("timestamp_first_chunk"), F.timestamp_add("SECOND", F.lit(2), at).alias("timestamp_end"),
         F.lit("POST").alias("method"), F.lit("https://api.anthropic.com/v1/messages").alias("url"), headers.alias("request_headers"), request.alias("request_body"), F.lit(200).cast("long").alias("response_status"),
         F.create_map(F.lit("request-id"), F.concat(F.lit("req-"), F.col("conv_id"))).alias("response_headers"), response.alias("response_body"), F.lit(None).cast("string").alias("response_raw_sse"), F.lit(None).cast("string").alias("response_reconstructed"), F.lit(None).cast("string").alias("error"))
 
