@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.operators import assemble, detect, pricing
-from tallyspark.plans import adapters, surfaces
+from tallyspark.operators import assemble, derive, detect, normalise, pricing, reassemble
+from tallyspark.plans import adapters, diagnostics, surfaces
+from tallyspark.sources import captures as sources
+from tallyspark.sources import catalog, maintenance
+from tallyspark.streaming import live
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -349,3 +352,214 @@ def q36_cost_share(spark, sf_dir):
 @query(f"WITH {adapters.A3_SQL} SELECT name, server, CAST(max(CAST(is_mcp AS INT)) AS BIGINT) AS is_mcp, count(*) AS calls, CAST(sum(CAST(is_error AS INT)) AS BIGINT) AS errors, round(sum(CAST(is_error AS INT)) / count(*), 8) AS error_rate, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (NOT was_declared) AS undeclared, CAST(floor(avg(result_chars)) AS BIGINT) AS avg_result_chars, max(result_chars) AS max_result_chars, count(DISTINCT session_id) AS sessions, epoch_us(max(emitted_at)) AS last_used FROM t GROUP BY name, server")
 def q33_tools_stats(spark, sf_dir):
     return tidy(surfaces.tools_stats(adapters.tool_calls(spark, sf_dir)))
+
+
+# ---- captures made of conversations, and streams of their turns ----
+
+_TURNS = """u AS (SELECT conv_id, turn, role, text, conv_id * 1000 + turn AS call_id FROM conversations),
+k AS (SELECT * FROM u WHERE role = 'assistant'),
+h AS (SELECT k.call_id, u.turn AS t, u.role, u.text FROM k JOIN u ON u.conv_id = k.conv_id AND u.turn < k.turn AND u.role <> 'system'),
+sy AS (SELECT k.call_id, u.text, u.turn AS t FROM k JOIN u ON u.conv_id = k.conv_id AND u.turn < k.turn AND u.role = 'system'),
+th AS (SELECT call_id, role, text FROM h UNION ALL SELECT call_id, role, text FROM k)"""
+
+
+def _parsed(spark, sf_dir):
+    return normalise.parse(normalise.inference_calls(adapters.captures(spark, sf_dir)))
+
+
+@query(f"WITH {_TURNS} SELECT call_id, 'conv-' || conv_id AS session_id, (SELECT count(*) FROM h WHERE h.call_id = k.call_id) AS messages_count, (SELECT coalesce(sum(length(text)), 0) FROM h WHERE h.call_id = k.call_id)::BIGINT AS input_tokens, length(text) AS output_tokens, (SELECT sum(length(text)) FROM th WHERE th.call_id = k.call_id)::BIGINT AS context_chars, (SELECT sum(length(text)) FROM sy WHERE sy.call_id = k.call_id)::BIGINT AS system_chars, coalesce((SELECT arg_max(role, t) FROM h WHERE h.call_id = k.call_id) = 'user', false) AS new_user_turn FROM k")
+def p1_derive_generations(spark, sf_dir):
+    g = derive.derive_generations(adapters.captures(spark, sf_dir))[0]
+    return tidy(g.select("call_id", "session_id", F.coalesce("messages_count", F.lit(0)).alias("messages_count"), "input_tokens", "output_tokens", "context_chars", "system_chars", F.coalesce("new_user_turn", F.lit(False)).alias("new_user_turn")))
+
+
+@query(f"WITH {_TURNS} SELECT call_id, role, count(*) AS turns, CAST(sum(length(text)) AS BIGINT) AS chars FROM th GROUP BY 1, 2")
+def n7_turns(spark, sf_dir):
+    b = normalise.blocks(normalise.turns(_parsed(spark, sf_dir)))
+    return b.groupBy("call_id", "role").agg(F.count("*").alias("turns"), F.sum("chars").alias("chars"))
+
+
+@query(f"WITH {_TURNS} SELECT call_id, row_number() OVER (PARTITION BY call_id ORDER BY t) - 1 AS seg, length(text) AS chars, strlen(text) AS bytes, sha256(text) AS text_hash FROM sy")
+def n5_system_segments(spark, sf_dir):
+    return tidy(normalise.system_segments(_parsed(spark, sf_dir)).select("call_id", "seg", "chars", "bytes", F.sha2("text", 256).alias("text_hash")))
+
+
+@query(f"WITH {_TURNS} SELECT call_id, 'Bash' AS name, 'Runs a command' AS description, '{{\"type\":\"object\"}}' AS input_schema FROM k")
+def n6_tool_decls(spark, sf_dir):
+    return normalise.tool_decls(_parsed(spark, sf_dir)).select("call_id", "name", "description", "input_schema")
+
+
+@query(f"WITH {_TURNS} SELECT call_id, 'text' AS kind, count(*) AS count, CAST(sum(length(text)) AS BIGINT) AS chars FROM th GROUP BY 1")
+def q9_kinds(spark, sf_dir):
+    return normalise.kinds(normalise.blocks(normalise.turns(_parsed(spark, sf_dir))))
+
+
+@query(f"WITH {_TURNS} SELECT call_id, count(*) AS text, CAST(0 AS BIGINT) AS thinking, CAST(0 AS BIGINT) AS tool_use, CAST(0 AS BIGINT) AS tool_result, CAST(0 AS BIGINT) AS image, CAST(0 AS BIGINT) AS other FROM th GROUP BY 1")
+def n19_block_counts(spark, sf_dir):
+    return normalise.block_counts(normalise.blocks(normalise.turns(_parsed(spark, sf_dir))))
+
+
+@query(f"WITH {_TURNS} SELECT call_id, sha256(left(text, 500)) AS preview_hash, length(text) > 500 AS truncated, count(*) AS n FROM th GROUP BY 1, 2, 3")
+def q8_thread_outline(spark, sf_dir):
+    x = normalise.thread_outline(normalise.blocks(normalise.turns(_parsed(spark, sf_dir))), 500)
+    return x.groupBy("call_id", F.sha2("preview", 256).alias("preview_hash"), "truncated").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_TURNS} SELECT count(*) AS prompts, CAST(sum(generations) AS BIGINT) AS generations, max(generations) AS most FROM (SELECT s, count(*) AS generations FROM (SELECT call_id, string_agg(text, chr(30) ORDER BY t) AS s FROM sy GROUP BY call_id) GROUP BY s)")
+def q19_harness_prompts(spark, sf_dir):
+    g, _, segs, decls = derive.derive_generations(adapters.captures(spark, sf_dir))
+    prompts = derive.harness_dims(segs, decls)[0]
+    x = surfaces.harness_prompts(prompts, assemble.assemble(pricing.price(g, *adapters.catalogue(spark))))
+    return x.agg(F.count("*").alias("prompts"), F.sum("generations").alias("generations"), F.max("generations").alias("most"))
+
+
+@query("SELECT count(*) AS generations, count(DISTINCT conv_id) AS sessions, CAST(1 AS BIGINT) AS tool_count FROM conversations WHERE role = 'assistant'")
+def q20_harness_tool_sets(spark, sf_dir):
+    g, _, segs, decls = derive.derive_generations(adapters.captures(spark, sf_dir))
+    sets = derive.harness_dims(segs, decls)[1]
+    return surfaces.harness_tool_sets(sets, assemble.assemble(pricing.price(g, *adapters.catalogue(spark)))).select("generations", "sessions", "tool_count")
+
+
+@query("SELECT conv_id * 1000 + turn AS call_id, text, length(text) AS output_tokens, 'end_turn' AS stop_reason FROM conversations WHERE role = 'assistant'")
+def r6_assemble_anthropic(spark, sf_dir):
+    m = reassemble.reassemble(adapters.streams(spark, sf_dir))
+    get = lambda p: F.get_json_object("message", p)
+    return m.filter("error IS NULL").select("call_id", get("$.content[0].text").alias("text"), get("$.usage.output_tokens").cast("long").alias("output_tokens"), get("$.stop_reason").alias("stop_reason"))
+
+
+@query("SELECT conv_id * 1000 + turn AS call_id, CAST(greatest(ceil(length(text) / 40), 1) + 5 AS BIGINT) AS events FROM conversations WHERE role = 'assistant'")
+def r1_sse_events(spark, sf_dir):
+    return reassemble.sse_events(adapters.streams(spark, sf_dir)).filter("parse_error IS NULL").groupBy("call_id").agg(F.count("*").alias("events"))
+
+
+@query("SELECT conv_id * 1000 + turn AS id, '<redacted>' AS auth, '2023-06-01' AS version FROM conversations WHERE role = 'assistant'")
+def s4_redact_headers(spark, sf_dir):
+    x = sources.redact_headers(adapters.captures(spark, sf_dir))
+    return x.select("id", F.col("request_headers")["Authorization"].alias("auth"), F.col("request_headers")["anthropic-version"].alias("version"))
+
+
+@query("SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN props WHEN event_id % 3 = 1 THEN '\"' || event_type || '\"' END AS body FROM events")
+def s5_body_to_json(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    raw = F.when(F.col("event_id") % 3 == 0, F.col("props")).when(F.col("event_id") % 3 == 1, F.col("event_type")).otherwise("")
+    return e.select(F.col("event_id").alias("id"), sources.body_to_json(raw).alias("body"))
+
+
+@query("SELECT l_orderkey AS call_id, string_agg(l_shipdate::DATE::VARCHAR, ', ' ORDER BY l_partkey, l_shipdate) AS ship FROM lineitem GROUP BY 1")
+def s6_headers_map(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("call_id"), F.struct("l_partkey", "l_shipdate").alias("pos"), F.lit("Ship").alias("name"), F.to_date("l_shipdate").cast("string").alias("value"))
+    return sources.headers_map(rows).select("call_id", F.col("headers")["ship"].alias("ship"))
+
+
+@query("SELECT p_brand AS provider, 'm' || p_partkey AS model_id, CAST(p_size * 1000 AS BIGINT) AS context_limit, CASE WHEN p_size % 4 <> 0 THEN p_retailprice END AS input, CASE WHEN p_size % 4 <> 0 THEN 0.0 END AS output, p_size % 5 = 0 AND p_size % 4 <> 0 AS tiered FROM part")
+def s7_load_catalog(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    tier = F.when(F.col("p_size") % 5 == 0, F.array(F.struct((F.col("p_retailprice") * 2).alias("input"), F.struct(F.lit(200_000).alias("size")).alias("tier"))))
+    record = F.struct(F.struct((F.col("p_size") * 1000).alias("context")).alias("limit"), F.when(F.col("p_size") % 4 != 0, F.struct(F.col("p_retailprice").alias("input"), tier.alias("tiers"))).alias("cost"))
+    rows = p.select(F.to_json(F.create_map("p_brand", F.struct(F.create_map(F.concat(F.lit("m"), F.col("p_partkey")), record).alias("models")))).alias("value"))
+    return catalog.load_catalog(rows)[0].select("provider", "model_id", "context_limit", "input", "output", "tiered")
+
+
+@query("SELECT event_id AS id FROM events WHERE event_id % 7 <> 0")
+def s10_pending(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("id"))
+    done = e.filter("id % 7 = 0").select(F.col("id").alias("call_id"), F.lit("1").alias("parser_version"))
+    return maintenance.pending(e, done, "1")
+
+
+@query("SELECT event_id AS call_id, CASE WHEN event_id % 5 = 0 THEN value * 2 ELSE value END AS value FROM events")
+def s13_upsert(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("call_id"), "value")
+    return maintenance.upsert(e, e.filter("call_id % 5 = 0").withColumn("value", F.col("value") * 2))
+
+
+@query("SELECT DISTINCT p_brand AS name FROM part WHERE p_size > 40 AND p_brand NOT IN (SELECT p_brand FROM part WHERE p_size = 1)")
+def s14_merge_dims(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").withColumnRenamed("p_brand", "name")
+    return maintenance.merge_dims(p.filter("p_size > 40").select("name"), p.filter("p_size = 1").select("name").distinct(), "name")
+
+
+@query("SELECT event_id AS call_id, 'request' AS stage FROM events WHERE event_id % 11 = 0")
+def s15_quarantine(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    null = F.lit(None).cast("string")
+    calls = e.select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("timestamp_start"), F.when(F.col("event_id") % 11 == 0, F.left("props", F.lit(3))).otherwise(F.col("props")).alias("request_body"), null.alias("response_body"), null.alias("response_reconstructed"))
+    return maintenance.quarantine(calls)[1].select("call_id", "stage")
+
+
+@query(f"WITH {adapters.A3_SQL}, s AS (SELECT DISTINCT 'set' || call_id % 7 AS tools_hash, name, server, is_mcp FROM t WHERE was_declared), c AS (SELECT name, count(*) AS calls FROM t GROUP BY 1) SELECT name, max(server) AS server, count(DISTINCT tools_hash) AS tool_sets, max(coalesce(calls, 0)) AS calls FROM s LEFT JOIN c USING (name) GROUP BY name")
+def q21_declared_tools(spark, sf_dir):
+    t = adapters.tool_calls(spark, sf_dir)
+    return surfaces.declared_tools(_schemas(t), t).select("name", "server", "tool_sets", "calls")
+
+
+def _schemas(t):
+    return t.filter("was_declared").select(F.concat(F.lit("set"), F.col("call_id") % 7).alias("tools_hash"), "name", "server", "is_mcp").distinct().withColumn("chars", F.char_length("name"))
+
+
+@query(f"WITH {adapters.A3_SQL}, s AS (SELECT DISTINCT 'set' || call_id % 7 AS tools_hash, name FROM t WHERE was_declared), c AS (SELECT 'set' || call_id % 7 AS tools_hash, name, count(*) AS calls FROM t GROUP BY 1, 2) SELECT tools_hash, name, coalesce(calls, 0) AS calls FROM s LEFT JOIN c USING (tools_hash, name)")
+def q23_tool_set_detail(spark, sf_dir):
+    t = adapters.tool_calls(spark, sf_dir)
+    g = t.select("call_id", F.concat(F.lit("set"), F.col("call_id") % 7).alias("tools_hash")).distinct()
+    return surfaces.tool_set_detail(_schemas(t), t, g).select("tools_hash", "name", "calls")
+
+
+@query(f"WITH {adapters.A3_SQL} SELECT call_id, tool_id, status FROM t WHERE name = 'Brand#11' ORDER BY emitted_at DESC, call_id, seq LIMIT 100")
+def q34_tool_calls_of(spark, sf_dir):
+    t = adapters.tool_calls(spark, sf_dir)
+    g = t.select("call_id").distinct().selectExpr("call_id", "CAST(NULL AS STRING) AS span_id", "CAST(NULL AS STRING) AS agent_name", "CAST(NULL AS STRING) AS model")
+    return surfaces.tool_calls_of(t, g, "Brand#11", 100).select("call_id", "tool_id", "status")
+
+
+_VC = f"""{_TURNS}, v AS (SELECT k.call_id, conv_id, turn, length(text) AS outp, (SELECT coalesce(sum(length(text)), 0) FROM h WHERE h.call_id = k.call_id)::BIGINT AS inp, (SELECT sum(length(text)) FROM th WHERE th.call_id = k.call_id)::BIGINT AS chars, (SELECT string_agg(text, chr(10) ORDER BY t) FROM sy WHERE sy.call_id = k.call_id) AS s FROM k),
+vl AS (SELECT *, lag(inp) OVER w AS pi, lag(chars) OVER w AS pc, lag(call_id) OVER w AS pid, lag(s) OVER w AS ps FROM v WINDOW w AS (PARTITION BY conv_id ORDER BY turn))"""
+
+
+@query(f"WITH {_VC} SELECT call_id, 'conv-' || conv_id AS session, CAST(250 AS BIGINT) AS ttft_ms, CAST(2000 AS BIGINT) AS latency_ms, false AS chain_break, pid IS NOT NULL AND (coalesce(inp * 100 < pi * 70, false) OR coalesce(chars * 100 < pc * 70, false)) AS compaction, pid IS NOT NULL AND coalesce(s, '') <> coalesce(ps, '') AS system_drift FROM vl")
+def v4_timeline(spark, sf_dir):
+    x = diagnostics.timeline(diagnostics.call_frame(adapters.captures(spark, sf_dir)))
+    return tidy(x.select("call_id", "session", "ttft_ms", "latency_ms", "chain_break", "compaction", "system_drift"))
+
+
+@query(f"WITH {_VC} SELECT 'conv-' || conv_id AS session, count(*) AS call_count, 'claude-opus-5' AS model, false AS has_error, bool_or(pid IS NOT NULL AND (coalesce(inp * 100 < pi * 70, false) OR coalesce(chars * 100 < pc * 70, false))) AS has_compaction FROM vl GROUP BY 1")
+def v2_summaries(spark, sf_dir):
+    return diagnostics.summaries(diagnostics.call_frame(adapters.captures(spark, sf_dir))).select("session", "call_count", "model", "has_error", "has_compaction")
+
+
+@query(f"WITH {_VC} SELECT count(*) AS calls, count(DISTINCT conv_id) AS sessions, CAST(sum(inp) AS BIGINT) AS input_tokens, CAST(sum(outp) AS BIGINT) AS output_tokens, CAST(sum(inp + outp) AS BIGINT) AS total_tokens, CAST(0 AS BIGINT) AS errors FROM v")
+def v15_dashboard(spark, sf_dir):
+    calls = adapters.captures(spark, sf_dir)
+    c = diagnostics.call_frame(calls)
+    b = normalise.blocks(normalise.turns(_parsed(spark, sf_dir)))
+    return diagnostics.dashboard(c, diagnostics.call_alerts(c, b)).drop("cache_reuse_rate", "warnings")
+
+
+@query(f"WITH {_VC} SELECT 'cache.reuse_unavailable' AS rule, call_id, 'conv-' || conv_id AS session FROM v")
+def v9_call_alerts(spark, sf_dir):
+    c = diagnostics.call_frame(adapters.captures(spark, sf_dir))
+    b = normalise.blocks(normalise.turns(_parsed(spark, sf_dir)))
+    return diagnostics.call_alerts(c, b).filter("rule <> 'context.large_block'").select("rule", "call_id", "session")
+
+
+@query(f"WITH {_VC} SELECT 'compaction' AS rule, call_id FROM vl WHERE pid IS NOT NULL AND (coalesce(inp * 100 < pi * 70, false) OR coalesce(chars * 100 < pc * 70, false)) UNION ALL SELECT 'system_prompt_drift', call_id FROM vl WHERE pid IS NOT NULL AND coalesce(s, '') <> coalesce(ps, '') UNION ALL SELECT 'excessive_growth', call_id FROM vl WHERE inp / greatest(pi, 1) > 1.4 AND inp - pi >= 20000")
+def v13_session_alerts(spark, sf_dir):
+    return diagnostics.session_alerts(diagnostics.call_frame(adapters.captures(spark, sf_dir))).select("rule", "call_id")
+
+
+@query("SELECT conv_id * 1000 + turn AS id, 'claude-opus-5' AS model, false AS is_stream, false AS has_error FROM conversations WHERE role = 'assistant'")
+def v17_calls_list(spark, sf_dir):
+    return diagnostics.calls_list(adapters.captures(spark, sf_dir)).select("id", "model", "is_stream", "has_error")
+
+
+@query("SELECT conv_id * 1000 + turn AS call_id, text AS answer FROM conversations WHERE role = 'assistant'")
+def v18_normalised_docs(spark, sf_dir):
+    d = diagnostics.normalised_docs(adapters.captures(spark, sf_dir))
+    last = F.element_at(F.from_json(F.get_json_object("doc", "$.thread"), "array<struct<blocks:array<struct<content:string>>>>"), -1)
+    return d.select("call_id", last["blocks"][0]["content"].alias("answer"))
+
+
+@query("SELECT event_id AS call_id, row_number() OVER (PARTITION BY event_type = 'error' ORDER BY event_id) AS seq, CASE WHEN event_type = 'error' THEN 'derive.failed' ELSE 'generation.derived' END AS kind FROM events WHERE event_type IN ('error', 'purchase')")
+def l3_change_feed(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("call_id", F.col("event_id"))
+    ok = e.filter("event_type = 'purchase'").select("call_id", F.lit("s").alias("session_id"), F.lit("t").alias("trace_id"))
+    return tidy(live.change_feed(ok, e.filter("event_type = 'error'").select("call_id"), 1).select("call_id", "seq", "kind"))
