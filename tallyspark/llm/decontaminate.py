@@ -48,9 +48,9 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     near = placed_words.join(maybe_broadcast(offsets.select("word")), "word", "left_semi")
     # Word positions go by document; what a word could anchor is looked up again beside the text.
     spots = near.groupBy("id", "rid").agg(F.collect_set(F.struct("word", "pos")).alias("spots"))
-    spots = maybe_broadcast(written(spots, "spots").withColumnsRenamed({"id": "_id", "rid": "_rid"}))
+    spots = maybe_broadcast(written(spots, "spots").withColumnsRenamed({"id": "__tally_id", "rid": "__tally_rid"}))
     d = docs.select(*key, F.col(text_col).alias("text"))
-    d = d.join(spots, (F.col("rid") == F.col("_rid")) & F.col("id").eqNullSafe(F.col("_id"))).select("id", "rid", words(F.col("text")).alias("words"), "spots").dropDuplicates(["id", "rid"])
+    d = d.join(spots, (F.col("rid") == F.col("__tally_rid")) & F.col("id").eqNullSafe(F.col("__tally_id"))).select("id", "rid", words(F.col("text")).alias("words"), "spots").dropDuplicates(["id", "rid"])
     # Only the words around a spot travel on, not the text: window words each way suffice.
     wide = d.select("id", "rid", F.size("words").alias("n"), F.explode(F.transform("spots", lambda s: F.struct(
         s["word"].alias("word"), s["pos"].alias("pos"), F.greatest(s["pos"] - (window - 1), F.lit(0)).alias("low"),
@@ -69,18 +69,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     a null id are not searched. Repeated rows give equal rows; other columns pass through.
     """
     hits = find_windows(docs, benchmark, id_col, text_col, item_col, item_text_col, window)
-    hits = maybe_broadcast(written(hits, "hits").withColumnsRenamed({"id": "_id", "rid": "_rid", "hits": "_hits"}))
+    hits = maybe_broadcast(written(hits, "hits").withColumnsRenamed({"id": "__tally_id", "rid": "__tally_rid", "hits": "__tally_hits"}))
     d = docs.drop("n_words", "n_hit", "items", "spans", "contaminated")
-    out = d.withColumn("_key", F.xxhash64(F.col(id_col), F.col(text_col))).join(hits, (F.col("_key") == F.col("_rid")) & F.col(id_col).eqNullSafe(F.col("_id")), "left")
-    spans = F.array_distinct(F.transform("_hits", lambda h: F.struct(h["start"].alias("start"), h["len"].alias("len"))))
+    out = d.withColumn("__tally_key", F.xxhash64(F.col(id_col), F.col(text_col))).join(hits, (F.col("__tally_key") == F.col("__tally_rid")) & F.col(id_col).eqNullSafe(F.col("__tally_id")), "left")
+    spans = F.array_distinct(F.transform("__tally_hits", lambda h: F.struct(h["start"].alias("start"), h["len"].alias("len"))))
     covered = F.size(F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["start"], s["start"] + s["len"] - 1)))))
     # Counting the gaps is enough here: the letters of a word do not matter.
     n_words = F.size(F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), BETWEEN, -1), lambda w: w != "")).cast("long")
     out = out.select(
         *[F.col(c) for c in d.columns],
         n_words.alias("n_words"),
-        F.when(F.col("_hits").isNull(), F.lit(0)).otherwise(covered).cast("long").alias("n_hit"),
-        F.coalesce(F.array_sort(F.array_distinct(F.transform("_hits", lambda h: h["item_id"]))), F.array().cast("array<string>")).alias("items"),
-        F.col("_hits").alias("spans"),
+        F.when(F.col("__tally_hits").isNull(), F.lit(0)).otherwise(covered).cast("long").alias("n_hit"),
+        F.coalesce(F.array_sort(F.array_distinct(F.transform("__tally_hits", lambda h: h["item_id"]))), F.array().cast("array<string>")).alias("items"),
+        F.col("__tally_hits").alias("spans"),
     )
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))

@@ -66,12 +66,12 @@ def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", tex
     d = docs.drop("digest", "license", "n_notices", "notices")
     listed = maybe_broadcast(written(known.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("license").alias("license")), "known"))
     key = F.xxhash64(F.col(id_col), F.col(text_col))
-    lines = docs.select(key.alias("_key"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line"))
-    hits = lines.select("_key", "pos", digest(F.col("line")).alias("digest")).join(listed, "digest")
-    found = hits.groupBy("_key").agg(F.count_distinct("pos").alias("n"), F.array_sort(F.collect_set("license")).alias("names"))
+    lines = docs.select(key.alias("__tally_key"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line"))
+    hits = lines.select("__tally_key", "pos", digest(F.col("line")).alias("digest")).join(listed, "digest")
+    found = hits.groupBy("__tally_key").agg(F.count_distinct("pos").alias("n"), F.array_sort(F.collect_set("license")).alias("names"))
     found = maybe_broadcast(written(found, "notices"))
-    out = d.withColumn("_digest", digest(F.col(text_col))).withColumn("_k", key)
-    out = out.join(listed.select(F.col("digest").alias("_d"), "license"), F.col("_digest") == F.col("_d"), "left").join(found, F.col("_k") == F.col("_key"), "left")
+    out = d.withColumn("__tally_digest", digest(F.col(text_col))).withColumn("__tally_k", key)
+    out = out.join(listed.select(F.col("digest").alias("__tally_d"), "license"), F.col("__tally_digest") == F.col("__tally_d"), "left").join(found, F.col("__tally_k") == F.col("__tally_key"), "left")
     return out.select(
-        *[F.col(f"`{c}`") for c in d.columns], F.col("_digest").alias("digest"), "license",
+        *[F.col(f"`{c}`") for c in d.columns], F.col("__tally_digest").alias("digest"), "license",
         F.coalesce("n", F.lit(0)).cast("long").alias("n_notices"), F.coalesce("names", F.array().cast("array<string>")).alias("notices"))

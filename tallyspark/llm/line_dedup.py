@@ -60,21 +60,21 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A null or empty text is one empty line and stays as it is (kept_text ''). Rows that repeat give
     equal rows. Other columns, of any name but those four, pass through.
     """
-    gone = maybe_broadcast(written(keep_bitmaps(docs, id_col, text_col, min_chars, min_docs), "bitmaps").withColumnsRenamed({"id": "_id", "rid": "_rid", "dropped": "_dropped"}))
+    gone = maybe_broadcast(written(keep_bitmaps(docs, id_col, text_col, min_chars, min_docs), "bitmaps").withColumnsRenamed({"id": "__tally_id", "rid": "__tally_rid", "dropped": "__tally_dropped"}))
     d = docs.drop("n_lines", "n_dropped", "dropped", "kept_text")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    d = d.withColumn("_key", F.xxhash64(F.col(id_col), F.col(text_col)))
-    out = d.join(gone, (F.col("_key") == F.col("_rid")) & F.col(id_col).eqNullSafe(F.col("_id")), "left")
+    d = d.withColumn("__tally_key", F.xxhash64(F.col(id_col), F.col(text_col)))
+    out = d.join(gone, (F.col("__tally_key") == F.col("__tally_rid")) & F.col(id_col).eqNullSafe(F.col("__tally_id")), "left")
     lines = F.split(text, "\n", -1)
     # A column of its own, and named twice so that it stays one: inside filter() the map would be made anew for each line.
-    out = out.withColumn("_map", F.map_from_entries(F.col("_dropped")))
-    by_word = F.coalesce(F.col("_map"), F.col("_map"))
+    out = out.withColumn("__tally_map", F.map_from_entries(F.col("__tally_dropped")))
+    by_word = F.coalesce(F.col("__tally_map"), F.col("__tally_map"))
     bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), (i % _WORD).cast("int"))
     kept = F.filter(lines, lambda line, i: F.coalesce(F.try_element_at(by_word, F.floor(i / _WORD).cast("int")), F.lit(0).cast("long")).bitwiseAND(bit(i)) == 0)
     return out.select(
-        *[F.col(c) for c in d.columns if c != "_key"],
+        *[F.col(c) for c in d.columns if c != "__tally_key"],
         F.size(lines).cast("long").alias("n_lines"),
-        F.coalesce(F.aggregate("_dropped", F.lit(0).cast("long"), lambda n, w: n + F.bit_count(w["bits"])), F.lit(0).cast("long")).alias("n_dropped"),
-        F.col("_dropped").alias("dropped"),
-        F.when(F.col("_dropped").isNull(), text).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
+        F.coalesce(F.aggregate("__tally_dropped", F.lit(0).cast("long"), lambda n, w: n + F.bit_count(w["bits"])), F.lit(0).cast("long")).alias("n_dropped"),
+        F.col("__tally_dropped").alias("dropped"),
+        F.when(F.col("__tally_dropped").isNull(), text).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
     )

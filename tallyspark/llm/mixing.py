@@ -102,28 +102,28 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     shares = written(sources.filter("tokens > 0").select("source", "docs", "tokens", (F.col("tokens") / max(total, 1)).alias("p")), "shares")
     t = bisect_exponent(shares, budget, entropy, most_repeats) if total else 1.0
     z = shares.agg(F.sum(F.pow("p", F.lit(t))).alias("z")).first()["z"] or 1.0
-    weights = sources.join(shares.select(F.col("source").alias("_s"), "p"), F.col("source").eqNullSafe(F.col("_s")), "left").select(
+    weights = sources.join(shares.select(F.col("source").alias("__tally_s"), "p"), F.col("source").eqNullSafe(F.col("__tally_s")), "left").select(
         "source", "docs", "tokens", F.coalesce(F.pow("p", F.lit(t)) / z, F.lit(0.0)).alias("weight"))
     weights = weights.withColumn("budget", F.floor(F.col("weight") * budget + 0.5)).withColumn("epochs", F.when(F.col("tokens") > 0, F.ceil(F.col("budget") / F.col("tokens"))).otherwise(1))
     weights = weights.withColumn("epochs", F.greatest("epochs", F.lit(1))).withColumn("blocks", F.ceil(F.col("docs") / block_docs))
-    w = weights.select(F.col("source").alias("_s"), "tokens", "weight", "budget", "epochs", "blocks")
-    dealt = slim.join(maybe_broadcast(written(w, "weights")), F.col("source").eqNullSafe(F.col("_s"))).withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "key"), F.col("blocks")))
+    w = weights.select(F.col("source").alias("__tally_s"), "tokens", "weight", "budget", "epochs", "blocks")
+    dealt = slim.join(maybe_broadcast(written(w, "weights")), F.col("source").eqNullSafe(F.col("__tally_s"))).withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "key"), F.col("blocks")))
     blocks = dealt.groupBy("source", "block").agg(F.sum("n_tokens").alias("held"), *[F.max(c).alias(c) for c in ("tokens", "weight", "budget", "epochs", "blocks")])
     passes = blocks.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs") - 1)))
     # The order of blocks is that of `turn`; running sums go over stretches of it and within a stretch.
     passes = passes.withColumn("turn", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "epoch", "block"), 33)).withColumn("stretch", F.shiftright(F.col("turn") * F.ceil(F.sqrt("blocks")), 31))
     ahead = lambda *by, order: Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     sums = passes.groupBy("source", "epoch", "stretch").agg(F.sum("held").alias("all"))
-    sums = sums.select(F.col("source").alias("_s"), F.col("epoch").alias("_e"), F.col("stretch").alias("_t"), F.coalesce(F.sum("all").over(ahead("source", "epoch", order=["stretch"])), F.lit(0)).alias("before"))
-    start = passes.join(sums, F.col("source").eqNullSafe(F.col("_s")) & (F.col("epoch") == F.col("_e")) & (F.col("stretch") == F.col("_t")))
+    sums = sums.select(F.col("source").alias("__tally_s"), F.col("epoch").alias("__tally_e"), F.col("stretch").alias("__tally_t"), F.coalesce(F.sum("all").over(ahead("source", "epoch", order=["stretch"])), F.lit(0)).alias("before"))
+    start = passes.join(sums, F.col("source").eqNullSafe(F.col("__tally_s")) & (F.col("epoch") == F.col("__tally_e")) & (F.col("stretch") == F.col("__tally_t")))
     within = F.coalesce(F.sum("held").over(ahead("source", "epoch", "stretch", order=["turn", "block"])), F.lit(0))
     start = start.withColumn("start", F.col("epoch") * F.col("tokens") + F.col("before") + within).filter((F.col("start") < F.col("budget")) | (F.col("epoch") == 0))
-    start = start.select(F.col("source").alias("_s"), F.col("block").alias("_b"), "epoch", "start", "weight", "budget")
-    rows = dealt.select("id", "key", "source", "block", "n_tokens", "one", "times").join(start, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")))
+    start = start.select(F.col("source").alias("__tally_s"), F.col("block").alias("__tally_b"), "epoch", "start", "weight", "budget")
+    rows = dealt.select("id", "key", "source", "block", "n_tokens", "one", "times").join(start, F.col("source").eqNullSafe(F.col("__tally_s")) & (F.col("block") == F.col("__tally_b")))
     inside = Window.partitionBy("source", "block", "epoch").orderBy(F.xxhash64(F.lit(seed), "epoch", "key"), "key").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("offset", F.col("start") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     drawn = rows.filter((F.col("offset") < F.col("budget")) | ((F.col("one") == 0) & (F.col("epoch") == 0)))
     # The entry's copies share its place; each is a row of docs and meets it by key.
-    drawn = drawn.select(F.col("key").alias("_key"), F.col("one").alias("mix_tokens"), F.col("weight").alias("mix_weight"), F.col("epoch").cast("int").alias("mix_epoch"), F.col("offset").alias("mix_offset"))
-    out = d.withColumn("_k", F.xxhash64(F.col(id_col), F.col(source_col), F.col(text_col))).join(drawn, F.col("_k") == F.col("_key"))
+    drawn = drawn.select(F.col("key").alias("__tally_key"), F.col("one").alias("mix_tokens"), F.col("weight").alias("mix_weight"), F.col("epoch").cast("int").alias("mix_epoch"), F.col("offset").alias("mix_offset"))
+    out = d.withColumn("__tally_k", F.xxhash64(F.col(id_col), F.col(source_col), F.col(text_col))).join(drawn, F.col("__tally_k") == F.col("__tally_key"))
     return out.select(*[F.col(f"`{c}`") for c in d.columns], "mix_tokens", "mix_weight", "mix_epoch", "mix_offset")

@@ -48,14 +48,14 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url_col: str = "url", a
     """
     c = captures.drop("verdict", "matched_list", "matched_pattern", "n_active")
     # Captures of one host, path and time share a verdict: they are joined once.
-    keyed = c.withColumn("_keys", url_keys(F.col(url_col))).withColumn("_id", F.xxhash64("_keys", F.col(at_col)))
-    asked = keyed.filter(F.col("_keys").isNotNull() & F.col(at_col).isNotNull()).select("_id", F.col(at_col).alias("_at"), "_keys").dropDuplicates(["_id"])
-    asked = asked.withColumn("salt", F.pmod("_id", F.lit(salts)).cast("int")).select("_id", "_at", "salt", F.explode("_keys").alias("k")).select("_id", "_at", "salt", "k.*")
+    keyed = c.withColumn("__tally_keys", url_keys(F.col(url_col))).withColumn("__tally_id", F.xxhash64("__tally_keys", F.col(at_col)))
+    asked = keyed.filter(F.col("__tally_keys").isNotNull() & F.col(at_col).isNotNull()).select("__tally_id", F.col(at_col).alias("__tally_at"), "__tally_keys").dropDuplicates(["__tally_id"])
+    asked = asked.withColumn("salt", F.pmod("__tally_id", F.lit(salts)).cast("int")).select("__tally_id", "__tally_at", "salt", F.explode("__tally_keys").alias("k")).select("__tally_id", "__tally_at", "salt", "k.*")
     spans = validity_intervals(entries).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    met = asked.join(spans, ["kind", "pattern", "salt"]).filter((F.col("valid_from") <= F.col("_at")) & (F.col("valid_to").isNull() | (F.col("_at") < F.col("valid_to"))))
+    met = asked.join(spans, ["kind", "pattern", "salt"]).filter((F.col("valid_from") <= F.col("__tally_at")) & (F.col("valid_to").isNull() | (F.col("__tally_at") < F.col("valid_to"))))
     best = F.max_by(F.struct("action", "list", "pattern"), F.struct(F.col("rank"), F.col("valid_from"), F.col("list"), F.col("action")))
-    found = met.groupBy("_id").agg(best.alias("m"), F.count("*").alias("n"))
-    out = keyed.join(found, "_id", "left")
+    found = met.groupBy("__tally_id").agg(best.alias("m"), F.count("*").alias("n"))
+    out = keyed.join(found, "__tally_id", "left")
     return out.select(
         *[F.col(x) for x in c.columns],
         F.coalesce(F.col("m.action"), F.lit("allow")).alias("verdict"),
