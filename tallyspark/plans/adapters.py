@@ -159,3 +159,41 @@ def streams(spark: SparkSession, sf_dir: str, width: int = 40) -> DataFrame:
         event("message_start", start), event("content_block_start", F.lit('{"type":"content_block_start","index":0,"content_block":{"type":"text","text":""}}')), deltas,
         event("content_block_stop", F.lit('{"type":"content_block_stop","index":0}')), event("message_delta", delta), event("message_stop", F.lit('{"type":"message_stop"}')))
     return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), raw.alias("response_raw_sse"), F.col("text").alias("text"))
+
+
+def tool_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as captures whose thread uses a tool for each line item: even orders in one dialect, odd ones in the other.
+
+    A tool is a brand, declared if one of the order's parts of it is small; an open line has no result yet.
+    """
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    x = read("lineitem").join(read("part").select("p_partkey", "p_brand", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
+    one = x.groupBy(F.col("l_orderkey").alias("call_id"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("use"), F.col("p_brand").alias("name")).agg(
+        F.bool_or(F.col("p_size") <= 45).alias("declared"), F.bool_or(F.col("l_linestatus") != "O").alias("done"), F.bool_or(F.col("l_returnflag") == "R").alias("bad"))
+    c = one.groupBy("call_id").agg(F.array_sort(F.collect_list(F.struct("use", "name", "declared", "done", "bad"))).alias("u"))
+    known = F.array_distinct(F.transform(F.filter("u", lambda u: u["declared"]), lambda u: u["name"]))
+    done = F.filter("u", lambda u: u["done"])
+    given = lambda u: F.struct(u["use"].alias("q"))
+    js, arr = F.to_json, lambda parts: F.array_join(parts, ",")
+    said = F.concat(F.lit('{"role":"user","content":"order '), F.col("call_id"), F.lit('"}'))
+    claude = F.concat(
+        F.lit('{"model":"claude-opus-5","tools":'), js(F.transform(known, lambda n: F.struct(n.alias("name")))), F.lit(',"messages":['), said, F.lit(',{"role":"assistant","content":'),
+        js(F.transform("u", lambda u: F.struct(F.lit("tool_use").alias("type"), u["use"].alias("id"), u["name"].alias("name"), given(u).alias("input")))), F.lit('},{"role":"user","content":'),
+        js(F.transform(done, lambda u: F.struct(F.lit("tool_result").alias("type"), u["use"].alias("tool_use_id"), F.concat(F.lit("result of "), u["use"]).alias("content"), u["bad"].alias("is_error")))), F.lit("}]}"))
+    openai = F.concat(
+        F.lit('{"model":"gpt-5.6-luna","tools":'), js(F.transform(known, lambda n: F.struct(F.lit("function").alias("type"), F.struct(n.alias("name")).alias("function")))), F.lit(',"messages":['), said, F.lit(',{"role":"assistant","tool_calls":'),
+        js(F.transform("u", lambda u: F.struct(u["use"].alias("id"), F.struct(u["name"].alias("name"), js(given(u)).alias("arguments")).alias("function")))), F.lit("}"),
+        F.when(F.size(done) > 0, F.concat(F.lit(","), arr(F.transform(done, lambda u: js(F.struct(F.lit("tool").alias("role"), u["use"].alias("tool_call_id"), F.concat(F.lit("result of "), u["use"]).alias("content"))))))).otherwise(""), F.lit("]}"))
+    even = F.col("call_id") % 2 == 0
+    none = F.lit(None).cast("string")
+    at = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("call_id"))
+    return c.select(
+        F.col("call_id").alias("id"), at.alias("timestamp_start"), at.alias("timestamp_first_chunk"), at.alias("timestamp_end"), F.lit("POST").alias("method"), F.when(even, "https://a/v1/messages").otherwise("https://o/v1/chat/completions").alias("url"),
+        F.create_map(F.lit("Session-Id"), F.concat(F.lit("c"), F.col("call_id"))).alias("request_headers"), F.when(even, claude).otherwise(openai).alias("request_body"), F.lit(200).cast("long").alias("response_status"), F.create_map(F.lit("x"), F.lit("y")).alias("response_headers"),
+        F.when(even, '{"type":"message","role":"assistant","content":[{"type":"text","text":"ok"}],"usage":{"input_tokens":1}}').otherwise('{"choices":[{"message":{"content":"ok"}}],"usage":{"prompt_tokens":1}}').alias("response_body"), none.alias("response_raw_sse"), none.alias("response_reconstructed"), none.alias("error"))
+
+
+USES_SQL = """u AS (SELECT l_orderkey AS call_id, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS use, p_brand AS name, bool_or(p_size <= 45) AS small, bool_or(l_linestatus <> 'O') AS done, bool_or(l_returnflag = 'R') AS bad
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3),
+d AS (SELECT DISTINCT call_id, name FROM u WHERE small),
+x AS (SELECT u.*, d.name IS NOT NULL AS declared, done AND bad AND call_id % 2 = 0 AS failed FROM u LEFT JOIN d USING (call_id, name))"""

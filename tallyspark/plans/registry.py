@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.functions import scalars
 from tallyspark.operators import assemble, derive, detect, normalise, pricing, reassemble
 from tallyspark.plans import adapters, diagnostics, surfaces
 from tallyspark.sources import captures as sources
@@ -563,3 +564,104 @@ def l3_change_feed(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("call_id", F.col("event_id"))
     ok = e.filter("event_type = 'purchase'").select("call_id", F.lit("s").alias("session_id"), F.lit("t").alias("trace_id"))
     return tidy(live.change_feed(ok, e.filter("event_type = 'error'").select("call_id"), 1).select("call_id", "seq", "kind"))
+
+
+# ---- captures with tools, made of orders, in both dialects ----
+
+
+def _tool_parsed(spark, sf_dir):
+    return normalise.parse(normalise.inference_calls(adapters.tool_captures(spark, sf_dir)))
+
+
+def _tool_blocks(spark, sf_dir):
+    return normalise.blocks(normalise.turns(_tool_parsed(spark, sf_dir)))
+
+
+@query("SELECT DISTINCT l_orderkey AS id, CASE WHEN l_orderkey % 2 = 0 THEN 'claude_code' ELSE 'openai' END AS dialect, CASE WHEN l_orderkey % 2 = 1 THEN 'c' || l_orderkey END AS session_key, CASE WHEN l_orderkey % 2 = 0 THEN 'claude-opus-5' ELSE 'gpt-5.6-luna' END AS model FROM lineitem")
+def n1_detect_provider(spark, sf_dir):
+    return _tool_parsed(spark, sf_dir).select("id", "dialect", "session_key", "model")
+
+
+@query(f"WITH {adapters.USES_SQL} SELECT call_id, use AS tool_use_id, name, done AS paired, CASE WHEN done THEN failed END AS result_error FROM x")
+def n21_pair_tools(spark, sf_dir):
+    return normalise.pair_tools(_tool_blocks(spark, sf_dir)).select("call_id", "tool_use_id", "name", "paired", "result_error")
+
+
+@query(f"WITH {adapters.USES_SQL} SELECT call_id, use AS tool_use_id, name FROM x WHERE NOT declared")
+def n22_undeclared(spark, sf_dir):
+    parsed = _tool_parsed(spark, sf_dir)
+    uses = normalise.pair_tools(normalise.blocks(normalise.turns(parsed)))
+    return normalise.undeclared(uses, normalise.tool_decls(parsed)).select("call_id", "tool_use_id", "name")
+
+
+@query(f"WITH {adapters.USES_SQL} SELECT call_id, use AS tool_use_id, name, declared AS was_declared, CASE WHEN NOT done THEN 'pending' WHEN failed THEN 'error' ELSE 'ok' END AS status, row_number() OVER (PARTITION BY call_id ORDER BY use, name) - 1 AS seq, '{{\"q\":\"' || use || '\"}}' AS input_excerpt, CASE WHEN done THEN 'result of ' || use END AS result_excerpt FROM x")
+def p18_tool_calls(spark, sf_dir):
+    parsed = _tool_parsed(spark, sf_dir)
+    t = derive.derive_tool_calls(parsed, normalise.blocks(normalise.turns(parsed)), normalise.tool_decls(parsed))
+    return tidy(t.select("call_id", "tool_use_id", "name", "was_declared", "status", "seq", "input_excerpt", "result_excerpt"))
+
+
+@query(f"WITH {adapters.USES_SQL} SELECT call_id, count(DISTINCT name) AS tools_declared_count, CAST(0 AS BIGINT) AS mcp_tools_count FROM d GROUP BY 1")
+def p8_tool_shape(spark, sf_dir):
+    return derive.tool_shape(normalise.tool_decls(_tool_parsed(spark, sf_dir))).select("call_id", "tools_declared_count", "mcp_tools_count")
+
+
+@query(f"WITH {adapters.USES_SQL} SELECT count(DISTINCT s) AS sets, sum(n)::BIGINT AS members FROM (SELECT s, any_value(n) AS n FROM (SELECT call_id, string_agg(name, ',' ORDER BY name) AS s, count(*) AS n FROM d GROUP BY 1) GROUP BY s)")
+def p20_harness_dims(spark, sf_dir):
+    parsed = _tool_parsed(spark, sf_dir)
+    _, sets, schemas = derive.harness_dims(normalise.system_segments(parsed), normalise.tool_decls(parsed))
+    return sets.agg(F.count("*").alias("sets"), F.sum("tool_count").alias("members"))
+
+
+@query(f"WITH {adapters.USES_SQL} SELECT call_id, 'tool_result_missing' AS rule, use AS tool_use_id FROM x WHERE NOT done")
+def v12_pairing_gaps(spark, sf_dir):
+    return diagnostics.pairing_gaps(_tool_blocks(spark, sf_dir))
+
+
+@query(f"WITH {adapters.USES_SQL} SELECT call_id, CAST(2 AS BIGINT) AS text, CAST(0 AS BIGINT) AS thinking, count(*) AS tool_use, count(*) FILTER (done) AS tool_result, CAST(0 AS BIGINT) AS image, CAST(0 AS BIGINT) AS other FROM x GROUP BY 1")
+def n8_blocks(spark, sf_dir):
+    return normalise.block_counts(_tool_blocks(spark, sf_dir))
+
+
+@query(f"WITH {adapters.USES_SQL} SELECT call_id, 1 + 1 + CASE WHEN call_id % 2 = 0 THEN 1 ELSE count(*) FILTER (done) END AS messages_count, call_id % 2 = 0 AND false OR NOT bool_or(true) AS new_user_turn, 'order ' || call_id AS user_prompt FROM x GROUP BY 1")
+def p12_thread_shape(spark, sf_dir):
+    return derive.thread_shape(normalise.turns(_tool_parsed(spark, sf_dir))).select("call_id", "messages_count", "new_user_turn", "user_prompt")
+
+
+# ---- functions, details and records ----
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN 'srv' || p_size END AS server, left(p_type, 8) || CASE WHEN length(p_type) > 8 THEN '…' ELSE '' END AS short, CASE WHEN p_size % 2 = 0 THEN p_name END AS alias, CASE WHEN p_size % 5 = 0 THEN 'sev' END AS tag FROM part")
+def f_functions(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    tool = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("mcp__srv"), F.col("p_size"), F.lit("__run"))).otherwise(F.col("p_name"))
+    model = F.when(F.col("p_size") % 2 == 0, F.concat("p_name", F.when(F.col("p_size") % 4 == 0, "-latest").otherwise("-20260101"))).otherwise(F.concat("p_name", F.lit("-preview")))
+    stops = F.when(F.col("p_size") % 5 == 0, '["</sev>"]').when(F.col("p_size") % 5 == 1, "[]")
+    return p.select(F.col("p_partkey").alias("id"), scalars.mcp_server(tool).alias("server"), scalars.excerpt(F.col("p_type"), 8).alias("short"), scalars.strip_alias(model).alias("alias"), scalars.stop_sequence_tag(stops).alias("tag"))
+
+
+@query(f"WITH {G} SELECT call_id, session_id, model FROM g WHERE call_id = (SELECT max(event_id) FROM events)")
+def q4_generation_detail(spark, sf_dir):
+    g = assembled(spark, sf_dir)
+    key = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.max("event_id")).first()[0]
+    return surfaces.generation_detail(g, adapters.tool_calls(spark, sf_dir), g, key)[0].select("call_id", "session_id", "model")
+
+
+@query("SELECT conv_id * 1000 + turn AS id, text AS answer FROM conversations WHERE role = 'assistant' QUALIFY row_number() OVER (ORDER BY conv_id * 1000 + turn DESC) = 1")
+def q5_generation_raw(spark, sf_dir):
+    calls = adapters.captures(spark, sf_dir)
+    g = assemble.assemble(derive.derive_generations(calls)[0])
+    key = calls.agg(F.max("id")).first()[0]
+    return surfaces.generation_raw(calls, g, key).select("id", F.get_json_object("response_body", "$.content[0].text").alias("answer"))
+
+
+@query(f"WITH {G} SELECT call_id, stop_sequences IS NOT NULL AS stopped FROM g")
+def s16_to_records(spark, sf_dir):
+    x = maintenance.to_records(adapters.generations(spark, sf_dir).select("call_id", "stop_sequences"))
+    return x.select(F.get_json_object("record", "$.call_id").cast("long").alias("call_id"), F.get_json_object("record", "$.stop_sequences[0]").isNotNull().alias("stopped"))
+
+
+@query("SELECT count(DISTINCT p_brand) AS providers, count(*) AS models FROM part")
+def s8_catalog_meta(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_brand").alias("provider"), F.col("p_partkey").alias("model_id"))
+    return catalog.catalog_meta(p).select("providers", "models")
