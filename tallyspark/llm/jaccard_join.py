@@ -8,7 +8,8 @@ The steps, each a Spark job over partitioned data:
 3. Prefix filter: two sets can reach the threshold only if they share a token of both prefixes. Each
    token has an index list of (set, size, position). Lists of the same members are one list, and a list
    is cut into blocks by size and position: block pairs whose sizes or positions rule out the
-   threshold are skipped whole.
+   threshold are skipped whole. Sets that lists join, however far, to a group of bounded size are
+   instead one block, so that each is sent once and not once for each list.
 4. Within a block pair a set's overlaps are derived from those computed for the set before it, which is
    highly similar after sorting: only the index lists of the tokens in which the two differ are read.
    A pair counts where its first common token leads, so no link is counted twice; of the links only
@@ -34,6 +35,8 @@ from .components import components
 BUCKET_TOKENS = 1 << 19
 #: Index entries of a block of step 3.
 BLOCK_SETS = 1024
+#: Sets, and tokens of theirs, up to which all that share tokens are compared in one block.
+GROUP_SETS, GROUP_TOKENS = 4096, 1 << 22
 
 
 def shingle_hashes(texts: pa.Array, width: int) -> list[np.ndarray]:
@@ -51,10 +54,10 @@ def shingle_hashes(texts: pa.Array, width: int) -> list[np.ndarray]:
         if b - a >= width:
             out.append(np.unique(runs[a : b - width + 1]))
         elif b > a:
-            short = np.uint64(b - a)
+            short = np.full(1, b - a, np.uint64)
             for k in range(b - a):
-                short = short + mixed(h[a + k : a + k + 1], 10 + k)[0]
-            out.append(mixed(np.array([short], np.uint64), 3))
+                short += mixed(h[a + k : a + k + 1], 10 + k)
+            out.append(mixed(short, 3))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -247,11 +250,11 @@ def _block_pairs(lists: DataFrame, percent: int, block_sets: int) -> DataFrame:
     return whole.unionByName(cut)
 
 
-def compare_block(lead: int, side: np.ndarray, ids: np.ndarray, n: np.ndarray, many: np.ndarray, tokens: list, kept: list, percent: int):
+def compare_block(lead: int | None, side: np.ndarray, ids: np.ndarray, n: np.ndarray, many: np.ndarray, tokens: list, kept: list, percent: int):
     """(links of each set, weighted by copies, and the edges of a spanning forest) of one block or block pair.
 
-    A pair counts if its least common kept token is `lead`. If both sides are there, pairs within a
-    side are left to their own block.
+    A pair counts if its least common kept token is `lead`; without a lead (None) every pair does. If
+    both sides are there, pairs within a side are left to their own block.
     """
     # Similar sets next to each other: by their first tokens.
     order = np.array(sorted(range(len(ids)), key=lambda k: tokens[k][:8].tobytes()))
@@ -268,7 +271,7 @@ def compare_block(lead: int, side: np.ndarray, ids: np.ndarray, n: np.ndarray, m
     # A token that one set here holds adds nothing to an overlap.
     sets = [np.sort(s[length[s] > 1]) for s in sets]
     before = []
-    for k in order:
+    for k in order if lead is not None else ():
         earlier = kept[k][: int(np.flatnonzero(kept[k] == np.uint64(lead))[0])]
         before.append(np.searchsorted(names, earlier))
 
@@ -297,7 +300,7 @@ def compare_block(lead: int, side: np.ndarray, ids: np.ndarray, n: np.ndarray, m
         hit[: x + 1] = False
         if two:
             hit &= side != side[x]
-        if hit.any() and len(before[x]):
+        if lead is not None and hit.any() and len(before[x]):
             hit &= gather(before[x]) == 0
         found = np.flatnonzero(hit)
         links[x] += many[found].sum()
@@ -319,7 +322,7 @@ def _compare(percent: int):
         def close():
             rows = [r for k, r in enumerate(held) if k == 0 or r[3] != held[k - 1][3] or r[4] != held[k - 1][4]]
             ids, links, edges = compare_block(
-                np.int64(rows[0][0]).view(np.uint64), np.array([r[4] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64), np.array([r[5] for r in rows], np.int64),
+                None if rows[0][0] is None else np.int64(rows[0][0]).view(np.uint64), np.array([r[4] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64), np.array([r[5] for r in rows], np.int64),
                 np.array([r[6] for r in rows], np.int64), [np.frombuffer(r[7], np.uint64) for r in rows], [np.frombuffer(r[8], np.uint64) for r in rows], percent)
             some = np.flatnonzero(links)
             a = [*map(int, ids[some]), *(int(x) for x, _ in edges)]
@@ -345,7 +348,7 @@ def _compare(percent: int):
     return run
 
 
-def linked_sets(texts: DataFrame, many: DataFrame, total: int, width: int, percent: int, block_sets: int) -> DataFrame:
+def linked_sets(texts: DataFrame, many: DataFrame, total: int, width: int, percent: int, block_sets: int, group_sets: int) -> DataFrame:
     """(a, b, links): rows with b are edges of the spanning forests, rows without give a's links to other sets."""
     n_buckets = 1
     while n_buckets * BUCKET_TOKENS < total or n_buckets < 64:
@@ -362,8 +365,16 @@ def linked_sets(texts: DataFrame, many: DataFrame, total: int, width: int, perce
     leads = lists.groupBy("set_id").agg(F.array_sort(F.collect_set(F.struct("df", "token"))).alias("kept"))
     pack = F.transform("kept", lambda t: t["token"])
     body = sets.select("set_id", "n", "tokens").dropDuplicates(["set_id"]).join(leads, "set_id").join(many, "set_id").select("set_id", "n", "many", "tokens", pack.alias("kept"))
-    units = _block_pairs(lists.select("token", "df", "set_id", "n", "pos"), percent, block_sets)
-    rows = units.join(written(body, "bodies"), "set_id").select("token", "df", "unit", "set_id", "side", "n", "many", "tokens", "kept")
+    body = written(body, "bodies")
+    hubs = lists.groupBy("token").agg(F.min("set_id").alias("a"))
+    groups = components(lists.join(hubs, "token").select("a", F.col("set_id").alias("b")))
+    sized = body.select(F.col("set_id").alias("node"), (F.octet_length("tokens") / 8).alias("t")).join(groups, "node")
+    large = sized.groupBy("component").agg(F.count("*").alias("k"), F.sum("t").alias("t")).filter((F.col("k") > group_sets) | (F.col("t") > GROUP_TOKENS)).select("component")
+    groups = written(groups.join(large.withColumn("large", F.lit(True)), "component", "left").select(F.col("node").alias("set_id"), F.col("component").alias("unit"), F.coalesce("large", F.lit(False)).alias("large")), "groups")
+    whole = groups.filter("NOT large").select(F.lit(None).cast("long").alias("token"), F.lit(None).cast("long").alias("df"), "unit", "set_id", F.lit(0).alias("side"))
+    cut = lists.join(groups.filter("large").select("set_id"), "set_id", "left_semi").select("token", "df", "set_id", "n", "pos")
+    units = whole.unionByName(_block_pairs(cut, percent, block_sets))
+    rows = units.join(body, "set_id").select("token", "df", "unit", "set_id", "side", "n", "many", "tokens", "kept")
     rows = rows.repartition("token", "unit").sortWithinPartitions("token", "unit", "side", "set_id")
     return rows.mapInArrow(_compare_rows(percent), "a long, b long, links long")
 
@@ -384,7 +395,7 @@ def _compare_rows(percent: int):
     return run
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, block_sets: int = BLOCK_SETS) -> DataFrame:
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, block_sets: int = BLOCK_SETS, group_sets: int = GROUP_SETS) -> DataFrame:
     """(id_col, n_shingles, component_id, n_links) for every row of docs.
 
     Two documents link when 100 * intersection >= percent * union of their shingle sets. component_id
@@ -405,7 +416,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         texts = texts.join(F.broadcast(spare), "id", "left_anti").select("text")
     else:
         texts = written(texts.join(spare, "id", "left_anti").select("text"), "texts")
-    found = written(linked_sets(texts, one.select("set_id", "many"), total, width, percent, block_sets), "links")
+    found = written(linked_sets(texts, one.select("set_id", "many"), total, width, percent, block_sets, group_sets), "links")
     graph = components(found.filter("b IS NOT NULL").select("a", "b"))
     links = found.filter("b IS NULL").groupBy(F.col("a").alias("set_id")).agg(F.sum("links").alias("others"))
     joined = one.join(graph.withColumnRenamed("node", "set_id"), "set_id", "left").join(links, "set_id", "left")
