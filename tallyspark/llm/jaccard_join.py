@@ -348,14 +348,19 @@ def _compare(percent: int):
     return run
 
 
-def linked_sets(texts: DataFrame, many: DataFrame, total: int, width: int, percent: int, block_sets: int, group_sets: int) -> DataFrame:
-    """(a, b, links): rows with b are edges of the spanning forests, rows without give a's links to other sets."""
+def linked_sets(texts: DataFrame, many: DataFrame, total: int, repeated: bool, width: int, percent: int, block_sets: int, group_sets: int) -> DataFrame:
+    """(a, b, links): rows with b are edges of the spanning forests, rows without give a's links to other sets.
+
+    `repeated`: some texts have the same set. Index lists are told apart by sums over their members, so
+    a set may stand in a list once only.
+    """
     n_buckets = 1
     while n_buckets * BUCKET_TOKENS < total or n_buckets < 64:
         n_buckets *= 2
     dealt = _dealt(texts, width, n_buckets)
     counted = dealt.groupBy("bucket").applyInArrow(_count_bucket, "chunk long, kind int, a binary, b binary, c binary")
-    sets = written(counted.groupBy("chunk").applyInArrow(_prefixes(percent), "set_id long, n long, prefix long, tokens binary, counts binary"), "sets")
+    sets = counted.groupBy("chunk").applyInArrow(_prefixes(percent), "set_id long, n long, prefix long, tokens binary, counts binary")
+    sets = written(sets.dropDuplicates(["set_id"]) if repeated else sets, "sets")
     entries = sets.select("set_id", "n", "prefix", "tokens", "counts").mapInArrow(_postings, "token long, df long, set_id long, n long, pos long")
     entries = written(entries, "entries")
     seen = entries.groupBy("token", "df").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("set_id")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "set_id")).alias("x2")).filter("k > 1")
@@ -364,7 +369,7 @@ def linked_sets(texts: DataFrame, many: DataFrame, total: int, width: int, perce
     lists = written(entries.join(kept, ["token", "df"]), "lists")
     leads = lists.groupBy("set_id").agg(F.array_sort(F.collect_set(F.struct("df", "token"))).alias("kept"))
     pack = F.transform("kept", lambda t: t["token"])
-    body = sets.select("set_id", "n", "tokens").dropDuplicates(["set_id"]).join(leads, "set_id").join(many, "set_id").select("set_id", "n", "many", "tokens", pack.alias("kept"))
+    body = sets.select("set_id", "n", "tokens").join(leads, "set_id").join(many, "set_id").select("set_id", "n", "many", "tokens", pack.alias("kept"))
     body = written(body, "bodies")
     hubs = lists.groupBy("token").agg(F.min("set_id").alias("a"))
     groups = components(lists.join(hubs, "token").select("a", F.col("set_id").alias("b")))
@@ -407,16 +412,18 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     named = written(document_sets(docs, id_col, text_col, width), "named")
     one = written(named.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("id").alias("least"), F.count("*").alias("many"), F.max("n_shingles").alias("n")), "classes")
-    total = one.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()["t"]
+    total, n_sets = one.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     # One text for each set: other ids of a class are taken out. Few: broadcast; else the texts are dealt by id.
     spare = named.filter("set_id IS NOT NULL AND id IS NOT NULL").join(one.select(F.col("least").alias("id")), "id", "left_anti").select("id").distinct()
     spare = written(spare, "spare")
+    # Null ids, and ids of several rows, can leave more than one text of a set.
+    repeated = named.filter("set_id IS NOT NULL").join(spare, "id", "left_anti").count() > n_sets
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     if spare.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         texts = texts.join(F.broadcast(spare), "id", "left_anti").select("text")
     else:
         texts = written(texts.join(spare, "id", "left_anti").select("text"), "texts")
-    found = written(linked_sets(texts, one.select("set_id", "many"), total, width, percent, block_sets, group_sets), "links")
+    found = written(linked_sets(texts, one.select("set_id", "many"), total, repeated, width, percent, block_sets, group_sets), "links")
     graph = components(found.filter("b IS NOT NULL").select("a", "b"))
     links = found.filter("b IS NULL").groupBy(F.col("a").alias("set_id")).agg(F.sum("links").alias("others"))
     joined = one.join(graph.withColumnRenamed("node", "set_id"), "set_id", "left").join(links, "set_id", "left")

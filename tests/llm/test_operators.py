@@ -259,6 +259,10 @@ def test_jaccard(spark, docs, none, limits):
         for _ in range(rng.randint(0, 3)):
             t[rng.randrange(80)] = f"e{rng.randrange(99)}"
         rows.append((i, " ".join(t[: rng.choice((80, 80, 76, 70))])))
+    for k in range(6):  # one id with two texts, of which another id holds one too
+        t = list(base)
+        t[10 * k] = f"own{k}"
+        rows += [(300 + 2 * k, " ".join(t)), (301 + 2 * k, " ".join(t)), (301 + 2 * k, f"single {k}")]
     got = jaccard_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), **limits).collect()
     assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in got) == brute_links(rows)
     assert jaccard_join.jaccard_classes(none).count() == 0
