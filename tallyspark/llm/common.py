@@ -34,9 +34,16 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def maybe_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` with a broadcast hint if it has at most `most` rows, else as it is (shuffle join)."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def maybe_broadcast(df: DataFrame, most: int = BROADCAST_ROWS, entries: Column | None = None) -> DataFrame:
+    """`df` with a broadcast hint if it has at most `most` rows, else as it is (shuffle join).
+
+    `entries` is how many list entries a row holds, where that is not bounded: then the whole table may
+    hold four times `most` of them.
+    """
+    if entries is None:
+        return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    rows, held = df.agg(F.count("*"), F.coalesce(F.sum(entries), F.lit(0))).first()
+    return F.broadcast(df) if rows <= most and held <= 4 * most else df
 
 
 def ascii_lower(c: Column) -> Column:

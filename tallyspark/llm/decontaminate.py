@@ -48,7 +48,7 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     near = placed_words.join(maybe_broadcast(offsets.select("word")), "word", "left_semi")
     # Word positions go by document; what a word could anchor is looked up again beside the text.
     spots = near.groupBy("id", "rid").agg(F.collect_set(F.struct("word", "pos")).alias("spots"))
-    spots = maybe_broadcast(written(spots, "spots").withColumnsRenamed({"id": "__tally_id", "rid": "__tally_rid"}))
+    spots = maybe_broadcast(written(spots, "spots").withColumnsRenamed({"id": "__tally_id", "rid": "__tally_rid"}), entries=F.size("spots"))
     d = docs.select(*key, F.col(text_col).alias("text"))
     d = d.join(spots, (F.col("rid") == F.col("__tally_rid")) & F.col("id").eqNullSafe(F.col("__tally_id"))).select("id", "rid", words(F.col("text")).alias("words"), "spots").dropDuplicates(["id", "rid"])
     # Only the words around a spot travel on, not the text: window words each way suffice.
@@ -69,7 +69,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     a null id are not searched. Repeated rows give equal rows; other columns pass through.
     """
     hits = find_windows(docs, benchmark, id_col, text_col, item_col, item_text_col, window)
-    hits = maybe_broadcast(written(hits, "hits").withColumnsRenamed({"id": "__tally_id", "rid": "__tally_rid", "hits": "__tally_hits"}))
+    hits = maybe_broadcast(written(hits, "hits").withColumnsRenamed({"id": "__tally_id", "rid": "__tally_rid", "hits": "__tally_hits"}), entries=F.size("__tally_hits"))
     d = docs.drop("n_words", "n_hit", "items", "spans", "contaminated")
     out = d.withColumn("__tally_key", F.xxhash64(F.col(id_col), F.col(text_col))).join(hits, (F.col("__tally_key") == F.col("__tally_rid")) & F.col(id_col).eqNullSafe(F.col("__tally_id")), "left")
     spans = F.array_distinct(F.transform("__tally_hits", lambda h: F.struct(h["start"].alias("start"), h["len"].alias("len"))))

@@ -60,7 +60,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A null or empty text is one empty line and stays as it is (kept_text ''). Rows that repeat give
     equal rows. Other columns, of any name but those four, pass through.
     """
-    gone = maybe_broadcast(written(keep_bitmaps(docs, id_col, text_col, min_chars, min_docs), "bitmaps").withColumnsRenamed({"id": "__tally_id", "rid": "__tally_rid", "dropped": "__tally_dropped"}))
+    gone = maybe_broadcast(written(keep_bitmaps(docs, id_col, text_col, min_chars, min_docs), "bitmaps").withColumnsRenamed({"id": "__tally_id", "rid": "__tally_rid", "dropped": "__tally_dropped"}), entries=F.size("__tally_dropped"))
     d = docs.drop("n_lines", "n_dropped", "dropped", "kept_text")
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = d.withColumn("__tally_key", F.xxhash64(F.col(id_col), F.col(text_col)))
