@@ -16,13 +16,22 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of linked ones, that with the smallest id; of rows with one id, one."""
-    classes = written(jaccard_join.jaccard_classes(docs), "groups")
-    keep = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    spare = classes.join(keep.select("doc_id"), "doc_id", "left_anti").filter("doc_id IS NOT NULL").select("doc_id").distinct()
-    kept = docs.join(spare, "doc_id", "left_anti").select(*docs.columns)
-    twice = keep.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if twice else kept
+    """Keeps one row of each group of linked ones: that with the smallest id, null last, and of these the least by hashes.
+
+    Rows, not ids, are compared: an id of several rows, or none, neither joins texts nor keeps copies apart.
+    """
+    rest = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
+    key = F.struct(F.col("doc_id").isNull().alias("without"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"), F.xxhash64(F.lit("row"), "doc_id", "text", *rest).alias("row"))
+    keyed = docs.withColumn("__tally_row", key)
+    classes = written(jaccard_join.jaccard_classes(keyed.select("__tally_row", "text"), id_col="__tally_row"), "groups")
+    first = F.col("__tally_row") == F.col("component_id")
+    kept = keyed.join(classes.filter(~first).select("__tally_row").distinct(), "__tally_row", "left_anti")
+    # Rows alike in every column have one key: where it stays, one of them does. Texts without words are not copies.
+    twice = written(classes.filter(first & (F.col("n_shingles") > 0)).groupBy("__tally_row").count().filter("count > 1").select("__tally_row"), "twice")
+    if twice.limit(1).count():
+        same = kept.join(twice, "__tally_row", "left_semi").dropDuplicates(["__tally_row"])
+        kept = kept.join(twice, "__tally_row", "left_anti").unionByName(same)
+    return kept.select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,3 +21,17 @@ def test_near_duplicates_keep_one(spark):
     rows = [(5, body, "en", "s", 1), (3, body + " more", "en", "s", 1), (9, "other words stand here alone", "en", "s", 1), (9, "other words stand here alone", "en", "s", 1), (4, None, "en", "s", 0)]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, d, SF).collect()) == [3, 4, 9]
+
+
+def test_near_duplicates_go_by_row_not_by_id(spark):
+    body, other, third = (" ".join(f"{x}{i}" for i in range(60)) for x in "wuv")
+    rows = [(3, body), (5, body + " more"), (None, body), (None, body + " again"), (9, body), (9, "a text of its own"), (7, "one clean text"), (7, "another clean text"), (None, other), (None, other), (None, other + " x"), (None, third), (None, None), (None, None), (8, "twice the same row"), (8, "twice the same row")]
+    d = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for some in (d, d.filter("doc_id IS NULL OR doc_id NOT IN (7, 8)")):
+        got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, some, SF).collect()), key=repr)
+        of_other = [t for i, t in got if i is None and t and t.startswith(other)]
+        assert len(of_other) == 1
+        want = [(3, body), (9, "a text of its own"), (None, of_other[0]), (None, third), (None, None), (None, None)]
+        if some is d:
+            want += [(7, "one clean text"), (7, "another clean text"), (8, "twice the same row")]
+        assert got == sorted(want, key=repr)
