@@ -224,8 +224,8 @@ def _block_pairs(lists: DataFrame, percent: int, block_sets: int) -> DataFrame:
     entries are cut by position, and by hash where a block would still be too large. A pair of blocks
     is skipped if its smallest positions leave too few tokens for the least overlap its sizes ask for.
     """
-    # A class spans less than the ratio 100 / percent: ratios beyond it are two classes apart.
-    step = float(np.log(100 / percent)) * 0.999
+    # A class spans more than the ratio 100 / percent: sizes within that ratio are one class apart at most.
+    step = float(np.log(100 / percent)) * 1.001
     e = lists.withColumn("size_class", F.floor(F.log("n") / step).cast("int"))
     e = e.withColumn("place", F.floor(F.col("pos") * 8 * 100 / ((100 - percent) * F.col("n") + 100)).cast("int"))
     size = e.groupBy("token", "size_class", "place").agg(F.count("*").alias("k"))

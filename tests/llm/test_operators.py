@@ -268,6 +268,15 @@ def test_jaccard(spark, docs, none, limits):
     assert jaccard_join.jaccard_classes(none).count() == 0
 
 
+def test_jaccard_blocks_at_the_size_bound(spark):
+    words = [f"w{i}" for i in range(4779)]
+    rows = [(i, " ".join([*words[:3824 - i], *(f"a{i}-{k}" for k in range(i))])) for i in range(6)] + [(10, " ".join(words))]
+    got = jaccard_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), block_sets=1, group_sets=2).collect()
+    want = brute_links(rows)
+    assert want[(10, 4775, 0, 1)] == 1
+    assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in got) == want
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)]
