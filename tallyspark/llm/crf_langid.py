@@ -4,6 +4,8 @@ A word's features are its prefixes and suffixes of one to four bytes, its two- a
 itself (the lexicon), hashed into a weight table; labels of neighbouring words are tied by learned
 transitions. Forward-backward gives each word's label probabilities in its line of words, and so the
 spans of code-switched text; a document's language is that of the largest expected share of words.
+A long run without blanks, as in scripts that write none, is cut into consecutive pieces, and each is
+a word of the chain.
 
 The model is fitted on a bounded sample of labelled documents (`train_docs`), all others are only read.
 """
@@ -18,13 +20,45 @@ from pyspark.sql import functions as F
 from .common import Words, held_out, mixed, powers, slices
 
 FEATURES = 1 << 16
+#: Bytes of a piece of a long word. Pieces overlap by a character or two, so that each gram is in one of them.
+PIECE = 64
+#: Distinct words whose features are held at once in prediction.
+SCORED = 1 << 14
+
+
+class Pieces(Words):
+    """The words of some texts, those over PIECE + 2 bytes in pieces; n_words: how many words each text has."""
+
+    def __init__(self, texts: pa.Array):
+        super().__init__(texts)
+        self.n_words = np.bincount(self.row, minlength=self.rows)
+        long = self.end - self.start > PIECE + 2
+        if not long.any():
+            return
+        many = np.where(long, -(-(self.end - self.start - 2) // PIECE), 1)
+        first = np.cumsum(many) - many
+        end, row = np.repeat(self.end, many), np.repeat(self.row, many)
+        start = self._whole(np.repeat(self.start, many) + PIECE * (np.arange(many.sum()) - np.repeat(first, many)), end)
+        start[first] = self.start
+        last = np.zeros(len(start), bool)
+        last[first + many - 1] = True
+        end = np.where(last, end, self._whole(np.minimum(np.append(start[1:], 0) + 2, end), end))
+        some = end > start
+        self.start, self.end, self.row = start[some], end[some], row[some]
+
+    def _whole(self, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Moves cuts inside a UTF-8 character behind it."""
+        for _ in range(3):
+            inside = (at < end) & (self.bytes[np.minimum(at, len(self.bytes) - 1)] >> 6 == 2)
+            at = at + inside
+        return at
 
 
 class Features:
     """Hashed features of distinct words: flat feature numbers and the word each is of."""
 
-    def __init__(self, w: Words, which: np.ndarray):
-        sums = w.prefix_sums()
+    def __init__(self, w: Words, which: np.ndarray, sums: np.ndarray | None = None):
+        sums = w.prefix_sums() if sums is None else sums
         _, inverse = powers(len(w.bytes) + 1)
         start, end = w.start[which], w.end[which]
         n = len(which)
@@ -40,9 +74,8 @@ class Features:
         for k in (1, 2, 3, 4):
             add(start, np.minimum(start + k, end), end - start >= k, 20 + k)
             add(np.maximum(end - k, start), end, end - start >= k, 30 + k)
-        # Inner grams of words up to 64 bytes; the rest of a longer word has no more to tell.
         for k in (2, 3):
-            many = np.clip(end - start - k + 1, 0, 64)
+            many = np.maximum(end - start - k + 1, 0)
             at = np.repeat(start, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
             flat.append(mixed((sums[at + k] - sums[at]) * inverse[at], 40 + k) % np.uint64(FEATURES))
             word.append(np.repeat(np.arange(n), many))
@@ -104,11 +137,12 @@ class Model:
 
     def predict(self, texts: pa.Array):
         """(words, label probabilities of each word) of some texts; a text is one chain."""
-        w = Words(texts)
+        w = Pieces(texts)
         if not len(w.start):
             return w, np.zeros((0, len(self.labels)))
         _, which, at = np.unique(w.hashes(), return_index=True, return_inverse=True)
-        unary = Features(w, which).scores(self.weights)[at]
+        sums = w.prefix_sums()
+        unary = np.concatenate([Features(w, which[i : i + SCORED], sums).scores(self.weights) for i in range(0, len(which), SCORED)])[at]
         size = np.bincount(w.row, minlength=w.rows)
         return w, forward_backward(unary, size[size > 0], self.first, self.step)
 
@@ -121,7 +155,7 @@ def fit_table(table: pa.Table, epochs: int = 25, chain: int = 40, rate: float =
     langs = table.column("lang").to_pylist()
     labels = sorted(set(langs))
     y_of = np.array([labels.index(x) for x in langs], np.int64)
-    parts = [(Words(t), y_of[i : i + len(t)]) for i, t in slices(table.column("text").combine_chunks())]
+    parts = [(Pieces(t), y_of[i : i + len(t)]) for i, t in slices(table.column("text").combine_chunks())]
     sets = []
     for w, y in parts:
         if len(w.start):
@@ -179,6 +213,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     lang_shares: expected share of the words of each label; lang_pred the label with the largest (the
     first by name if equal) and score its share. `und` with score 0 if the text is null, has no letter,
     or there is no model. n_switches: how often the likeliest label changes from word to word.
+    Pieces of a long word count each for itself, but in n_words, where it is one.
     Other columns pass through.
     """
     d = docs.drop("lang_pred", "score", "n_words", "lang_shares", "n_switches")
@@ -191,8 +226,8 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
                 m = len(texts)
                 if model:
                     w, p = model.predict(texts)
-                    n = np.bincount(w.row, minlength=m)
-                    share = np.stack([np.bincount(w.row, weights=p[:, k], minlength=m) for k in range(len(labels))], 1) / np.maximum(n, 1)[:, None]
+                    n, nodes = w.n_words, np.bincount(w.row, minlength=m)
+                    share = np.stack([np.bincount(w.row, weights=p[:, k], minlength=m) for k in range(len(labels))], 1) / np.maximum(nodes, 1)[:, None]
                     best = p.argmax(1)
                     turn = np.flatnonzero((np.diff(best) != 0) & (np.diff(w.row) == 0))
                     switches = np.bincount(w.row[turn], minlength=m)

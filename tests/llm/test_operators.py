@@ -144,6 +144,28 @@ def test_code_switch_is_labelled(spark):
     assert names[2:10] == ["en"] * 8 and names[14:22] == ["fr"] * 8
 
 
+def test_long_runs_are_read_whole(spark):
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    for text in ("".join(rng.choice("中文字a😀é") for _ in range(2000)), "x" * 67, "é" * 33, "y" * 66 + " " + "z" * 200 + "é"):
+        w = crf_langid.Pieces(pa.array(["w", text, None], pa.large_string()))
+        assert w.n_words.tolist() == [1, len(text.split()), 0]
+        raw = bytes(w.bytes)
+        covered = {g for a, b in zip(w.start, w.end) for k in (2, 3) for g in ((i, k) for i in range(a, b - k + 1))}
+        begin = 1
+        for word in text.encode().split():
+            assert covered >= {(i, k) for k in (2, 3) for i in range(begin, begin + len(word) - k + 1)}
+            begin += len(word) + 1
+        assert all(raw[a:b].decode() and b - a <= crf_langid.PIECE + 8 for a, b in zip(w.start, w.end))
+    rows = [(i, r[1], r[2]) for i, r in enumerate(corpus(80)) if r[1]]
+    model = crf_langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    part = {y: "".join(x[1] for x in rows if x[2] == y).replace(" ", "").replace("\n", "")[:2000] for y in ("en", "fr")}
+    d = spark.createDataFrame([(1, part["en"][:150] + part["fr"])], "doc_id long, text string")
+    got = crf_langid.identify(d, model).first()
+    assert got["lang_pred"] == "fr" and got["n_words"] == 1 and got["n_switches"] >= 1
+
+
 def test_simhash(docs, none):
     rows = sorted(((r[0], r[1] or "") for r in corpus()), key=lambda r: (r[0] is not None, r[0] or 0), reverse=True)
     got = simhash.fingerprint_documents(docs).collect()
