@@ -10,9 +10,9 @@ from tallyspark.llm.common import written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: null or letterless text, or no label with half of the words."""
+    """Drops documents without a language: null or letterless text, or words of no clear label. Mixed languages stay."""
     known = crf_langid.identify_documents(docs)
-    return known.filter((F.col("lang_pred") != "und") & (F.col("score") >= 0.5)).select(*docs.columns)
+    return known.filter((F.col("lang_pred") != "und") & (F.col("certainty") >= 0.5)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -208,15 +208,16 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with lang_pred, score, n_words, lang_shares (map) and n_switches.
+    """The documents with lang_pred, score, certainty, n_words, lang_shares (map) and n_switches.
 
     lang_shares: expected share of the words of each label; lang_pred the label with the largest (the
     first by name if equal) and score its share. `und` with score 0 if the text is null, has no letter,
-    or there is no model. n_switches: how often the likeliest label changes from word to word.
+    or there is no model. certainty: mean over the words of the likeliest label's probability, however
+    many languages they are of; 0 for `und`. n_switches: how often the likeliest label changes from word to word.
     Pieces of a long word count each for itself, but in n_words, where it is one.
     Other columns pass through.
     """
-    d = docs.drop("lang_pred", "score", "n_words", "lang_shares", "n_switches")
+    d = docs.drop("lang_pred", "score", "certainty", "n_words", "lang_shares", "n_switches")
     at = d.columns.index(text_col)
     labels = model.labels if model else []
 
@@ -228,17 +229,18 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
                     w, p = model.predict(texts)
                     n, nodes = w.n_words, np.bincount(w.row, minlength=m)
                     share = np.stack([np.bincount(w.row, weights=p[:, k], minlength=m) for k in range(len(labels))], 1) / np.maximum(nodes, 1)[:, None]
+                    sure = np.bincount(w.row, weights=p.max(1), minlength=m) / np.maximum(nodes, 1)
                     best = p.argmax(1)
                     turn = np.flatnonzero((np.diff(best) != 0) & (np.diff(w.row) == 0))
                     switches = np.bincount(w.row[turn], minlength=m)
                 else:
                     n = np.bincount(Words(texts).row, minlength=m)
-                    share, switches = np.zeros((m, 1)), np.zeros(m, np.int64)
+                    share, sure, switches = np.zeros((m, 1)), np.zeros(m), np.zeros(m, np.int64)
                 flat = pa.array(share[:, : len(labels)].ravel(), pa.float64())
                 shares = pa.ListArray.from_arrays(pa.array(np.arange(m + 1) * len(labels), pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([*(c.slice(i, m) for c in batch.columns), pa.array(n, pa.int64()), shares, pa.array(switches, pa.int64())], [*batch.schema.names, "n_words", "__tally_shares", "n_switches"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, m) for c in batch.columns), pa.array(n, pa.int64()), shares, pa.array(sure, pa.float64()), pa.array(switches, pa.int64())], [*batch.schema.names, "n_words", "__tally_shares", "__tally_sure", "n_switches"])
 
-    made = d.mapInArrow(run, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in d.schema) + "n_words long, __tally_shares array<double>, n_switches long")
+    made = d.mapInArrow(run, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in d.schema) + "n_words long, __tally_shares array<double>, __tally_sure double, n_switches long")
     known = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)) & F.lit(bool(labels)) & (F.col("n_words") > 0)
     names = F.lit(labels or ["und"])
     top = F.array_max("__tally_shares")
@@ -246,6 +248,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
         *[F.col(f"`{c}`") for c in d.columns],
         F.when(known, F.element_at(names, F.array_position("__tally_shares", top).cast("int"))).otherwise("und").alias("lang_pred"),
         F.when(known, F.least(top, F.lit(1.0))).otherwise(0.0).alias("score"),
+        F.when(known, F.least("__tally_sure", F.lit(1.0))).otherwise(0.0).alias("certainty"),
         "n_words",
         F.when(known, F.map_from_arrays(names, "__tally_shares")).alias("lang_shares"),
         "n_switches",

@@ -35,3 +35,16 @@ def test_near_duplicates_go_by_row_not_by_id(spark):
         if some is d:
             want += [(7, "one clean text"), (7, "another clean text"), (8, "twice the same row")]
         assert got == sorted(want, key=repr)
+
+
+def test_documents_of_several_languages_stay(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    most = {}
+    for r in docs.filter("text IS NOT NULL AND lang IS NOT NULL").orderBy("doc_id").collect():
+        if len(r["text"].split()) >= 30:
+            most.setdefault(r["lang"], []).append(" ".join(r["text"].split()[:30]))
+    assert len(most) >= 3
+    rows = [(10**9 + i, " ".join(parts[:3]), None, "s", 1) for i, parts in enumerate(zip(*most.values())) if i < 6]
+    more = spark.createDataFrame(rows + [(10**9 + 100, None, None, "s", 0), (10**9 + 101, "123 456", None, "s", 7)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.language_id(spark, docs.select(*more.columns).unionByName(more), SF)
+    assert {r["doc_id"] for r in kept.filter("doc_id >= 1000000000").select("doc_id").collect()} == {r[0] for r in rows}
