@@ -9,19 +9,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A-Z and the white space of the text contracts, `[\x20\x09-\x0D]`.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\x0c\r"
 
-#: Rows up to which a counted side may be broadcast; past it the join shuffles.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes up to which a counted side may be broadcast; past either the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder of spark.checkpoint.dir. Where that is unset, a temporary one in local mode; on a cluster an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
@@ -34,16 +37,36 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def maybe_broadcast(df: DataFrame, most: int = BROADCAST_ROWS, entries: Column | None = None) -> DataFrame:
-    """`df` with a broadcast hint if it has at most `most` rows, else as it is (shuffle join).
+def _width(field: T.StructField) -> Column:
+    """About how many bytes a value of the column takes."""
+    c, kind = F.col(f"`{field.name}`"), field.dataType
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + 16
+    return F.lit(8)
 
-    `entries` is how many list entries a row holds, where that is not bounded: then the whole table may
-    hold four times `most` of them.
+
+def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """`df` with a broadcast hint if it has at most `rows` rows of `most_bytes` in all, else as it is (shuffle join).
+
+    Both are counted, in one aggregate; give a written table.
     """
-    if entries is None:
-        return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-    rows, held = df.agg(F.count("*"), F.coalesce(F.sum(entries), F.lit(0))).first()
-    return F.broadcast(df) if rows <= most and held <= 4 * most else df
+    width = F.lit(0)
+    for field in df.schema.fields:
+        width = width + _width(field)
+    n, size = df.agg(F.count("*"), F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and size <= most_bytes else df
+
+
+def col(name: str) -> Column:
+    """A column by its name, whatever characters that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def row_key(*columns: Column) -> Column:
+    """A 64-bit hash in which null and '' differ, and so do values in another column. Joins compare an id beside it."""
+    return F.xxhash64(*[x for c in columns for x in (c.isNull(), c)])
 
 
 def ascii_lower(c: Column) -> Column:
@@ -64,22 +87,56 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _TO_LOWER = np.arange(256, dtype=np.uint8)
 _TO_LOWER[65:91] += 32
-_powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
+#: Bytes that are hashed at once; the powers of the hash base reach no further.
+WINDOW = 1 << 17
+_powers: list[np.ndarray] = []
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash base mod 2**64, and of its inverse."""
-    global _powers
-    if len(_powers[0]) < n:
-        made = []
+def powers() -> list[np.ndarray]:
+    """The first WINDOW powers of the hash base mod 2**64, and of its inverse."""
+    if not _powers:
         for base in (_P, pow(_P, -1, 1 << 64)):
-            x = np.full(n, base, np.uint64)
+            x = np.full(WINDOW, base, np.uint64)
             x[0] = 1
-            made.append(np.cumprod(x))
-        _powers = tuple(made)
+            _powers.append(np.cumprod(x))
     return _powers
 
 
+def range_sums(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """sum((data[i] + 1) * P ** (i - start)) of each range; ranges ascend and do not overlap.
+
+    Ranges are taken in windows of the bytes, a longer range by itself in pieces, so memory does not
+    grow with the length of a text.
+    """
+    up, down = powers()
+    out = np.zeros(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + WINDOW, side="right")))
+        if end[j - 1] - start[i] <= WINDOW:
+            low = int(start[i])
+            part = data[low : int(end[j - 1])]
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=sums[1:])
+            at = start[i:j] - low
+            out[i:j] = (sums[end[i:j] - low] - sums[at]) * down[at]
+        else:
+            for at in range(int(start[i]), int(end[i]), WINDOW):
+                part = data[at : min(at + WINDOW, int(end[i]))]
+                value = int(((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)]).sum(dtype=np.uint64))
+                out[i] = (int(out[i]) + value * pow(_P, at - int(start[i]), 1 << 64)) % (1 << 64)
+        i = j
+    return out
+
+
+def gram_sums(data: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """range_sums() of the k bytes from each place, in any order of places."""
+    out = np.zeros(len(at), np.uint64)
+    for j in range(k):
+        out += (data[at + j].astype(np.uint64) + np.uint64(1)) * powers()[0][j]
+    return out
+
+
 def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijective mix of 64-bit words (the finaliser of splitmix64)."""
     x = x + np.uint64((seed * 0xD1342543DE82EF95 + 0x632BE59BD9B4E019) & (2**64 - 1))
@@ -105,25 +162,17 @@ class Words:
         cut = np.zeros(len(inside) + 1, bool)  # a text begins here
         cut[off] = True
         before = np.concatenate([[False], inside[:-1]])
-        after = np.concatenate([inside[1:], [False]])
         self.start = np.flatnonzero(inside & (~before | cut[:-1]))
-        self.end = np.flatnonzero(inside & (~after | cut[1:])) + 1
+        before = np.concatenate([inside[1:], [False]])
+        self.end = np.flatnonzero(inside & (~before | cut[1:])) + 1
         self.row = np.searchsorted(off, self.start, side="right") - 1
 
-    def prefix_sums(self) -> np.ndarray:
-        pw, _ = powers(len(self.bytes) + 1)
-        out = np.zeros(len(self.bytes) + 1, np.uint64)
-        np.cumsum((self.bytes.astype(np.uint64) + np.uint64(1)) * pw[: len(self.bytes)], out=out[1:])
-        return out
-
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word."""
-        sums = self.prefix_sums()
-        _, inverse = powers(len(self.bytes) + 1)
-        return mixed((sums[self.end] - sums[self.start]) * inverse[self.start], 1)
+        return mixed(range_sums(self.bytes, self.start, self.end), 1)
 
 
-def slices(column: pa.Array, most_bytes: int = 1 << 20):
+def slices(column: pa.Array, most_bytes: int = 1 << 19):
     """(first row, texts) for runs of about `most_bytes` of text; a longer text stands alone. Null is empty."""
     texts = column.cast(pa.large_string()).fill_null("")
     if not len(texts):

@@ -7,7 +7,7 @@ spans of code-switched text; a document's language is that of the largest expect
 A long run without blanks, as in scripts that write none, is cut into consecutive pieces, and each is
 a word of the chain.
 
-The model is fitted on a bounded sample of labelled documents (`train_docs`), all others are only read.
+The model is fitted on a bounded sample of labelled text (`train_bytes`); all texts are read whole.
 """
 
 from __future__ import annotations
@@ -16,14 +16,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import Words, held_out, mixed, powers, slices
+from .common import Words, col, gram_sums, held_out, maybe_broadcast, mixed, row_key, slices, written
 
 FEATURES = 1 << 16
 #: Bytes of a piece of a long word. Pieces overlap by a character or two, so that each gram is in one of them.
 PIECE = 64
 #: Distinct words whose features are held at once in prediction.
-SCORED = 1 << 14
+SCORED = 1 << 13
 
 
 class Pieces(Words):
@@ -57,31 +58,26 @@ class Pieces(Words):
 class Features:
     """Hashed features of distinct words: flat feature numbers and the word each is of."""
 
-    def __init__(self, w: Words, which: np.ndarray, sums: np.ndarray | None = None):
-        sums = w.prefix_sums() if sums is None else sums
-        _, inverse = powers(len(w.bytes) + 1)
+    def __init__(self, w: Words, which: np.ndarray, hashes: np.ndarray):
         start, end = w.start[which], w.end[which]
-        n = len(which)
-        flat, word = [], []
+        size, n = end - start, len(which)
+        flat, word = [(mixed(hashes[which], 20) % np.uint64(FEATURES)).astype(np.int32)], [np.arange(n, dtype=np.int32)]
 
-        def add(a, b, ok, seed):
-            k = np.flatnonzero(ok)
-            flat.append(mixed((sums[b[k]] - sums[a[k]]) * inverse[a[k]], seed) % np.uint64(FEATURES))
-            word.append(k)
+        def add(at, of, k, seed):
+            flat.append((mixed(gram_sums(w.bytes, at, k), seed) % np.uint64(FEATURES)).astype(np.int32))
+            word.append(of.astype(np.int32))
 
-        every = np.ones(n, bool)
-        add(start, end, every, 20)
         for k in (1, 2, 3, 4):
-            add(start, np.minimum(start + k, end), end - start >= k, 20 + k)
-            add(np.maximum(end - k, start), end, end - start >= k, 30 + k)
+            of = np.flatnonzero(size >= k)
+            add(start[of], of, k, 20 + k)
+            add(end[of] - k, of, k, 30 + k)
         for k in (2, 3):
-            many = np.maximum(end - start - k + 1, 0)
+            many = np.maximum(size - k + 1, 0)
             at = np.repeat(start, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            flat.append(mixed((sums[at + k] - sums[at]) * inverse[at], 40 + k) % np.uint64(FEATURES))
-            word.append(np.repeat(np.arange(n), many))
+            add(at, np.repeat(np.arange(n), many), k, 40 + k)
         self.n = n
-        self.flat, self.word = np.concatenate(flat).astype(np.int64), np.concatenate(word)
-        self.count = np.maximum(np.bincount(self.word, minlength=n), 1)
+        self.flat, self.word = np.concatenate(flat), np.concatenate(word)
+        self.count = np.bincount(self.word, minlength=n)
 
     def scores(self, weights: np.ndarray) -> np.ndarray:
         """(words, labels): mean of the features' weights, times the square root of their number."""
@@ -140,9 +136,9 @@ class Model:
         w = Pieces(texts)
         if not len(w.start):
             return w, np.zeros((0, len(self.labels)))
-        _, which, at = np.unique(w.hashes(), return_index=True, return_inverse=True)
-        sums = w.prefix_sums()
-        unary = np.concatenate([Features(w, which[i : i + SCORED], sums).scores(self.weights) for i in range(0, len(which), SCORED)])[at]
+        hashes = w.hashes()
+        _, which, at = np.unique(hashes, return_index=True, return_inverse=True)
+        unary = np.concatenate([Features(w, which[i : i + SCORED], hashes).scores(self.weights) for i in range(0, len(which), SCORED)])[at]
         size = np.bincount(w.row, minlength=w.rows)
         return w, forward_backward(unary, size[size > 0], self.first, self.step)
 
@@ -155,15 +151,16 @@ def fit_table(table: pa.Table, epochs: int = 25, chain: int = 40, rate: float =
     langs = table.column("lang").to_pylist()
     labels = sorted(set(langs))
     y_of = np.array([labels.index(x) for x in langs], np.int64)
-    parts = [(Pieces(t), y_of[i : i + len(t)]) for i, t in slices(table.column("text").combine_chunks())]
     sets = []
-    for w, y in parts:
+    for i, t in slices(table.column("text").combine_chunks()):
+        w, y = Pieces(t), y_of[i : i + len(t)]
         if len(w.start):
-            _, which, at = np.unique(w.hashes(), return_index=True, return_inverse=True)
+            hashes = w.hashes()
+            _, which, at = np.unique(hashes, return_index=True, return_inverse=True)
             n = len(at)
             length = np.full(-(-n // chain), chain)
             length[-1] = n - chain * (len(length) - 1)
-            sets.append((Features(w, which), at, y[w.row], length))
+            sets.append((Features(w, which, hashes), at.astype(np.int32), y[w.row].astype(np.int32), length))
     k = len(labels)
     weights, first, step = np.zeros((FEATURES, k)), np.zeros(k), np.zeros((k, k))
     squares = [np.full_like(x, 1e-6) for x in (weights, first, step)]
@@ -185,19 +182,25 @@ def fit_table(table: pa.Table, epochs: int = 25, chain: int = 40, rate: float =
     return pa.table({"labels": pa.array([labels], pa.list_(pa.string())), **{n: pa.array([x.astype(np.float32).tobytes()], pa.binary()) for n, x in (("weights", weights), ("first", first), ("step", step))}})
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = 1500) -> Model | None:
-    """Fits on about `train_docs` labelled rows, chosen by a hash of their id and text; None without any.
+def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_bytes: int = 3 << 20, piece_chars: int = 2048) -> Model | None:
+    """Fits on about `train_bytes` bytes of labelled text; None without any.
 
-    Rows with null text or label do not count. The sample is bounded by the parameter whatever the
-    number of rows, and one task fits on it.
+    Texts are cut into pieces of `piece_chars` characters, of all texts and all of each, and pieces are
+    chosen by a hash: half of the bytes by the languages' shares, half evenly among them, so that a rare
+    language is learned as well. Rows with null or empty text, or null label, do not count. The bound
+    holds whatever the number and the length of the texts, and one task fits on it.
     """
-    rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.lit("sample"), F.col(id_col), F.col(text_col)).alias("pick"))
-    rows = rows.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    n = rows.count()
+    rows = labelled.select(col(text_col).cast("string").alias("text"), col(lang_col).cast("string").alias("lang"), row_key(col(id_col), col(text_col)).alias("key"))
+    rows = rows.filter(F.col("lang").isNotNull() & (F.char_length("text") > 0))
+    held = written(rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes")), "langs")
+    n, total = held.agg(F.count("*"), F.sum("bytes")).first()
     if not n:
         return None
-    if n > train_docs:
-        rows = rows.filter(F.pmod("pick", F.lit(1 << 30)) < int((1 << 30) * train_docs / n))
+    quota = train_bytes * (F.col("bytes") / (2 * total) + 1 / (2 * n))
+    rows = rows.join(maybe_broadcast(held.select("lang", (quota / F.col("bytes")).alias("rate"))), "lang")
+    rows = rows.select("text", "lang", "rate", "key", F.explode(F.sequence(F.lit(0), F.floor((F.char_length("text") - 1) / piece_chars).cast("int"))).alias("at"))
+    rows = rows.withColumn("pick", F.xxhash64(F.lit("sample"), "key", "at")).filter(F.pmod("pick", F.lit(1 << 30)) < (1 << 30) * F.col("rate"))
+    rows = rows.select(F.substring("text", F.col("at") * piece_chars + 1, F.lit(piece_chars)).alias("text"), "lang", "pick")
     # Sorted by the hash within the one task, so the model does not depend on how rows were dealt.
     one = rows.groupBy(F.lit(1).alias("all")).applyInArrow(lambda t: fit_table(t.sort_by("pick")), "labels array<string>, weights binary, first binary, step binary").first()
     if one is None:
@@ -214,8 +217,9 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     first by name if equal) and score its share. `und` with score 0 if the text is null, has no letter,
     or there is no model. certainty: mean over the words of the likeliest label's probability, however
     many languages they are of; 0 for `und`. n_switches: how often the likeliest label changes from word to word.
-    Pieces of a long word count each for itself, but in n_words, where it is one.
-    Other columns pass through.
+    Pieces of a long word count each for itself, but in n_words, where it is one. A text is held whole, with
+    some 60 bytes for each of its own. Rows that repeat give equal rows; other columns, of any name but
+    those six, pass through.
     """
     d = docs.drop("lang_pred", "score", "certainty", "n_words", "lang_shares", "n_switches")
     at = d.columns.index(text_col)
@@ -240,12 +244,15 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
                 shares = pa.ListArray.from_arrays(pa.array(np.arange(m + 1) * len(labels), pa.int32()), flat)
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, m) for c in batch.columns), pa.array(n, pa.int64()), shares, pa.array(sure, pa.float64()), pa.array(switches, pa.int64())], [*batch.schema.names, "n_words", "__tally_shares", "__tally_sure", "n_switches"])
 
-    made = d.mapInArrow(run, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in d.schema) + "n_words long, __tally_shares array<double>, __tally_sure double, n_switches long")
-    known = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)) & F.lit(bool(labels)) & (F.col("n_words") > 0)
+    # By place, as mapInArrow takes no name with a dot.
+    own = [f"__tally_{i}" for i in range(len(d.columns))]
+    placed = d.toDF(*own)
+    made = placed.mapInArrow(run, StructType([*placed.schema.fields, *StructType.fromDDL("n_words long, __tally_shares array<double>, __tally_sure double, n_switches long").fields]))
+    known = F.coalesce(F.col(own[at]).cast("string").rlike(r"\p{L}"), F.lit(False)) & F.lit(bool(labels)) & (F.col("n_words") > 0)
     names = F.lit(labels or ["und"])
     top = F.array_max("__tally_shares")
     return made.select(
-        *[F.col(f"`{c}`") for c in d.columns],
+        *[F.col(x).alias(c) for x, c in zip(own, d.columns)],
         F.when(known, F.element_at(names, F.array_position("__tally_shares", top).cast("int"))).otherwise("und").alias("lang_pred"),
         F.when(known, F.least(top, F.lit(1.0))).otherwise(0.0).alias("score"),
         F.when(known, F.least("__tally_sure", F.lit(1.0))).otherwise(0.0).alias("certainty"),
@@ -255,9 +262,8 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     )
 
 
-def identify_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", parts: int = 3, part: int = 1, train_docs: int = 1500) -> DataFrame:
+def identify_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", parts: int = 3, part: int = 1, train_bytes: int = 3 << 20) -> DataFrame:
     """identify() with a model trained on the rows whose crc32(id as text) mod `parts` is not `part`; adds held_out."""
-    held = held_out(F.col(id_col), parts, part)
-    model = train(docs.filter(~held), id_col, text_col, lang_col, train_docs)
-    keep = docs.drop("held_out")
-    return identify(keep, model, id_col, text_col).withColumn("held_out", held_out(F.col(id_col), parts, part))
+    held = held_out(col(id_col), parts, part)
+    model = train(docs.filter(~held), id_col, text_col, lang_col, train_bytes)
+    return identify(docs.drop("held_out"), model, id_col, text_col).withColumn("held_out", held)

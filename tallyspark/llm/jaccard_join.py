@@ -1,23 +1,25 @@
-"""Exact Jaccard join of documents on word shingles, with set-relation skipping.
+"""Jaccard join of documents on word shingles, with set-relation skipping.
 
 The steps, each a Spark job over partitioned data:
 
 1. Shingle hashes of every document; documents of the same set are one set from here on.
-2. How many sets hold each shingle: hashes are dealt to buckets and counted there. A shingle of one set
-   links nothing, so sets go on with their shared shingles only, the rarest first.
+2. How many sets hold each shingle: hashes are counted within chunks of sets first, then in buckets, so
+   that a shingle of very many sets adds one entry a chunk to its bucket; the counts return to the
+   chunks. A shingle of one set links nothing, so sets go on with their shared shingles only, the rarest first.
 3. Prefix filter: two sets can reach the threshold only if they share a token of both prefixes. Each
-   token has an index list of (set, size, position). Lists of the same members are one list, and a list
-   is cut into blocks by size and position: block pairs whose sizes or positions rule out the
-   threshold are skipped whole. Sets that lists join, however far, to a group of bounded size are
-   instead one block, so that each is sent once and not once for each list.
-4. Within a block pair a set's overlaps are derived from those computed for the set before it, which is
-   highly similar after sorting: only the index lists of the tokens in which the two differ are read.
+   token has an index list of (set, size, position). Lists of the same members are one list. Sets that
+   lists join, however far, are one unit of work, so that each is sent once and not once for each list; a unit
+   that is too large for a task is cut into pairs of blocks by size and position, and pairs whose sizes or
+   positions rule out the threshold are skipped whole.
+4. Within a unit index lists are in order of size classes, and a set reads only those stretches of them
+   whose sizes it can link with. Its overlaps are derived from those computed for the set before it, which
+   is highly similar after sorting: only the lists of the tokens in which the two differ are read.
    A pair counts where its first common token leads, so no link is counted twice; of the links only
    their number and a spanning forest leave the task.
 5. Connected components of the forests.
 
-Shingles are compared by 64-bit hashes and counted by 32 bits and their bucket's; a bucket grows no
-larger with the corpus, as their number does.
+Shingles are compared by all 64 bits of their hashes; documents have the same set if its size and 128 bits
+of hash agree.
 """
 
 from __future__ import annotations
@@ -27,15 +29,16 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from .common import BROADCAST_ROWS, Words, mixed, slices, written
+from .common import Words, col, maybe_broadcast, mixed, slices, written
 from .components import components
 
 #: Shingles that a bucket of step 2 is sized for.
 BUCKET_TOKENS = 1 << 19
 #: Index entries of a block of step 3.
 BLOCK_SETS = 1024
-#: Sets, and tokens of theirs, up to which all that share tokens are compared in one block.
+#: Sets, and tokens of theirs, up to which all that share tokens are one unit of work.
 GROUP_SETS, GROUP_TOKENS = 4096, 1 << 22
 
 
@@ -63,38 +66,52 @@ def shingle_hashes(texts: pa.Array, width: int) -> list[np.ndarray]:
     return out
 
 
-def set_id(hashes: np.ndarray) -> int:
-    """A 64-bit name of a set of hashes."""
-    both = np.array([mixed(hashes, 4).sum(dtype=np.uint64), np.bitwise_xor.reduce(mixed(hashes, 5)), np.uint64(len(hashes))], np.uint64)
-    return int(np.array([mixed(both + mixed(np.arange(3, dtype=np.uint64), 6), 7).sum(dtype=np.uint64)], np.uint64).view(np.int64)[0])
+def set_ids(hashes: np.ndarray) -> tuple[int, int]:
+    """Two independent 64-bit hashes of a set of hashes."""
+    out = []
+    for seed in (4, 14):
+        both = np.array([mixed(hashes, seed).sum(dtype=np.uint64), np.bitwise_xor.reduce(mixed(hashes, seed + 1)), np.uint64(len(hashes))], np.uint64)
+        out.append(int(np.array([mixed(both + mixed(np.arange(3, dtype=np.uint64), seed + 2), seed + 3).sum(dtype=np.uint64)], np.uint64).view(np.int64)[0]))
+    return out[0], out[1]
 
 
 def document_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, n_shingles, set_id): set_id is null for a document without words."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    """(id, n_shingles, h1, h2): the hashes are null for a document without words."""
+    schema = StructType([StructField("id", docs.schema[id_col].dataType), *StructType.fromDDL("n_shingles long, h1 long, h2 long").fields])
 
     def one(batches):
         for batch in batches:
             for i, texts in slices(batch.column(1)):
                 sets = shingle_hashes(texts, width)
-                n = pa.array([len(s) for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(texts)), n, pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())], ["id", "n_shingles", "set_id"])
+                names = [set_ids(s) if len(s) else (None, None) for s in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(texts)), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([x[k] for x in names], pa.int64()) for k in (0, 1))], ["id", "n_shingles", "h1", "h2"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(one, f"id {kind}, n_shingles long, set_id long")
+    return docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text")).mapInArrow(one, schema)
 
 
 def _binary(parts) -> pa.Array:
     return pa.array([p.tobytes() for p in parts], pa.binary())
 
 
+#: What rows of the counting steps hold: tokens of one set of the chunk, hashes and sizes of the chunk's sets,
+#: tokens of several sets of the chunk with their counts, and which sets these are.
+SINGLE, META, SEVERAL, HOME = range(4)
+
+
 def _dealt(texts: DataFrame, width: int, n_buckets: int, chunk_bytes: int = 16 << 20) -> DataFrame:
-    """(bucket, chunk, kind, a, b): for each chunk of sets and bucket, the 32-bit rests and how many each set has.
+    """(bucket, chunk, kind, a, b, c) for each chunk of sets.
 
-    kind 0: a = counts (uint16 runs: set index uint32), b = rests; kind 1, once for each chunk: a = set
-    ids, b = sizes.
+    SINGLE: a = set indexes (as steps), b = tokens; SEVERAL: a = tokens, b = counts; both once for each bucket.
+    META: a = both hashes of the sets, b = sizes; HOME: a = tokens, b = counts, c = set indexes; these two only pass through.
     """
     shift = np.uint64(64 - int(n_buckets).bit_length() + 1)
 
+    def by_bucket(tokens):
+        bucket = (tokens >> shift).astype(np.int64) if n_buckets > 1 else np.zeros(len(tokens), np.int64)
+        order = np.argsort(bucket, kind="stable")
+        at = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+        return order, bucket[order][at], at, np.append(at[1:], len(bucket))
+
     def deal(batches):
         task, serial = TaskContext.get().partitionId(), 0
 
@@ -102,24 +119,30 @@ def _dealt(texts: DataFrame, width: int, n_buckets: int, chunk_bytes: int = 16 <
             nonlocal serial
             name = (task << 24) + serial
             serial += 1
-            ids = np.array([set_id(s) for s in sets], np.int64)
+            ids = np.array([set_ids(s) for s in sets], np.int64)
             sizes = np.array([len(s) for s in sets], np.int64)
             tokens = np.concatenate(sets)
             index = np.repeat(np.arange(len(sets), dtype=np.uint32), sizes)
-            bucket = (tokens >> shift).astype(np.int64) if n_buckets > 1 else np.zeros(len(tokens), np.int64)
-            order = np.argsort(bucket, kind="stable")
-            bucket, tokens, index = bucket[order], tokens[order].astype(np.uint32), index[order]
-            at = np.flatnonzero(np.diff(bucket, prepend=-1))
-            firsts, ends = bucket[at], np.append(at[1:], len(bucket))
-            held, rest = [], []
-            for a, b in zip(at, ends):
+            order = np.argsort(tokens, kind="stable")
+            start = np.flatnonzero(np.concatenate([[True], np.diff(tokens[order]) != 0]))
+            runs = np.diff(np.append(start, len(tokens)))
+            more = runs > 1
+            many, count = tokens[order[start[more]]], runs[more].astype(np.uint32)
+            several = np.zeros(len(tokens), bool)
+            several[order] = np.repeat(more, runs)
+            home = index[order[np.repeat(more, runs)]]
+            rows = [(name % n_buckets, META, ids.tobytes(), sizes.tobytes(), b""), (name % n_buckets, HOME, many.tobytes(), count.tobytes(), home.tobytes())]
+            tokens, index = tokens[~several], index[~several]
+            order, buckets, at, end = by_bucket(tokens)
+            for bucket, a, b in zip(buckets, at, end):
                 # Indexes ascend: the step from the one before fits a byte almost always.
-                step = np.diff(index[a:b], prepend=np.uint32(0))
-                held.append(step.astype(np.uint8) if step.max() < 256 else step.astype(np.uint32))
-                rest.append(tokens[a:b])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.append(firsts, name % n_buckets), pa.int64()), pa.array(np.full(len(at) + 1, name), pa.int64()), pa.array([0] * len(at) + [1], pa.int32()), _binary([*held, ids]), _binary([*rest, sizes])],
-                ["bucket", "chunk", "kind", "a", "b"])
+                step = np.diff(index[order[a:b]], prepend=np.uint32(0))
+                rows.append((bucket, SINGLE, (step.astype(np.uint8) if step.max() < 256 else step).tobytes(), tokens[order[a:b]].tobytes(), b""))
+            order, buckets, at, end = by_bucket(many)
+            for bucket, a, b in zip(buckets, at, end):
+                rows.append((bucket, SEVERAL, many[order[a:b]].tobytes(), count[order[a:b]].tobytes(), b""))
+            bucket, kind, a, b, c = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array([name] * len(rows), pa.int64()), pa.array(kind, pa.int32()), *(pa.array(x, pa.binary()) for x in (a, b, c))], ["bucket", "chunk", "kind", "a", "b", "c"])
 
         sets, held = [], 0
         for batch in batches:
@@ -133,68 +156,72 @@ def _dealt(texts: DataFrame, width: int, n_buckets: int, chunk_bytes: int = 16 <
         if sets:
             yield from chunk(sets)
 
-    return texts.mapInArrow(deal, "bucket long, chunk long, kind int, a binary, b binary")
+    return texts.mapInArrow(deal, "bucket long, chunk long, kind int, a binary, b binary, c binary")
 
 
 def _count_bucket(table: pa.Table) -> pa.Table:
     """Of one bucket: for each chunk the (set index, token, count) of tokens that several sets hold."""
-    out = {"chunk": [], "kind": [], "a": [], "b": [], "c": []}
-    named = []
-    for bucket, chunk, kind, a, b in zip(*(table.column(c).to_pylist() for c in ("bucket", "chunk", "kind", "a", "b"))):
-        if kind == 1:
-            for k, v in (("chunk", chunk), ("kind", 1), ("a", a), ("b", b), ("c", b"")):
-                out[k].append(v)
+    out, singles, several = [], [], []
+    for chunk, kind, a, b, c in zip(*(table.column(x).to_pylist() for x in ("chunk", "kind", "a", "b", "c"))):
+        if kind == SINGLE:
+            tokens = np.frombuffer(b, np.uint64)
+            step = np.frombuffer(a, np.uint8 if len(a) == len(tokens) else np.uint32)
+            singles.append((chunk, np.cumsum(step, dtype=np.int64).astype(np.uint32), tokens))
+        elif kind == SEVERAL:
+            several.append((chunk, np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint32)))
         else:
-            rest = np.frombuffer(b, np.uint32)
-            step = np.frombuffer(a, np.uint8 if len(a) == len(rest) else np.uint32)
-            named.append((bucket, chunk, np.cumsum(step, dtype=np.int64).astype(np.uint32), rest))
-    if named:
-        rests = np.concatenate([x[3] for x in named])
-        order = np.argsort(rests, kind="stable")
-        at = np.flatnonzero(np.diff(rests[order].astype(np.int64), prepend=-1))
-        runs = np.diff(np.append(at, len(rests)))
-        count = np.empty(len(rests), np.uint32)
-        count[order] = np.repeat(runs, runs)
+            out.append((chunk, kind, a, b, c))
+    if singles or several:
+        tokens = np.concatenate([x[2] for x in singles] + [x[1] for x in several])
+        held = np.concatenate([np.ones(sum(len(x[2]) for x in singles), np.int64)] + [x[2].astype(np.int64) for x in several])
+        order = np.argsort(tokens, kind="stable")
+        at = np.flatnonzero(np.concatenate([[True], np.diff(tokens[order]) != 0]))
+        count = np.empty(len(tokens), np.uint32)
+        count[order] = np.repeat(np.minimum(np.add.reduceat(held[order], at), (1 << 32) - 1).astype(np.uint32), np.diff(np.append(at, len(tokens))))
         i = 0
-        for bucket, chunk, index, rest in named:
-            n = count[i : i + len(rest)]
-            i += len(rest)
+        for chunk, index, mine in singles:
+            n = count[i : i + len(mine)]
+            i += len(mine)
             some = n > 1
             if some.any():
-                token = (np.uint64(bucket) << np.uint64(32)) | rest[some].astype(np.uint64)
-                for k, v in (("chunk", chunk), ("kind", 0), ("a", index[some].tobytes()), ("b", token.tobytes()), ("c", n[some].tobytes())):
-                    out[k].append(v)
-    return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))})
+                out.append((chunk, SINGLE, index[some].tobytes(), mine[some].tobytes(), n[some].tobytes()))
+        for chunk, mine, _ in several:
+            out.append((chunk, SEVERAL, b"", mine.tobytes(), count[i : i + len(mine)].tobytes()))
+            i += len(mine)
+    columns = zip(*out) if out else [[]] * 5
+    return pa.table({k: pa.array(list(v), t) for (k, t), v in zip({"chunk": pa.int64(), "kind": pa.int32(), "a": pa.binary(), "b": pa.binary(), "c": pa.binary()}.items(), columns)})
 
 
 def _prefixes(percent: int):
     """Of one chunk: the sets that may link, with shared tokens in order and how many are of the prefix."""
 
+    def joined(rows, kind, column, of):
+        return np.concatenate([np.frombuffer(r[column], of) for r in rows if r[0] == kind] or [np.zeros(0, of)])
+
     def run(table: pa.Table) -> pa.Table:
-        kind, a, b, c = (table.column(x).to_pylist() for x in ("kind", "a", "b", "c"))
-        meta = kind.index(1)
-        ids, sizes = np.frombuffer(a[meta], np.int64), np.frombuffer(b[meta], np.int64)
-        rows = [k for k in range(len(kind)) if kind[k] == 0]
-        ok = np.zeros(0, np.int64)
-        if rows:
-            index = np.concatenate([np.frombuffer(a[k], np.uint32) for k in rows])
-            token = np.concatenate([np.frombuffer(b[k], np.uint64) for k in rows])
-            count = np.concatenate([np.frombuffer(c[k], np.uint32) for k in rows])
-            shared = np.bincount(index, minlength=len(ids))
-            # ceil(percent * n / 100) tokens must be common; those of one set come first in the order.
-            need = sizes - (percent * sizes + 99) // 100 + 1 - (sizes - shared)
-            ok = np.flatnonzero((need > 0) & (shared > 0))
-            keep = need[index] > 0
-            index, token, count = index[keep], token[keep], count[keep]
-            order = np.lexsort((token, count, index))
-            index, token, count = index[order], token[order], count[order]
-            start = np.searchsorted(index, ok)
-            end = np.searchsorted(index, ok, side="right")
+        rows = list(zip(*(table.column(x).to_pylist() for x in ("kind", "a", "b", "c"))))
+        ids, sizes = joined(rows, META, 1, np.int64).reshape(-1, 2), joined(rows, META, 2, np.int64)
+        names, total = joined(rows, SEVERAL, 2, np.uint64), joined(rows, SEVERAL, 3, np.uint32)
+        by = np.argsort(names)
+        home, times = joined(rows, HOME, 1, np.uint64), joined(rows, HOME, 2, np.uint32)
+        total = total[by][np.searchsorted(names[by], home)] if len(home) else total
+        index = np.concatenate([joined(rows, SINGLE, 1, np.uint32), joined(rows, HOME, 3, np.uint32)])
+        token = np.concatenate([joined(rows, SINGLE, 2, np.uint64), np.repeat(home, times)])
+        count = np.concatenate([joined(rows, SINGLE, 3, np.uint32), np.repeat(total, times)])
+        shared = np.bincount(index, minlength=len(ids))
+        # ceil(percent * n / 100) tokens must be common; those of one set come first in the order.
+        need = sizes - (percent * sizes + 99) // 100 + 1 - (sizes - shared)
+        ok = np.flatnonzero((need > 0) & (shared > 0))
+        keep = need[index] > 0
+        index, token, count = index[keep], token[keep], count[keep]
+        order = np.lexsort((token, count, index))
+        index, token, count = index[order], token[order], count[order]
+        start, end = np.searchsorted(index, ok), np.searchsorted(index, ok, side="right")
         return pa.table({
-            "set_id": pa.array(ids[ok], pa.int64()), "n": pa.array(sizes[ok], pa.int64()),
-            "prefix": pa.array([int(min(need[k], e - s)) for k, s, e in zip(ok, start, end)] if len(ok) else [], pa.int64()),
-            "tokens": _binary([token[s:e] for s, e in zip(start, end)] if len(ok) else []),
-            "counts": _binary([count[s : s + max(0, need[k])] for k, s, e in zip(ok, start, end)] if len(ok) else []),
+            "h1": pa.array(ids[ok, 0], pa.int64()), "h2": pa.array(ids[ok, 1], pa.int64()), "n": pa.array(sizes[ok], pa.int64()),
+            "prefix": pa.array([int(min(need[k], e - s)) for k, s, e in zip(ok, start, end)], pa.int64()),
+            "tokens": _binary([token[s:e] for s, e in zip(start, end)]),
+            "counts": _binary([count[s : s + max(0, need[k])] for k, s, e in zip(ok, start, end)]),
         })
 
     return run
@@ -217,6 +244,11 @@ def _postings(batches):
         ], ["token", "df", "set_id", "n", "pos"])
 
 
+def class_step(percent: int) -> float:
+    """The logarithm of what a size class spans: more than the ratio 100 / percent, so that sizes within it are one class apart at most."""
+    return max(float(np.log(100 / percent)), 1e-9) * 1.001
+
+
 def _block_pairs(lists: DataFrame, percent: int, block_sets: int) -> DataFrame:
     """(token, df, unit, set_id, side): the block pairs to compare, one row for each set in them.
 
@@ -224,9 +256,7 @@ def _block_pairs(lists: DataFrame, percent: int, block_sets: int) -> DataFrame:
     entries are cut by position, and by hash where a block would still be too large. A pair of blocks
     is skipped if its smallest positions leave too few tokens for the least overlap its sizes ask for.
     """
-    # A class spans more than the ratio 100 / percent: sizes within that ratio are one class apart at most.
-    step = float(np.log(100 / percent)) * 1.001
-    e = lists.withColumn("size_class", F.floor(F.log("n") / step).cast("int"))
+    e = lists.withColumn("size_class", F.floor(F.log("n") / class_step(percent)).cast("long"))
     e = e.withColumn("place", F.floor(F.col("pos") * 8 * 100 / ((100 - percent) * F.col("n") + 100)).cast("int"))
     size = e.groupBy("token", "size_class", "place").agg(F.count("*").alias("k"))
     total = size.groupBy("token").agg(F.sum("k").alias("total"))
@@ -256,16 +286,18 @@ def compare_block(lead: int | None, side: np.ndarray, ids: np.ndarray, n: np.nda
     A pair counts if its least common kept token is `lead`; without a lead (None) every pair does. If
     both sides are there, pairs within a side are left to their own block.
     """
-    # Similar sets next to each other: by their first tokens.
-    order = np.array(sorted(range(len(ids)), key=lambda k: tokens[k][:8].tobytes()))
+    size_class = np.floor(np.log(n) / class_step(percent)).astype(np.int64)
+    # By size class, and in a class similar sets next to each other: by their first tokens.
+    order = np.array(sorted(range(len(ids)), key=lambda k: (size_class[k], tokens[k][:8].tobytes())))
     m = len(ids)
     rank = np.concatenate([tokens[k] for k in order])
     who = np.repeat(np.arange(m), [len(tokens[k]) for k in order])
     by = np.argsort(rank, kind="stable")
     rank, who = rank[by], who[by]
-    start = np.flatnonzero(np.diff(rank, prepend=rank[0] - np.uint64(1) if len(rank) else 0))
+    start = np.flatnonzero(np.concatenate([[True], np.diff(rank) != 0]))
     names, length = rank[start], np.diff(np.append(start, len(rank)))
-    side, ids, n, many = side[order], ids[order], n[order], many[order]
+    place = np.repeat(np.arange(len(start)), length) * m + who  # the index lists, one after another
+    side, ids, n, many, size_class = side[order], ids[order], n[order], many[order], size_class[order]
     two = side.any() and not side.all()
     sets = [np.searchsorted(names, tokens[k]) for k in order]
     # A token that one set here holds adds nothing to an overlap.
@@ -275,12 +307,12 @@ def compare_block(lead: int | None, side: np.ndarray, ids: np.ndarray, n: np.nda
         earlier = kept[k][: int(np.flatnonzero(kept[k] == np.uint64(lead))[0])]
         before.append(np.searchsorted(names, earlier))
 
-    def gather(which: np.ndarray) -> np.ndarray:
-        if not len(which):
-            return np.zeros(m, np.int64)
-        if len(which) == 1:
-            return np.bincount(who[start[which[0]] : start[which[0]] + length[which[0]]], minlength=m)
-        return np.bincount(np.concatenate([who[start[t] : start[t] + length[t]] for t in which]), minlength=m)
+    def gather(which: np.ndarray, low: int, high: int) -> np.ndarray:
+        """How many of some lists hold each of the sets low..high; the rest of the lists is skipped."""
+        a, b = np.searchsorted(place, which * m + low), np.searchsorted(place, which * m + high)
+        size = b - a
+        at = np.repeat(a - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return np.bincount(who[at] - low, minlength=high - low)
 
     links, parent, edges = np.zeros(m, np.int64), np.arange(m), []
 
@@ -290,19 +322,23 @@ def compare_block(lead: int | None, side: np.ndarray, ids: np.ndarray, n: np.nda
             x = parent[x]
         return x
 
-    last, overlap = np.zeros(0, np.int64), np.zeros(m, np.int64)
+    last, overlap, low, high = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 0
     for x in range(m):
         mine = sets[x]
-        added, gone = np.setdiff1d(mine, last, True), np.setdiff1d(last, mine, True)
-        overlap = overlap + gather(added) - gather(gone) if len(added) + len(gone) < len(mine) else gather(mine)
+        if x == 0 or size_class[x] != size_class[x - 1]:
+            low, high = x, int(np.searchsorted(size_class, size_class[x] + 1, side="right"))
+            overlap = gather(mine, low, high)
+        else:
+            added, gone = np.setdiff1d(mine, last, True), np.setdiff1d(last, mine, True)
+            overlap = overlap + gather(added, low, high) - gather(gone, low, high) if len(added) + len(gone) < len(mine) else gather(mine, low, high)
         last = mine
-        hit = 100 * overlap >= percent * (n + n[x] - overlap)
-        hit[: x + 1] = False
+        hit = 100 * overlap >= percent * (n[low:high] + n[x] - overlap)
+        hit[: x - low + 1] = False
         if two:
-            hit &= side != side[x]
+            hit &= side[low:high] != side[x]
         if lead is not None and hit.any() and len(before[x]):
-            hit &= gather(before[x]) == 0
-        found = np.flatnonzero(hit)
+            hit &= gather(before[x], low, high) == 0
+        found = low + np.flatnonzero(hit)
         links[x] += many[found].sum()
         links[found] += many[x]
         for y in found:
@@ -348,10 +384,10 @@ def _compare(percent: int):
     return run
 
 
-def linked_sets(texts: DataFrame, many: DataFrame, total: int, repeated: bool, width: int, percent: int, block_sets: int, group_sets: int) -> DataFrame:
+def linked_sets(texts: DataFrame, one: DataFrame, total: int, repeated: bool, width: int, percent: int, block_sets: int, group_sets: int) -> DataFrame:
     """(a, b, links): rows with b are edges of the spanning forests, rows without give a's links to other sets.
 
-    `repeated`: some texts have the same set. Index lists are told apart by sums over their members, so
+    `one` numbers the sets: (h1, h2, n, set_id, many). `repeated`: some texts have the same set. Index lists are told apart by sums over their members, so
     a set may stand in a list once only.
     """
     n_buckets = 1
@@ -359,7 +395,8 @@ def linked_sets(texts: DataFrame, many: DataFrame, total: int, repeated: bool, w
         n_buckets *= 2
     dealt = _dealt(texts, width, n_buckets)
     counted = dealt.groupBy("bucket").applyInArrow(_count_bucket, "chunk long, kind int, a binary, b binary, c binary")
-    sets = counted.groupBy("chunk").applyInArrow(_prefixes(percent), "set_id long, n long, prefix long, tokens binary, counts binary")
+    sets = counted.groupBy("chunk").applyInArrow(_prefixes(percent), "h1 long, h2 long, n long, prefix long, tokens binary, counts binary")
+    sets = sets.join(one.select("h1", "h2", "n", "set_id"), ["h1", "h2", "n"])
     sets = written(sets.dropDuplicates(["set_id"]) if repeated else sets, "sets")
     entries = sets.select("set_id", "n", "prefix", "tokens", "counts").mapInArrow(_postings, "token long, df long, set_id long, n long, pos long")
     entries = written(entries, "entries")
@@ -369,10 +406,11 @@ def linked_sets(texts: DataFrame, many: DataFrame, total: int, repeated: bool, w
     lists = written(entries.join(kept, ["token", "df"]), "lists")
     leads = lists.groupBy("set_id").agg(F.array_sort(F.collect_set(F.struct("df", "token"))).alias("kept"))
     pack = F.transform("kept", lambda t: t["token"])
-    body = sets.select("set_id", "n", "tokens").join(leads, "set_id").join(many, "set_id").select("set_id", "n", "many", "tokens", pack.alias("kept"))
+    body = sets.select("set_id", "n", "tokens").join(leads, "set_id").join(one.select("set_id", "many"), "set_id").select("set_id", "n", "many", "tokens", pack.alias("kept"))
     body = written(body, "bodies")
-    hubs = lists.groupBy("token").agg(F.min("set_id").alias("a"))
-    groups = components(lists.join(hubs, "token").select("a", F.col("set_id").alias("b")))
+    # A list is a node of its own, below all sets: its members hang together by it.
+    node = -1 - F.col("token").bitwiseAND(F.lit((1 << 63) - 1))
+    groups = components(lists.select(node.alias("a"), F.col("set_id").alias("b"))).filter("node >= 0")
     sized = body.select(F.col("set_id").alias("node"), (F.octet_length("tokens") / 8).alias("t")).join(groups, "node")
     large = sized.groupBy("component").agg(F.count("*").alias("k"), F.sum("t").alias("t")).filter((F.col("k") > group_sets) | (F.col("t") > GROUP_TOKENS)).select("component")
     groups = written(groups.join(large.withColumn("large", F.lit(True)), "component", "left").select(F.col("node").alias("set_id"), F.col("component").alias("unit"), F.coalesce("large", F.lit(False)).alias("large")), "groups")
@@ -407,31 +445,35 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     is the smallest id reachable by links, the document's own included; n_links how many other rows
     link with it. A null or blank text has no shingles and links with nothing, and its component is its
     own id. Rows with a null id take part; they are named by no component unless all ids there are
-    null. Rows that repeat are documents like others. Give a table, not a plan with random parts:
-    it is read several times.
+    null. Rows that repeat are documents like others. Very long texts are read whole; columns but the id and the
+    text are not read. A group of k near copies that differ costs k * k comparisons, as each of its links is
+    counted. Give a table, not a plan with random parts: it is read several times.
     """
     named = written(document_sets(docs, id_col, text_col, width), "named")
-    one = written(named.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("id").alias("least"), F.count("*").alias("many"), F.max("n_shingles").alias("n")), "classes")
+    worded = named.filter("h1 IS NOT NULL")
+    one = worded.groupBy("h1", "h2", F.col("n_shingles").alias("n")).agg(F.min("id").alias("least"), F.count("*").alias("many"))
+    # Numbered as they are written: a set has one number from here on.
+    one = written(one.withColumn("set_id", F.monotonically_increasing_id()), "classes")
     total, n_sets = one.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     # One text for each set: other ids of a class are taken out. Few: broadcast; else the texts are dealt by id.
-    spare = named.filter("set_id IS NOT NULL AND id IS NOT NULL").join(one.select(F.col("least").alias("id")), "id", "left_anti").select("id").distinct()
+    spare = worded.filter("id IS NOT NULL").join(one.select(F.col("least").alias("id")), "id", "left_anti").select("id").distinct()
     spare = written(spare, "spare")
     # Null ids, and ids of several rows, can leave more than one text of a set.
-    repeated = named.filter("set_id IS NOT NULL").join(spare, "id", "left_anti").count() > n_sets
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    if spare.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        texts = texts.join(F.broadcast(spare), "id", "left_anti").select("text")
-    else:
-        texts = written(texts.join(spare, "id", "left_anti").select("text"), "texts")
-    found = written(linked_sets(texts, one.select("set_id", "many"), total, repeated, width, percent, block_sets, group_sets), "links")
+    repeated = worded.join(spare, "id", "left_anti").count() > n_sets
+    texts = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
+    known = maybe_broadcast(spare)
+    texts = texts.join(known, "id", "left_anti").select("text")
+    if known is spare:
+        texts = written(texts, "texts")
+    found = written(linked_sets(texts, one, total, repeated, width, percent, block_sets, group_sets), "links")
     graph = components(found.filter("b IS NOT NULL").select("a", "b"))
     links = found.filter("b IS NULL").groupBy(F.col("a").alias("set_id")).agg(F.sum("links").alias("others"))
     joined = one.join(graph.withColumnRenamed("node", "set_id"), "set_id", "left").join(links, "set_id", "left")
     roots = joined.filter("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = joined.join(roots, "component", "left").select("set_id", "many", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("others", F.lit(0)).alias("others"))
-    out = named.join(classes, "set_id", "left")
+    classes = joined.join(roots, "component", "left").select("h1", "h2", F.col("n").alias("n_shingles"), "many", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("others", F.lit(0)).alias("others"))
+    out = named.join(classes, ["h1", "h2", "n_shingles"], "left")
     return out.select(
         F.col("id").alias(id_col), "n_shingles",
-        F.when(F.col("set_id").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.when(F.col("h1").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
         F.coalesce(F.col("others") + F.col("many") - 1, F.lit(0)).cast("long").alias("n_links"),
     )

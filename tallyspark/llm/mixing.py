@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, written
+from .common import col, maybe_broadcast, row_key, written
 
 
 def n_tokens(text: Column) -> Column:
@@ -24,8 +26,6 @@ def _measures(shares: DataFrame, exponents: list[float], budget: float) -> dict:
     for k, t in enumerate(exponents):
         aggs += [F.sum(F.pow("p", F.lit(t))).alias(f"z{k}"), F.sum(F.pow("p", F.lit(t)) * t * F.log("p")).alias(f"s{k}"), F.max(F.pow("p", F.lit(t)) / F.col("tokens")).alias(f"r{k}")]
     got = shares.agg(*aggs).first()
-    import math
-
     out = {}
     for k, t in enumerate(exponents):
         z = got[f"z{k}"]
@@ -37,11 +37,9 @@ def bisect_exponent(shares: DataFrame, budget: float, entropy: float | None = No
     """The exponent in [0, 1] for shares (p, tokens): the largest that reaches `entropy` (a share of the
     log of the number of sources), or the smallest that keeps every source within `most_repeats` passes.
 
-    With both, repetition has the last word. Entropy falls and repetition falls as the exponent rises,
+    With both, repetition has the last word; an error if not even exponent 1 keeps within it. Entropy falls and repetition falls as the exponent rises,
     so an interval is cut until it is narrow; each aggregate tries `fan` exponents at once.
     """
-    import math
-
     n = shares.count()
     goal = None if entropy is None else entropy * math.log(max(n, 1))
 
@@ -58,6 +56,8 @@ def bisect_exponent(shares: DataFrame, budget: float, entropy: float | None = No
                 high = grid[0]
         return low
 
+    if most_repeats is not None and _measures(shares, [1.0], budget)[1.0][1] > most_repeats * (1 + 1e-9):
+        raise ValueError(f"a budget of {budget} tokens takes more than {most_repeats} passes at any exponent")
     t = 1.0
     if goal is not None:
         at_one = _measures(shares, [1.0], budget)[1.0]
@@ -86,14 +86,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     is its weight times `budget` tokens (default: all tokens there are). A source is read block by block
     in an order permuted anew for each pass; a document is drawn in a pass while the tokens before it,
     whole passes included, are fewer than the budget. mix_offset is that number, so rows ordered by it
-    are the source's stream. Documents without words are drawn in the first pass. A null source
-    is a source. Rows that repeat are drawn each for itself. No documents: no rows.
+    are the source's stream. Documents without words (null, empty, blank) are drawn in the first pass. A
+    null source is a source. Rows that repeat are drawn each for itself. No documents: no rows. Other
+    columns, of any name but those four, pass through. Very long texts count as any other.
 
     A block holds about `block_docs` documents, dealt by hash: running sums are taken within blocks and
     over block totals, never over a source's documents in one task.
     """
     d = docs.drop("mix_tokens", "mix_weight", "mix_epoch", "mix_offset")
-    slim = d.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.xxhash64(F.col(id_col), F.col(source_col), F.col(text_col)).alias("key"), n_tokens(F.col(text_col)).alias("n_tokens"))
+    key = row_key(col(id_col), col(source_col), col(text_col))
+    slim = d.select(col(id_col).alias("id"), col(source_col).alias("source"), key.alias("key"), n_tokens(col(text_col)).alias("n_tokens"))
     # Rows that repeat are one entry that counts several times.
     slim = written(slim.groupBy("id", "source", "key").agg(F.max("n_tokens").alias("one"), F.count("*").alias("times")).withColumn("n_tokens", F.col("one") * F.col("times")), "lengths")
     sources = source_tokens(slim, "source")
@@ -124,6 +126,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     rows = rows.withColumn("offset", F.col("start") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     drawn = rows.filter((F.col("offset") < F.col("budget")) | ((F.col("one") == 0) & (F.col("epoch") == 0)))
     # The entry's copies share its place; each is a row of docs and meets it by key.
-    drawn = drawn.select(F.col("key").alias("__tally_key"), F.col("one").alias("mix_tokens"), F.col("weight").alias("mix_weight"), F.col("epoch").cast("int").alias("mix_epoch"), F.col("offset").alias("mix_offset"))
-    out = d.withColumn("__tally_k", F.xxhash64(F.col(id_col), F.col(source_col), F.col(text_col))).join(drawn, F.col("__tally_k") == F.col("__tally_key"))
-    return out.select(*[F.col(f"`{c}`") for c in d.columns], "mix_tokens", "mix_weight", "mix_epoch", "mix_offset")
+    drawn = drawn.select(F.col("id").alias("__tally_id"), F.col("source").alias("__tally_source"), F.col("key").alias("__tally_key"), F.col("one").alias("mix_tokens"), F.col("weight").alias("mix_weight"), F.col("epoch").cast("int").alias("mix_epoch"), F.col("offset").alias("mix_offset"))
+    out = d.withColumn("__tally_k", key).join(drawn, (F.col("__tally_k") == F.col("__tally_key")) & col(id_col).eqNullSafe(F.col("__tally_id")) & col(source_col).eqNullSafe(F.col("__tally_source")))
+    return out.select(*[col(c) for c in d.columns], "mix_tokens", "mix_weight", "mix_epoch", "mix_offset")

@@ -59,18 +59,30 @@ def captures(pages: DataFrame) -> DataFrame:
 
 
 def dated_entries(pages: DataFrame) -> DataFrame:
-    """Dated list entries made from the hosts and paths that `pages` holds."""
-    host = url_filter.url_host(F.col("url"))
-    hosts = pages.select(host.alias("host")).filter("host IS NOT NULL").distinct()
-    n = F.conv(F.substring(F.md5("host"), 1, 4), 16, 10).cast("int")
-    domain = F.when(F.size(F.split("host", r"\.")) > 3, F.array_join(F.slice(F.split("host", r"\."), 2, 9), ".")).otherwise(F.col("host"))
-    rows = hosts.withColumn("n", n).withColumn("domain", domain)
-    day = lambda k: F.date_add(F.lit("2024-01-01").cast("date"), k.cast("int"))
-    added = rows.filter("n % 3 = 0").select(F.lit("spam").alias("list"), F.lit("domain").alias("kind"), F.col("domain").alias("pattern"), F.lit("block").alias("action"), day(F.col("n") % 200).alias("listed_at"))
-    removed = rows.filter("n % 6 = 0").select(F.lit("spam").alias("list"), F.lit("domain").alias("kind"), F.col("domain").alias("pattern"), F.lit("remove").alias("action"), day(F.col("n") % 200 + 60).alias("listed_at"))
-    allowed = rows.filter("n % 5 = 0").select(F.lit("trusted").alias("list"), F.lit("domain").alias("kind"), F.col("host").alias("pattern"), F.lit("allow").alias("action"), day(F.col("n") % 300).alias("listed_at"))
-    paths = rows.filter("n % 4 = 0").select(F.lit("paths").alias("list"), F.lit("prefix").alias("kind"), F.concat("host", F.lit("/de")).alias("pattern"), F.lit("block").alias("action"), day(F.col("n") % 150).alias("listed_at"))
-    return added.unionByName(removed).unionByName(allowed).unionByName(paths)
+    """Dated list entries made from the hosts and paths that `pages` holds, prefixes in the spelling of raw lists."""
+    sites = pages.select(url_filter.url_site(F.col("url")).alias("site")).filter("site IS NOT NULL").distinct()
+    hosts = sites.select(F.substring_index("site", "/", 1).alias("host")).distinct()
+    number = lambda c: F.conv(F.substring(F.md5(c), 1, 4), 16, 10).cast("int").alias("n")
+    labels = F.split("host", r"\.")
+    domain = F.when(F.size(labels) > 3, F.array_join(F.slice(labels, F.lit(2), F.size(labels)), ".")).otherwise(F.col("host"))
+    rows = hosts.select("host", number("host"), domain.alias("domain"))
+    day = lambda k: F.date_add(F.lit("2024-01-01").cast("date"), k.cast("int")).alias("listed_at")
+    n = F.col("n")
+
+    def entry(df, when, name, kind, pattern, action, at):
+        return df.filter(when).select(F.lit(name).alias("list"), F.lit(kind).alias("kind"), pattern.alias("pattern"), F.lit(action).alias("action"), day(at))
+
+    deep = sites.select(number("site"), F.split("site", "/", -1).alias("parts")).filter(F.size("parts") > 2)
+    out = entry(rows, n % 3 == 0, "spam", "domain", F.col("domain"), "block", n % 200)
+    for more in (
+        entry(rows, n % 6 == 0, "spam", "domain", F.col("domain"), "remove", n % 200 + 60),
+        entry(rows, n % 5 == 0, "trusted", "domain", F.col("host"), "allow", n % 300),
+        entry(rows, n % 4 == 0, "paths", "prefix", F.concat(F.lit("http://WWW."), F.upper("host"), F.lit("/de/")), "block", n % 150),
+        entry(rows, n % 9 == 0, "paths", "prefix", F.concat("domain", F.lit("/fr")), "allow", n % 220),
+        entry(deep, n % 7 == 0, "deep", "prefix", F.array_join(F.slice("parts", 1, 3), "/"), "allow", n % 250),
+    ):
+        out = out.unionByName(more)
+    return out
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,21 +118,38 @@ m AS (SELECT k.*, h.key IS NOT NULL AND k.doc_id <> last_id AS gone FROM k LEFT
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id"""
 
+OP8_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) END AS sh FROM d),
+e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (SELECT x, y FROM pairs WHERE 100 * c >= 80 * (nx + ny - c)),
+reach AS (SELECT doc_id, doc_id AS root FROM s UNION SELECT reach.doc_id, link.y FROM reach JOIN link ON link.x = reach.root),
+least AS (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id),
+degree AS (SELECT x, count(*) AS n FROM link GROUP BY x)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, CAST(coalesce(degree.n, 0) AS BIGINT) AS n_links
+FROM s JOIN least USING (doc_id) LEFT JOIN degree ON degree.x = s.doc_id"""
+
 OP10_SQL = r"""
-WITH p AS (SELECT page_id, url, CAST(DATE '2024-01-01' + CAST(page_id * 37 % 366 AS INTEGER) AS DATE) AS day,
-    nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '^www\.', ''), '') AS host,
-    regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^/?#]+)', 1) AS seg FROM pages),
-hosts AS (SELECT host, CAST('0x' || substr(md5(host), 1, 4) AS INTEGER) AS n, string_split(host, '.') AS labels FROM (SELECT DISTINCT host FROM p WHERE host IS NOT NULL)),
-r AS (SELECT host, n, CASE WHEN len(labels) > 3 THEN array_to_string(labels[2:10], '.') ELSE host END AS domain FROM hosts),
+WITH u AS (SELECT page_id, CAST(DATE '2024-01-01' + CAST(page_id * 37 % 366 AS INTEGER) AS DATE) AS day, url,
+    nullif(regexp_replace(lower(regexp_extract(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^(?:[^@]*@)?([^:]*)', 1)), '^www\.|\.$', '', 'g'), '') AS host,
+    list_filter(string_split(regexp_extract(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '^([^?#]*)', 1), '/'), lambda x: x <> '') AS segs FROM pages),
+p AS (SELECT *, CASE WHEN host IS NOT NULL THEN array_to_string(list_concat([host], segs), '/') END AS site FROM u),
+sites AS (SELECT site, any_value(host) AS host, any_value(segs) AS segs FROM p WHERE site IS NOT NULL GROUP BY site),
+r AS (SELECT host, CAST('0x' || substr(md5(host), 1, 4) AS INTEGER) AS n, CASE WHEN len(string_split(host, '.')) > 3 THEN array_to_string(string_split(host, '.')[2:], '.') ELSE host END AS domain FROM (SELECT DISTINCT host FROM sites)),
+deep AS (SELECT CAST('0x' || substr(md5(site), 1, 4) AS INTEGER) AS n, host || '/' || segs[1] || '/' || segs[2] AS pattern FROM sites WHERE len(segs) > 1),
 e AS (SELECT 'spam' AS list, 'domain' AS kind, domain AS pattern, 'block' AS action, DATE '2024-01-01' + n % 200 AS day FROM r WHERE n % 3 = 0
   UNION ALL SELECT 'spam', 'domain', domain, 'remove', DATE '2024-01-01' + (n % 200 + 60) FROM r WHERE n % 6 = 0
   UNION ALL SELECT 'trusted', 'domain', host, 'allow', DATE '2024-01-01' + n % 300 FROM r WHERE n % 5 = 0
-  UNION ALL SELECT 'paths', 'prefix', host || '/de', 'block', DATE '2024-01-01' + n % 150 FROM r WHERE n % 4 = 0),
+  UNION ALL SELECT 'paths', 'prefix', host || '/de', 'block', DATE '2024-01-01' + n % 150 FROM r WHERE n % 4 = 0
+  UNION ALL SELECT 'paths', 'prefix', domain || '/fr', 'allow', DATE '2024-01-01' + n % 220 FROM r WHERE n % 9 = 0
+  UNION ALL SELECT 'deep', 'prefix', pattern, 'allow', DATE '2024-01-01' + n % 250 FROM deep WHERE n % 7 = 0),
 one AS (SELECT list, kind, pattern, day, max(action) AS action FROM e GROUP BY list, kind, pattern, day),
 v AS (SELECT * FROM (SELECT *, lead(day) OVER (PARTITION BY list, kind, pattern ORDER BY day) AS until FROM one) WHERE action <> 'remove'),
-keys AS (SELECT page_id, day, 'domain' AS kind, array_to_string(labels[i:], '.') AS pattern, 100 - i AS rank FROM (SELECT page_id, day, string_split(host, '.') AS labels, unnest(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1)) AS i FROM p WHERE host IS NOT NULL)
-  UNION ALL SELECT page_id, day, 'prefix', host || seg, 1000 FROM p WHERE host IS NOT NULL AND seg <> ''),
-m AS (SELECT page_id, action, list, v.pattern, row_number() OVER (PARTITION BY page_id ORDER BY rank DESC, v.day DESC, list DESC, action DESC) AS rn, count(*) OVER (PARTITION BY page_id) AS n
+names AS (SELECT page_id, day, segs, array_to_string(labels[i:], '.') AS name, len(labels) - i + 1 AS size FROM (SELECT page_id, day, segs, string_split(host, '.') AS labels, unnest(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1)) AS i FROM p WHERE host IS NOT NULL)),
+keys AS (SELECT page_id, day, 'domain' AS kind, name AS pattern, -1 AS depth, size FROM names
+  UNION ALL SELECT page_id, day, 'prefix', array_to_string(list_concat([name], segs[1:k]), '/'), k, size FROM (SELECT *, unnest(range(0, len(segs) + 1)) AS k FROM names)),
+m AS (SELECT page_id, action, list, v.pattern, row_number() OVER (PARTITION BY page_id ORDER BY depth DESC, size DESC, v.day DESC, list DESC, action DESC) AS rn, count(*) OVER (PARTITION BY page_id) AS n
       FROM keys JOIN v ON keys.kind = v.kind AND keys.pattern = v.pattern AND v.day <= keys.day AND (until IS NULL OR keys.day < until))
 SELECT p.page_id, CAST(p.day AS VARCHAR) AS fetched_at, coalesce(action, 'allow') AS verdict, list AS matched_list, pattern AS matched_pattern, coalesce(n, 0) AS n_active
 FROM p LEFT JOIN m ON p.page_id = m.page_id AND rn = 1"""
@@ -131,14 +160,16 @@ def _sql_text(x: str) -> str:
 
 
 def _canonical_sql(text: str) -> str:
-    out = f"regexp_replace(lower({text}), '{licenses._COPYRIGHT}', '\\1', 'g')"
+    out = f"regexp_replace(lower({text}), '(^|\\n)[ \\t]*(copyright|\\(c\\)|©)[^\\n]*', '\\1', 'g')"
     for a, b in licenses.EQUIVALENT:
         out = f"replace({out}, '{a}', '{b}')"
-    return f"nullif(trim(regexp_replace({out}, '{licenses._PUNCTUATION}', ' ', 'g')), '')"
+    return f"nullif(trim(regexp_replace({out}, '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+|[©«»‘’“”–—…]+', ' ', 'g')), '')"
 
 
-OP2_SQL = f"""
-WITH known AS (SELECT digest, min(license) AS license FROM (SELECT license, sha256({_canonical_sql("text")}) AS digest FROM (VALUES {", ".join(f"({_sql_text(a)}, {_sql_text(b)})" for a, b in licenses.KNOWN)}) t(license, text)) GROUP BY digest),
+def _op2_sql() -> str:
+    listed = ", ".join(f"({_sql_text(a)}, {_sql_text(b)})" for a, b in licenses.known_texts())
+    return f"""
+WITH known AS (SELECT digest, min(license) AS license FROM (SELECT license, sha256({_canonical_sql("text")}) AS digest FROM (VALUES {listed}) t(license, text)) GROUP BY digest),
 l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents),
 n AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS names FROM (SELECT doc_id, pos, sha256({_canonical_sql("line")}) AS digest FROM l) JOIN known USING (digest) GROUP BY doc_id),
 d AS (SELECT doc_id, sha256({_canonical_sql("text")}) AS digest FROM documents)
@@ -146,4 +177,4 @@ SELECT doc_id, digest, license, coalesce(n, 0) AS n_notices, coalesce(names, '')
 
 
 def oracle_sql() -> dict:
-    return {"op2_license_scan": OP2_SQL, "op6_decontaminate": OP6_SQL, "op9_line_dedup": OP9_SQL, "op10_url_filter": OP10_SQL}
+    return {"op2_license_scan": _op2_sql(), "op6_decontaminate": OP6_SQL, "op8_jaccard_join": OP8_SQL, "op9_line_dedup": OP9_SQL, "op10_url_filter": OP10_SQL}

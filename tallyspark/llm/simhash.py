@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import col, maybe_broadcast, row_key, written
 
 BITS = 64
 _LANES = 0x0000000100000001
@@ -93,7 +93,8 @@ def within_radius(queries: DataFrame, table: DataFrame, radius: int = 3, n_block
         for b in bs[1:]:
             agree = agree & same[b]
         first = F.when(agree, F.lit(t)).otherwise(first)
-    on = permuted(queries, "query").join(permuted(table, "fingerprint"), ["t", "key"])
+    # A merge join: neither side is small at scale, and one fingerprint's bucket can be split when it is hot.
+    on = permuted(queries, "query").hint("merge").join(permuted(table, "fingerprint"), ["t", "key"])
     distance = F.bit_count(q.bitwiseXOR(s))
     return on.filter((distance <= radius) & (F.col("t") == first)).select("query", "fingerprint", distance.alias("distance"))
 
@@ -101,13 +102,17 @@ def within_radius(queries: DataFrame, table: DataFrame, radius: int = 3, n_block
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_a_bucket: int = 4000, most_buckets: int = 4096) -> DataFrame:
     """(bucket, pos, id, rid, text, next_id, next_rid, next_text): each row with the one after it by descending id; after the last the first.
 
-    Ids are cut at quantiles, so each window sorts one range; only a range's first row is looked up by
-    the range before. Null ids come last; of equal ids the larger row hash comes first.
+    Ids are cut at quantiles weighted by the lengths of the texts, so each window sorts one range of
+    about as many characters; only a range's first row is looked up by the range before. Null ids come
+    last; of equal ids the larger row hash comes first.
     """
-    d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("rid", F.xxhash64("id", "text"))
-    n = docs.agg(F.count("*").alias("n")).first()["n"]
+    d = docs.select(col(id_col).alias("id"), F.coalesce(col(text_col), F.lit("")).alias("text")).withColumn("rid", row_key(F.col("id"), F.col("text")))
+    # A row weighs 1, and 1 for each 2,000 characters.
+    weight = (F.floor(F.coalesce(F.char_length(col(text_col)), F.lit(0)) / 2000) + 1).cast("int")
+    n = docs.agg(F.coalesce(F.sum(weight), F.lit(0)).alias("n")).first()["n"]
     parts = max(1, min(most_buckets, n // rows_a_bucket))
-    cuts = docs.agg(F.percentile_approx(F.col(id_col), [i / parts for i in range(1, parts)] or [0.5], 10000).alias("c")).first()["c"] or []
+    weighed = docs.select(col(id_col).alias("id"), F.explode(F.array_repeat(F.lit(0), weight)))
+    cuts = weighed.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)] or [0.5], 10000).alias("c")).first()["c"] or []
     cuts = sorted(set(cuts)) if parts > 1 else []
     bucket = F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("id"))), F.lit(-1)) if cuts else F.when(F.col("id").isNull(), F.lit(-1)).otherwise(F.lit(0))
     d = d.withColumn("bucket", F.when(F.col("id").isNull(), F.lit(-1)).otherwise(bucket))
@@ -122,7 +127,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     seen = d.withColumn("next", F.lead(F.struct("id", "rid", "text")).over(w)).withColumn("pos", F.row_number().over(w))
     last = F.when(F.col("next").isNull(), asks[F.col("bucket")])
     ends = ends.select(F.col("bucket").alias("at"), "head")
-    out = seen.withColumn("at", last).join(F.broadcast(ends) if len(all_buckets) <= 64 else ends, "at", "left")
+    out = seen.withColumn("at", last).join(maybe_broadcast(ends), "at", "left")
     nxt = F.coalesce("next", "head")
     return out.select("bucket", "pos", "id", "rid", "text", nxt["id"].alias("next_id"), nxt["rid"].alias("next_rid"), nxt["text"].alias("next_text"))
 
@@ -139,7 +144,8 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     near_edited and near_next are 1 - distance / 64 to the edited text's and the next document's
     fingerprint. n_near: for documents whose id `query_step` divides, how many distinct fingerprints
     of all documents lie within `radius` bits, its own included; null for the others. Null text is
-    empty; the empty text has a fingerprint like any other. Rows that repeat each have their row. A lone document is its own next.
+    empty; the empty text has a fingerprint like any other. Rows that repeat each have their row. A lone
+    document is its own next. Very long texts are read whole. Columns but the id and the text are not read.
     """
     rows = with_next(docs, id_col, text_col)
     row = ["bucket", "pos", "id", "rid", "next_id", "next_rid"]

@@ -48,3 +48,15 @@ def test_documents_of_several_languages_stay(spark):
     more = spark.createDataFrame(rows + [(10**9 + 100, None, None, "s", 0), (10**9 + 101, "123 456", None, "s", 7)], "doc_id long, text string, lang string, source string, n_chars long")
     kept = corpus_pipeline.language_id(spark, docs.select(*more.columns).unionByName(more), SF)
     assert {r["doc_id"] for r in kept.filter("doc_id >= 1000000000").select("doc_id").collect()} == {r[0] for r in rows}
+
+
+def test_stages_take_odd_rows_and_none(spark):
+    odd = [(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, " \n", None, None, 2), (None, "one short text", "en", None, 14), (3, "x" * 70_000, "en", "s", 70_000), (3, "another text of the same id", "en", "s", 27)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for rows in (odd, []):
+        docs = spark.createDataFrame(rows, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SF)
+            assert name == "packing" or out.columns == docs.columns
+            docs = spark.createDataFrame(out.toArrow())
+            assert rows or docs.count() == 0, name
