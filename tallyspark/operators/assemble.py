@@ -8,18 +8,18 @@ from pyspark.sql import functions as F
 from tallyspark.functions.scalars import fingerprint, stop_sequence_tag
 
 
-def session_baseline(g: DataFrame) -> DataFrame:
+def session_baseline(g: DataFrame, by: str = "session_id") -> DataFrame:
     """Adds max_tools, main_model and main_variant: the session's most tools, and the model and variant of the first call with them."""
-    session = Window.partitionBy("session_id")
+    session = Window.partitionBy(by)
     x = g.withColumn("max_tools", F.max(F.coalesce("tools_declared_count", F.lit(0))).over(session))
     full = F.coalesce("tools_declared_count", F.lit(0)) == F.col("max_tools")
     first = F.min_by(F.struct("model", "billing_variant"), F.when(full, F.struct("started_at", "call_id"))).over(session)
     return x.withColumn("_first", first).withColumn("main_model", F.col("_first.model")).withColumn("main_variant", F.col("_first.billing_variant")).drop("_first")
 
 
-def classify_agents(g: DataFrame) -> DataFrame:
+def classify_agents(g: DataFrame, by: str = "session_id") -> DataFrame:
     """Adds agent_id, agent_role and agent_name by an ordered rule table over what the provider sends."""
-    x = session_baseline(g)
+    x = session_baseline(g, by)
     tools = F.coalesce("tools_declared_count", F.lit(0))
     none = tools == 0
     agent = fingerprint(F.col("billing_variant"), F.col("system_hash"), F.col("tools_hash"))
@@ -39,21 +39,6 @@ def classify_agents(g: DataFrame) -> DataFrame:
     return x.withColumns({"agent_id": agent, "agent_role": role, "agent_name": name}).drop("max_tools", "main_model", "main_variant")
 
 
-def main_traces(g: DataFrame) -> DataFrame:
-    """The main calls with ordinal, trace_id, trace_start and trace_end of their trace.
-
-    A trace begins with the first main call, when the human speaks, after a call that ended its turn,
-    and when the conversation's first turn is another. It ends with its last main call.
-    """
-    order = Window.partitionBy("session_id").orderBy("started_at", "call_id")
-    main = g.filter(F.col("agent_role") == "main")
-    begins = (F.row_number().over(order) == 1) | F.coalesce("new_user_turn", F.lit(False)) | F.coalesce(F.lag("stop_reason").over(order) == "end_turn", F.lit(False)) | ~F.lag("first_turn_hash").over(order).eqNullSafe(F.col("first_turn_hash"))
-    x = main.withColumn("_begins", begins.cast("int")).withColumn("ordinal", F.sum("_begins").over(order))
-    trace = Window.partitionBy("session_id", "ordinal").orderBy("started_at", "call_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    x = x.withColumn("trace_id", trace_name(F.first("call_id").over(trace))).withColumn("trace_start", F.first("started_at").over(trace))
-    return x.withColumn("trace_end", F.last(F.coalesce("ended_at", "started_at")).over(trace)).drop("_begins")
-
-
 def trace_name(call):
     return fingerprint(F.lit("trace"), F.col("session_id"), call, length=32)
 
@@ -62,27 +47,61 @@ def span_name():
     return fingerprint(F.lit("gen"), F.col("session_id"), F.col("call_id"))
 
 
+def traced(g: DataFrame, by: str = "session_id") -> DataFrame:
+    """Adds trace_id, and for helpers parent_span_id; `_unsure` where that needs a look at the other main calls.
+
+    A trace begins with the first main call, when the human speaks, after a call that ended its turn,
+    and when the conversation's first turn is another. It ends with its last main call. A helper attaches to
+    the first trace that was open when it started. Of the traces, those that end later than all before them
+    matter for that: the first to end at or after a time is the first of them in the order of their ends, so a
+    window over ends and helpers' starts finds it. All windows are partitioned by session: one shuffle serves them.
+    """
+    at = [F.col("started_at"), F.col("call_id")]
+    so_far = Window.partitionBy(by).orderBy(*at).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy(by).orderBy(*at).rowsBetween(Window.unboundedPreceding, -1)
+    main = F.col("agent_role") == "main"
+    prev = F.last(F.when(main, F.struct("stop_reason", "first_turn_hash")), True).over(earlier)
+    x = g.withColumn("_prev", prev)
+    turned = F.coalesce("new_user_turn", F.lit(False)) | F.coalesce(F.col("_prev.stop_reason") == "end_turn", F.lit(False)) | ~F.col("_prev.first_turn_hash").eqNullSafe(F.col("first_turn_hash"))
+    x = x.withColumn("_begins", main & (F.col("_prev").isNull() | turned))
+    x = x.withColumn("_ordinal", F.when(main, F.sum(F.col("_begins").cast("int")).over(so_far)))
+    own = Window.partitionBy(by, "_ordinal").orderBy(*at).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    x = x.withColumns({"_trace": F.when(main, trace_name(F.first("call_id").over(own))), "_end": F.when(F.col("_begins"), F.last(F.coalesce("ended_at", "started_at")).over(own))})
+    top = F.max("_end").over(earlier)
+    x = x.withColumn("_later", F.col("_begins") & (top.isNull() | (F.col("_end") > top)))
+    key = F.when(F.col("_later"), F.col("_end")).when(~main, F.col("started_at"))
+    by_end = Window.partitionBy(by).orderBy(key.desc_nulls_last(), main.desc(), F.col("call_id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = x.withColumn("_open", F.last(F.when(F.col("_later"), F.struct(F.col("_trace").alias("trace"), F.col("started_at").alias("start"))), True).over(by_end))
+    joined = F.when(F.col("_open.start") <= F.col("started_at"), F.col("_open.trace"))
+    x = x.withColumn("trace_id", F.when(main, F.col("_trace")).otherwise(F.coalesce(joined, trace_name(F.col("call_id")))))
+    # The latest main call of the trace that was running: as a rule the last that had started.
+    began = Window.partitionBy(by, "trace_id").orderBy(F.col("started_at"), main.desc(), F.col("call_id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ended = main & F.col("ended_at").isNotNull()
+    x = x.withColumns({"_host": F.last(F.when(ended, F.struct("ended_at", "span_id")), True).over(began), "_longest": F.max(F.when(ended, F.col("ended_at"))).over(began)})
+    runs = F.col("_host.ended_at") >= F.col("started_at")
+    x = x.withColumns({"parent_span_id": F.when(~main & runs, F.col("_host.span_id")), "_unsure": F.coalesce(~main & ~runs & (F.col("_longest") >= F.col("started_at")), F.lit(False))})
+    return x.drop("_prev", "_begins", "_ordinal", "_trace", "_end", "_later", "_open", "_host", "_longest")
+
+
 def assemble(g: DataFrame) -> DataFrame:
     """Adds agent, trace_id, span_id, parent_span_id and depth; calls without a session have none.
 
-    Helpers attach to the first trace that was open when they started, else have a trace of their own;
-    their parent is the latest main call of that trace then running. Everything is partitioned by
-    session: one shuffle serves the windows, and both range joins are equi-joins on the session.
+    A helper's parent is the latest main call of its trace that was running when it started. Where the last that had
+    started was over by then and an earlier one was not, a range join within the trace finds it.
     """
-    known = classify_agents(g.filter(F.col("session_id").isNotNull())).withColumn("span_id", span_name())
-    main = main_traces(known)
-    traces = main.groupBy("session_id", "ordinal").agg(F.first("trace_id").alias("_trace"), F.first("trace_start").alias("_start"), F.first("trace_end").alias("_end"))
-    helpers = known.filter(F.col("agent_role") != "main")
-    h, t = helpers.select("session_id", "call_id", "started_at").alias("h"), traces.alias("t")
-    met = h.join(t, (F.col("h.session_id") == F.col("t.session_id")) & F.col("h.started_at").between(F.col("t._start"), F.col("t._end")))
-    found = met.groupBy(F.col("h.session_id").alias("session_id"), F.col("h.call_id").alias("call_id")).agg(F.min_by("t._trace", "t.ordinal").alias("_trace"))
-    helpers = helpers.join(found, ["session_id", "call_id"], "left").withColumn("trace_id", F.coalesce("_trace", trace_name(F.col("call_id")))).drop("_trace")
-    hosts = main.filter(F.col("ended_at").isNotNull()).select(F.col("session_id").alias("_s"), F.col("trace_id").alias("_t"), F.col("started_at").alias("_from"), F.col("ended_at").alias("_to"), F.col("call_id").alias("_c"), F.col("span_id").alias("_span"))
-    ran = helpers.select("session_id", "call_id", "started_at", "trace_id").join(hosts, (F.col("session_id") == F.col("_s")) & (F.col("trace_id") == F.col("_t")) & F.col("started_at").between(F.col("_from"), F.col("_to")))
-    parents = ran.groupBy("session_id", "call_id").agg(F.max_by("_span", F.struct("_from", "_c")).alias("parent_span_id"))
-    helpers = helpers.join(parents, ["session_id", "call_id"], "left").withColumn("depth", F.when(F.col("parent_span_id").isNotNull(), 1).otherwise(0))
-    main = main.drop("ordinal", "trace_start", "trace_end").withColumn("parent_span_id", F.lit(None).cast("string")).withColumn("depth", F.lit(0))
-    return main.unionByName(helpers).unionByName(g.filter(F.col("session_id").isNull()), allowMissingColumns=True)
+    added = ("agent_id", "agent_role", "agent_name", "span_id", "trace_id", "parent_span_id", "depth")
+    # Calls without a session are sessions of one call meanwhile, so that they do not meet in one partition.
+    x = g.drop(*added).withColumn("_s", F.coalesce("session_id", F.concat(F.lit("\u0000"), F.col("call_id"))))
+    x = traced(classify_agents(x, "_s").withColumn("span_id", span_name()), "_s")
+    hosts = x.filter((F.col("agent_role") == "main") & F.col("ended_at").isNotNull()).select(F.col("_s").alias("_hs"), F.col("trace_id").alias("_ht"), F.col("started_at").alias("_from"), F.col("ended_at").alias("_to"), F.col("call_id").alias("_hc"), F.col("span_id").alias("_hspan"))
+    asked = x.filter("_unsure")
+    met = asked.join(hosts, (F.col("_s") == F.col("_hs")) & (F.col("trace_id") == F.col("_ht")) & F.col("started_at").between(F.col("_from"), F.col("_to")), "left")
+    held = [c for c in asked.columns if c not in ("_s", "call_id", "parent_span_id")]
+    found = met.groupBy("_s", "call_id").agg(*[F.first(c).alias(c) for c in held], F.max_by("_hspan", F.struct("_from", "_hc")).alias("parent_span_id"))
+    x = x.filter("NOT _unsure").unionByName(found.select(*x.columns))
+    some = F.col("session_id").isNotNull()
+    x = x.withColumn("depth", F.when(F.col("parent_span_id").isNotNull(), 1).otherwise(0))
+    return x.withColumns({c: F.when(some, F.col(c)) for c in added}).drop("_s", "_unsure")
 
 
 def tool_traces(tools: DataFrame, g: DataFrame) -> DataFrame:

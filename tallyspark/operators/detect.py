@@ -100,29 +100,38 @@ _SCOPE = {
 }
 
 
-def _finding(rule: Rule, policy: Policy) -> Column:
-    """The finding of a rule on a row, or null if it does not fire."""
-    say = lambda x: F.expr(x.format(**{k: (f"{v}D" if isinstance(v, float) else v) for k, v in asdict(policy).items()}))
-    kind, scope, call, span, trace, session, at = _SCOPE[rule.source]
-    seen = F.to_json(F.struct(*[F.col(c) for c in rule.observed]) if rule.observed else F.struct(F.lit(1)), {"ignoreNullFields": "false"})
-    row = F.struct(
-        F.lit(rule.id).alias("rule_id"), say(rule.severity).alias("severity"), F.lit(kind).alias("scope_kind"), F.expr(f"CAST({scope} AS STRING)").alias("scope_id"), F.expr(f"CAST({call} AS BIGINT)").alias("call_id"),
-        F.expr(span).alias("span_id"), F.expr(trace).alias("trace_id"), F.expr(session).alias("session_id"), say(rule.summary).alias("summary"), seen.alias("observed"),
-        say(rule.metric).cast("double").alias("metric_value"), say(rule.threshold).cast("double").alias("threshold"), F.nullif(F.lit(rule.unit), F.lit("")).alias("metric_unit"), F.expr(at).cast("timestamp").alias("occurred_at"))
-    return F.when(F.coalesce(say(rule.when), F.lit(False)), row)
-
-
 def _fold(df: DataFrame, source: str, policy: Policy) -> DataFrame:
-    """All rules of a source in one pass over it."""
-    rules = [_finding(r, policy) for r in RULES if r.source == source]
-    return df.select(F.explode(F.filter(F.array(*rules), lambda x: x.isNotNull())).alias("f")).select("f.*")
+    """All rules of the sources in one pass: first which rules a row meets, then the findings of those alone."""
+    rules = [r for r in RULES if r.source in source.split()]
+    say = lambda x: F.expr(x.format(**{k: (f"{v}D" if isinstance(v, float) else v) for k, v in asdict(policy).items()}))
+    met = F.filter(F.array(*[F.when(F.coalesce(say(r.when), F.lit(False)), F.lit(k)) for k, r in enumerate(rules)]), lambda k: k.isNotNull())
+    hits = df.withColumn("_rule", F.explode(met))
+
+    def pick(kind: str, of, make=F.expr) -> Column:
+        """What `of` gives for the row's rule, made a column; rules that share it share a branch."""
+        out, same = F.lit(None).cast(kind), {}
+        for k, r in enumerate(rules):
+            same.setdefault(of(r), []).append(k)
+        for v, ks in same.items():
+            out = F.when(F.col("_rule").isin(*ks), make(v).cast(kind)).otherwise(out)
+        return out
+
+    seen = lambda names: F.to_json(F.struct(*[F.col(c) for c in names]) if names else F.struct(F.lit(1)), {"ignoreNullFields": "false"})
+    scope = lambda k, kind: pick(kind, lambda r: _SCOPE[r.source][k])
+    return hits.select(
+        pick("string", lambda r: r.id, F.lit).alias("rule_id"), pick("string", lambda r: r.severity, say).alias("severity"), pick("string", lambda r: _SCOPE[r.source][0], F.lit).alias("scope_kind"), scope(1, "string").alias("scope_id"), scope(2, "long").alias("call_id"),
+        scope(3, "string").alias("span_id"), scope(4, "string").alias("trace_id"), scope(5, "string").alias("session_id"), pick("string", lambda r: r.summary, say).alias("summary"), pick("string", lambda r: r.observed, seen).alias("observed"),
+        pick("double", lambda r: r.metric, say).alias("metric_value"), pick("double", lambda r: r.threshold, say).alias("threshold"), F.nullif(pick("string", lambda r: r.unit, F.lit), F.lit("")).alias("metric_unit"), scope(6, "timestamp").alias("occurred_at"))
 
 
 def context_trend(g: DataFrame) -> DataFrame:
-    """Calls with known usage, with ctx and that of the call before (prev) of the same session and agent."""
-    ctx = F.coalesce("input_tokens", F.lit(0)) + F.coalesce("cache_read_tokens", F.lit(0)) + F.coalesce("cache_creation_tokens", F.lit(0))
-    order = Window.partitionBy("session_id", "agent_id").orderBy("started_at", "call_id")
-    return g.filter("session_id IS NOT NULL AND input_tokens IS NOT NULL").withColumn("ctx", ctx).withColumn("prev", F.lag("ctx").over(order))
+    """The calls with ctx, and prev: ctx of the call with known usage before, of the same session and agent. Both null where usage or session is unknown."""
+    known = F.col("session_id").isNotNull() & F.col("input_tokens").isNotNull()
+    ctx = F.when(known, F.coalesce("input_tokens", F.lit(0)) + F.coalesce("cache_read_tokens", F.lit(0)) + F.coalesce("cache_creation_tokens", F.lit(0)))
+    own = F.coalesce("session_id", F.concat(F.lit("\u0000"), F.col("call_id")))
+    earlier = Window.partitionBy(own, "agent_id").orderBy("started_at", "call_id").rowsBetween(Window.unboundedPreceding, -1)
+    x = g.withColumn("ctx", ctx)
+    return x.withColumn("prev", F.when(known, F.last("ctx", True).over(earlier)))
 
 
 def session_measures(g: DataFrame) -> DataFrame:
@@ -136,7 +145,7 @@ def session_measures(g: DataFrame) -> DataFrame:
 
 def run_rules(g: DataFrame, tools: DataFrame | None = None, failures: DataFrame | None = None, policy: Policy = Policy()) -> DataFrame:
     """All findings, unmerged."""
-    out = _fold(g, "call", policy).unionByName(_fold(context_trend(g), "trend", policy)).unionByName(_fold(session_measures(g), "session", policy))
+    out = _fold(context_trend(g), "call trend", policy).unionByName(_fold(session_measures(g), "session", policy))
     if tools is not None:
         out = out.unionByName(_fold(tools, "tool", policy))
     if failures is not None:

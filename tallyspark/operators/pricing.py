@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.functions.scalars import checked_broadcast, strip_alias
+from tallyspark.functions.scalars import strip_alias
 
 #: Cache rates as multiples of the input rate where none are published; tokens a rate is for.
 CACHE_READ, WRITE_5M, WRITE_1H, PER = 0.1, 1.25, 2.0, 1_000_000.0
@@ -39,7 +39,7 @@ def resolve_models(g: DataFrame, models: DataFrame) -> DataFrame:
     """
     ids = models.select(F.col("provider").alias("_p"), F.col("model_id").alias("_m"))
     other = models.groupBy(F.col("model_id").alias("_m")).agg(F.array_sort(F.collect_set("provider")).alias("_ps"))
-    ids, other = checked_broadcast(ids), checked_broadcast(other)
+    # No hints: a catalogue under Spark's own size threshold is broadcast, a larger one shuffled.
     x = g.withColumn("_alias", strip_alias(F.col("model")))
     x = x.join(ids.select(F.col("_p").alias("_p1"), F.col("_m").alias("_m1")), (F.col("provider") == F.col("_p1")) & (F.col("model") == F.col("_m1")), "left")
     x = x.join(ids.select(F.col("_p").alias("_p2"), F.col("_m").alias("_m2")), (F.col("provider") == F.col("_p2")) & (F.col("_alias") == F.col("_m2")), "left")
@@ -62,6 +62,14 @@ def price_bands(models: DataFrame, tiers: DataFrame) -> DataFrame:
     return at.select("provider", "model_id", "b.*", F.get("r", F.col("k") + 1)["over"].alias("below"))
 
 
+def local_rates(local: DataFrame, most: int = 200) -> list:
+    """The local rates: a handful, which become one expression and not a join. An error past `most`: those belong in the catalogue."""
+    rows = local.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} local rates: put them in the catalogue")
+    return rows
+
+
 def price(g: DataFrame, models: DataFrame, tiers: DataFrame, local: DataFrame, version: str = RULES_VERSION) -> DataFrame:
     """Adds the cost columns, pricing_model_id and pricing_version.
 
@@ -73,11 +81,10 @@ def price(g: DataFrame, models: DataFrame, tiers: DataFrame, local: DataFrame, v
     x = resolve_models(g.drop(*COSTS, "pricing_model_id", "pricing_version"), models)
     x = x.withColumn("_five", five).withColumn("_hour", hour)
     x = x.withColumn("_ctx", count_of("input_tokens") + count_of("cache_read_tokens") + F.col("_five") + F.col("_hour"))
-    bands = checked_broadcast(price_bands(models, tiers)).select(*[F.col(c).alias(f"_b_{c}") for c in ("provider", "model_id", "over", "below", *_RATES)])
+    bands = price_bands(models, tiers).select(*[F.col(c).alias(f"_b_{c}") for c in ("provider", "model_id", "over", "below", *_RATES)])
     x = x.join(bands, (F.col("cat_provider") == F.col("_b_provider")) & (F.col("cat_model") == F.col("_b_model_id")) & (F.col("_ctx") > F.col("_b_over")) & (F.col("_b_below").isNull() | (F.col("_ctx") <= F.col("_b_below"))), "left")
-    # Local rates are a handful: they become one expression, not a join.
     past, gap = F.lit(None), F.lit(None)
-    for r in reversed(local.collect()):
+    for r in reversed(local_rates(local)):
         rate = F.struct(F.lit(r["id"]).alias("id"), F.lit(float(r["input"])).alias("input"), F.lit(float(r["output"])).alias("output"))
         hit = F.col("model").startswith(r["id"]) if r["prefix"] else F.col("model") == r["id"]
         if r["until"] is None:
@@ -120,6 +127,6 @@ def is_priced(g: DataFrame, models: DataFrame, local: DataFrame) -> DataFrame:
     rated = models.filter("input IS NOT NULL")
     x = resolve_models(g, rated)
     hit = F.lit(False)
-    for r in local.collect():
+    for r in local_rates(local):
         hit = hit | (F.col("model").startswith(r["id"]) if r["prefix"] else F.col("model") == r["id"])
     return x.withColumn("priced", F.coalesce(F.col("cat_model").isNotNull() | hit, F.lit(False))).drop("cat_provider", "cat_model")
