@@ -11,6 +11,11 @@ from tallyspark.functions.scalars import strip_alias
 CACHE_READ, WRITE_5M, WRITE_1H, PER = 0.1, 1.25, 2.0, 1_000_000.0
 RULES_VERSION = "rules-1"
 
+def stamp(digest: str) -> str:
+    """The pricing version of the rules and a catalogue digest."""
+    return f"{RULES_VERSION}+cat:{digest[:12]}"
+
+
 COSTS = ("cost_input_usd", "cost_output_usd", "cost_cache_write_usd", "cost_cache_read_usd", "cost_total_usd", "cost_uncached_equiv_usd")
 
 

@@ -32,12 +32,12 @@ def load_catalog(df: DataFrame, column: str = "value") -> tuple[DataFrame, DataF
     return models, tiers
 
 
-def catalog_meta(models: DataFrame) -> DataFrame:
-    """One row: digest of the catalogue, and how many providers and models it has."""
+def catalog_meta(models: DataFrame, provider: str = "provider", fetched_at: str | None = None, checked_at: str | None = None) -> DataFrame:
+    """One row: digest of the catalogue, how many providers and models it has, and when it was fetched and last checked."""
     row = F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(models.columns)])), 256)
     # An order-free digest: no sort of all rows in one task.
     x = models.withColumn("h", row)
-    return x.agg(F.sha2(F.concat_ws(":", F.bit_xor(F.xxhash64("h")), F.bit_xor(F.xxhash64(F.lit(1), "h")), F.count("*")), 256).alias("digest"), F.count_distinct("provider").alias("providers"), F.count("*").alias("models"))
+    return x.agg(F.sha2(F.concat_ws(":", F.bit_xor(F.xxhash64("h")), F.bit_xor(F.xxhash64(F.lit(1), "h")), F.count("*")), 256).alias("digest"), F.count_distinct(provider).alias("providers"), F.count("*").alias("models")).withColumns({n: F.lit(t).cast("timestamp") for n, t in (("fetched_at", fetched_at), ("checked_at", checked_at))})
 
 
 def validate_catalog(models: DataFrame, required: tuple[str, ...] = ("anthropic", "openai")) -> DataFrame:

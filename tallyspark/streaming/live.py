@@ -1,79 +1,165 @@
-"""Captures as a stream: each micro-batch derives its calls, re-assembles their whole sessions and publishes what changed."""
+"""Captures as a stream: each micro-batch derives its calls, re-assembles their whole sessions and publishes what changed.
+
+Derived tables are kept by day. A batch writes a version of the days it touches and no others; a table is, for each
+day, the last version that touched it.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.operators import assemble, derive, detect, pricing
-from tallyspark.sources.captures import SCHEMA
-from tallyspark.sources.maintenance import quarantine, upsert
+from tallyspark.sources import captures as sources
+from tallyspark.sources.catalog import catalog_meta
+from tallyspark.sources.maintenance import backfill_report, pending, quarantine, refresh_if_stale
+
+#: Fixed value: the day of rows without a time.
+NO_DAY = "0000-00-00"
+TABLES = {"generations": "started_at", "tool_calls": "call_started_at", "sessions": "started_at", "alerts": "occurred_at", "failures": "at"}
+EVENTS = "batch long, seq long, kind string, call_id long, session_id string, trace_id string"
 
 
 def stream_calls(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
     """New capture files as they come."""
-    return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", max_files).parquet(path)
+    return spark.readStream.schema(sources.SCHEMA).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
-def change_feed(derived: DataFrame, failures: DataFrame, batch_id: int) -> DataFrame:
-    """(batch, seq, kind, call_id, session_id, trace_id): events of a batch, numbered within it.
+def change_feed(captured: DataFrame, derived: DataFrame, failures: DataFrame, batch_id: int, ranges: int = 1024) -> DataFrame:
+    """(batch, seq, kind, call_id, session_id, trace_id): events of a batch, numbered within it by kind and call id.
 
-    The order is by call id within each kind, counted over ranges of a batch, not its whole history.
+    capture.started for each capture (id), generation.derived and derive.failed. Numbers are running counts over
+    stretches of call ids, `ranges` at most, and a row number within each: no task numbers a whole batch.
     """
+    none = F.lit(None).cast("string")
+    began = captured.select(F.lit("capture.started").alias("kind"), F.col("id").alias("call_id"), none.alias("session_id"), none.alias("trace_id"))
     ok = derived.select(F.lit("generation.derived").alias("kind"), "call_id", "session_id", "trace_id")
-    bad = failures.select(F.lit("derive.failed").alias("kind"), "call_id", F.lit(None).cast("string").alias("session_id"), F.lit(None).cast("string").alias("trace_id"))
-    x = ok.unionByName(bad).withColumn("batch", F.lit(batch_id).cast("long"))
-    return x.withColumn("seq", F.row_number().over(Window.partitionBy("batch", "kind").orderBy("call_id"))).select("batch", "seq", "kind", "call_id", "session_id", "trace_id")
-
-
-def _versions(spark: SparkSession, root: str, name: str) -> list[int]:
+    bad = failures.select(F.lit("derive.failed").alias("kind"), "call_id", none.alias("session_id"), none.alias("trace_id"))
+    x = began.unionByName(ok).unionByName(bad)
+    low, high = x.agg(F.min("call_id"), F.max("call_id")).first()
+    width = 1 if low is None else -(-(high - low + 1) // ranges)
+    x = x.withColumn("stretch", F.floor((F.col("call_id") - F.lit(low or 0)) / width))
+    sizes = x.groupBy("kind", "stretch").agg(F.count("*").alias("n"))
+    before = sizes.select("kind", "stretch", (F.sum("n").over(Window.partitionBy("kind").orderBy("stretch")) - F.col("n")).alias("before"))
+    at = F.row_number().over(Window.partitionBy("kind", "stretch").orderBy("call_id"))
+    return x.join(before, ["kind", "stretch"]).select(F.lit(batch_id).cast("long").alias("batch"), (F.col("before") + at).cast("long").alias("seq"), "kind", "call_id", "session_id", "trace_id")
+
+
+def _done(spark: SparkSession, path: str) -> list[int]:
+    """The versions under a path that were written to their end."""
     hadoop = spark._jvm.org.apache.hadoop.fs
-    path = hadoop.Path(f"{root}/{name}")
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
+    root = hadoop.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
         return []
     done = lambda p: fs.exists(hadoop.Path(p, "_SUCCESS"))
-    return sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(path) if done(s.getPath()))
+    return sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(root) if s.getPath().getName().startswith("v=") and done(s.getPath()))
+
+
+def latest_days(spark: SparkSession, root: str, name: str, before: int | None = None) -> dict[str, int]:
+    """For each day of a table the version that holds it. `*` in a version's list of days ends all that were before."""
+    out: dict[str, int] = {}
+    for v in [v for v in _done(spark, f"{root}/{name}/days") if before is None or v < before]:
+        days = [r["day"] for r in spark.read.parquet(f"{root}/{name}/days/v={v}").collect()]  # as many as a batch touches
+        if "*" in days:
+            out = {}
+        out.update({d: v for d in days if d != "*"})
+    return out
 
 
 def read_table(spark: SparkSession, root: str, name: str, before: int | None = None) -> DataFrame | None:
-    """The latest whole version of a derived table (below `before`), or None."""
-    found = [v for v in _versions(spark, root, name) if before is None or v < before]
-    return spark.read.parquet(f"{root}/{name}/v={found[-1]}") if found else None
+    """A derived table as of its last version (below `before`), or None."""
+    days = latest_days(spark, root, name, before)
+    if not days:
+        return None
+    # A version holds its table's schema even where no row is left of the days it touched.
+    frames = []
+    for v in sorted(set(days.values())):
+        df = spark.read.parquet(f"{root}/{name}/data/v={v}")
+        frames.append(df.filter(F.col("day").isin([d for d, w in days.items() if w == v])))
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out.drop("day")
 
 
-def _write(df: DataFrame, root: str, name: str, batch_id: int) -> DataFrame:
-    """A version of a table, named by its batch: a batch that runs again writes the same one anew."""
-    path = f"{root}/{name}/v={batch_id}"
+def day_of(name: str) -> Column:
+    return F.coalesce(F.date_format(TABLES[name], "yyyy-MM-dd"), F.lit(NO_DAY))
+
+
+def replace_rows(spark: SparkSession, root: str, name: str, version: int, new: DataFrame, leaving: list[tuple[str, DataFrame]], whole: bool = False) -> None:
+    """Writes a version of the days in which rows leave or come: without those whose key is in one of `leaving`, with `new`.
+
+    whole: all that was there leaves.
+    """
+    new = new.withColumn("day", day_of(name))
+    old = None if whole else read_table(spark, root, name, version)
+    gone_days: list[str] = []
+    if old is not None:
+        old = old.withColumn("day", day_of(name)).withColumn("_leaves", F.lit(False))
+        for k, (key, ids) in enumerate(leaving):
+            ids = ids.select(F.col(key).alias(f"_k{k}")).filter(F.col(f"_k{k}").isNotNull()).distinct()
+            old = old.join(ids, F.col(key) == F.col(f"_k{k}"), "left").withColumn("_leaves", F.col("_leaves") | F.col(f"_k{k}").isNotNull()).drop(f"_k{k}")
+        gone_days = [r["day"] for r in old.filter("_leaves").select("day").distinct().collect()]
+    days = sorted({*gone_days, *(r["day"] for r in new.select("day").distinct().collect())})  # the days of one batch
+    if old is not None and days:
+        new = old.filter(F.col("day").isin(days) & ~F.col("_leaves")).drop("_leaves").unionByName(new, allowMissingColumns=True)
+    if days or whole:
+        new.sortWithinPartitions("day").write.mode("overwrite").parquet(f"{root}/{name}/data/v={version}")
+        spark.createDataFrame([(d,) for d in [*days, *(["*"] if whole else [])]], "day string").coalesce(1).write.mode("overwrite").parquet(f"{root}/{name}/days/v={version}")
+
+
+def _write(df: DataFrame, path: str) -> DataFrame:
+    """A table named by its batch: a batch that runs again writes the same one anew."""
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def process_batch(calls: DataFrame, batch_id: int, root: str, rates: tuple[DataFrame, DataFrame, DataFrame]) -> None:
-    """Derives a batch and replaces what it touches: its calls, the sessions they are in, their rollups and alerts.
+def process_batch(calls: DataFrame, batch_id: int, root: str, rates: tuple[DataFrame, DataFrame, DataFrame], whole: bool = False) -> None:
+    """Derives a batch and replaces what it touches: its calls with their tool rows, the sessions these are or were in, their rollups, alerts and failures.
 
     Order is by start time and a session is assembled whole, so a call that comes late, however late,
-    lands where it belongs. Nothing is dropped for lateness.
+    lands where it belongs. Nothing is dropped for lateness. A call that is sent again replaces its row, whatever
+    session it was in; of several in one batch the last to end counts. A failure stays until its call succeeds; the row
+    of a call that fails when sent again stays as it was. whole: the tables are made anew of these calls.
     """
     spark = calls.sparkSession
+    once = Window.partitionBy("id").orderBy(F.desc_nulls_last("timestamp_end"), F.xxhash64("request_body", "response_body"))
+    calls = calls.withColumn("_n", F.row_number().over(once)).filter("_n = 1").drop("_n")
     good, failures = quarantine(calls)
     g, tools, _, _ = derive.derive_generations(good)
-    new = _write(pricing.price(g, *rates), root, "batch_generations", batch_id)
-    old = read_table(spark, root, "generations", batch_id)
+    work = f"{root}/work/v={batch_id}"
+    version = pricing_stamp(rates)
+    new = _write(pricing.price(g, *rates, version=version), f"{work}/generations")
+    failures = _write(failures, f"{work}/failures")
+    new_tools = _write(tools, f"{work}/tools")
+    ids = new.select("call_id")
+    old = None if whole else read_table(spark, root, "generations", batch_id)
+    added = ("agent_id", "agent_role", "agent_name", "span_id", "trace_id", "parent_span_id", "depth")
     if old is None:
-        merged = assemble.assemble(new)
+        sessions, again = new.select("session_id").distinct(), new
     else:
-        touched = new.select("session_id").distinct()
-        added = ("agent_id", "agent_role", "agent_name", "span_id", "trace_id", "parent_span_id", "depth")
-        rest = old.join(touched, "session_id", "left_anti")
-        again = upsert(old.join(touched, "session_id", "left_semi").drop(*added), new)
-        merged = rest.unionByName(assemble.assemble(again), allowMissingColumns=True)
-    whole = _write(merged, root, "generations", batch_id)
-    prior = read_table(spark, root, "tool_calls", batch_id)
-    all_tools = _write(assemble.tool_traces(tools if prior is None else upsert(prior.drop("trace_id"), tools), whole), root, "tool_calls", batch_id)
-    _write(assemble.rollup_sessions(whole), root, "sessions", batch_id)
-    _write(detect.alerts(whole, all_tools, failures), root, "alerts", batch_id)
-    _write(change_feed(whole.join(new.select("call_id"), "call_id", "left_semi"), failures, batch_id), root, "changes", batch_id)
+        moved = old.join(ids, "call_id", "left_semi").select("session_id")
+        sessions = _write(new.select("session_id").unionByName(moved).filter("session_id IS NOT NULL").distinct(), f"{work}/sessions")
+        rest = old.join(sessions, "session_id", "left_semi").join(ids, "call_id", "left_anti").drop(*added)
+        again = rest.unionByName(new, allowMissingColumns=True)
+    done = _write(assemble.assemble(again), f"{work}/assembled")
+    replace_rows(spark, root, "generations", batch_id, done, [("session_id", sessions), ("call_id", ids)], whole)
+    own = done.select("call_id", F.col("started_at").alias("call_started_at"), "trace_id")
+    prior = None if whole else read_table(spark, root, "tool_calls", batch_id)
+    kept = new_tools.drop("trace_id")
+    if prior is not None:
+        # Tool rows of the sessions' other calls stay; those of the batch's calls are replaced, or go.
+        kept = prior.drop("trace_id", "call_started_at").join(done.select("call_id"), "call_id", "left_semi").join(ids, "call_id", "left_anti").unionByName(kept, allowMissingColumns=True)
+    done_tools = _write(kept.join(own, "call_id"), f"{work}/tool_calls")
+    replace_rows(spark, root, "tool_calls", batch_id, done_tools, [("call_id", done)], whole)
+    replace_rows(spark, root, "sessions", batch_id, assemble.rollup_sessions(done), [("session_id", sessions)], whole)
+    replace_rows(spark, root, "failures", batch_id, failures, [("call_id", ids), ("call_id", failures)], whole)
+    replace_rows(spark, root, "alerts", batch_id, detect.alerts(done, done_tools, failures), [("session_id", sessions), ("call_id", done), ("call_id", failures)], whole)
+    _write(change_feed(calls, done.join(ids, "call_id", "left_semi"), failures, batch_id), f"{root}/changes/v={batch_id}")
+    stamp(spark, root, batch_id, version)
 
 
 def start_live(spark: SparkSession, path: str, root: str, rates: tuple[DataFrame, DataFrame, DataFrame], checkpoint: str, once: bool = True):
@@ -82,6 +168,74 @@ def start_live(spark: SparkSession, path: str, root: str, rates: tuple[DataFrame
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+# ---- jobs over stored captures ----
+
+
+def stamp(spark: SparkSession, root: str, version: int, rates_version: str) -> None:
+    """Notes with which parser and which rates the tables were made."""
+    spark.createDataFrame([(derive.PARSER_VERSION, rates_version)], "parser_version string, pricing_version string").coalesce(1).write.mode("overwrite").parquet(f"{root}/meta/v={version}")
+
+
+def pricing_stamp(rates: tuple[DataFrame, DataFrame, DataFrame]) -> str:
+    """The version of the pricing rules and the digest of all three rate tables."""
+    digests = [catalog_meta(df, provider).first()["digest"] for df, provider in zip(rates, ("provider", "provider", "id"))]
+    return pricing.stamp(hashlib.sha256("".join(digests).encode()).hexdigest())
+
+
+def next_version(spark: SparkSession, root: str) -> int:
+    return max([-1, *_done(spark, f"{root}/meta")]) + 1
+
+
+def backfill(calls: DataFrame, root: str, rates: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
+    """Derives the captures that have neither a row of this parser version nor a failure on record; one row that reports on it."""
+    spark = calls.sparkSession
+    version = next_version(spark, root)
+    have, failed = read_table(spark, root, "generations"), read_table(spark, root, "failures")
+    todo = calls if have is None else pending(calls, have, derive.PARSER_VERSION)
+    if failed is not None:
+        todo = todo.join(failed.select(F.col("call_id").alias("id")), "id", "left_anti")
+    todo = _write(todo.select(*calls.columns), f"{root}/work/pending-{version}")
+    process_batch(todo, version, root, rates)
+    return backfill_report(todo, spark.read.parquet(f"{root}/work/v={version}/generations"), spark.read.parquet(f"{root}/work/v={version}/failures"))
+
+
+def rebuild(calls: DataFrame, root: str, rates: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
+    """Makes all derived tables anew from the captures; one row that reports on it. Ids are functions of the captures, so they stay."""
+    spark = calls.sparkSession
+    version = next_version(spark, root)
+    process_batch(calls, version, root, rates, whole=True)
+    return backfill_report(calls, spark.read.parquet(f"{root}/work/v={version}/generations"), spark.read.parquet(f"{root}/work/v={version}/failures"))
+
+
+def reprice_tables(spark: SparkSession, root: str, rates: tuple[DataFrame, DataFrame, DataFrame]) -> None:
+    """All generations at new rates, with the rollups and alerts that follow from them; reads no payload."""
+    version = next_version(spark, root)
+    g, tools, failures = (read_table(spark, root, n) for n in ("generations", "tool_calls", "failures"))
+    if g is None:
+        return
+    rates_version = pricing_stamp(rates)
+    g = _write(pricing.reprice(g, *rates, version=rates_version), f"{root}/work/v={version}/generations")
+    replace_rows(spark, root, "generations", version, g, [], True)
+    replace_rows(spark, root, "sessions", version, assemble.rollup_sessions(g), [], True)
+    replace_rows(spark, root, "alerts", version, detect.alerts(g, tools, failures), [], True)
+    stamp(spark, root, version, rates_version)
+
+
+def refresh(calls: DataFrame, root: str, rates: tuple[DataFrame, DataFrame, DataFrame]) -> str:
+    """Rebuilds if the parser moved, reprices if only the rates did, else backfills; says which."""
+    spark = calls.sparkSession
+    done = _done(spark, f"{root}/meta")
+    meta = spark.read.parquet(f"{root}/meta/v={done[-1]}").first().asDict() if done else {"parser_version": derive.PARSER_VERSION, "pricing_version": pricing_stamp(rates)}
+    what = refresh_if_stale(meta, derive.PARSER_VERSION, pricing_stamp(rates))
+    if what == "rebuild":
+        rebuild(calls, root, rates)
+    elif what == "reprice":
+        reprice_tables(spark, root, rates)
+    else:
+        backfill(calls, root, rates)
+    return what
+
+
 def reprice_if_changed(g: DataFrame, rates: tuple[DataFrame, DataFrame, DataFrame], digest: str, known: str) -> DataFrame:
     """The generations at new rates if the catalogue's digest moved, else as they are."""
-    return g if digest == known else pricing.reprice(g, *rates, version=f"{pricing.RULES_VERSION}+cat:{digest[:12]}")
+    return g if digest == known else pricing.reprice(g, *rates, version=pricing.stamp(digest))
