@@ -197,3 +197,117 @@ USES_SQL = """u AS (SELECT l_orderkey AS call_id, l_orderkey || '-' || l_linenum
   FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3),
 d AS (SELECT DISTINCT call_id, name FROM u WHERE small),
 x AS (SELECT u.*, d.name IS NOT NULL AS declared, done AND bad AND call_id % 2 = 0 AS failed FROM u LEFT JOIN d USING (call_id, name))"""
+
+
+#: Events as requests of all dialects: what each capture says, as SQL that Spark and DuckDB read alike.
+A5 = {
+    "call_id": "call_id", "k": "k", "cents": "cents", "user_id": "user_id", "started_at": "started_at",
+    "dialect": "CASE WHEN call_id % 29 = 0 THEN 'unknown' WHEN call_id % 2 = 0 THEN 'claude_code' ELSE 'openai' END",
+    "wire": "CASE WHEN call_id % 29 = 0 THEN 'none' WHEN call_id % 2 = 0 THEN 'messages' WHEN call_id % 4 = 1 THEN 'chat' ELSE 'responses' END",
+    "agent": "CASE WHEN call_id % 29 = 0 THEN 'curl/8' WHEN call_id % 2 = 0 THEN concat('claude-cli/2.1.', CAST(k AS STRING)) WHEN k % 4 = 0 THEN 'codex_cli/1.2' WHEN k % 4 = 1 THEN 'opencode/0.3 x' WHEN k % 4 = 2 THEN 'pi-agent/5' ELSE 'library' END",
+    "billing": "CASE WHEN k % 3 = 0 THEN concat('x-anthropic-billing-header: cc_version=2.', CAST(k AS STRING), '.0; y') END",
+    "env": "concat('Current branch: b', CAST(k AS STRING), chr(10), 'Primary working directory: /work/p', CAST(user_id % 5 AS STRING))",
+    "ask": "CASE WHEN k % 5 = 0 THEN concat('<system-reminder>note ', CAST(k AS STRING), '</system-reminder>') ELSE concat('ask ', CAST(k AS STRING)) END",
+    "status": "CAST(CASE k % 11 WHEN 0 THEN 500 WHEN 1 THEN 429 WHEN 2 THEN NULL ELSE 200 END AS BIGINT)",
+    "failure": "CASE WHEN k % 11 = 2 THEN 'dial failed' WHEN k % 23 = 0 THEN 'reconstruct: cut' END",
+    "streamed": "k % 13 = 0",
+    "answered": "k % 13 <> 0 AND k % 17 <> 0",
+    "hex": "md5(CAST(call_id AS STRING))",
+    "util": "concat('0.', lpad(CAST(k % 100 AS STRING), 2, '0'))",
+}
+
+
+def a5_sql() -> str:
+    """The facts as a select list over A1's base."""
+    return ", ".join(f"{e} AS {c}" for c, e in A5.items())
+
+
+def event_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5: each event as a capture, in one of three wire forms or an unknown one, with headers, limits, failures and tool uses."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    x = e.selectExpr(*[f"{v} AS {c}" for c, v in A1_BASE.items()]).selectExpr(*[f"{v} AS {c}" for c, v in A5.items()])
+    k, n, s = F.col("k"), F.col("call_id"), F.struct
+    ttl = F.when(k % 4 == 1, s(F.lit("1h").alias("ttl"))).when(k % 4 == 2, s(F.lit("5m").alias("ttl")))
+    part = lambda t, c: s(F.lit("text").alias("type"), t.alias("text"), c.alias("cache_control"))
+    none = F.lit(None).cast("struct<ttl:string>")
+    system = F.filter(F.array(F.when(F.col("billing").isNotNull(), part(F.col("billing"), none)), part(F.col("env"), ttl)), lambda p: p.isNotNull())
+    user = s(F.lit("user").alias("role"), F.col("ask").alias("content"))
+    who = F.to_json(s(F.concat(F.lit("acct-"), "user_id").alias("account_uuid"), F.concat(F.lit("dev-"), "user_id").alias("device_id"), F.concat(F.lit("u-"), "user_id").alias("session_id")))
+    model, temperature = F.concat(F.lit("m-"), k % 5).alias("model"), (k / 8).alias("temperature")
+    described = lambda name: s(F.lit(name).alias("name"), F.lit("runs").alias("description"), s(F.lit("object").alias("type")).alias("input_schema"))
+    messages = F.to_json(s(
+        model, temperature, (k + 100).alias("max_tokens"), system.alias("system"), F.array(user).alias("messages"), s(who.alias("user_id")).alias("metadata"), F.array(described("Alpha"), described("mcp__s__b")).alias("tools"),
+        F.when(k % 2 == 0, s(F.lit("enabled").alias("type"), (k * 10).alias("budget_tokens"))).alias("thinking"), F.when(k % 6 == 0, F.array(F.lit("</s>"))).alias("stop_sequences"), F.when(k % 8 == 0, s(F.array(s(F.lit("clear").alias("type"))).alias("edits"))).alias("context_management")))
+    lead = s(F.lit("system").alias("role"), F.lit("be brief").alias("content"))
+    function = lambda name: s(F.lit("function").alias("type"), s(F.lit(name).alias("name")).alias("function"))
+    chat = F.to_json(s(model, temperature, F.array(lead, user).alias("messages"), F.array(function("Alpha")).alias("tools"), F.when(k % 2 == 1, F.concat(F.lit("c-"), "user_id")).alias("conversation")))
+    grouped = s(F.lit("namespace").alias("type"), F.array(s(F.lit("Alpha").alias("name")), s(F.lit("mcp__s__b").alias("name"))).alias("tools"))
+    item = lambda **v: s(*[F.lit(v[c]).alias(c) if isinstance(v.get(c), str) else v.get(c, F.lit(None).cast("string")).alias(c) for c in ("type", "role", "content", "name", "arguments", "call_id", "output")])
+    use = F.concat(F.lit("h-"), n)
+    past = F.when(k % 2 == 0, F.array(item(type="function_call", name="Alpha", arguments='{"q":1}', call_id=use), item(type="function_call_output", call_id=use, output="found"))).otherwise(F.array().cast("array<struct<type:string,role:string,content:string,name:string,arguments:string,call_id:string,output:string>>"))
+    responses = F.to_json(s(model, temperature, F.lit("be brief").alias("instructions"), F.concat(F.array(item(role="user", content=F.col("ask"))), past).alias("input"), F.array(grouped).alias("tools"), F.when(k % 2 == 1, F.concat(F.lit("c-"), "user_id")).alias("conversation")))
+    names = F.when(k % 3 == 1, F.array(F.lit("Alpha"))).when(k % 3 == 2, F.array(F.lit("Beta"), F.lit("Alpha"), F.lit("Alpha"))).otherwise(F.array().cast("array<string>"))
+    uses = F.transform(names, lambda name, i: s(F.lit("tool_use").alias("type"), F.concat(F.lit("t-"), i).alias("id"), name.alias("name"), s(i.alias("i")).alias("input"), F.lit(None).cast("string").alias("text")))
+    said = F.array(s(F.lit("text").alias("type"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("struct<i:int>").alias("input"), F.lit("ok").alias("text")))
+    split = F.when(k % 4 == 0, s(k.alias("ephemeral_5m_input_tokens"), (k * 2).alias("ephemeral_1h_input_tokens")))
+    tokens_in, tokens_out = k * 37 + 2, F.col("cents")
+    message = F.to_json(s(
+        F.lit("message").alias("type"), F.lit("assistant").alias("role"), F.concat(F.lit("r-"), k % 5).alias("model"), F.lit("end_turn").alias("stop_reason"), F.concat(said, uses).alias("content"),
+        s(tokens_in.alias("input_tokens"), tokens_out.alias("output_tokens"), (k * 5).alias("cache_read_input_tokens"), (k * 3).alias("cache_creation_input_tokens"), split.alias("cache_creation"), F.lit("standard").alias("service_tier"), F.when(k % 2 == 0, s(k.alias("thinking_tokens"))).alias("output_tokens_details")).alias("usage")))
+    refused = F.when(k % 19 == 0, F.lit('{"type":"error","error":{"message":"no"}}')).otherwise(message)
+    calls = F.transform(names, lambda name, i: s(F.concat(F.lit("t-"), i).alias("id"), s(name.alias("name"), F.lit('{"i":0}').alias("arguments")).alias("function")))
+    chat_answer = F.to_json(s(
+        F.concat(F.lit("r-"), k % 5).alias("model"), F.lit("default").alias("service_tier"), F.array(s(s(F.lit("ok").alias("content"), F.when(k % 2 == 0, "hm").alias("reasoning_content"), calls.alias("tool_calls")).alias("message"), F.lit("stop").alias("finish_reason"))).alias("choices"),
+        s(tokens_in.alias("prompt_tokens"), tokens_out.alias("completion_tokens"), s((k * 5).alias("cached_tokens")).alias("prompt_tokens_details"), s(k.alias("reasoning_tokens")).alias("completion_tokens_details")).alias("usage")))
+    output = F.concat(F.array(s(F.lit("message").alias("type"), F.array(s(F.lit("o").alias("text")), s(F.lit("k").alias("text"))).alias("content"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("arguments"), F.lit(None).cast("string").alias("call_id"))),
+                      F.transform(names, lambda name, i: s(F.lit("function_call").alias("type"), F.lit(None).cast("array<struct<text:string>>").alias("content"), name.alias("name"), F.lit('{"i":0}').alias("arguments"), F.concat(F.lit("t-"), i).alias("call_id"))))
+    responses_answer = F.to_json(s(
+        F.concat(F.lit("r-"), k % 5).alias("model"), F.lit("completed").alias("status"), output.alias("output"),
+        s(tokens_in.alias("input_tokens"), tokens_out.alias("output_tokens"), s((k * 5).alias("cached_tokens")).alias("input_tokens_details"), s(k.alias("reasoning_tokens")).alias("output_tokens_details")).alias("usage")))
+    wire = F.col("wire")
+    trace = F.when(k % 7 == 0, F.concat(F.lit("00-"), F.upper("hex"), F.lit("-"), F.left(F.upper("hex"), F.lit(16)), F.lit("-01"))).when(k % 7 == 1, "broken")
+    entries = lambda pairs: F.map_from_entries(F.filter(F.array(*[s(F.lit(name).alias("key"), v.cast("string").alias("value")) for name, v in pairs]), lambda p: p["value"].isNotNull()))
+    asked = entries([
+        ("User-Agent", F.col("agent")), ("TraceParent", trace), ("X-Stainless-Retry-Count", k % 5), ("anthropic-version", F.when(wire == "messages", "1")),
+        ("X-Claude-Code-Session-Id", F.when((wire == "messages") & (k % 2 == 0), F.concat(F.lit("s-"), "user_id"))), ("Session_Id", F.when(F.col("dialect").eqNullSafe("openai") & (k % 2 == 0), F.concat(F.lit("o-"), "user_id")))])
+    told = entries([
+        ("Request-Id", F.when(wire == "messages", F.concat(F.lit("req-"), n))), ("X-Request-Id", F.when(wire != "messages", F.concat(F.lit("req-"), n))), ("Anthropic-Organization-Id", F.when(wire == "messages", F.concat(F.lit("org-"), "user_id"))), ("OpenAI-Organization", F.when(wire != "messages", F.concat(F.lit("org-"), "user_id"))),
+        ("x-should-retry", F.when(k % 2 == 0, "true").otherwise("false")), ("anthropic-ratelimit-unified-status", F.lit("allowed")), ("anthropic-ratelimit-unified-5h-utilization", F.col("util")), ("anthropic-ratelimit-unified-7d-utilization", F.when(k % 2 == 0, F.col("util")).otherwise("high")),
+        ("anthropic-ratelimit-unified-overage-status", F.when(k % 2 == 1, "rejected")), ("anthropic-ratelimit-unified-reset", k + 1_700_000_000)])
+    later = lambda ms: F.timestamp_add("MILLISECOND", ms, F.col("started_at"))
+    null = F.lit(None).cast("string")
+    return x.select(
+        n.alias("id"), F.col("started_at").alias("timestamp_start"), F.when(k % 10 != 0, later(k)).alias("timestamp_first_chunk"), later(F.col("cents") * 10).alias("timestamp_end"), F.lit("POST").alias("method"),
+        F.concat(F.lit("https://host/"), F.when(wire == "messages", "v1/messages").when(wire == "chat", "v1/chat/completions").when(wire == "responses", "v1/responses").otherwise("other")).alias("url"), asked.alias("request_headers"),
+        F.when(wire == "messages", messages).when(wire == "chat", chat).when(wire == "responses", responses).otherwise(F.to_json(s(model))).alias("request_body"), F.col("status").alias("response_status"), told.alias("response_headers"),
+        F.when(F.col("answered"), F.when(wire == "messages", refused).when(wire == "chat", chat_answer).when(wire == "responses", responses_answer).otherwise("{}")).alias("response_body"),
+        F.when(F.col("streamed"), "event: x").alias("response_raw_sse"), null.alias("response_reconstructed"), F.col("failure").alias("error"))
+
+
+def mixed_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A6: assistant turns as raw streams of three wire forms by call id: thinking, text and a tool input in pieces; some are cut or report an error."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").filter("role = 'assistant'").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
+    s, js = F.struct, F.to_json
+    half = F.floor(F.char_length("text") / 2).cast("int")
+    pieces = (F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.char_length("text")))
+    event = lambda name, data: F.concat(F.lit(f"event: {name}\r\ndata: "), data, F.lit("\r\n\r\n"))
+    plain = lambda data: F.concat(F.lit("data: "), data, F.lit("\n\n"))
+    delta = lambda i, **v: event("content_block_delta", js(s(F.lit("content_block_delta").alias("type"), F.lit(i).alias("index"), s(*[(F.lit(x) if isinstance(x, str) else x).alias(y) for y, x in v.items()]).alias("delta"))))
+    start = lambda i, text: event("content_block_start", F.lit(f'{{"type":"content_block_start","index":{i},"content_block":{text}}}'))
+    begun = event("message_start", F.lit('{"type":"message_start","message":{"type":"message","role":"assistant","model":"m","usage":{"input_tokens":3,"output_tokens":1}}}'))
+    ended = event("message_delta", js(s(F.lit("message_delta").alias("type"), s(F.lit("tool_use").alias("stop_reason")).alias("delta"), s(F.char_length("text").alias("output_tokens")).alias("usage"))))
+    anthropic = F.concat(
+        F.when(F.col("id") % 13 != 0, begun).otherwise(""), start(0, '{"type":"thinking","thinking":""}'), delta(0, type="thinking_delta", thinking="let me "), delta(0, type="thinking_delta", thinking="see"), delta(0, type="signature_delta", signature="sig"),
+        start(1, '{"type":"text","text":""}'), delta(1, type="text_delta", text=pieces[0]), delta(1, type="text_delta", text=pieces[1]),
+        start(2, '{"type":"tool_use","id":"t","name":"get","input":{}}'), delta(2, type="input_json_delta", partial_json='{"city":'), delta(2, type="input_json_delta", partial_json=F.concat(F.lit('"c'), F.col("turn"), F.when(F.col("id") % 17 == 0, "").otherwise('"}'))),
+        F.when(F.col("id") % 11 == 0, event("error", F.lit('{"type":"error","error":{"message":"overloaded"}}'))).otherwise(""), F.when(F.col("id") % 7 != 0, ended).otherwise(""))
+    head = lambda **v: js(s(F.lit("chat.completion.chunk").alias("object"), F.lit("chat-1").alias("id"), F.lit("m").alias("model"), *[x.alias(y) for y, x in v.items()]))
+    choice = lambda d, **v: F.array(s(F.lit(0).alias("index"), d.alias("delta"), *[F.lit(x).alias(y) for y, x in v.items()]))
+    call = lambda text, **v: s(F.array(s(F.lit(0).alias("index"), *[F.lit(x).alias(y) for y, x in v.items()], s(*([F.lit("get").alias("name")] if v else []), text.alias("arguments")).alias("function"))).alias("tool_calls"))
+    chat = F.concat(
+        plain(head(choices=choice(s(F.lit("assistant").alias("role"), pieces[0].alias("content"))))), plain(head(choices=choice(s(pieces[1].alias("content"), F.lit("hm").alias("reasoning_content"))))),
+        plain(head(choices=choice(call(F.lit('{"city":'), id="t")))), plain(head(choices=choice(call(F.concat(F.lit('"c'), F.col("turn"), F.lit('"}')))))), F.when(F.col("id") % 7 != 0, plain(head(choices=choice(s(F.lit(None).cast("string").alias("content")), finish_reason="tool_calls")))).otherwise(""),
+        plain(head(choices=F.array().cast("array<string>"), usage=s(F.lit(3).alias("prompt_tokens"), F.char_length("text").alias("completion_tokens")))), F.when(F.col("id") % 11 == 0, plain(F.lit("{broken"))).otherwise(""), F.lit("data: [DONE]\n\n"))
+    done = js(s(s(F.lit("completed").alias("status"), F.array(s(F.lit("message").alias("type"), F.array(s(F.col("text").alias("text"))).alias("content"))).alias("output")).alias("response")))
+    responses = F.concat(event("response.created", F.lit("{}")), F.when(F.col("id") % 7 != 0, event("response.completed", done)).otherwise(""))
+    return c.select("id", F.when(F.col("id") % 3 == 0, anthropic).when(F.col("id") % 3 == 1, chat).otherwise(responses).alias("response_raw_sse"), F.when(F.col("id") % 5 == 0, "slow").alias("error"), F.lit(None).cast("string").alias("response_reconstructed"))

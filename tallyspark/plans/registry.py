@@ -125,11 +125,11 @@ def c10_is_priced(spark, sf_dir):
     return pricing.is_priced(adapters.generations(spark, sf_dir), models, local).select("call_id", "priced")
 
 
-@query(f"WITH {G} SELECT call_id, round(cost_total_usd * 2, 8) AS cost_total_usd FROM g WHERE model = 'claude-opus-5'")
+@query(f"WITH {G} SELECT call_id, round(cost_total_usd * CASE WHEN model = 'claude-opus-5' THEN 2 ELSE 1 END, 8) AS cost_total_usd, 'rules-2' AS pricing_version FROM g")
 def c8_reprice(spark, sf_dir):
     models, tiers, local = adapters.catalogue(spark)
-    twice = models.withColumns({c: F.col(c) * 2 for c in ("input", "output", "cache_read", "cache_write")})
-    return tidy(pricing.reprice(priced(spark, sf_dir), twice, tiers, local, "rules-2").filter("model = 'claude-opus-5'").select("call_id", "cost_total_usd"))
+    twice = models.withColumns({c: F.col(c) * F.when(F.col("model_id") == "claude-opus-5", 2.0).otherwise(1.0) for c in ("input", "output", "cache_read", "cache_write")})
+    return tidy(pricing.reprice(priced(spark, sf_dir), twice, tiers, local, "rules-2").select("call_id", "cost_total_usd", "pricing_version"))
 
 
 @query(f"WITH {T} SELECT call_id, agent_id, agent_role, agent_name FROM t")
@@ -423,16 +423,16 @@ def q20_harness_tool_sets(spark, sf_dir):
     return surfaces.harness_tool_sets(sets, assemble.assemble(pricing.price(g, *adapters.catalogue(spark)))).select("generations", "sessions", "tool_count")
 
 
-@query("SELECT conv_id * 1000 + turn AS call_id, text, length(text) AS output_tokens, 'end_turn' AS stop_reason FROM conversations WHERE role = 'assistant'")
+@query("SELECT conv_id * 1000 + turn AS call_id, text, length(text) AS output_tokens, 'end_turn' AS stop_reason, CAST(NULL AS VARCHAR) AS error FROM conversations WHERE role = 'assistant'")
 def r6_assemble_anthropic(spark, sf_dir):
     m = reassemble.reassemble(adapters.streams(spark, sf_dir))
     get = lambda p: F.get_json_object("message", p)
-    return m.filter("error IS NULL").select("call_id", get("$.content[0].text").alias("text"), get("$.usage.output_tokens").cast("long").alias("output_tokens"), get("$.stop_reason").alias("stop_reason"))
+    return m.select("call_id", get("$.content[0].text").alias("text"), get("$.usage.output_tokens").cast("long").alias("output_tokens"), get("$.stop_reason").alias("stop_reason"), "error")
 
 
-@query("SELECT conv_id * 1000 + turn AS call_id, CAST(greatest(ceil(length(text) / 40), 1) + 5 AS BIGINT) AS events FROM conversations WHERE role = 'assistant'")
+@query("SELECT conv_id * 1000 + turn AS call_id, CAST(greatest(ceil(length(text) / 40), 1) + 5 AS BIGINT) AS events, CAST(0 AS BIGINT) AS broken FROM conversations WHERE role = 'assistant'")
 def r1_sse_events(spark, sf_dir):
-    return reassemble.sse_events(adapters.streams(spark, sf_dir)).filter("parse_error IS NULL").groupBy("call_id").agg(F.count("*").alias("events"))
+    return reassemble.sse_events(adapters.streams(spark, sf_dir)).groupBy("call_id").agg(F.count("*").alias("events"), F.count("parse_error").alias("broken"))
 
 
 @query("SELECT conv_id * 1000 + turn AS id, '<redacted>' AS auth, '2023-06-01' AS version FROM conversations WHERE role = 'assistant'")
@@ -507,11 +507,11 @@ def q23_tool_set_detail(spark, sf_dir):
     return surfaces.tool_set_detail(_schemas(t), t, g).select("tools_hash", "name", "calls")
 
 
-@query(f"WITH {adapters.A3_SQL} SELECT call_id, tool_id, status FROM t WHERE name = 'Brand#11' ORDER BY emitted_at DESC, call_id, seq LIMIT 100")
+@query(f"WITH {adapters.A3_SQL} SELECT call_id, tool_id, status, CASE WHEN call_id % 3 <> 0 THEN 'agent-' || call_id % 5 END AS agent_name, CASE WHEN call_id % 3 <> 0 THEN 'm' || call_id % 7 END AS model FROM t WHERE name = 'Brand#11' ORDER BY emitted_at DESC, call_id, seq LIMIT 100")
 def q34_tool_calls_of(spark, sf_dir):
     t = adapters.tool_calls(spark, sf_dir)
-    g = t.select("call_id").distinct().selectExpr("call_id", "CAST(NULL AS STRING) AS span_id", "CAST(NULL AS STRING) AS agent_name", "CAST(NULL AS STRING) AS model")
-    return surfaces.tool_calls_of(t, g, "Brand#11", 100).select("call_id", "tool_id", "status")
+    g = t.filter("call_id % 3 <> 0").select("call_id").distinct().selectExpr("call_id", "concat('s', call_id) AS span_id", "concat('agent-', call_id % 5) AS agent_name", "concat('m', call_id % 7) AS model")
+    return surfaces.tool_calls_of(t, g, "Brand#11", 100).select("call_id", "tool_id", "status", "agent_name", "model")
 
 
 _VC = f"""{_TURNS}, v AS (SELECT k.call_id, conv_id, turn, length(text) AS outp, (SELECT coalesce(sum(length(text)), 0) FROM h WHERE h.call_id = k.call_id)::BIGINT AS inp, (SELECT sum(length(text)) FROM th WHERE th.call_id = k.call_id)::BIGINT AS chars, (SELECT string_agg(text, chr(10) ORDER BY t) FROM sy WHERE sy.call_id = k.call_id) AS s FROM k),
@@ -561,11 +561,11 @@ def v18_normalised_docs(spark, sf_dir):
     return d.select("call_id", last["blocks"][0]["content"].alias("answer"))
 
 
-@query("SELECT event_id AS call_id, row_number() OVER (PARTITION BY event_type = 'error' ORDER BY event_id) AS seq, CASE WHEN event_type = 'error' THEN 'derive.failed' ELSE 'generation.derived' END AS kind FROM events WHERE event_type IN ('error', 'purchase')")
+@query("SELECT event_id AS call_id, row_number() OVER (PARTITION BY event_type = 'error' ORDER BY event_id) AS seq, CASE WHEN event_type = 'error' THEN 'derive.failed' ELSE 'generation.derived' END AS kind FROM events UNION ALL SELECT event_id, row_number() OVER (ORDER BY event_id), 'capture.started' FROM events")
 def l3_change_feed(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("call_id", F.col("event_id"))
-    ok = e.filter("event_type = 'purchase'").select("call_id", F.lit("s").alias("session_id"), F.lit("t").alias("trace_id"))
-    return tidy(live.change_feed(ok, e.filter("event_type = 'error'").select("call_id"), 1).select("call_id", "seq", "kind"))
+    ok = e.filter("event_type <> 'error'").select("call_id", F.lit("s").alias("session_id"), F.lit("t").alias("trace_id"))
+    return tidy(live.change_feed(e.select(F.col("event_id").alias("id")), ok, e.filter("event_type = 'error'").select("call_id"), 1).select("call_id", "seq", "kind"))
 
 
 # ---- captures with tools, made of orders, in both dialects ----
