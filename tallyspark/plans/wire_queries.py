@@ -24,8 +24,13 @@ e AS (SELECT *, answered AND NOT (dialect = 'claude_code' AND k % 19 = 0) AND di
   CASE WHEN failure IS NOT NULL AND status IS NULL THEN 'transport' WHEN status IS NOT NULL AND status NOT BETWEEN 200 AND 299 THEN 'http' WHEN streamed OR coalesce(starts_with(failure, 'reconstruct:'), false) THEN 'stream_incomplete' WHEN NOT answered THEN 'body_missing' END AS kind FROM e0)"""
 
 
+def _captures(spark, sf_dir: str) -> DataFrame:
+    """A5 as stored captures: what derives from them reads them several times."""
+    return cut(adapters.event_captures(spark, sf_dir), "captures")
+
+
 def _wide(spark, sf_dir: str) -> DataFrame:
-    return derive.derive_generations(adapters.event_captures(spark, sf_dir))[0]
+    return derive.derive_generations(_captures(spark, sf_dir))[0]
 
 
 _GENERATION = {
@@ -73,7 +78,7 @@ def p11_conversation_fingerprints(spark, sf_dir):
 
 
 def _parsed(spark, sf_dir):
-    return normalise.parse(normalise.inference_calls(adapters.event_captures(spark, sf_dir)))
+    return normalise.parse(normalise.inference_calls(_captures(spark, sf_dir)))
 
 
 @query(f"WITH {E} SELECT call_id AS id, dialect, CASE WHEN cl AND k % 2 = 0 THEN 's-' || user_id WHEN oa THEN CASE WHEN k % 2 = 0 THEN 'o-' ELSE 'c-' END || user_id END AS session_key, 'm-' || k % 5 AS model, dialect = 'unknown' AS raw_fallback, answered AND NOT (cl AND k % 19 = 0) AS has_response FROM e")
@@ -84,7 +89,7 @@ def n2_parse(spark, sf_dir):
 
 @query("SELECT event_id AS id FROM events WHERE event_id % 3 <> 0 AND event_id % 5 <> 0")
 def n3_inference_calls(spark, sf_dir):
-    x = adapters.event_captures(spark, sf_dir).withColumns({"method": F.when(F.col("id") % 3 == 0, "GET").when(F.col("id") % 3 == 1, "post").otherwise("POST"), "request_body": F.when(F.col("id") % 5 != 0, F.col("request_body"))})
+    x = _captures(spark, sf_dir).withColumns({"method": F.when(F.col("id") % 3 == 0, "GET").when(F.col("id") % 3 == 1, "post").otherwise("POST"), "request_body": F.when(F.col("id") % 5 != 0, F.col("request_body"))})
     return normalise.inference_calls(x).select("id")
 
 
@@ -208,7 +213,7 @@ def t8_tool_traces(spark, sf_dir):
 @query(f"WITH {E}, p AS (SELECT env, count(*) AS generations, count(DISTINCT CASE WHEN k % 2 = 0 THEN 's-' ELSE 'u-' END || user_id) AS sessions, array_to_string(list_sort(list(DISTINCT 'm-' || k % 5)), ',') AS models, coalesce(array_to_string(list_sort(list(DISTINCT '2.' || k || '.0') FILTER (billing IS NOT NULL)), ','), '') AS billing_variants FROM e WHERE cl GROUP BY env) SELECT * EXCLUDE (env) FROM p WHERE env = (SELECT env FROM e WHERE cl ORDER BY call_id LIMIT 1)")
 def q22_prompt_detail(spark, sf_dir):
     """One system prompt with its use: that of the first call of its dialect."""
-    g, _, segs, decls = derive.derive_generations(adapters.event_captures(spark, sf_dir))
+    g, _, segs, decls = derive.derive_generations(_captures(spark, sf_dir))
     g = cut(assemble.classify_agents(g), "roles")
     key = g.filter("provider = 'anthropic'").orderBy("call_id").select("system_hash").first()[0]
     return surfaces.prompt_detail(derive.harness_dims(segs, decls)[0], g, key).select("generations", "sessions", "models", "billing_variants")
@@ -217,7 +222,7 @@ def q22_prompt_detail(spark, sf_dir):
 @query(f"WITH {E}, one AS (SELECT * FROM e WHERE cl ORDER BY call_id DESC LIMIT 1) SELECT 'prompt' AS part, NULL AS name, length(env) + coalesce(length(billing), 0) AS chars FROM one UNION ALL SELECT 'tool', 'Alpha', 5 + 4 + 17 FROM one UNION ALL SELECT 'tool', 'mcp__s__b', 9 + 4 + 17 FROM one")
 def q7_context_parts(spark, sf_dir):
     """The prompt and the tools, by weight, that the last call of one dialect was sent with."""
-    g, _, segs, decls = derive.derive_generations(adapters.event_captures(spark, sf_dir))
+    g, _, segs, decls = derive.derive_generations(_captures(spark, sf_dir))
     g = cut(g.withColumn("span_id", F.lit(None).cast("string")), "calls")
     key = g.filter("provider = 'anthropic'").agg(F.max("call_id")).first()[0]
     prompts, _, schemas = derive.harness_dims(segs.join(g.filter(F.col("call_id") == key).select("call_id"), "call_id"), decls)
@@ -249,7 +254,7 @@ def q25_trace_detail(spark, sf_dir):
 @query("SELECT 'data_quality.parser_failed' AS rule_id, 'critical' AS severity, CAST(event_id AS VARCHAR) AS scope_id, 'data_quality.parser_failed:call:' || event_id AS dedup_key, 'Deriving the capture failed at request.' AS summary, epoch_us(ts) AS occurred_at FROM events WHERE event_id % 11 = 0")
 def d_data_quality_parser_failed(spark, sf_dir):
     """Captures whose payload is no JSON, as alerts, with key and prose."""
-    c = adapters.event_captures(spark, sf_dir).withColumn("request_body", F.when(F.col("id") % 11 == 0, F.left("request_body", F.lit(9))).otherwise(F.col("request_body")))
+    c = _captures(spark, sf_dir).withColumn("request_body", F.when(F.col("id") % 11 == 0, F.left("request_body", F.lit(9))).otherwise(F.col("request_body")))
     good, bad = maintenance.quarantine(c)
     found = detect.alerts(adapters.generations(spark, sf_dir).limit(0).withColumns({k: F.lit(None).cast("string") for k in ("span_id", "trace_id", "agent_id", "agent_role")} | {k: F.lit(None).cast("double") for k in pricing.COSTS}), None, bad)
     return tidy(found.select("rule_id", "severity", "scope_id", "dedup_key", "summary", "occurred_at"))
@@ -279,7 +284,7 @@ def v3_titles(spark, sf_dir):
 @query(f"WITH {E} SELECT call_id, coalesce(CASE WHEN cl AND k % 2 = 0 THEN 's-' || user_id WHEN oa THEN CASE WHEN k % 2 = 0 THEN 'o-' ELSE 'c-' END || user_id END, 'unscoped-call-' || call_id) AS session, CASE WHEN ok THEN k * 37 + 2 + cents END AS total_tokens, round(CASE WHEN ok THEN k * 5 / nullif(k * 37 + 2 + k * 5 + CASE WHEN cl THEN k * 3 ELSE 0 END, 0) END, 8) AS cache_reuse_rate FROM e")
 def v8_token_metrics(spark, sf_dir):
     """Sessions with keyless calls apart, totals only of known parts, reuse of the whole context."""
-    return tidy(diagnostics.token_metrics(diagnostics.call_frame(adapters.event_captures(spark, sf_dir))).select("call_id", "session", "total_tokens", "cache_reuse_rate"))
+    return tidy(diagnostics.token_metrics(diagnostics.call_frame(_captures(spark, sf_dir))).select("call_id", "session", "total_tokens", "cache_reuse_rate"))
 
 
 _V11 = f"""{E}, a AS (SELECT 'http_status' AS rule, call_id FROM e WHERE status IS NOT NULL AND status NOT BETWEEN 200 AND 299 UNION ALL SELECT 'transport_error', call_id FROM e WHERE failure IS NOT NULL AND status IS NULL
@@ -292,16 +297,16 @@ UNION ALL SELECT 'tool_result_missing', call_id FROM (SELECT call_id, unnest(gen
 @query(f"WITH {_V11} SELECT rule, call_id FROM a")
 def v11_call_alerts(spark, sf_dir):
     """All that is wrong with single calls: status, transport, usage, times, reuse, large blocks (here text of 40 characters) and unpaired tools."""
-    c = adapters.event_captures(spark, sf_dir)
-    b = normalise.blocks(normalise.turns(_parsed(spark, sf_dir))).withColumn("chars", F.when(F.col("kind") == "text", F.col("chars")))
+    c = _captures(spark, sf_dir)
+    b = normalise.blocks(normalise.turns(normalise.parse(normalise.inference_calls(c)))).withColumn("chars", F.when(F.col("kind") == "text", F.col("chars")))
     return diagnostics.call_alerts(diagnostics.call_frame(c), b, diagnostics.CallPolicy(large_block_chars=40)).select("rule", "call_id")
 
 
 @query(f"WITH {_V11} SELECT rule, call_id, (SELECT count(*) FROM a WHERE rule = 'http_status') AS total FROM a WHERE rule = 'http_status' ORDER BY call_id LIMIT 100 OFFSET 20")
 def v16_alert_inventory(spark, sf_dir):
     """A page of one rule's alerts with their number: the limit is held to 100."""
-    c = adapters.event_captures(spark, sf_dir)
-    a = diagnostics.call_alerts(diagnostics.call_frame(c), normalise.blocks(normalise.turns(_parsed(spark, sf_dir))))
+    c = _captures(spark, sf_dir)
+    a = diagnostics.call_alerts(diagnostics.call_frame(c), normalise.blocks(normalise.turns(normalise.parse(normalise.inference_calls(c)))))
     page, total = diagnostics.alert_inventory(a, {"rule": "http_status", "offset": 20, "limit": 500})
     return page.select("rule", "call_id").crossJoin(total)  # one row
 
@@ -309,7 +314,7 @@ def v16_alert_inventory(spark, sf_dir):
 @query(f"WITH {E} SELECT 'slow_latency' AS rule, call_id FROM e WHERE cents * 10 > 10000 AND dialect <> 'none' UNION ALL SELECT 'slow_ttft', call_id FROM e WHERE k % 10 <> 0 AND k > 3000")
 def v14_timeline_alerts(spark, sf_dir):
     """Slow calls and slow first tokens."""
-    return diagnostics.session_alerts(diagnostics.call_frame(adapters.event_captures(spark, sf_dir))).filter("rule LIKE 'slow%'").select("rule", "call_id")
+    return diagnostics.session_alerts(diagnostics.call_frame(_captures(spark, sf_dir))).filter("rule LIKE 'slow%'").select("rule", "call_id")
 
 
 # ---- sources, functions and policies ----
@@ -319,19 +324,19 @@ def v14_timeline_alerts(spark, sf_dir):
 def s1_read_calls(spark, sf_dir):
     """Captures written and read again: payloads that are no JSON are null."""
     path = f"{shared_dir(spark)}/calls-{uuid.uuid4().hex}"
-    c = adapters.event_captures(spark, sf_dir).withColumn("request_body", F.when(F.col("id") % 3 == 0, F.left("request_body", F.lit(7))).otherwise(F.col("request_body")))
+    c = _captures(spark, sf_dir).withColumn("request_body", F.when(F.col("id") % 3 == 0, F.left("request_body", F.lit(7))).otherwise(F.col("request_body")))
     sources.append_calls(c, path)
     return sources.read_calls(spark, path).select("id", F.col("request_body").isNotNull().alias("body_kept"))
 
 
 @query("SELECT event_id AS id, 'POST' AS method FROM events ORDER BY event_id DESC LIMIT 50")
 def s1_newest(spark, sf_dir):
-    return sources.newest(adapters.event_captures(spark, sf_dir)).select("id", "method")
+    return sources.newest(_captures(spark, sf_dir)).select("id", "method")
 
 
 @query("SELECT max(event_id) AS id FROM events")
 def s2_get_call(spark, sf_dir):
-    c = adapters.event_captures(spark, sf_dir)
+    c = _captures(spark, sf_dir)
     return sources.get_call(c, c.agg(F.max("id")).first()[0]).select("id")
 
 
@@ -339,7 +344,7 @@ def s2_get_call(spark, sf_dir):
 def s3_append_calls(spark, sf_dir):
     """Captures in two appends: each is there once."""
     path = f"{shared_dir(spark)}/calls-{uuid.uuid4().hex}"
-    c = adapters.event_captures(spark, sf_dir)
+    c = _captures(spark, sf_dir)
     for part in (0, 1):
         sources.append_calls(c.filter(F.col("id") % 2 == part), path)
     return sources.read_calls(spark, path).groupBy("id").agg(F.count("*").alias("n"))
