@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.scalars import fingerprint, stop_sequence_tag
+from tallyspark.functions.tables import cut
 
 
 def session_baseline(g: DataFrame, by: str = "session_id") -> DataFrame:
@@ -87,12 +88,14 @@ def assemble(g: DataFrame) -> DataFrame:
     """Adds agent, trace_id, span_id, parent_span_id and depth; calls without a session have none.
 
     A helper's parent is the latest main call of its trace that was running when it started. Where the last that had
-    started was over by then and an earlier one was not, a range join within the trace finds it.
+    started was over by then and an earlier one was not, a range join within the trace finds it. Writes a table in
+    spark.checkpoint.dir when it is called.
     """
     added = ("agent_id", "agent_role", "agent_name", "span_id", "trace_id", "parent_span_id", "depth")
     # Calls without a session are sessions of one call meanwhile, so that they do not meet in one partition.
     x = g.drop(*added).withColumn("_s", F.coalesce("session_id", F.concat(F.lit("\u0000"), F.col("call_id"))))
-    x = traced(classify_agents(x, "_s").withColumn("span_id", span_name()), "_s")
+    # Read three times below: cut here, the calls are scanned, shuffled and classified once.
+    x = cut(traced(classify_agents(x, "_s").withColumn("span_id", span_name()), "_s"), "traced")
     hosts = x.filter((F.col("agent_role") == "main") & F.col("ended_at").isNotNull()).select(F.col("_s").alias("_hs"), F.col("trace_id").alias("_ht"), F.col("started_at").alias("_from"), F.col("ended_at").alias("_to"), F.col("call_id").alias("_hc"), F.col("span_id").alias("_hspan"))
     asked = x.filter("_unsure")
     met = asked.join(hosts, (F.col("_s") == F.col("_hs")) & (F.col("trace_id") == F.col("_ht")) & F.col("started_at").between(F.col("_from"), F.col("_to")), "left")

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions import scalars
-from tallyspark.functions.tables import cut
 from tallyspark.operators import assemble, derive, detect, normalise, pricing, reassemble
 from tallyspark.plans import adapters, diagnostics, surfaces
 from tallyspark.sources import captures as sources
@@ -199,8 +198,8 @@ ALERTS = f"{T}, {_TREND}, {_SM}, f AS ({_FIND})"
 
 
 def found(spark, sf_dir):
-    """Alerts; the rules go over the calls and over the sessions, so the calls are assembled once."""
-    return detect.alerts(cut(assembled(spark, sf_dir), "assembled"))
+    """Alerts; the rules go over the calls and over the sessions, both of the table that assembling writes."""
+    return detect.alerts(assembled(spark, sf_dir))
 
 
 @query(f"WITH {ALERTS} SELECT rule_id, severity, scope_id, session_id, round(metric_value, 8) AS metric_value, {_MS('occurred_at')} AS occurred_at FROM f")
@@ -210,7 +209,7 @@ def d0_alerts(spark, sf_dir):
 
 def _rule_query(rule):
     def run(spark, sf_dir):
-        g = cut(assembled(spark, sf_dir), "assembled") if rule.source != "tool" else None
+        g = assembled(spark, sf_dir) if rule.source != "tool" else None
         x = detect.run_rules(g) if g is not None else detect._fold(adapters.tool_calls(spark, sf_dir), "tool", detect.Policy())
         return tidy(x.filter(F.col("rule_id") == rule.id).select("rule_id", "severity", "scope_id", "session_id", "metric_value", "occurred_at"))
 
@@ -263,7 +262,7 @@ def q1_apply_filters(spark, sf_dir):
 
 @query(f"WITH {ALERTS}, {_ROLL} SELECT (SELECT count(*) FROM t) AS generations, (SELECT count(DISTINCT trace_id) FROM t) AS traces, (SELECT round(count(input_tokens) / count(*), 8) FROM t) AS usage_coverage, (SELECT round(count(cost_total_usd) / count(*), 8) FROM t) AS cost_coverage, (SELECT count(*) FROM events) AS calls, (SELECT count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey) AS tool_calls, (SELECT count(*) FROM sess) AS sessions, (SELECT count(*) FROM f) AS alerts, CAST(0 AS BIGINT) AS derive_failures")
 def q10_meta(spark, sf_dir):
-    g = cut(assembled(spark, sf_dir), "assembled")
+    g = assembled(spark, sf_dir)
     calls = spark.read.parquet(f"{sf_dir}/events.parquet")
     return tidy(surfaces.meta(calls, g, adapters.tool_calls(spark, sf_dir), assemble.rollup_sessions(g), detect.alerts(g), calls.filter("false")))
 

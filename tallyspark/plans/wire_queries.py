@@ -235,7 +235,7 @@ _BUSY = "(SELECT session_id FROM t GROUP BY 1 ORDER BY count(*) DESC, session_id
 
 @query(f"WITH {ALERTS} SELECT rule_id, severity, scope_id, epoch_us(occurred_at) AS occurred_at FROM f WHERE session_id = {_BUSY}")
 def q29_session_alerts(spark, sf_dir):
-    g = cut(assembled(spark, sf_dir), "assembled")
+    g = assembled(spark, sf_dir)
     key = g.groupBy("session_id").count().orderBy(F.desc("count"), "session_id").first()[0]
     return tidy(surfaces.session_alerts_view(detect.alerts(g), key).select("rule_id", "severity", "scope_id", "occurred_at"))
 
@@ -243,7 +243,7 @@ def q29_session_alerts(spark, sf_dir):
 @query(f"WITH {ALERTS}, k AS (SELECT trace_id FROM t GROUP BY 1 ORDER BY count(*) DESC, trace_id LIMIT 1) SELECT 'span' AS part, span_id AS id, round(cost_total_usd, 8) AS cost, total_tokens AS tokens FROM t WHERE trace_id = (SELECT trace_id FROM k) UNION ALL SELECT 'alert', f.rule_id || f.scope_id, NULL, NULL FROM f JOIN t ON f.scope_id = t.span_id WHERE t.trace_id = (SELECT trace_id FROM k)")
 def q25_trace_detail(spark, sf_dir):
     """Spans with cost and tokens, and alerts, of the largest trace."""
-    g = cut(assembled(spark, sf_dir), "assembled")
+    g = assembled(spark, sf_dir)
     key = g.groupBy("trace_id").count().orderBy(F.desc("count"), "trace_id").first()[0]
     spans, _, alerts = surfaces.trace_detail(g, adapters.tool_calls(spark, sf_dir), detect.alerts(g), key)
     none = lambda kind: F.lit(None).cast(kind)
@@ -263,7 +263,7 @@ def d_data_quality_parser_failed(spark, sf_dir):
 @query(f"WITH {T}, f AS (SELECT span_id, 'performance.slow_ttft:call:' || span_id AS dedup_key, 'The first token took ' || ttft_ms || ' ms.' AS summary, '{{\"ttft_ms\":' || ttft_ms || '}}' AS observed, trace_id FROM t WHERE ttft_ms > 3000) SELECT dedup_key, 'performance' AS category, summary, observed, trace_id, 3000.0::DOUBLE AS threshold, 'ms' AS metric_unit, CAST(1 AS BIGINT) AS occurrences FROM f")
 def d0_alert_texts(spark, sf_dir):
     """Keys, summaries, observed values, traces, thresholds and units of one rule's alerts."""
-    a = detect.alerts(cut(assembled(spark, sf_dir), "assembled")).filter("rule_id = 'performance.slow_ttft'")
+    a = detect.alerts(assembled(spark, sf_dir)).filter("rule_id = 'performance.slow_ttft'")
     return tidy(a.select("dedup_key", "category", "summary", "observed", "trace_id", "threshold", "metric_unit", "occurrences"))
 
 
