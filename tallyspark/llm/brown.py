@@ -254,10 +254,11 @@ def _class_matrix(classes, n_classes, block):
     return run
 
 
-def best_classes(matrix: np.ndarray, before: np.ndarray, n: np.ndarray, start: np.ndarray, own: np.ndarray) -> np.ndarray:
+def best_classes(matrix: np.ndarray, before: np.ndarray, n: np.ndarray, start: np.ndarray, own: np.ndarray, taken: int | None = None) -> np.ndarray:
     """The class of each word that raises the likelihood of the transitions into it most, all else as in `matrix`.
 
     Word k holds the entries start[k]..start[k + 1]: it follows class before[i] n[i] times; it counts in class own[k] now.
+    taken: a class that takes no word.
     """
     m, size = matrix.astype(float), matrix.sum(0).astype(float)
     once = xlogx(m + 1) - xlogx(m)
@@ -279,7 +280,10 @@ def best_classes(matrix: np.ndarray, before: np.ndarray, n: np.ndarray, start: n
         cost = xlogx(size + total[:, None]) - xlogx(size)
         c, at = own[low:high], np.arange(high - low)
         cost[at, c] = xlogx(size[c]) - xlogx(np.maximum(size[c] - total, 0))
-        out[low:high] = (gain - cost).argmax(1)
+        gain -= cost
+        if taken is not None:
+            gain[:, taken] = -np.inf
+        out[low:high] = gain.argmax(1)
     return out
 
 
@@ -337,7 +341,7 @@ def refine(rows: DataFrame, tokens: int, heads: np.ndarray, n_pools: int, n_clas
         w, p, n = w[at], p[at].astype(np.int64), np.add.reduceat(n, at)
         start = np.flatnonzero(np.concatenate([[True], np.diff(w) != 0]))
         before, own = p // n_classes, (p % n_classes)[start]
-        new = best_classes(matrix, before, n, start, own)
+        new = best_classes(matrix, before, n, start, own, int(classes[end]))
         each = np.diff(np.append(start, len(w)))
         moved = np.bincount(before * n_classes + np.repeat(new, each), weights=n, minlength=n_classes**2) - np.bincount(p, weights=n, minlength=n_classes**2)
         cells = np.flatnonzero(moved)

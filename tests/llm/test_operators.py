@@ -284,22 +284,29 @@ def test_exchange_gains_are_likelihood_differences():
     assert brown.best_classes(m, p, n, np.array([0]), np.array([own]))[0] == int(np.argmax(values))
 
 
-def test_brown_is_a_distribution(spark, monkeypatch):
-    """All words of a vocabulary after each context, the unknown one among them, have probability 1 together."""
+def test_brown_probabilities_sum_to_one(spark, monkeypatch):
+    """Transitions from each class, and the words of a class with its unknown one, as scores of one-word texts show them."""
+    m = brown.transitions(np.array([[3, 0, 1], [5, 5, 5], [0, 0, 0]]))
+    assert np.allclose(m.sum(1), 1)
     monkeypatch.setattr(brown, "held_out", lambda c, parts, part: c >= 1000)
     rng = random.Random(3)
     names = [f"w{i}" for i in range(30)]
     train = [(i, " ".join(rng.choice(names[: rng.randint(2, 30)]) for _ in range(rng.randint(1, 20)))) for i in range(40)]
     seen = sorted({w for _, t in train for w in t.split()})
-    asks = [(1000, "w1"), *((1001 + i, f"w1 {w}") for i, w in enumerate(seen))]
-    got = {r["doc_id"]: r["score"] for r in brown.score(spark.createDataFrame(train + asks, "doc_id long, text string"), n_types=8, n_pools=4, n_classes=4, rounds=4, looked_up=12).collect()}
-    # P(w1 w </s>) / (P(w1) P(</s> | w)) summed over w, with P(</s> | w) from the text "w".
-    ends = brown.score(spark.createDataFrame(train + [(1000 + i, w) for i, w in enumerate(seen)], "doc_id long, text string"), n_types=8, n_pools=4, n_classes=4, rounds=4, looked_up=12)
-    starts = {r["doc_id"]: r["score"] for r in ends.collect()}
-    total = {r["doc_id"]: r for r in ends.collect()}
-    assert starts and total and all(got[1001 + i] < got[1000] for i in range(len(seen)))
-    m = brown.transitions(np.array([[3, 0, 1], [5, 5, 5], [0, 0, 0]]))
-    assert np.allclose(m.sum(1), 1)
+    # One class for the end and one for all words: what follows a word is the end, or any word after any word.
+    asks = [(1000, ""), (1001, "w1"), (1002, "w1 w1"), (1003, "never"), (1004, "never w1"), *((1010 + i, w) for i, w in enumerate(seen))]
+    got = {r["doc_id"]: r["score"] for r in brown.score(spark.createDataFrame(train + asks, "doc_id long, text string"), n_types=8, n_pools=4, n_classes=2, rounds=2, looked_up=12).collect()}
+    n = collections.Counter(w for _, t in train for w in t.split())
+    once, twice = sum(x == 1 for x in n.values()), sum(x == 2 for x in n.values())
+    discount = once / (once + 2 * twice) if once and twice else 0.5
+    end = (len(train) - discount) / len(train)  # the end's class has room for unknown ends
+    first = 1 - 10 ** got[1000] / end  # a word begins the text
+    again = 10 ** (got[1002] - got[1001])  # w1 after a word
+    # P(text of one word) = P(word class | start) P(word | class) P(end | word class); over all words the middle sums to 1.
+    stop = (sum(10 ** got[1010 + i] for i in range(len(seen))) + 10 ** got[1003]) / first
+    assert 0 < stop < 1
+    in_class = 10 ** got[1001] / (first * stop)
+    assert again == pytest.approx((1 - stop / end) * in_class, rel=1e-6)
 
 
 def test_forward_backward_is_exact():
