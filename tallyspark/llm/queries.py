@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, crf_langid, decontaminate, jaccard_join, licenses, line_dedup, mixing, packing, simhash, url_filter
+from . import brown, crf_langid, decontaminate, filter_audit, jaccard_join, licenses, line_dedup, mixing, packing, prefix_trie, simhash, slots, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,8 +90,20 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(captures(pages), dated_entries(pages)).select("page_id", F.col("fetched_at").cast("string").alias("fetched_at"), "verdict", "matched_list", "matched_pattern", "n_active")
 
 
+def op11_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slots.shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.family_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_brown_lm, op2_license_scan, op3_temperature_mix, op4_crf_langid, op5_simhash, op6_decontaminate, op7_pack_tokens, op8_jaccard_join, op9_line_dedup, op10_url_filter)}
+    return {f.__name__: f for f in (op1_brown_lm, op2_license_scan, op3_temperature_mix, op4_crf_langid, op5_simhash, op6_decontaminate, op7_pack_tokens, op8_jaccard_join, op9_line_dedup, op10_url_filter, op11_virtual_slots, op12_filter_audit, op13_prefix_trie)}
 
 
 _WORDS6 = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
@@ -155,6 +167,50 @@ SELECT p.page_id, CAST(p.day AS VARCHAR) AS fetched_at, coalesce(action, 'allow'
 FROM p LEFT JOIN m ON p.page_id = m.page_id AND rn = 1"""
 
 
+OP12_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+first_of AS (SELECT text, min(doc_id) AS least FROM d GROUP BY text),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT d.doc_id, part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+        (CASE WHEN len(w) < 200 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END)
+        || (CASE WHEN 100 * length(regexp_replace(d.text, '[^A-Z]', '', 'g')) > 2 * length(d.text) THEN 'C' ELSE '' END)
+        || (CASE WHEN regexp_matches(d.text, '[#$%&*|]') THEN 'D' ELSE '' END) || (CASE WHEN d.doc_id > least THEN 'E' ELSE '' END) AS fails
+      FROM d JOIN first_of USING (text) LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY part, fails),
+p AS (SELECT '' AS o UNION ALL SELECT o || x FROM p, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE NOT contains(o, x)),
+o AS (SELECT o, unnest(range(1, 6)) AS step FROM p WHERE length(o) = 5),
+s AS (SELECT c.*, o.o, step, substr(o.o, CAST(step AS INTEGER), 1) AS me, list_bool_or(list_transform(string_split(substr(o.o, 1, CAST(step AS INTEGER) - 1), ''), lambda x: x <> '' AND contains(fails, x))) AS gone FROM c, o),
+r AS (SELECT part, o AS filter_order, step, any_value(me) AS me,
+        sum(CASE WHEN NOT coalesce(gone, false) AND NOT contains(fails, me) THEN n ELSE 0 END) AS kept, sum(CASE WHEN NOT coalesce(gone, false) AND contains(fails, me) THEN n ELSE 0 END) AS removed,
+        sum(CASE WHEN coalesce(gone, false) AND contains(fails, me) THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails = me THEN n ELSE 0 END) AS unique_fails,
+        sum(CASE WHEN NOT coalesce(gone, false) AND contains(fails, me) THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN NOT coalesce(gone, false) AND contains(fails, me) THEN toxic ELSE 0 END) AS toxic_lost
+      FROM s GROUP BY part, o, step)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, me) AS BIGINT) AS shapley
+FROM r"""
+
+#: crc32 of a short text in SQL: its bits, eight a character, folded.
+_CRC = """list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split({0}, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda a, x: list_reduce(list_concat([xor(a, x)], [CAST(0 AS BIGINT) for k in range(8)]), lambda r, z: CASE WHEN r & 1 = 1 THEN xor(r >> 1, CAST(3988292384 AS BIGINT)) ELSE r >> 1 END))"""
+
+OP13_SQL = rf"""
+WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, '')) AS pos, sha256(coalesce(role, '') || chr(31) || coalesce(text, '')) AS turn, strlen(coalesce(text, '')) AS bytes FROM conversations WHERE conv_id IS NOT NULL),
+i AS (SELECT c, xor({_CRC.format("CAST(c AS VARCHAR)")}, 4294967295) % 9 AS h FROM (SELECT DISTINCT c FROM t)),
+r AS (SELECT c, 1 AS part, pos, turn, bytes FROM t JOIN i USING (c) WHERE pos > h OR c % 5 = 0
+  UNION ALL SELECT i.c, 0, pos, turn, bytes FROM i JOIN t ON t.c = i.c - i.c % 5 WHERE i.c % 5 <> 0 AND pos <= h),
+q AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, pos) AS d, turn, bytes FROM r),
+k AS (SELECT c, d, bytes, string_agg(turn, '') OVER (PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING) AS path, count(*) OVER (PARTITION BY c) AS n FROM q),
+m AS (SELECT c, d, bytes, sha256(path) AS node, d = n AS ends, CASE WHEN d = 1 THEN '' ELSE sha256(left(path, -64)) END AS up FROM k
+  UNION ALL SELECT i.c, 0, 0, '', NOT EXISTS (SELECT 1 FROM q WHERE q.c = i.c), NULL FROM i),
+g AS (SELECT node, any_value(up) AS up, any_value(d) AS d, min(c) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '') AS ends FROM m GROUP BY node),
+ch AS (SELECT up AS node, count(*) AS n_children FROM g WHERE up IS NOT NULL GROUP BY up),
+v AS (SELECT g.*, coalesce(n_children, 0) AS n_children FROM g LEFT JOIN ch USING (node)),
+path AS (SELECT DISTINCT a.node AS top, b.node AS under FROM m a JOIN m b ON a.c = b.c AND b.d >= a.d),
+s AS (SELECT top AS node, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * bytes) AS saved FROM path JOIN v ON v.node = path.under GROUP BY top)
+SELECT v.conv_id, CAST(v.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, v.n_convs, CAST(v.n_children AS BIGINT) AS n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(v.ends) AS ends_sha256
+FROM v JOIN s USING (node) LEFT JOIN v u ON u.node = v.up"""
+
+
 def _sql_text(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
@@ -177,4 +233,4 @@ SELECT doc_id, digest, license, coalesce(n, 0) AS n_notices, coalesce(names, '')
 
 
 def oracle_sql() -> dict:
-    return {"op2_license_scan": _op2_sql(), "op6_decontaminate": OP6_SQL, "op8_jaccard_join": OP8_SQL, "op9_line_dedup": OP9_SQL, "op10_url_filter": OP10_SQL}
+    return {"op2_license_scan": _op2_sql(), "op6_decontaminate": OP6_SQL, "op8_jaccard_join": OP8_SQL, "op9_line_dedup": OP9_SQL, "op10_url_filter": OP10_SQL, "op12_filter_audit": OP12_SQL, "op13_prefix_trie": OP13_SQL}
