@@ -2,10 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with `value` computed once however often `then` reads it, also inside other lambdas."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def once(x: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """`x` with new columns that are worked out once a row, whatever reads or filters them.
+
+    A plain column may be copied into each expression that reads it, and into filters pushed below it; what comes out of
+    a generator is not. Filters on the columns of `x` still go through to the files.
+    """
+    return x.select("*", F.inline_outer(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def strict_json(raw: Column) -> Column:
+    """A text as VARIANT if all of it is one JSON value, else null; white space around the value is no text.
+
+    Spark's parser stops after the first value. So the text is read as the first item of an array whose second is a
+    hash of the text: what stands after the value takes that place or breaks the array.
+    """
+    mark = F.xxhash64(raw)
+    read = F.try_parse_json(F.concat(F.lit("["), raw, F.lit(","), mark.cast("string"), F.lit("]")))
+    whole_text = lambda v: F.coalesce(F.try_variant_get(v, "$[1]", "bigint") == mark, F.lit(False)) & F.try_variant_get(v, "$[2]", "variant").isNull()
+    return let(read, lambda v: F.when(whole_text(v), F.try_variant_get(v, "$[0]", "variant")))
+
+
 def json_kind(v: Column) -> Column:
     """STRING, ARRAY, OBJECT, BIGINT, DOUBLE, BOOLEAN, VOID ..; null for null."""
     return F.substring_index(F.schema_of_variant(v), "<", 1)
@@ -43,3 +71,25 @@ def flat_text(v: Column) -> Column:
     """A string, the joined texts of an array of parts, or any other value as JSON; null for an absent one."""
     parts = F.transform(items(v), lambda p: F.coalesce(text(p, "$.text"), text(p)))
     return F.when(json_kind(v) == "STRING", F.try_variant_get(v, "$", "string")).when(json_kind(v) == "ARRAY", F.array_join(F.filter(parts, lambda p: p.isNotNull()), "")).when(v.isNotNull(), F.to_json(v))
+
+
+def quoted(c: Column) -> Column:
+    """A string as JSON, quotes and escapes included; null for null."""
+    return let(F.to_json(F.struct(c.alias("x"))), lambda j: F.when(c.isNotNull(), F.substring(j, F.lit(6), F.char_length(j) - 6)))
+
+
+def json_fields(v: Column) -> Column:
+    """An object's fields as map<string, JSON text>; null if it is no object."""
+    return F.when(json_kind(v) == "OBJECT", F.transform_values(v.cast("map<string,variant>"), lambda _, x: F.to_json(x)))
+
+
+def merged(under: Column, over: Column) -> Column:
+    """Two maps as one, the second winning; a null one is empty."""
+    none = F.create_map().cast("map<string,string>")
+    a, b = F.coalesce(under, none), F.coalesce(over, none)
+    return F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b)
+
+
+def json_object(fields: Column) -> Column:
+    """A map<string, JSON text> as a JSON object, its keys in order."""
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_entries(fields)), lambda e: F.concat(quoted(e["key"]), F.lit(":"), F.coalesce(e["value"], F.lit("null")))), ","), F.lit("}"))

@@ -1,12 +1,12 @@
-"""Generations, tool calls and harness dimensions out of normalised captures."""
+"""Generations, tool calls and harness dimensions out of normalised captures: everything of a call within its row."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.scalars import excerpt, fingerprint, header, is_injected, line_value, mcp_server, millis_between, trace_context
-from tallyspark.functions.variants import items, json_kind, sub, text, whole
+from tallyspark.functions.variants import items, let, strict_json, sub, text, whole
 from tallyspark.operators import normalise
 
 BILLING_PREFIX = "x-anthropic-billing-header:"
@@ -21,68 +21,110 @@ def frameworks():
     return F.when(F.col("dialect") == "claude_code", "claude-code").when(F.col("dialect") == "openai", F.when(has("codex"), "codex").when(has("opencode"), "opencode").when(has("pi-"), "pi-dev").otherwise("openai-sdk"))
 
 
-def system_shape(segs: DataFrame) -> DataFrame:
-    """System prompt of each call: fingerprint without the billing segment; sizes with it; variant, branch, folder."""
-    at = F.array_sort(F.collect_list(F.struct("seg", "text", "chars", "cache_control")))
-    x = segs.groupBy("call_id").agg(at.alias("s"))
-    texts = F.transform("s", lambda s: s["text"])
+def _sum(values) -> Column:
+    return F.aggregate(values, F.lit(0).cast("long"), lambda a, n: a + F.coalesce(n, F.lit(0)).cast("long"))
+
+
+def with_system_shape(x: DataFrame) -> DataFrame:
+    """System prompt of each row's `segs`: fingerprint without the billing segment; sizes with it; variant, branch, folder. Null without segments."""
+    some = F.size("segs") > 0
+    texts = F.transform("segs", lambda s: s["text"])
     kept = F.filter(texts, lambda t: ~t.startswith(BILLING_PREFIX))
-    joined = F.array_join(texts, "\n")
-    first = F.get(texts, F.lit(0))
-    return x.select(
-        "call_id", fingerprint(F.array_join(kept, "\u001e")).alias("system_hash"), F.aggregate("s", F.lit(0).cast("long"), lambda a, s: a + s["chars"]).alias("system_chars"), F.size("s").cast("long").alias("system_segments"),
-        F.size(F.filter("s", lambda s: s["cache_control"])).cast("long").alias("cache_points"), F.nullif(F.trim(F.regexp_extract(first, r"cc_version=([^;]*);", 1)), F.lit("")).alias("billing_variant"),
-        line_value(joined, "Current branch:").alias("git_branch"), line_value(joined, "Primary working directory:").alias("cwd"), F.transform("s", lambda s: F.struct(s["text"].alias("text"), s["chars"].alias("chars"), s["cache_control"].alias("cache_control"))).alias("segments"))
-
-
-def tool_shape(decls: DataFrame) -> DataFrame:
-    """Declared tools of each call: fingerprint of the set by name, sizes, and how many are from servers."""
-    size = F.char_length("name") + F.coalesce(F.char_length("description"), F.lit(0)) + F.coalesce(F.char_length("input_schema"), F.lit(0))
-    x = decls.withColumn("chars", size.cast("long")).groupBy("call_id").agg(F.array_sort(F.collect_list(F.struct("name", "description", "input_schema", "chars"))).alias("tools"))
+    x = x.withColumn("_said", F.when(some, F.array_join(texts, "\n")))
+    variant = F.regexp_extract(F.get("segs", F.lit(0))["text"], r"cc_version=([^;]*);", 1)
+    return x.withColumns({
+        "system_hash": F.when(some, fingerprint(F.array_join(kept, "\u001e"))), "system_chars": F.when(some, _sum(F.transform("segs", lambda s: F.char_length(s["text"])))), "system_segments": F.when(some, F.size("segs").cast("long")),
+        "cache_points": F.when(some, F.size(F.filter("segs", lambda s: s["cache_control"])).cast("long")), "billing_variant": F.when(some, F.nullif(F.trim(variant), F.lit(""))),
+        "git_branch": line_value(F.col("_said"), "Current branch:"), "cwd": line_value(F.col("_said"), "Primary working directory:")}).drop("_said")
+
+
+def with_tool_shape(x: DataFrame) -> DataFrame:
+    """Declared tools of each row's `decls`: fingerprint of the set by name, sizes, and how many are from servers. Null without tools, but the count."""
+    size = lambda d: F.char_length(d["name"]) + F.coalesce(F.char_length(d["description"]), F.lit(0)) + F.coalesce(F.char_length(d["input_schema"]), F.lit(0))
+    x = x.withColumn("tools", F.array_sort(F.transform("decls", lambda d: F.struct(d["name"].alias("name"), d["description"].alias("description"), d["input_schema"].alias("input_schema"), size(d).cast("long").alias("chars")))))
+    some = F.size("tools") > 0
     key = F.array_join(F.transform("tools", lambda t: F.concat_ws("\u001e", t["name"], F.coalesce(t["description"], F.lit("")), F.coalesce(t["input_schema"], F.lit("")))), "\u001e")
-    return x.select("call_id", fingerprint(key).alias("tools_hash"), F.size("tools").cast("long").alias("tools_declared_count"), F.aggregate("tools", F.lit(0).cast("long"), lambda a, t: a + t["chars"]).alias("tools_chars"), F.size(F.filter("tools", lambda t: mcp_server(t["name"]).isNotNull())).cast("long").alias("mcp_tools_count"), "tools")
-
-
-def thread_shape(turn_rows: DataFrame) -> DataFrame:
-    """Thread of each call: turns and characters, whether a human spoke last, rolling fingerprints, first prompt."""
-    body = lambda t: F.array_join(F.transform(t["blocks"], lambda b: F.concat_ws("\u001f", b["kind"], F.coalesce(b["content"], F.lit("")), F.coalesce(b["tool_name"], F.lit("")), F.coalesce(b["input"], F.lit("")), F.coalesce(b["tool_use_id"], F.lit("")))), "\u001e")
-    x = turn_rows.groupBy("call_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "origin", "blocks"))).alias("t"))
-    old = F.filter("t", lambda t: t["origin"] == "history")
-    x = x.withColumn("h", old)
-    last = F.try_element_at("h", F.lit(-1))
-    fold = lambda ts: F.aggregate(ts, F.lit(""), lambda acc, t: F.sha2(F.concat(acc, F.lit("\u001e"), t["role"], F.lit("\u001e"), body(t)), 256))
-    said = F.flatten(F.transform(F.filter("t", lambda t: t["role"] == "user"), lambda t: F.filter(t["blocks"], lambda b: (b["kind"] == "text") & b["content_tag"].isNull() & ~is_injected(b["content"]) & (F.trim(b["content"]) != ""))))
-    return x.select(
-        "call_id", F.size("h").cast("long").alias("messages_count"), F.aggregate(F.flatten(F.transform("t", lambda t: t["blocks"])), F.lit(0).cast("long"), lambda a, b: a + F.coalesce(b["chars"], F.lit(0).cast("long"))).alias("context_chars"),
-        F.coalesce((last["role"] == "user") & F.exists(last["blocks"], lambda b: b["kind"] == "text"), F.lit(False)).alias("new_user_turn"),
-        F.when(F.size("h") > 0, F.substring(fold(F.col("h")), 1, 16)).alias("conversation_hash"), F.when(F.size("h") > 0, F.substring(fold(F.slice("h", 1, 1)), 1, 16)).alias("first_turn_hash"), excerpt(F.get(said, F.lit(0))["content"], 512).alias("user_prompt"))
-
-
-def derive_tool_calls(parsed: DataFrame, blocks: DataFrame, decls: DataFrame) -> DataFrame:
-    """A row for each tool use of each call's thread (one that is sent again shows in every later call)."""
-    from pyspark.sql import Window
-
-    uses = normalise.pair_tools(blocks)
-    known = decls.select("call_id", "name").distinct().withColumn("was_declared", F.lit(True))
-    x = uses.withColumn("name", F.coalesce("name", F.lit("<unnamed>"))).join(known, ["call_id", "name"], "left").join(parsed.select(F.col("id").alias("call_id"), F.col("session_key").alias("session_id"), F.coalesce("timestamp_end", "timestamp_start").alias("emitted_at")), "call_id")
-    seq = F.row_number().over(Window.partitionBy("call_id").orderBy("turn", "block")) - 1
-    return x.select(
-        "call_id", "session_id", seq.alias("seq"), F.concat_ws(":", "call_id", seq).alias("tool_id"), "tool_use_id", "name", mcp_server(F.col("name")).alias("server"), F.col("name").startswith("mcp__").alias("is_mcp"), F.coalesce("was_declared", F.lit(False)).alias("was_declared"),
-        F.coalesce(F.char_length("input"), F.lit(0)).cast("long").alias("input_chars"), excerpt(F.col("input"), 400).alias("input_excerpt"), "result_chars", excerpt(F.col("result"), 400).alias("result_excerpt"),
-        F.when(F.col("paired"), F.col("result_error")).alias("is_error"), F.when(~F.col("paired"), "pending").when(F.col("result_error"), "error").otherwise("ok").alias("status"), "emitted_at", F.lit(None).cast("timestamp").alias("observed_at"), F.lit(None).cast("long").alias("duration_ms"))
+    return x.withColumns({
+        "tools_hash": F.when(some, fingerprint(key)), "tools_declared_count": F.size("tools").cast("long"), "tools_chars": F.when(some, _sum(F.transform("tools", lambda t: t["chars"]))),
+        "mcp_tools_count": F.when(some, F.size(F.filter("tools", lambda t: mcp_server(t["name"]).isNotNull())).cast("long"))})
+
+
+def turn_hash(t: Column) -> Column:
+    """A turn's digest: its role and what its blocks hold, their sizes and errors aside."""
+    said = F.array_join(F.transform(t["blocks"], lambda b: F.concat_ws("\u001f", b["kind"], F.coalesce(b["content"], F.lit("")), F.coalesce(b["tool_name"], F.lit("")), F.coalesce(b["input"], F.lit("")), F.coalesce(b["tool_use_id"], F.lit("")))), "\u001e")
+    return F.sha2(F.concat(F.coalesce(t["role"], F.lit("")), F.lit("\u001e"), said), 256)
+
+
+def chained(hashes: Column) -> Column:
+    """The digest of a whole array of digests: each step is that of the step before and the next."""
+    return F.aggregate(hashes, F.lit(""), lambda acc, h: F.sha2(F.concat(acc, h), 256))
+
+
+def prefix_hashes(hashes: Column) -> Column:
+    """A 64-bit hash of each prefix of an array of digests, from the first on: two calls share their first n turns if their n-th are equal."""
+    return F.aggregate(hashes, F.array().cast("array<bigint>"), lambda acc, h: F.array_append(acc, F.xxhash64(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0).cast("long")), h)))
+
+
+def with_thread_shape(x: DataFrame) -> DataFrame:
+    """Thread of each row's `turns`: turns and characters, whether a human spoke last, prefix fingerprints, first prompt.
+
+    The conversation's fingerprint is chained() over its history, turn by turn.
+    """
+    x = x.withColumn("_old", F.filter("turns", lambda t: t["origin"] == "history")).withColumn("_hashes", F.transform("_old", turn_hash))
+    last, some = F.try_element_at("_old", F.lit(-1)), F.size("_old") > 0
+    own = lambda b: (b["kind"] == "text") & b["content_tag"].isNull() & ~is_injected(b["content"]) & (F.trim(b["content"]) != "")
+    said = F.flatten(F.transform(F.filter("turns", lambda t: t["role"] == "user"), lambda t: F.filter(t["blocks"], own)))
+    any_turn = F.size("turns") > 0
+    return x.withColumns({
+        "messages_count": F.when(any_turn, F.size("_old").cast("long")), "context_chars": F.when(any_turn, _sum(F.transform(F.flatten(F.transform("turns", lambda t: t["blocks"])), lambda b: b["chars"]))),
+        "new_user_turn": F.when(any_turn, F.coalesce((last["role"] == "user") & F.exists(last["blocks"], lambda b: b["kind"] == "text"), F.lit(False))),
+        "conversation_hash": F.when(some, F.substring(chained(F.col("_hashes")), 1, 16)), "first_turn_hash": F.when(some, F.substring(chained(F.slice("_hashes", 1, 1)), 1, 16)), "user_prompt": excerpt(F.get(said, F.lit(0))["content"], 512)}).drop("_old", "_hashes")
+
+
+def _uses(x: DataFrame) -> DataFrame:
+    """`x` with _uses: the tool uses of its thread in order, each with the first result of its id in the same call."""
+    flat = F.flatten(F.transform("turns", lambda t: F.transform(t["blocks"], lambda b: F.struct(t["origin"].alias("origin"), b.alias("b")))))
+    ids = lambda rs: F.transform(rs, lambda r: r["b"]["tool_use_id"])
+
+    def made(blocks, results, known):
+        def use(u):
+            b, name = u["b"], F.coalesce(u["b"]["tool_name"], F.lit("<unnamed>"))
+            got = F.get(results, F.array_position(known["ids"], b["tool_use_id"]).cast("int") - 1)["b"]
+            return F.struct(u["origin"].alias("origin"), b["tool_use_id"].alias("tool_use_id"), name.alias("name"), b["input"].alias("input"), F.coalesce(F.array_contains(known["names"], name), F.lit(False)).alias("was_declared"), got.alias("r"))
+
+        return F.transform(F.filter(blocks, lambda u: u["b"]["kind"] == "tool_use"), use)
+
+    names = F.transform("decls", lambda d: d["name"])
+    results = lambda bs: F.filter(bs, lambda r: (r["b"]["kind"] == "tool_result") & r["b"]["tool_use_id"].isNotNull())
+    # Bound by let(): a column that a lambda reads once would be worked out anew for each element.
+    return x.withColumn("_uses", let(flat, lambda bs: let(results(bs), lambda rs: let(F.struct(ids(rs).alias("ids"), names.alias("names")), lambda known: made(bs, rs, known)))))
+
+
+def tool_calls(x: DataFrame) -> DataFrame:
+    """A row for each tool use of each normalised() call's thread (one that is sent again shows in every later call)."""
+    u, n = F.col("u"), F.col("seq")
+    y = _uses(x).select(F.col("id").alias("call_id"), F.col("session_key").alias("session_id"), F.coalesce("timestamp_end", "timestamp_start").alias("emitted_at"), F.posexplode("_uses").alias("seq", "u"))
+    failed, paired = F.coalesce(u["r"]["is_error"], F.lit(False)), u["r"].isNotNull()
+    return y.select(
+        "call_id", "session_id", "seq", F.concat_ws(":", "call_id", n).alias("tool_id"), u["tool_use_id"].alias("tool_use_id"), u["name"].alias("name"), mcp_server(u["name"]).alias("server"), u["name"].startswith("mcp__").alias("is_mcp"), u["was_declared"].alias("was_declared"),
+        F.coalesce(F.char_length(u["input"]), F.lit(0)).cast("long").alias("input_chars"), excerpt(u["input"], 400).alias("input_excerpt"), u["r"]["chars"].alias("result_chars"), excerpt(u["r"]["content"], 400).alias("result_excerpt"),
+        F.when(paired, failed).alias("is_error"), F.when(~paired, "pending").when(failed, "error").otherwise("ok").alias("status"), "emitted_at", F.lit(None).cast("timestamp").alias("observed_at"), F.lit(None).cast("long").alias("duration_ms"))
+
+
+def normalised_calls(calls: DataFrame) -> DataFrame:
+    """Inference calls with their segments, declarations, turns and usage in the row."""
+    return normalise.normalised(normalise.parse(normalise.inference_calls(calls)))
 
 
 def derive_generations(calls: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(generations, tool calls, segments by call, declarations by call) of inference calls; unpriced and unassembled."""
-    parsed = normalise.parse(normalise.inference_calls(calls))
-    segs, decls, turn_rows = normalise.system_segments(parsed), normalise.tool_decls(parsed), normalise.turns(parsed)
-    b = normalise.blocks(turn_rows)
-    tools = derive_tool_calls(parsed, b, decls)
-    used = b.filter("kind = 'tool_use' AND origin = 'new'").groupBy("call_id").agg(F.count("*").alias("tool_call_count"), F.array_sort(F.collect_set("tool_name")).alias("tools_called"))
+    x = normalised_calls(calls)
+    new = F.flatten(F.transform(F.filter("turns", lambda t: t["origin"] == "new"), lambda t: F.transform(F.filter(t["blocks"], lambda b: b["kind"] == "tool_use"), lambda b: F.struct(b["tool_name"].alias("name")))))
+    y = with_thread_shape(with_tool_shape(with_system_shape(x.withColumn("_new", new))))
     body, r = F.col("body"), F.col("response")
     h = lambda n: header(F.col("request_headers"), n)
     rh = lambda n: header(F.col("response_headers"), n)
-    user = F.try_parse_json(text(body, "$.metadata.user_id"))
+    user = strict_json(text(body, "$.metadata.user_id"))
     five, hour = whole(r, "$.usage.cache_creation.ephemeral_5m_input_tokens"), whole(r, "$.usage.cache_creation.ephemeral_1h_input_tokens")
     asked = F.regexp_extract_all(F.concat(F.coalesce(F.to_json(sub(body, "$.system")), F.lit("")), F.coalesce(F.to_json(sub(body, "$.messages")), F.lit(""))), F.lit(r'"cache_control":\{[^}]*"ttl":"([^"]+)"'), F.lit(1))
     split = five.isNotNull() | hour.isNotNull()
@@ -93,7 +135,6 @@ def derive_generations(calls: DataFrame) -> tuple[DataFrame, DataFrame, DataFram
     incomplete = F.col("response_raw_sse").isNotNull() & F.col("response_reconstructed").isNull()
     failed = F.col("error").isNotNull() & status.isNull()
     kind = F.when(failed, "transport").when(status.isNotNull() & ~status.between(200, 299), "http").when(incomplete | F.coalesce(F.col("error").startswith("reconstruct:"), F.lit(False)), "stream_incomplete").when(F.col("response_body").isNull() & F.col("response_reconstructed").isNull(), "body_missing")
-    x = parsed.join(normalise.usage(parsed).withColumnRenamed("call_id", "id"), "id")
     cols = {
         "call_id": F.col("id"), "session_id": F.coalesce("session_key", text(user, "$.session_id")), "started_at": F.col("timestamp_start"), "ended_at": F.col("timestamp_end"),
         "ttft_ms": millis_between(F.col("timestamp_start"), F.col("timestamp_first_chunk")), "latency_ms": millis_between(F.col("timestamp_start"), F.col("timestamp_end")), "http_status": status, "is_stream": F.col("response_raw_sse").isNotNull(),
@@ -110,19 +151,23 @@ def derive_generations(calls: DataFrame) -> tuple[DataFrame, DataFrame, DataFram
         "overage_status": rh("anthropic-ratelimit-unified-overage-status"), "ratelimit_reset_at": F.timestamp_seconds(rh("anthropic-ratelimit-unified-reset").try_cast("long")),
         "upstream_trace_id": trace_id, "upstream_parent_id": parent, "error": F.col("error"), "error_kind": kind, "is_error": F.coalesce(kind.isin("transport", "http", "stream_incomplete"), F.lit(False)), "raw_fallback": F.col("raw_fallback"), "parser_version": F.lit(PARSER_VERSION),
     }
-    g = x.select(*[c.alias(n) for n, c in cols.items()])
-    project = F.substring_index("cwd", "/", -1)
-    g = g.join(system_shape(segs).drop("segments"), "call_id", "left").withColumn("project_name", F.nullif(project, F.lit("")))
-    g = g.join(tool_shape(decls).drop("tools"), "call_id", "left").withColumn("tools_declared_count", F.coalesce("tools_declared_count", F.lit(0).cast("long")))
-    g = g.join(thread_shape(turn_rows), "call_id", "left").join(used, "call_id", "left").withColumn("tool_call_count", F.coalesce("tool_call_count", F.lit(0).cast("long")))
-    return g, tools, segs, decls
-
-
-def harness_dims(segs: DataFrame, decls: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(system prompts, tool sets, tool schemas): one row for each fingerprint, and each member of a set."""
-    s = system_shape(segs)
-    prompts = s.groupBy("system_hash").agg(F.min_by(F.struct(F.col("system_chars").alias("total_chars"), F.col("system_segments").alias("segment_count"), "cache_points", "segments"), "call_id").alias("p")).select("system_hash", "p.*")
-    t = tool_shape(decls)
-    sets = t.groupBy("tools_hash").agg(F.min_by(F.struct(F.col("tools_declared_count").alias("tool_count"), F.col("tools_chars").alias("total_chars"), F.col("mcp_tools_count").alias("mcp_count"), "tools"), "call_id").alias("p")).select("tools_hash", "p.*")
+    shapes = ["system_hash", "system_chars", "system_segments", "cache_points", "billing_variant", "git_branch", "cwd"]
+    called = F.array_sort(F.array_distinct(F.filter(F.transform("_new", lambda u: u["name"]), lambda n: n.isNotNull())))
+    cols |= {n: F.col(n) for n in shapes} | {"project_name": F.nullif(F.substring_index("cwd", "/", -1), F.lit(""))}
+    cols |= {n: F.col(n) for n in ("tools_hash", "tools_declared_count", "tools_chars", "mcp_tools_count", "messages_count", "context_chars", "new_user_turn", "conversation_hash", "first_turn_hash", "user_prompt")}
+    cols |= {"tool_call_count": F.size("_new").cast("long"), "tools_called": F.when(F.size("_new") > 0, called)}
+    return y.select(*[c.alias(n) for n, c in cols.items()]), tool_calls(x), normalise.system_segments(x), normalise.tool_decls(x)
+
+
+def harness_dims(calls: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(system prompts, tool sets, tool schemas) of normalised() calls: one row for each fingerprint, and each member of a set.
+
+    The texts of a fingerprint are those of its least call: only they meet in a shuffle, one for each fingerprint and task.
+    """
+    listed = F.transform("segs", lambda s: F.struct(s["text"].alias("text"), F.char_length(s["text"]).cast("long").alias("chars"), s["cache_control"].alias("cache_control")))
+    s = with_system_shape(calls).filter("system_hash IS NOT NULL")
+    prompts = s.groupBy("system_hash").agg(F.min_by(F.struct(F.col("system_chars").alias("total_chars"), F.col("system_segments").alias("segment_count"), "cache_points", listed.alias("segments")), "id").alias("p")).select("system_hash", "p.*")
+    t = with_tool_shape(calls).filter("tools_hash IS NOT NULL")
+    sets = t.groupBy("tools_hash").agg(F.min_by(F.struct(F.col("tools_declared_count").alias("tool_count"), F.col("tools_chars").alias("total_chars"), F.col("mcp_tools_count").alias("mcp_count"), "tools"), "id").alias("p")).select("tools_hash", "p.*")
     schemas = sets.select("tools_hash", F.posexplode("tools").alias("seq", "t")).select("tools_hash", "seq", "t.*").dropDuplicates(["tools_hash", "name"])
     return prompts, sets.drop("tools"), schemas.withColumns({"server": mcp_server(F.col("name")), "is_mcp": F.col("name").startswith("mcp__")})

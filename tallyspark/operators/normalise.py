@@ -1,4 +1,4 @@
-"""Captures of any dialect as one call model: segments, tool declarations, turns and blocks, one row each."""
+"""Captures of any dialect as one call model: a row for each call with its segments, tool declarations and turns as arrays, or a row for each of them."""
 
 from __future__ import annotations
 
@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.scalars import header
-from tallyspark.functions.variants import chars, flag, flat_text, items, json_kind, sub, text, whole
+from tallyspark.functions.variants import chars, flag, flat_text, items, json_kind, let, once, strict_json, sub, text, whole
 
 #: Wrappers that mark text which the harness put in.
 TAGS = ("system-reminder", "local-command-caveat", "command-name", "command-message", "command-args", "local-command-stdout")
 LARGE_BLOCK = 10_000
 BLOCK = "struct<kind:string,content_tag:string,chars:bigint,content:string,tool_name:string,input:string,tool_use_id:string,is_error:boolean>"
-#: Further dialects: name -> function(parsed calls) -> rows of blocks(). The two built in are below.
+SEGMENT, DECLARATION = "struct<text:string,cache_control:boolean>", "struct<name:string,description:string,input_schema:string>"
+TURN = f"struct<turn:int,role:string,origin:string,blocks:array<{BLOCK}>>"
+#: Further dialects: name -> function(body, response) -> an array of TURN as a column. The two built in are below.
 DIALECTS: dict = {}
 
 
@@ -33,8 +35,8 @@ def inference_calls(calls: DataFrame) -> DataFrame:
 
 def parse(calls: DataFrame) -> DataFrame:
     """Calls with dialect, body and response as VARIANT, model and session_key. Invalid JSON is null."""
-    body, answer = F.try_parse_json("request_body"), F.coalesce(F.try_parse_json("response_reconstructed"), F.try_parse_json("response_body"))
-    x = calls.withColumns({"dialect": detect_provider(F.col("request_headers"), F.col("url")), "body": body, "_answer": answer})
+    body, answer = strict_json(F.col("request_body")), F.coalesce(strict_json(F.col("response_reconstructed")), strict_json(F.col("response_body")))
+    x = once(calls, {"dialect": detect_provider(F.col("request_headers"), F.col("url")), "body": body, "_answer": answer})
     kind = text(F.col("_answer"), "$.type")
     typed = json_kind(sub(F.col("_answer"), "$.type")) == "STRING"
     x = x.withColumn("response", F.when((F.col("dialect") != "claude_code") | ~F.coalesce(typed, F.lit(False)) | (kind == "message"), F.col("_answer"))).drop("_answer")
@@ -54,40 +56,48 @@ def _is_system(i: Column) -> Column:
     return F.coalesce(text(i, "$.role").isin("system", "developer"), F.lit(False))
 
 
-def _split(parsed: DataFrame) -> DataFrame:
-    """OpenAI requests with _items and _start: how many leading items are the harness's, not the conversation's."""
-    x = parsed.withColumn("_items", _openai_items(F.col("body")))
-    other = F.array_position(F.transform("_items", lambda i: ~_is_system(i)), F.lit(True))
-    return x.withColumn("_start", F.when(other == 0, F.size("_items")).otherwise(other - 1).cast("int"))
+def _none(kind: str) -> Column:
+    return F.array().cast(f"array<{kind}>")
 
 
-def system_segments(parsed: DataFrame) -> DataFrame:
-    """(call_id, seg, text, chars, bytes, cache_control): the system prompt in pieces."""
+def _leading(given: Column) -> Column:
+    """How many leading items are the harness's, not the conversation's."""
+    other = F.array_position(F.transform(given, lambda i: ~_is_system(i)), F.lit(True))
+    return F.when(other == 0, F.size(given)).otherwise(other - 1).cast("int")
+
+
+def _segments() -> Column:
+    """The system prompt in pieces. Of an OpenAI request: the instructions and the text of its leading system items."""
     seg = lambda t, c: F.struct(t.alias("text"), c.alias("cache_control"))
-    system = sub(F.col("body"), "$.system")
-    listed = F.filter(F.transform(items(F.col("body"), "$.system"), lambda b: seg(text(b, "$.text"), sub(b, "$.cache_control").isNotNull())), lambda s: s["text"].isNotNull())
-    claude = parsed.filter("dialect = 'claude_code'").select(F.col("id").alias("call_id"), F.when(json_kind(system) == "STRING", F.array(seg(text(F.col("body"), "$.system"), F.lit(False)))).otherwise(listed).alias("s"))
-    o = _split(parsed.filter("dialect = 'openai'"))
+    body = F.col("body")
+    listed = F.filter(F.transform(items(body, "$.system"), lambda b: seg(text(b, "$.text"), sub(b, "$.cache_control").isNotNull())), lambda s: s["text"].isNotNull())
+    claude = F.when(json_kind(sub(body, "$.system")) == "STRING", F.array(seg(text(body, "$.system"), F.lit(False)))).otherwise(listed)
     said = F.filter(F.slice("_items", F.lit(1), F.col("_start")), lambda i: ~F.coalesce(text(i, "$.type") == "additional_tools", F.lit(False)))
     lead = F.filter(F.transform(said, lambda i: seg(flat_text(sub(i, "$.content")), F.lit(False))), lambda s: F.coalesce(s["text"], F.lit("")) != "")
-    given = F.filter(F.array(seg(text(F.col("body"), "$.instructions"), F.lit(False))), lambda s: s["text"].isNotNull())
-    openai = o.select(F.col("id").alias("call_id"), F.concat(given, lead).alias("s"))
-    x = claude.unionByName(openai).select("call_id", F.posexplode("s").alias("seg", "s"))
-    return x.select("call_id", "seg", "s.text", F.char_length("s.text").cast("long").alias("chars"), F.octet_length("s.text").cast("long").alias("bytes"), "s.cache_control")
+    given = F.filter(F.array(seg(text(body, "$.instructions"), F.lit(False))), lambda s: s["text"].isNotNull())
+    return F.when(F.col("dialect") == "claude_code", claude).when(F.col("dialect") == "openai", F.concat(given, lead)).otherwise(_none(SEGMENT))
 
 
-def tool_decls(parsed: DataFrame) -> DataFrame:
-    """(call_id, pos, name, description, input_schema): declared tools; nameless ones are dropped, namespaces flattened two deep."""
-    claude = parsed.filter("dialect = 'claude_code'").select(F.col("id").alias("call_id"), items(F.col("body"), "$.tools").alias("t"))
-    o = _split(parsed.filter("dialect = 'openai'"))
+def _flat_tools(tools: Column) -> Column:
+    """Tools with every namespace replaced, in place, by what it holds, however deep: a round a level, no more than there are namespaces."""
+    is_space = lambda t: F.coalesce(text(t, "$.type") == "namespace", F.lit(False))
+    level = lambda ts: F.flatten(F.transform(ts, lambda t: F.when(is_space(t), items(t, "$.tools")).otherwise(F.array(t))))
+    deepest = F.aggregate(F.transform(F.filter(tools, is_space), lambda t: F.regexp_count(F.to_json(t), F.lit('"namespace"'))), F.lit(0), lambda a, n: F.greatest(a, n))
+    return let(deepest, lambda n: F.when(n == 0, tools).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), tools, lambda ts, _: F.when(F.exists(ts, is_space), level(ts)).otherwise(ts))))
+
+
+def _declarations() -> Column:
+    """Declared tools; nameless ones are dropped, namespaces flattened."""
     extra = F.flatten(F.transform(F.filter(F.slice("_items", F.lit(1), F.col("_start")), lambda i: F.coalesce(text(i, "$.type") == "additional_tools", F.lit(False))), lambda i: items(i, "$.tools")))
-    flat = lambda ts: F.flatten(F.transform(ts, lambda t: F.when(F.coalesce(text(t, "$.type") == "namespace", F.lit(False)), items(t, "$.tools")).otherwise(F.array(t))))
-    openai = o.select(F.col("id").alias("call_id"), flat(flat(F.concat(items(F.col("body"), "$.tools"), extra))).alias("t"))
-    x = claude.unionByName(openai).select("call_id", F.posexplode("t").alias("pos", "t"))
-    spec = F.coalesce(sub(F.col("t"), "$.function"), F.col("t"))
-    x = x.withColumn("s", spec)
-    schema = F.coalesce(sub(F.col("s"), "$.parameters"), sub(F.col("s"), "$.input_schema"), sub(F.col("s"), "$.format"))
-    return x.select("call_id", "pos", text(F.col("s"), "$.name").alias("name"), text(F.col("s"), "$.description").alias("description"), F.to_json(schema).alias("input_schema")).filter("name IS NOT NULL")
+    own = items(F.col("body"), "$.tools")
+    listed = F.when(F.col("dialect") == "claude_code", own).when(F.col("dialect") == "openai", let(F.concat(own, extra), _flat_tools)).otherwise(_none("variant"))
+
+    def one(t):
+        spec = F.coalesce(sub(t, "$.function"), t)
+        schema = F.coalesce(sub(spec, "$.parameters"), sub(spec, "$.input_schema"), sub(spec, "$.format"))
+        return F.struct(text(spec, "$.name").alias("name"), text(spec, "$.description").alias("description"), F.to_json(schema).alias("input_schema"))
+
+    return F.filter(F.transform(listed, one), lambda d: d["name"].isNotNull())
 
 
 def _block(kind, content=None, size=None, tag=None, name=None, given=None, use=None, error=None) -> Column:
@@ -124,68 +134,100 @@ def _role(i: Column) -> Column:
     return F.when(r.isin("user", "assistant", "tool", "system"), r).when(r == "developer", "system").otherwise("other")
 
 
-def _claude_turns(parsed: DataFrame) -> DataFrame:
-    p = parsed.filter("dialect = 'claude_code'")
-    old = p.select(F.col("id").alias("call_id"), F.posexplode(items(F.col("body"), "$.messages")).alias("turn", "m"), F.lit("history").alias("origin"))
-    new = p.filter(F.col("response").isNotNull()).select(F.col("id").alias("call_id"), F.size(items(F.col("body"), "$.messages")).alias("turn"), F.col("response").alias("m"), F.lit("new").alias("origin"))
-    x = old.unionByName(new)
-    c = sub(F.col("m"), "$.content")
-    made = F.when(json_kind(c) == "STRING", F.array(_tagged(text(F.col("m"), "$.content")))).when(json_kind(c) == "ARRAY", F.transform(items(F.col("m"), "$.content"), _claude_block)).when(c.isNotNull(), F.array(_block("other", F.to_json(c), chars(c)))).otherwise(F.array().cast(f"array<{BLOCK}>"))
-    return x.select("call_id", "turn", _role(F.col("m")).alias("role"), "origin", made.alias("blocks"))
+def _turn(at, role, origin: str, made) -> Column:
+    return F.struct(at.cast("int").alias("turn"), role.alias("role"), F.lit(origin).alias("origin"), made.alias("blocks"))
+
+
+def _claude_turns(body: Column, response: Column) -> Column:
+    def turn(m, at, origin):
+        c = sub(m, "$.content")
+        made = F.when(json_kind(c) == "STRING", F.array(_tagged(text(m, "$.content")))).when(json_kind(c) == "ARRAY", F.transform(items(m, "$.content"), _claude_block)).when(c.isNotNull(), F.array(_block("other", F.to_json(c), chars(c)))).otherwise(_none(BLOCK))
+        return _turn(at, _role(m), origin, made)
+
+    return let(items(body, "$.messages"), lambda sent: F.concat(F.transform(sent, lambda m, i: turn(m, i, "history")), F.when(response.isNotNull(), F.array(turn(response, F.size(sent), "new"))).otherwise(_none(TURN))))
 
 
 def _uses(calls: Column) -> Column:
     def use(c):
         f = F.coalesce(sub(c, "$.function"), c)
-        return _block("tool_use", None, chars(c), None, text(f, "$.name"), F.to_json(F.try_parse_json(text(f, "$.arguments"))), text(c, "$.id"))
+        return _block("tool_use", None, chars(c), None, text(f, "$.name"), F.to_json(strict_json(text(f, "$.arguments"))), text(c, "$.id"))
 
     return F.transform(calls, use)
 
 
 def _function_call(i: Column) -> Column:
-    return _block("tool_use", None, chars(i), None, text(i, "$.name"), F.to_json(F.try_parse_json(text(i, "$.arguments"))), text(i, "$.call_id"))
+    return _block("tool_use", None, chars(i), None, text(i, "$.name"), F.to_json(strict_json(text(i, "$.arguments"))), text(i, "$.call_id"))
 
 
 def _some(said: Column, make=_plain) -> Column:
     """One block of a text that is there and not empty, else none."""
-    return F.when(F.coalesce(said, F.lit("")) != "", F.array(make(said))).otherwise(F.array().cast(f"array<{BLOCK}>"))
+    return F.when(F.coalesce(said, F.lit("")) != "", F.array(make(said))).otherwise(_none(BLOCK))
 
 
-def _openai_turns(parsed: DataFrame) -> DataFrame:
-    o = _split(parsed.filter("dialect = 'openai'"))
-    old = o.select(F.col("id").alias("call_id"), F.posexplode(F.slice("_items", F.col("_start") + 1, F.size("_items"))).alias("turn", "m"))
-    m = F.col("m")
-    kind = F.coalesce(text(m, "$.type"), F.lit(""))
+def _openai_turns(body: Column, response: Column) -> Column:
     result = lambda said, use: F.array(_block("tool_result", F.coalesce(said, F.lit("")), F.char_length(F.coalesce(said, F.lit(""))).cast("long"), None, None, None, use))
-    role = F.when(kind == "function_call", "assistant").when(kind == "function_call_output", "tool").otherwise(_role(m))
-    made = (
-        F.when(kind == "function_call", F.array(_function_call(m)))
-        .when(kind == "function_call_output", result(flat_text(sub(m, "$.output")), text(m, "$.call_id")))
-        .when(_role(m) == "tool", result(flat_text(sub(m, "$.content")), text(m, "$.tool_call_id")))
-        .otherwise(F.concat(_some(flat_text(sub(m, "$.content"))), _uses(items(m, "$.tool_calls")))))
-    history = old.select("call_id", "turn", role.alias("role"), F.lit("history").alias("origin"), made.alias("blocks"))
-    r = F.col("response")
-    message = sub(r, "$.choices[0].message")
-    thought = text(r, "$.choices[0].message.reasoning_content")
-    chat = F.concat(_some(flat_text(sub(r, "$.choices[0].message.content"))), F.filter(F.array(F.when(thought.isNotNull(), _block("thinking", thought, F.char_length(thought).cast("long")))), lambda b: b.isNotNull()), _uses(items(r, "$.choices[0].message.tool_calls")))
+
+    def old(m, at):
+        kind = F.coalesce(text(m, "$.type"), F.lit(""))
+        role = F.when(kind == "function_call", "assistant").when(kind == "function_call_output", "tool").otherwise(_role(m))
+        made = (
+            F.when(kind == "function_call", F.array(_function_call(m)))
+            .when(kind == "function_call_output", result(flat_text(sub(m, "$.output")), text(m, "$.call_id")))
+            .when(_role(m) == "tool", result(flat_text(sub(m, "$.content")), text(m, "$.tool_call_id")))
+            .otherwise(F.concat(_some(flat_text(sub(m, "$.content"))), _uses(items(m, "$.tool_calls")))))
+        return _turn(at, role, "history", made)
 
     def out(i):
         t = text(i, "$.type")
         said, summary = flat_text(sub(i, "$.content")), F.coalesce(flat_text(sub(i, "$.summary")), F.lit(""))
-        return F.when(t == "message", _some(said)).when(t == "reasoning", F.array(_block("thinking", summary, chars(i)))).when(t == "function_call", F.array(_function_call(i))).otherwise(F.array().cast(f"array<{BLOCK}>"))
+        return F.when(t == "message", _some(said)).when(t == "reasoning", F.array(_block("thinking", summary, chars(i)))).when(t == "function_call", F.array(_function_call(i))).otherwise(_none(BLOCK))
 
-    none = F.array().cast(f"array<{BLOCK}>")
-    made_new = F.concat(F.when(message.isNotNull(), chat).otherwise(none), F.flatten(F.transform(items(r, "$.output"), out)))
-    new = o.filter(r.isNotNull()).select(F.col("id").alias("call_id"), (F.size("_items") - F.col("_start")).alias("turn"), F.lit("assistant").alias("role"), F.lit("new").alias("origin"), made_new.alias("blocks")).filter(F.size("blocks") > 0)
-    return history.unionByName(new)
+    r = response
+    message, thought = sub(r, "$.choices[0].message"), text(r, "$.choices[0].message.reasoning_content")
+    chat = F.concat(_some(flat_text(sub(r, "$.choices[0].message.content"))), F.filter(F.array(F.when(thought.isNotNull(), _block("thinking", thought, F.char_length(thought).cast("long")))), lambda b: b.isNotNull()), _uses(items(r, "$.choices[0].message.tool_calls")))
+    made = F.concat(F.when(message.isNotNull(), chat).otherwise(_none(BLOCK)), F.flatten(F.transform(items(r, "$.output"), out)))
+    sent = F.transform(F.slice("_items", F.col("_start") + 1, F.size("_items")), old)
+    new = let(F.when(r.isNotNull(), made), lambda b: F.when(F.size(b) > 0, F.array(_turn(F.size("_items") - F.col("_start"), F.lit("assistant"), "new", b))).otherwise(_none(TURN)))
+    return F.concat(sent, new)
 
 
-def turns(parsed: DataFrame) -> DataFrame:
-    """(call_id, turn, role, origin, blocks): history in order, then the new turn. Unknown dialects have none."""
-    out = _claude_turns(parsed).unionByName(_openai_turns(parsed))
+def normalised(parsed: DataFrame, parts: tuple[str, ...] = ("segs", "decls", "turns")) -> DataFrame:
+    """parse()'s rows with segs, decls and turns as arrays, and the usage numbers: a capture is read once and never shuffled.
+
+    Turns are the history in order, then the new turn. Unknown dialects have none of the three. Only `parts` are made.
+    """
+    x = once(parsed, {"_items": F.when(F.col("dialect") == "openai", _openai_items(F.col("body")))})
+    x = once(x, {"_start": _leading(F.col("_items"))}) if parts else x.withColumn("_start", F.lit(0))
+    body, r = F.col("body"), F.col("response")
+    turns_ = F.when(F.col("dialect") == "claude_code", _claude_turns(body, r)).when(F.col("dialect") == "openai", _openai_turns(body, r))
     for name, f in DIALECTS.items():
-        out = out.unionByName(f(parsed.filter(F.col("dialect") == name)))
-    return out
+        turns_ = turns_.when(F.col("dialect") == name, f(body, r))
+    claude, known = F.col("dialect") == "claude_code", F.col("dialect") != "unknown"
+    n = lambda p: whole(r, f"$.usage.{p}")
+    made = {"segs": _segments(), "decls": _declarations(), "turns": turns_.otherwise(_none(TURN))}
+    return (once(x, {k: made[k] for k in parts}) if parts else x).withColumns({
+        "input_tokens": F.when(claude, n("input_tokens")).when(known, F.coalesce(n("prompt_tokens"), n("input_tokens"))), "output_tokens": F.when(claude, n("output_tokens")).when(known, F.coalesce(n("completion_tokens"), n("output_tokens"))),
+        "cache_read_tokens": F.when(claude, n("cache_read_input_tokens")).when(known, F.coalesce(n("prompt_tokens_details.cached_tokens"), n("input_tokens_details.cached_tokens"))), "cache_creation_tokens": F.when(claude, n("cache_creation_input_tokens"))}).drop("_items", "_start")
+
+
+def _listed(parsed: DataFrame, *parts: str) -> DataFrame:
+    return parsed if set(parts) <= set(parsed.columns) else normalised(parsed, parts)
+
+
+def system_segments(parsed: DataFrame) -> DataFrame:
+    """(call_id, seg, text, chars, bytes, cache_control): a row for each piece of the system prompt."""
+    x = _listed(parsed, "segs").select(F.col("id").alias("call_id"), F.posexplode("segs").alias("seg", "s"))
+    return x.select("call_id", "seg", "s.text", F.char_length("s.text").cast("long").alias("chars"), F.octet_length("s.text").cast("long").alias("bytes"), "s.cache_control")
+
+
+def tool_decls(parsed: DataFrame) -> DataFrame:
+    """(call_id, pos, name, description, input_schema): a row for each declared tool."""
+    return _listed(parsed, "decls").select(F.col("id").alias("call_id"), F.posexplode("decls").alias("pos", "d")).select("call_id", "pos", "d.*")
+
+
+def turns(parsed: DataFrame) -> DataFrame:
+    """(call_id, turn, role, origin, blocks): a row for each turn of each call's thread."""
+    return _listed(parsed, "turns").select(F.col("id").alias("call_id"), F.inline("turns"))
 
 
 def blocks(turn_rows: DataFrame) -> DataFrame:
@@ -195,12 +237,7 @@ def blocks(turn_rows: DataFrame) -> DataFrame:
 
 def usage(parsed: DataFrame) -> DataFrame:
     """(call_id, input_tokens, output_tokens, cache_read_tokens, cache_creation_tokens): null where not reported."""
-    r, claude = F.col("response"), F.col("dialect") == "claude_code"
-    n = lambda p: whole(r, f"$.usage.{p}")
-    known = F.col("dialect") != "unknown"
-    return parsed.select(
-        F.col("id").alias("call_id"), F.when(claude, n("input_tokens")).when(known, F.coalesce(n("prompt_tokens"), n("input_tokens"))).alias("input_tokens"), F.when(claude, n("output_tokens")).when(known, F.coalesce(n("completion_tokens"), n("output_tokens"))).alias("output_tokens"),
-        F.when(claude, n("cache_read_input_tokens")).when(known, F.coalesce(n("prompt_tokens_details.cached_tokens"), n("input_tokens_details.cached_tokens"))).alias("cache_read_tokens"), F.when(claude, n("cache_creation_input_tokens")).alias("cache_creation_tokens"))
+    return (parsed if "input_tokens" in parsed.columns else normalised(parsed, ())).select(F.col("id").alias("call_id"), "input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens")
 
 
 KINDS = ("text", "thinking", "tool_use", "tool_result", "image", "other")

@@ -285,28 +285,37 @@ def event_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A6: assistant turns as raw streams of three wire forms by call id: thinking, text and a tool input in pieces; some are cut or report an error."""
+    """A6: assistant turns as raw streams of three wire forms by call id: thinking, text and a tool input in pieces.
+
+    Some are cut, report an error, hold a delta that is no JSON, start a block twice, leave one open, have a second choice
+    or a rare line separator within the text.
+    """
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet").filter("role = 'assistant'").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
     s, js = F.struct, F.to_json
     half = F.floor(F.char_length("text") / 2).cast("int")
-    pieces = (F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.char_length("text")))
+    odd = F.when(F.col("id") % 8 == 1, "\u0085").when(F.col("id") % 8 == 3, "\u2028").when(F.col("id") % 8 == 6, "\u2029").otherwise("")
+    pieces = (F.concat(F.substring("text", F.lit(1), half), odd), F.substring("text", half + 1, F.char_length("text")))
     event = lambda name, data: F.concat(F.lit(f"event: {name}\r\ndata: "), data, F.lit("\r\n\r\n"))
     plain = lambda data: F.concat(F.lit("data: "), data, F.lit("\n\n"))
     delta = lambda i, **v: event("content_block_delta", js(s(F.lit("content_block_delta").alias("type"), F.lit(i).alias("index"), s(*[(F.lit(x) if isinstance(x, str) else x).alias(y) for y, x in v.items()]).alias("delta"))))
     start = lambda i, text: event("content_block_start", F.lit(f'{{"type":"content_block_start","index":{i},"content_block":{text}}}'))
+    stop = lambda i: event("content_block_stop", F.lit(f'{{"type":"content_block_stop","index":{i}}}'))
+    some = lambda when, x: F.when(when, x).otherwise("")
+    n = F.col("id")
     begun = event("message_start", F.lit('{"type":"message_start","message":{"type":"message","role":"assistant","model":"m","usage":{"input_tokens":3,"output_tokens":1}}}'))
     ended = event("message_delta", js(s(F.lit("message_delta").alias("type"), s(F.lit("tool_use").alias("stop_reason")).alias("delta"), s(F.char_length("text").alias("output_tokens")).alias("usage"))))
     anthropic = F.concat(
-        F.when(F.col("id") % 13 != 0, begun).otherwise(""), start(0, '{"type":"thinking","thinking":""}'), delta(0, type="thinking_delta", thinking="let me "), delta(0, type="thinking_delta", thinking="see"), delta(0, type="signature_delta", signature="sig"),
-        start(1, '{"type":"text","text":""}'), delta(1, type="text_delta", text=pieces[0]), delta(1, type="text_delta", text=pieces[1]),
-        start(2, '{"type":"tool_use","id":"t","name":"get","input":{}}'), delta(2, type="input_json_delta", partial_json='{"city":'), delta(2, type="input_json_delta", partial_json=F.concat(F.lit('"c'), F.col("turn"), F.when(F.col("id") % 17 == 0, "").otherwise('"}'))),
+        F.when(F.col("id") % 13 != 0, begun).otherwise(""), start(0, '{"type":"thinking","thinking":""}'), delta(0, type="thinking_delta", thinking="let me "), delta(0, type="thinking_delta", thinking="see"), delta(0, type="signature_delta", signature="sig"), stop(0),
+        some(n % 4 == 2, F.concat(start(1, '{"type":"text","text":"old "}'), delta(1, type="text_delta", text="lost"))),
+        start(1, '{"type":"text","text":""}'), delta(1, type="text_delta", text=pieces[0]), some(n % 5 == 0, event("content_block_delta", F.lit("{oops"))), delta(1, type="text_delta", text=pieces[1]), stop(1),
+        start(2, '{"type":"tool_use","id":"t","name":"get","input":{}}'), delta(2, type="input_json_delta", partial_json='{"city":'), delta(2, type="input_json_delta", partial_json=F.concat(F.lit('"c'), F.col("turn"), F.when(F.col("id") % 17 == 0, "").otherwise('"}'))), some(n % 19 != 0, stop(2)),
         F.when(F.col("id") % 11 == 0, event("error", F.lit('{"type":"error","error":{"message":"overloaded"}}'))).otherwise(""), F.when(F.col("id") % 7 != 0, ended).otherwise(""))
     head = lambda **v: js(s(F.lit("chat.completion.chunk").alias("object"), F.lit("chat-1").alias("id"), F.lit("m").alias("model"), *[x.alias(y) for y, x in v.items()]))
     choice = lambda d, **v: F.array(s(F.lit(0).alias("index"), d.alias("delta"), *[F.lit(x).alias(y) for y, x in v.items()]))
     call = lambda text, **v: s(F.array(s(F.lit(0).alias("index"), *[F.lit(x).alias(y) for y, x in v.items()], s(*([F.lit("get").alias("name")] if v else []), text.alias("arguments")).alias("function"))).alias("tool_calls"))
     chat = F.concat(
         plain(head(choices=choice(s(F.lit("assistant").alias("role"), pieces[0].alias("content"))))), plain(head(choices=choice(s(pieces[1].alias("content"), F.lit("hm").alias("reasoning_content"))))),
-        plain(head(choices=choice(call(F.lit('{"city":'), id="t")))), plain(head(choices=choice(call(F.concat(F.lit('"c'), F.col("turn"), F.lit('"}')))))), F.when(F.col("id") % 7 != 0, plain(head(choices=choice(s(F.lit(None).cast("string").alias("content")), finish_reason="tool_calls")))).otherwise(""),
+        some(n % 4 == 3, plain(head(choices=F.array(s(F.lit(1).alias("index"), s(F.lit("other").alias("content")).alias("delta")))))), plain(head(choices=choice(call(F.lit('{"city":'), id="t")))), plain(head(choices=choice(call(F.concat(F.lit('"c'), F.col("turn"), F.lit('"}')))))), F.when(F.col("id") % 7 != 0, plain(head(choices=choice(s(F.lit(None).cast("string").alias("content")), finish_reason="tool_calls")))).otherwise(""),
         plain(head(choices=F.array().cast("array<string>"), usage=s(F.lit(3).alias("prompt_tokens"), F.char_length("text").alias("completion_tokens")))), F.when(F.col("id") % 11 == 0, plain(F.lit("{broken"))).otherwise(""), F.lit("data: [DONE]\n\n"))
     done = js(s(s(F.lit("completed").alias("status"), F.array(s(F.lit("message").alias("type"), F.array(s(F.col("text").alias("text"))).alias("content"))).alias("output")).alias("response")))
     responses = F.concat(event("response.created", F.lit("{}")), F.when(F.col("id") % 7 != 0, event("response.completed", done)).otherwise(""))

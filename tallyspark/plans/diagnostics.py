@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.scalars import excerpt
-from tallyspark.operators import normalise
+from tallyspark.operators import derive, normalise
 
 
 @dataclass(frozen=True)
@@ -30,20 +30,17 @@ INJECTED = ("<system-reminder>", "<local-command-", "caveat:", "[request interru
 
 
 def call_frame(calls: DataFrame) -> DataFrame:
-    """One row for each call with its session, model, times, usage, thread size, turn and system fingerprints."""
-    parsed = normalise.parse(normalise.inference_calls(calls))
-    turn_rows = normalise.turns(parsed)
-    one = F.sha2(F.to_json(F.struct("role", "blocks")), 256)
-    old = F.when(F.col("origin") == "history", F.struct("turn", one.alias("h")))
-    said = F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == "user", F.struct("turn", "blocks")))), lambda t: t["blocks"]))
-    thread = turn_rows.groupBy("call_id").agg(
-        F.transform(F.array_sort(F.collect_list(old)), lambda t: t["h"]).alias("turn_hashes"), F.sum(F.aggregate("blocks", F.lit(0).cast("long"), lambda a, b: a + F.coalesce(b["chars"], F.lit(0).cast("long")))).alias("thread_chars"), said.alias("said"))
-    system = normalise.system_segments(parsed).groupBy("call_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg", "text"))), lambda s: s["text"]), "\n"), 256).alias("system_hash"))
+    """One row for each call with its session, model, times, usage, thread size, history and system fingerprints, made within the row."""
+    x = derive.normalised_calls(calls)
+    old = F.filter("turns", lambda t: t["origin"] == "history")
+    said = F.flatten(F.transform(F.filter("turns", lambda t: t["role"] == "user"), lambda t: t["blocks"]))
     own = lambda b: (b["kind"] == "text") & (F.trim(b["content"]) != "") & ~F.exists(F.array(*map(F.lit, INJECTED)), lambda m: F.startswith(F.lower(F.ltrim(b["content"])), m)) & b["content_tag"].isNull()
-    x = parsed.select(F.col("id").alias("call_id"), "session_key", "model", "url", "method", F.col("timestamp_start").alias("start"), F.col("timestamp_first_chunk").alias("first_chunk"), F.col("timestamp_end").alias("end"), F.col("response_status").alias("status"), "error", F.col("response_raw_sse").isNotNull().alias("is_stream"))
-    x = x.join(normalise.usage(parsed), "call_id").join(thread, "call_id", "left").join(system, "call_id", "left")
-    first = F.get(F.filter("said", own), F.lit(0))["content"]
-    return x.withColumn("session", F.coalesce("session_key", F.concat(F.lit("unscoped-call-"), F.col("call_id")))).withColumn("prompt", F.trim(F.regexp_replace(first, r"\s+", " "))).drop("said")
+    size = lambda bs: F.aggregate(bs, F.lit(0).cast("long"), lambda a, b: a + F.coalesce(b["chars"], F.lit(0).cast("long")))
+    some, first = F.size("turns") > 0, F.get(F.filter(said, own), F.lit(0))["content"]
+    return x.select(
+        F.col("id").alias("call_id"), "session_key", "model", "url", "method", F.col("timestamp_start").alias("start"), F.col("timestamp_first_chunk").alias("first_chunk"), F.col("timestamp_end").alias("end"), F.col("response_status").alias("status"), "error", F.col("response_raw_sse").isNotNull().alias("is_stream"),
+        "input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens", F.when(some, derive.prefix_hashes(F.transform(old, derive.turn_hash))).alias("history"), F.when(some, size(F.flatten(F.transform("turns", lambda t: t["blocks"])))).alias("thread_chars"),
+        F.when(F.size("segs") > 0, F.sha2(F.array_join(F.transform("segs", lambda s: s["text"]), "\n"), 256)).alias("system_hash"), F.coalesce("session_key", F.concat(F.lit("unscoped-call-"), F.col("id"))).alias("session"), F.trim(F.regexp_replace(first, r"\s+", " ")).alias("prompt"))
 
 
 def _before() -> Window:
@@ -59,17 +56,17 @@ def token_metrics(c: DataFrame) -> DataFrame:
 def timeline(c: DataFrame) -> DataFrame:
     """Calls in session order with ttft, latency, chain break, compaction and system drift against the call before.
 
-    Chain break: the earlier history is no prefix of this one. Compaction: input tokens or thread
+    Chain break: the earlier history is no prefix of this one, that is, its last hash is not this one's of that place. Compaction: input tokens or thread
     characters under 70 % of the call before. Drift: another system text.
     """
     w = _before()
-    prev = F.lag("turn_hashes").over(w)
-    prefix = F.slice("turn_hashes", F.lit(1), F.size(prev))
+    length, last = F.lag(F.size("history")).over(w), F.lag(F.try_element_at("history", F.lit(-1))).over(w)
+    broken = (length > 0) & ~F.get("history", (length - 1).cast("int")).eqNullSafe(last)
     fell = lambda n: F.coalesce(F.col(n) * 100 < F.lag(n).over(w) * 70, F.lit(False))
     has = F.lag("call_id").over(w).isNotNull()
     ms = lambda a, b: F.timestamp_diff("MILLISECOND", F.col(a), F.col(b))
     return c.withColumns({
-        "ttft_ms": ms("start", "first_chunk"), "latency_ms": ms("start", "end"), "chain_break": F.coalesce(has & prev.isNotNull() & ~prefix.eqNullSafe(prev), F.lit(False)), "compaction": has & (fell("input_tokens") | fell("thread_chars")),
+        "ttft_ms": ms("start", "first_chunk"), "latency_ms": ms("start", "end"), "chain_break": F.coalesce(has & broken, F.lit(False)), "compaction": has & (fell("input_tokens") | fell("thread_chars")),
         "system_drift": has & ~F.coalesce("system_hash", F.lit("")).eqNullSafe(F.coalesce(F.lag("system_hash").over(w), F.lit(""))), "before_tokens": F.lag("input_tokens").over(w)})
 
 
@@ -153,11 +150,13 @@ def calls_list(calls: DataFrame) -> DataFrame:
 
 
 def normalised_docs(calls: DataFrame) -> DataFrame:
-    """(call_id, doc): one nested record for each call with system, tools, thread, usage and block counts, in order."""
-    parsed = normalise.parse(normalise.inference_calls(calls))
-    turn_rows, segs, decls = normalise.turns(parsed), normalise.system_segments(parsed), normalise.tool_decls(parsed)
-    listed = lambda df, at, cols, name: df.groupBy("call_id").agg(F.array_sort(F.collect_list(F.struct(at, *cols))).alias(name))
-    x = parsed.select(F.col("id").alias("call_id"), "dialect", "model", "session_key", "response_status", "error", "raw_fallback").join(normalise.usage(parsed), "call_id")
-    for part in (listed(segs, "seg", ["text", "chars", "cache_control"], "system"), listed(decls, "pos", ["name", "description", "input_schema"], "tools"), listed(turn_rows, "turn", ["role", "origin", "blocks"], "thread"), normalise.block_counts(normalise.blocks(turn_rows))):
-        x = x.join(part, "call_id", "left")
-    return x.select("call_id", F.to_json(F.struct(*[c for c in x.columns])).alias("doc"))
+    """(call_id, doc): one nested record for each call with system, tools, thread, usage and block counts, in order, made within the row."""
+    x = derive.normalised_calls(calls)
+    n = lambda k: F.size(F.filter(F.flatten(F.transform("turns", lambda t: t["blocks"])), lambda b: b["kind"] == k))
+    system = F.transform("segs", lambda s, i: F.struct(i.alias("seg"), s["text"].alias("text"), F.char_length(s["text"]).cast("long").alias("chars"), s["cache_control"].alias("cache_control")))
+    tools = F.transform("decls", lambda d, i: F.struct(i.alias("pos"), d["name"].alias("name"), d["description"].alias("description"), d["input_schema"].alias("input_schema")))
+    some = lambda listed, c: F.when(F.size(listed) > 0, c)
+    doc = F.struct(
+        F.col("id").alias("call_id"), "dialect", "model", "session_key", "response_status", "error", "raw_fallback", "input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens",
+        some("segs", system).alias("system"), some("decls", tools).alias("tools"), some("turns", F.col("turns")).alias("thread"), *[some("turns", n(k)).cast("long").alias(k) for k in normalise.KINDS])
+    return x.select(F.col("id").alias("call_id"), F.to_json(doc).alias("doc"))

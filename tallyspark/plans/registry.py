@@ -409,16 +409,16 @@ def q8_thread_outline(spark, sf_dir):
 
 @query(f"WITH {_TURNS} SELECT count(*) AS prompts, CAST(sum(generations) AS BIGINT) AS generations, max(generations) AS most FROM (SELECT s, count(*) AS generations FROM (SELECT call_id, string_agg(text, chr(30) ORDER BY t) AS s FROM sy GROUP BY call_id) GROUP BY s)")
 def q19_harness_prompts(spark, sf_dir):
-    g, _, segs, decls = derive.derive_generations(adapters.captures(spark, sf_dir))
-    prompts = derive.harness_dims(segs, decls)[0]
+    c = adapters.captures(spark, sf_dir)
+    g, prompts = derive.derive_generations(c)[0], derive.harness_dims(derive.normalised_calls(c))[0]
     x = surfaces.harness_prompts(prompts, assemble.assemble(pricing.price(g, *adapters.catalogue(spark))))
     return x.agg(F.count("*").alias("prompts"), F.sum("generations").alias("generations"), F.max("generations").alias("most"))
 
 
 @query("SELECT count(*) AS generations, count(DISTINCT conv_id) AS sessions, CAST(1 AS BIGINT) AS tool_count FROM conversations WHERE role = 'assistant'")
 def q20_harness_tool_sets(spark, sf_dir):
-    g, _, segs, decls = derive.derive_generations(adapters.captures(spark, sf_dir))
-    sets = derive.harness_dims(segs, decls)[1]
+    c = adapters.captures(spark, sf_dir)
+    g, sets = derive.derive_generations(c)[0], derive.harness_dims(derive.normalised_calls(c))[1]
     return surfaces.harness_tool_sets(sets, assemble.assemble(pricing.price(g, *adapters.catalogue(spark)))).select("generations", "sessions", "tool_count")
 
 
@@ -597,20 +597,18 @@ def n22_undeclared(spark, sf_dir):
 
 @query(f"WITH {adapters.USES_SQL} SELECT call_id, use AS tool_use_id, name, declared AS was_declared, CASE WHEN NOT done THEN 'pending' WHEN failed THEN 'error' ELSE 'ok' END AS status, row_number() OVER (PARTITION BY call_id ORDER BY use, name) - 1 AS seq, '{{\"q\":\"' || use || '\"}}' AS input_excerpt, CASE WHEN done THEN 'result of ' || use END AS result_excerpt FROM x")
 def p18_tool_calls(spark, sf_dir):
-    parsed = _tool_parsed(spark, sf_dir)
-    t = derive.derive_tool_calls(parsed, normalise.blocks(normalise.turns(parsed)), normalise.tool_decls(parsed))
+    t = derive.tool_calls(normalise.normalised(_tool_parsed(spark, sf_dir)))
     return tidy(t.select("call_id", "tool_use_id", "name", "was_declared", "status", "seq", "input_excerpt", "result_excerpt"))
 
 
 @query(f"WITH {adapters.USES_SQL} SELECT call_id, count(DISTINCT name) AS tools_declared_count, CAST(0 AS BIGINT) AS mcp_tools_count FROM d GROUP BY 1")
 def p8_tool_shape(spark, sf_dir):
-    return derive.tool_shape(normalise.tool_decls(_tool_parsed(spark, sf_dir))).select("call_id", "tools_declared_count", "mcp_tools_count")
+    return derive.with_tool_shape(normalise.normalised(_tool_parsed(spark, sf_dir), ("decls",))).filter("tools_hash IS NOT NULL").select(F.col("id").alias("call_id"), "tools_declared_count", "mcp_tools_count")
 
 
 @query(f"WITH {adapters.USES_SQL} SELECT count(DISTINCT s) AS sets, sum(n)::BIGINT AS members FROM (SELECT s, any_value(n) AS n FROM (SELECT call_id, string_agg(name, ',' ORDER BY name) AS s, count(*) AS n FROM d GROUP BY 1) GROUP BY s)")
 def p20_harness_dims(spark, sf_dir):
-    parsed = _tool_parsed(spark, sf_dir)
-    _, sets, schemas = derive.harness_dims(normalise.system_segments(parsed), normalise.tool_decls(parsed))
+    _, sets, schemas = derive.harness_dims(normalise.normalised(_tool_parsed(spark, sf_dir)))
     return sets.agg(F.count("*").alias("sets"), F.sum("tool_count").alias("members"))
 
 
@@ -626,7 +624,7 @@ def n8_blocks(spark, sf_dir):
 
 @query(f"WITH {adapters.USES_SQL} SELECT call_id, 1 + 1 + CASE WHEN call_id % 2 = 0 THEN 1 ELSE count(*) FILTER (done) END AS messages_count, call_id % 2 = 0 AND false OR NOT bool_or(true) AS new_user_turn, 'order ' || call_id AS user_prompt FROM x GROUP BY 1")
 def p12_thread_shape(spark, sf_dir):
-    return derive.thread_shape(normalise.turns(_tool_parsed(spark, sf_dir))).select("call_id", "messages_count", "new_user_turn", "user_prompt")
+    return derive.with_thread_shape(normalise.normalised(_tool_parsed(spark, sf_dir))).select(F.col("id").alias("call_id"), "messages_count", "new_user_turn", "user_prompt")
 
 
 # ---- functions, details and records ----

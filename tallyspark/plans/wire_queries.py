@@ -138,21 +138,23 @@ def n20_oversized_blocks(spark, sf_dir):
 # ---- streams ----
 
 _ST = """s AS (SELECT conv_id * 1000 + turn AS id, turn, text FROM conversations WHERE role = 'assistant'),
-x AS (SELECT id, id % 3 AS form, id % 7 <> 0 AS whole, id % 11 = 0 AS bad, id % 13 = 0 AS headless, id % 17 = 0 AS torn, turn, text FROM s)"""
-_NOTES = "nullif(concat_ws('; ', CASE WHEN bad THEN 'error event: overloaded' END, CASE WHEN torn THEN 'unparsable tool input in block 2' END, CASE WHEN headless THEN 'no message_start' END), '')"
+x AS (SELECT id, id % 3 AS form, id % 7 <> 0 AS whole, id % 11 = 0 AS bad, id % 13 = 0 AS headless, id % 17 = 0 AS torn, id % 19 = 0 AS open, id % 5 = 0 AS oops, id % 4 = 2 AS twice, id % 4 = 3 AS forked, turn, text,
+  left(text, length(text) // 2) || CASE id % 8 WHEN 1 THEN chr(133) WHEN 3 THEN chr(8232) WHEN 6 THEN chr(8233) ELSE '' END || substr(text, length(text) // 2 + 1) AS said FROM s)"""
+_NOTES = "nullif(concat_ws('; ', CASE WHEN oops THEN 'bad event data: {oops' END, CASE WHEN bad THEN 'error event: overloaded' END, CASE WHEN torn AND NOT open THEN 'unparsable tool input in block 2' END, CASE WHEN headless THEN 'no message_start' END), '')"
 
 
-@query(f"""WITH {_ST} SELECT id AS call_id, text, 'let me see' AS thinking, 'sig' AS signature, CASE WHEN NOT torn THEN 'c' || turn END AS city, CASE WHEN whole THEN 'tool_use' END AS stop_reason, CASE WHEN whole THEN length(text) WHEN NOT headless THEN 1 END AS output_tokens, CASE WHEN NOT headless THEN 3 END AS input_tokens, {_NOTES} AS error FROM x WHERE form = 0
-UNION ALL SELECT id, text, 'hm', NULL, 'c' || turn, CASE WHEN whole THEN 'tool_calls' END, length(text), 3, CASE WHEN bad THEN 'bad event data: {{broken' END FROM x WHERE form = 1
-UNION ALL SELECT id, CASE WHEN whole THEN text END, NULL, NULL, NULL, CASE WHEN whole THEN 'completed' END, NULL, NULL, CASE WHEN NOT whole THEN 'no terminal response event' END FROM x WHERE form = 2""")
+@query(f"""WITH {_ST} SELECT id AS call_id, said AS text, 'let me see' AS thinking, 'sig' AS signature, CASE WHEN NOT torn AND NOT open THEN 'c' || turn END AS city, CASE WHEN whole THEN 'tool_use' END AS stop_reason, CASE WHEN whole THEN length(text) WHEN NOT headless THEN 1 END AS output_tokens, CASE WHEN NOT headless THEN 3 END AS input_tokens, 3 AS blocks, NULL AS second, {_NOTES} AS error FROM x WHERE form = 0
+UNION ALL SELECT id, said, 'hm', NULL, 'c' || turn, CASE WHEN whole THEN 'tool_calls' END, length(text), 3, NULL, CASE WHEN forked THEN 'other' END, CASE WHEN bad THEN 'bad event data: {{broken' END FROM x WHERE form = 1
+UNION ALL SELECT id, CASE WHEN whole THEN text END, NULL, NULL, NULL, CASE WHEN whole THEN 'completed' END, NULL, NULL, NULL, NULL, CASE WHEN NOT whole THEN 'no terminal response event' END FROM x WHERE form = 2""")
 def r10_reassemble(spark, sf_dir):
-    """Streams of all dialects, whole, cut and broken: texts, thoughts, tool inputs, ends and notes."""
+    """Streams of all dialects, whole, cut and broken: texts, thoughts, tool inputs, ends, choices and notes."""
     m = reassemble.reassemble(adapters.mixed_streams(spark, sf_dir))
     get = lambda *paths: F.coalesce(*[F.get_json_object("message", p) for p in paths])
     chat = F.get_json_object(get("$.choices[0].message.tool_calls[0].function.arguments"), "$.city")
     return m.select(
         "call_id", get("$.content[1].text", "$.choices[0].message.content", "$.output[0].content[0].text").alias("text"), get("$.content[0].thinking", "$.choices[0].message.reasoning_content").alias("thinking"), get("$.content[0].signature").alias("signature"), F.coalesce(get("$.content[2].input.city"), chat).alias("city"),
-        get("$.stop_reason", "$.choices[0].finish_reason", "$.status").alias("stop_reason"), get("$.usage.output_tokens", "$.usage.completion_tokens").cast("long").alias("output_tokens"), get("$.usage.input_tokens", "$.usage.prompt_tokens").cast("long").alias("input_tokens"), "error")
+        get("$.stop_reason", "$.choices[0].finish_reason", "$.status").alias("stop_reason"), get("$.usage.output_tokens", "$.usage.completion_tokens").cast("long").alias("output_tokens"), get("$.usage.input_tokens", "$.usage.prompt_tokens").cast("long").alias("input_tokens"),
+        F.json_array_length(get("$.content")).alias("blocks"), get("$.choices[1].message.content").alias("second"), "error")
 
 
 @query(f"WITH {_ST} SELECT id, CASE form WHEN 0 THEN 'anthropic' WHEN 1 THEN 'chat' ELSE 'responses' END AS dialect FROM x")
@@ -160,8 +162,10 @@ def r2_sse_dialect(spark, sf_dir):
     return adapters.mixed_streams(spark, sf_dir).select("id", reassemble.sse_dialect(F.col("response_raw_sse")).alias("dialect"))
 
 
-@query(f"""WITH {_ST} SELECT id AS call_id, CASE form WHEN 0 THEN 10 + CASE WHEN headless THEN 0 ELSE 1 END + CASE WHEN bad THEN 1 ELSE 0 END + CASE WHEN whole THEN 1 ELSE 0 END WHEN 1 THEN 6 + CASE WHEN whole THEN 1 ELSE 0 END + CASE WHEN bad THEN 1 ELSE 0 END ELSE 1 + CASE WHEN whole THEN 1 ELSE 0 END END AS events,
-CASE WHEN form = 1 AND bad THEN 1 ELSE 0 END AS broken, CASE form WHEN 0 THEN 10 + CASE WHEN headless THEN 0 ELSE 1 END + CASE WHEN bad THEN 1 ELSE 0 END + CASE WHEN whole THEN 1 ELSE 0 END WHEN 1 THEN 0 ELSE 1 + CASE WHEN whole THEN 1 ELSE 0 END END AS named FROM x""")
+_EVENTS = "CASE form WHEN 0 THEN 12 + headless::INT * -1 + 1 + bad::INT + whole::INT + oops::INT + 2 * twice::INT + (NOT open)::INT WHEN 1 THEN 6 + whole::INT + bad::INT + forked::INT ELSE 1 + whole::INT END"
+
+
+@query(f"WITH {_ST} SELECT id AS call_id, {_EVENTS} AS events, CASE WHEN form = 1 AND bad OR form = 0 AND oops THEN 1 ELSE 0 END AS broken, CASE WHEN form = 1 THEN 0 ELSE {_EVENTS} END AS named FROM x")
 def r3_sse_event_types(spark, sf_dir):
     """Events of each stream, how many are no JSON, and how many have a type, by name or by data."""
     e = reassemble.sse_events(adapters.mixed_streams(spark, sf_dir))
@@ -172,7 +176,7 @@ def r3_sse_event_types(spark, sf_dir):
 SELECT id, nullif(concat_ws('; ', CASE WHEN slow THEN 'slow' END, 'reconstruct: ' || note), '') AS error, got FROM y""")
 def r12_finalize_streams(spark, sf_dir):
     c = adapters.mixed_streams(spark, sf_dir)
-    x = reassemble.finalize_streams(c, reassemble.reassemble(c))
+    x = reassemble.finalize_streams(c)
     return x.select("id", "error", F.col("response_reconstructed").isNotNull().alias("got"))
 
 
@@ -213,19 +217,19 @@ def t8_tool_traces(spark, sf_dir):
 @query(f"WITH {E}, p AS (SELECT env, count(*) AS generations, count(DISTINCT CASE WHEN k % 2 = 0 THEN 's-' ELSE 'u-' END || user_id) AS sessions, array_to_string(list_sort(list(DISTINCT 'm-' || k % 5)), ',') AS models, coalesce(array_to_string(list_sort(list(DISTINCT '2.' || k || '.0') FILTER (billing IS NOT NULL)), ','), '') AS billing_variants FROM e WHERE cl GROUP BY env) SELECT * EXCLUDE (env) FROM p WHERE env = (SELECT env FROM e WHERE cl ORDER BY call_id LIMIT 1)")
 def q22_prompt_detail(spark, sf_dir):
     """One system prompt with its use: that of the first call of its dialect."""
-    g, _, segs, decls = derive.derive_generations(_captures(spark, sf_dir))
-    g = cut(assemble.classify_agents(g), "roles")
+    c = _captures(spark, sf_dir)
+    g = cut(assemble.classify_agents(derive.derive_generations(c)[0]), "roles")
     key = g.filter("provider = 'anthropic'").orderBy("call_id").select("system_hash").first()[0]
-    return surfaces.prompt_detail(derive.harness_dims(segs, decls)[0], g, key).select("generations", "sessions", "models", "billing_variants")
+    return surfaces.prompt_detail(derive.harness_dims(derive.normalised_calls(c))[0], g, key).select("generations", "sessions", "models", "billing_variants")
 
 
 @query(f"WITH {E}, one AS (SELECT * FROM e WHERE cl ORDER BY call_id DESC LIMIT 1) SELECT 'prompt' AS part, NULL AS name, length(env) + coalesce(length(billing), 0) AS chars FROM one UNION ALL SELECT 'tool', 'Alpha', 5 + 4 + 17 FROM one UNION ALL SELECT 'tool', 'mcp__s__b', 9 + 4 + 17 FROM one")
 def q7_context_parts(spark, sf_dir):
     """The prompt and the tools, by weight, that the last call of one dialect was sent with."""
-    g, _, segs, decls = derive.derive_generations(_captures(spark, sf_dir))
-    g = cut(g.withColumn("span_id", F.lit(None).cast("string")), "calls")
+    c = _captures(spark, sf_dir)
+    g = cut(derive.derive_generations(c)[0].withColumn("span_id", F.lit(None).cast("string")), "calls")
     key = g.filter("provider = 'anthropic'").agg(F.max("call_id")).first()[0]
-    prompts, _, schemas = derive.harness_dims(segs.join(g.filter(F.col("call_id") == key).select("call_id"), "call_id"), decls)
+    prompts, _, schemas = derive.harness_dims(derive.normalised_calls(c.filter(F.col("id") == key)))
     p, tools = surfaces.context_parts(prompts, schemas, g, key)
     return p.select(F.lit("prompt").alias("part"), F.lit(None).cast("string").alias("name"), F.col("total_chars").alias("chars")).unionByName(tools.select(F.lit("tool").alias("part"), "name", "chars"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark.functions.variants import quoted, strict_json
+
 SCHEMA = """id long, timestamp_start timestamp, timestamp_first_chunk timestamp, timestamp_end timestamp, method string, url string, request_headers map<string,string>,
 request_body string, response_status long, response_headers map<string,string>, response_body string, response_raw_sse string, response_reconstructed string, error string"""
 #: Headers that hold credentials.
@@ -15,7 +17,7 @@ REDACTED = "<redacted>"
 def read_calls(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
     """Captures with payloads that are not JSON made null."""
     df = spark.read.format(form).schema(SCHEMA).load(path)
-    return df.withColumns({c: F.when(F.try_parse_json(c).isNotNull(), F.col(c)) for c in ("request_body", "response_body", "response_reconstructed")})
+    return df.withColumns({c: F.when(strict_json(F.col(c)).isNotNull(), F.col(c)) for c in ("request_body", "response_body", "response_reconstructed")})
 
 
 def newest(calls: DataFrame, limit: int = 50) -> DataFrame:
@@ -40,8 +42,7 @@ def append_calls(df: DataFrame, path: str) -> None:
 
 def body_to_json(raw: Column) -> Column:
     """A body as JSON text: null if empty, itself if it is JSON, else a JSON string."""
-    quoted = F.to_json(F.struct(raw.alias("x")))
-    return F.when(raw == "", None).when(F.try_parse_json(raw).isNotNull(), raw).otherwise(F.substring(quoted, F.lit(6), F.char_length(quoted) - 6))
+    return F.when(raw == "", None).when(strict_json(raw).isNotNull(), raw).otherwise(quoted(raw))
 
 
 def headers_map(rows: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.functions.variants import strict_json
+
 DECODED = ("tools_called", "stop_sequences", "context_management", "segments", "observed", "models")
 
 
@@ -16,7 +18,7 @@ def pending(calls: DataFrame, g: DataFrame, version: str) -> DataFrame:
 
 def quarantine(calls: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good captures, failures): a payload that is there and no JSON fails with its stage."""
-    bad = lambda c: F.col(c).isNotNull() & F.try_parse_json(c).isNull()
+    bad = lambda c: F.col(c).isNotNull() & strict_json(F.col(c)).isNull()
     stage = F.when(bad("request_body"), "request").when(bad("response_body"), "response").when(bad("response_reconstructed"), "reconstructed")
     x = calls.withColumn("_stage", stage)
     failures = x.filter("_stage IS NOT NULL").select(F.col("id").alias("call_id"), F.col("_stage").alias("stage"), F.lit("invalid JSON").alias("error"), F.lit(False).alias("panicked"), F.col("timestamp_start").alias("at"))
