@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import brown, crf_langid, decontaminate, filter_audit, jaccard_join, licenses, line_dedup, mixing, packing, prefix_trie, simhash, slots, url_filter
+from .common import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,12 +61,12 @@ def captures(pages: DataFrame) -> DataFrame:
 
 def dated_entries(pages: DataFrame) -> DataFrame:
     """Dated list entries made from the hosts and paths that `pages` holds, prefixes in the spelling of raw lists."""
-    sites = pages.select(url_filter.url_site(F.col("url")).alias("site")).filter("site IS NOT NULL").distinct()
+    sites = written(pages.select(url_filter.url_site(F.col("url")).alias("site")).filter("site IS NOT NULL").distinct(), "sites")
     hosts = sites.select(F.substring_index("site", "/", 1).alias("host")).distinct()
     number = lambda c: F.conv(F.substring(F.md5(c), 1, 4), 16, 10).cast("int").alias("n")
     labels = F.split("host", r"\.")
     domain = F.when(F.size(labels) > 3, F.array_join(F.slice(labels, F.lit(2), F.size(labels)), ".")).otherwise(F.col("host"))
-    rows = hosts.select("host", number("host"), domain.alias("domain"))
+    rows = written(hosts.select("host", number("host"), domain.alias("domain")), "hosts")
     day = lambda k: F.date_add(F.lit("2024-01-01").cast("date"), k.cast("int")).alias("listed_at")
     n = F.col("n")
 

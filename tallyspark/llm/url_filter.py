@@ -11,8 +11,8 @@ _SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*://"
 
 
 def _host_of(authority: Column) -> Column:
-    """Lower case, without user, port, `www.` and a closing dot; null if nothing is left."""
-    host = F.lower(F.regexp_extract(authority, r"^(?:[^@]*@)?([^:]*)", 1))
+    """Lower case, without user, port, `www.` and a closing dot; an address in brackets is taken whole; null if nothing is left."""
+    host = F.lower(F.regexp_extract(authority, r"^(?:[^@]*@)?(\[[^\]]*\]|[^:]*)", 1))
     return F.nullif(F.regexp_replace(host, r"^www\.|\.$", ""), F.lit(""))
 
 
@@ -35,13 +35,14 @@ def url_site(url: Column) -> Column:
 def url_keys(site: Column) -> Column:
     """What a list can name of a site: (kind, pattern, rank).
 
-    `domain`: the host and each parent domain of two labels at least (or the host itself). `prefix`:
+    `domain`: the host and each parent domain of two labels at least (or the host itself); an address has no parents. `prefix`:
     each of these followed by none, one, two .. all of the path's segments. rank: (segments, labels),
     the larger the more specific; a prefix without segments ranks above its domain.
     """
     host, segments = F.substring_index(site, "/", 1), F.slice(F.split(site, "/", -1), F.lit(2), F.size(F.split(site, "/", -1)))
     labels = F.split(host, r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.struct(F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("name"), (F.size(labels) - i + 1).alias("labels")))
+    address = host.rlike(r"^[0-9]+(\.[0-9]+){3}$|^\[")
+    domains = F.transform(F.sequence(F.lit(1), F.when(address, F.lit(1)).otherwise(F.greatest(F.size(labels) - 1, F.lit(1)))), lambda i: F.struct(F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("name"), (F.size(labels) - i + 1).alias("labels")))
     paths = F.transform(F.sequence(F.lit(0), F.size(segments)), lambda n: F.struct(F.when(n > 0, F.concat(F.lit("/"), F.array_join(F.slice(segments, F.lit(1), n), "/"))).otherwise("").alias("path"), n.alias("n")))
     key = lambda kind, pattern, n, m: F.struct(F.lit(kind).alias("kind"), pattern.alias("pattern"), F.struct(n.alias("segments"), m.alias("labels")).alias("rank"))
     whole = F.transform(domains, lambda d: key("domain", d["name"], F.lit(-1), d["labels"]))
@@ -50,11 +51,11 @@ def url_keys(site: Column) -> Column:
 
 
 def normal_pattern(kind: Column, pattern: Column) -> Column:
-    """An entry's pattern written as url_keys() writes its own: scheme, `www.`, port, closing slashes and the host's case away."""
+    """An entry's pattern written as url_keys() writes its own: scheme, `www.`, port, closing slashes and the host's case away; null without a host."""
     bare = F.regexp_replace(F.trim(pattern), _SCHEME, "")
     host = _host_of(F.regexp_extract(bare, r"^([^/?#]*)", 1))
     segments = path_segments(F.regexp_replace(bare, r"^[^/?#]*", ""))
-    return F.when(kind == "prefix", F.array_join(F.concat(F.array(host), segments), "/")).otherwise(host)
+    return F.when(host.isNotNull() & (kind == "prefix"), F.array_join(F.concat(F.array(host), segments), "/")).otherwise(host)
 
 
 def validity_intervals(entries: DataFrame) -> DataFrame:
