@@ -6,6 +6,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from .common import col, maybe_broadcast, row_key, written
 
@@ -99,6 +100,26 @@ def within_radius(queries: DataFrame, table: DataFrame, radius: int = 3, n_block
     return on.filter((distance <= radius) & (F.col("t") == first)).select("query", "fingerprint", distance.alias("distance"))
 
 
+def range_cuts(ids: DataFrame, parts: int, total: int, sampled: int = 20) -> list:
+    """Ascending ids that cut rows (id, weight), `total` by weight, in about `parts` ranges of like weight; of any type that has an order.
+
+    Numbers are cut at approximate quantiles. Of others some `sampled` ids a range come to the driver, chosen by a hash
+    with a chance that grows with their weight; that moves the cuts, never a row.
+    """
+    if isinstance(ids.schema["id"].dataType, NumericType):
+        weighed = ids.select("id", F.explode(F.array_repeat(F.lit(0), F.col("weight"))))
+        return sorted(set(weighed.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)], 10000).alias("c")).first()["c"] or []))
+    one_in = max(1, total // (parts * sampled))
+    some = ids.filter(F.col("id").isNotNull() & (F.pmod(F.xxhash64("id"), F.lit(one_in)) < F.col("weight"))).select("id").distinct().sort("id").limit(4 * parts * sampled)
+    picked = [r["id"] for r in some.collect()]
+    return picked[sampled::sampled] if len(picked) > sampled else []
+
+
+def asked(id_: Column, kind, step: int) -> Column:
+    """Whether a row's neighbours are asked for: those of ids that `step` divides, of ids that are no numbers those of such hashes."""
+    return (id_ if isinstance(kind, NumericType) else F.crc32(id_.cast("string").cast("binary"))) % step == 0
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_a_bucket: int = 4000, most_buckets: int = 4096) -> DataFrame:
     """(bucket, pos, id, rid, text, next_id, next_rid, next_text): each row with the one after it by descending id; after the last the first.
 
@@ -111,9 +132,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     weight = (F.floor(F.coalesce(F.char_length(col(text_col)), F.lit(0)) / 2000) + 1).cast("int")
     n = docs.agg(F.coalesce(F.sum(weight), F.lit(0)).alias("n")).first()["n"]
     parts = max(1, min(most_buckets, n // rows_a_bucket))
-    weighed = docs.select(col(id_col).alias("id"), F.explode(F.array_repeat(F.lit(0), weight)))
-    cuts = weighed.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)] or [0.5], 10000).alias("c")).first()["c"] or []
-    cuts = sorted(set(cuts)) if parts > 1 else []
+    cuts = range_cuts(docs.select(col(id_col).alias("id"), weight.alias("weight")), parts, n) if parts > 1 else []
     bucket = F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("id"))), F.lit(-1)) if cuts else F.when(F.col("id").isNull(), F.lit(-1)).otherwise(F.lit(0))
     d = d.withColumn("bucket", F.when(F.col("id").isNull(), F.lit(-1)).otherwise(bucket))
     order = [F.col("id").desc_nulls_last(), F.col("rid").desc()]
@@ -143,7 +162,8 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     near_edited and near_next are 1 - distance / 64 to the edited text's and the next document's
     fingerprint. n_near: for documents whose id `query_step` divides, how many distinct fingerprints
-    of all documents lie within `radius` bits, its own included; null for the others. Null text is
+    of all documents lie within `radius` bits, its own included; null for the others. Ids may be of any type with an order:
+    of those that are no numbers, the ones whose crc32 `query_step` divides are asked for. Null text is
     empty; the empty text has a fingerprint like any other. Rows that repeat each have their row. A lone
     document is its own next. Very long texts are read whole. Columns but the id and the text are not read.
     """
@@ -158,12 +178,13 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
         F.max(F.when(F.col("which") == 0, F.col("fingerprint"))).alias("fingerprint"), F.max(F.when(F.col("which") == 1, F.col("fingerprint"))).alias("edited"))
     made = written(per_row, "fingerprints")
     nexts = made.select(F.col("id").alias("_id"), F.col("rid").alias("_rid"), F.col("fingerprint").alias("next_fp")).dropDuplicates(["_id", "_rid"])
-    asks = made.filter(F.col("id") % query_step == 0)
+    kind = docs.schema[id_col].dataType
+    asks = made.filter(asked(F.col("id"), kind, query_step))
     near = within_radius(asks, made, radius, n_blocks).groupBy("query").agg(F.count("*").alias("n_near"))
     out = made.join(nexts, (F.col("next_rid") == F.col("_rid")) & F.col("next_id").eqNullSafe(F.col("_id")), "left")
     out = out.join(near, F.col("fingerprint") == F.col("query"), "left")
     return out.select(
         "id", "n_chars", F.col("sha").alias("edited_sha256"), as_hex(F.col("fingerprint")).alias("fingerprint"), as_hex(F.col("edited")).alias("edited_fingerprint"),
         likeness(F.col("fingerprint"), F.col("edited")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fp")).alias("near_next"),
-        F.when(F.col("id") % query_step == 0, F.col("n_near")).alias("n_near"),
+        F.when(asked(F.col("id"), kind, query_step), F.col("n_near")).alias("n_near"),
     ).withColumnRenamed("id", id_col)

@@ -618,3 +618,21 @@ def test_url_filter(spark):
     caps = {"http://a.com/x/y/z": "block", "http://a.com/x/yy": "allow", "http://a.com/x": "allow", "http://www.a.com//x//y?q": "block", "http://m.a.com/x/y": "block", "http://b.com/q": "block", "http://b.com": "block", "https://C.com./": "block", "http://sub.d.com/1": "allow", "http://xa.com/x/y": "allow", "http://e.com/" + "s/" * 500: "allow"}
     c = spark.createDataFrame([(u, "2024-02-01") for u in caps], "url string, fetched_at string").withColumn("fetched_at", F.to_date("fetched_at"))
     assert {r["url"]: r["verdict"] for r in url_filter.filter_urls(c, e).collect()} == caps
+
+
+def test_url_filter_hosts(spark):
+    e = spark.createDataFrame([("l", "prefix", "/ads", "block", 1), ("l", "prefix", "", "block", 1), ("l", "domain", " ", "block", 1), ("l", "domain", None, "block", 1), ("l", "prefix", None, "block", 1), ("l", "domain", "3.4", "block", 1), ("l", "domain", "5.6.7.8", "block", 1), ("l", "domain", "[2001:DB8::1]:443", "block", 1), ("l", "prefix", "http://[::2]/x", "block", 1)], "list string, kind string, pattern string, action string, listed_at int")
+    urls = {"http://ads/x": "allow", "http://1.2.3.4/": "allow", "http://5.6.7.8:80/a": "block", "http://[2001:db8::1]/": "block", "http://[2001:db8::2]/": "allow", "http://u@[::2]:8080/x/y": "block", "http://[::2]/y": "allow", "http://[::ffff:1.2.3.4]/": "allow", "/ads": "allow", "http:///": "allow"}
+    c = spark.createDataFrame([(u, 2) for u in urls], "url string, fetched_at int")
+    assert {r["url"]: r["verdict"] for r in url_filter.filter_urls(c, e).collect()} == urls
+    assert {r["pattern"] for r in url_filter.validity_intervals(e).collect()} == {"3.4", "5.6.7.8", "[2001:db8::1]", "[::2]/x"}
+
+
+def test_simhash_of_text_ids(spark):
+    ids = [f"d-{i:04d}" for i in range(300)] + [None]
+    d = spark.createDataFrame([(i, f"words of document {i} are here and there") for i in ids], "doc_id string, text string")
+    got = {r["id"]: r["next_id"] for r in simhash.with_next(d, rows_a_bucket=20).collect()}
+    order = [*sorted(filter(None, ids), reverse=True), None]
+    assert got == dict(zip(order, [*order[1:], order[0]])) and len(simhash.range_cuts(d.selectExpr("doc_id AS id", "1 AS weight"), 10, 301)) >= 5
+    rows = simhash.fingerprint_documents(d).collect()
+    assert len(rows) == 301 and {r["doc_id"] for r in rows if r["n_near"] is not None} == {i for i in ids if i and zlib.crc32(i.encode()) % 20 == 0}
