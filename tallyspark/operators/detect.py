@@ -100,9 +100,9 @@ _SCOPE = {
 }
 
 
-def _fold(df: DataFrame, source: str, policy: Policy) -> DataFrame:
-    """All rules of the sources in one pass: first which rules a row meets, then the findings of those alone."""
-    rules = [r for r in RULES if r.source in source.split()]
+def _fold(df: DataFrame, source: str, policy: Policy, only: tuple[str, ...] = ()) -> DataFrame:
+    """All rules of the sources, or `only` some, in one pass: first which rules a row meets, then the findings of those alone."""
+    rules = [r for r in RULES if r.source in source.split() and (not only or r.id in only)]
     say = lambda x: F.expr(x.format(**{k: (f"{v}D" if isinstance(v, float) else v) for k, v in asdict(policy).items()}))
     met = F.filter(F.array(*[F.when(F.coalesce(say(r.when), F.lit(False)), F.lit(k)) for k, r in enumerate(rules)]), lambda k: k.isNotNull())
     hits = df.withColumn("_rule", F.explode(met))
@@ -143,13 +143,18 @@ def session_measures(g: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("agent_role") != "main", F.coalesce("cost_total_usd", F.lit(0.0))).otherwise(0.0)).alias("side"), F.sum(F.coalesce("cost_total_usd", F.lit(0.0))).alias("total"))
 
 
-def run_rules(g: DataFrame, tools: DataFrame | None = None, failures: DataFrame | None = None, policy: Policy = Policy()) -> DataFrame:
-    """All findings, unmerged."""
-    out = _fold(context_trend(g), "call trend", policy).unionByName(_fold(session_measures(g), "session", policy))
-    if tools is not None:
-        out = out.unionByName(_fold(tools, "tool", policy))
-    if failures is not None:
-        out = out.unionByName(_fold(failures, "failure", policy))
+def run_rules(g: DataFrame, tools: DataFrame | None = None, failures: DataFrame | None = None, policy: Policy = Policy(), rules: tuple[str, ...] = ()) -> DataFrame:
+    """All findings, or those of `rules` alone, unmerged: only what these rules look at is made."""
+    wanted = {r.source for r in RULES if not rules or r.id in rules}
+    sides = [("call trend", lambda: context_trend(g) if "trend" in wanted else g), ("session", lambda: session_measures(g)), ("tool", lambda: tools), ("failure", lambda: failures)]
+    out = None
+    for source, made in sides:
+        df = made() if wanted & set(source.split()) else None
+        if df is not None:
+            found = _fold(df, source, policy, rules)
+            out = found if out is None else out.unionByName(found)
+    if out is None:
+        raise ValueError("none of the rules looks at what was given")
     return out
 
 

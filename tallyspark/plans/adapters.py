@@ -123,18 +123,28 @@ A3_SQL = """t AS (SELECT l_orderkey AS call_id, 'c' || o_custkey AS session_id,
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"""
 
 
-def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A2: each assistant turn as a capture whose request sends all earlier turns again, as JSON text."""
+def captures(spark: SparkSession, sf_dir: str, edited: bool = False) -> DataFrame:
+    """A2: each assistant turn as a capture whose request sends all earlier turns again, as JSON text.
+
+    edited: of conversations 1, 2 and 3 modulo 4 the later requests send a changed first message, the last message alone,
+    or one more system text; of the others they count a thousand tokens a character.
+    """
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     said = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     x = said.select("conv_id", "turns", F.explode("turns").alias("t")).filter("t.role = 'assistant'")
     before = F.filter("turns", lambda y: (y["turn"] < F.col("t.turn")) & (y["role"] != "system"))
     system = F.filter("turns", lambda y: (y["turn"] < F.col("t.turn")) & (y["role"] == "system"))
+    if edited:
+        form, at = F.col("conv_id") % 4, F.col("t.turn")
+        redone = F.transform(before, lambda y, i: F.struct(y["turn"].alias("turn"), y["role"].alias("role"), F.concat(y["text"], F.when((i == 0) & (at % 4 == 3), " (edited)").otherwise("")).alias("text")))
+        before = F.when(form == 1, redone).when((form == 2) & (at >= 5), F.slice(before, -1, 1)).otherwise(before)
+        system = F.when(form == 3, F.concat(system, F.array(F.struct(at.alias("turn"), F.lit("system").alias("role"), F.concat(F.lit("rev "), at).alias("text"))))).otherwise(system)
     request = F.to_json(F.struct(
         F.lit("claude-opus-5").alias("model"), F.lit(1024).alias("max_tokens"), F.transform(system, lambda y: F.struct(F.lit("text").alias("type"), y["text"].alias("text"))).alias("system"),
         F.transform(before, lambda y: F.struct(y["role"].alias("role"), y["text"].alias("content"))).alias("messages"),
         F.array(F.struct(F.lit("Bash").alias("name"), F.lit("Runs a command").alias("description"), F.struct(F.lit("object").alias("type")).alias("input_schema"))).alias("tools")))
     n_in = F.aggregate(before, F.lit(0).cast("long"), lambda a, y: a + F.char_length(y["text"]))
+    n_in = n_in * F.when(F.col("conv_id") % 4 == 0, 1000).otherwise(1) if edited else n_in
     response = F.to_json(F.struct(
         F.lit("message").alias("type"), F.lit("assistant").alias("role"), F.lit("claude-opus-5").alias("model"), F.lit("end_turn").alias("stop_reason"),
         F.array(F.struct(F.lit("text").alias("type"), F.col("t.text").alias("text"))).alias("content"), F.struct(n_in.alias("input_tokens"), F.char_length("t.text").alias("output_tokens")).alias("usage")))

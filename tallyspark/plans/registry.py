@@ -210,7 +210,7 @@ def d0_alerts(spark, sf_dir):
 def _rule_query(rule):
     def run(spark, sf_dir):
         g = assembled(spark, sf_dir) if rule.source != "tool" else None
-        x = detect.run_rules(g) if g is not None else detect._fold(adapters.tool_calls(spark, sf_dir), "tool", detect.Policy())
+        x = detect.run_rules(g, rules=(rule.id,)) if g is not None else detect._fold(adapters.tool_calls(spark, sf_dir), "tool", detect.Policy())
         return tidy(x.filter(F.col("rule_id") == rule.id).select("rule_id", "severity", "scope_id", "session_id", "metric_value", "occurred_at"))
 
     run.__name__ = "d_" + rule.id.replace(".", "_")

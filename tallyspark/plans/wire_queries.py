@@ -446,3 +446,98 @@ def l4_refresh(spark, sf_dir):
     live.backfill(c, root, (models, tiers, local))
     did = live.refresh(c, root, (models.withColumns({n: F.col(n) * 2 for n in ("input", "output", "cache_read", "cache_write")}), tiers, local))
     return live.read_table(spark, root, "sessions").agg(F.lit(did).alias("did"), F.round(F.sum("cost_total_usd"), 6).alias("cost"))
+
+
+# ---- conditions that the plain captures never meet ----
+
+#: The edited A2 captures: each call's history and system text as lists, beside those of the call before.
+_EDITED = f"""{_TURNS}, eh AS (SELECT k.call_id, k.conv_id, k.turn, k.text AS said, coalesce((SELECT list(h.role || ':' || h.text || CASE WHEN k.conv_id % 4 = 1 AND k.turn % 4 = 3 AND h.t = (SELECT min(t) FROM h h0 WHERE h0.call_id = k.call_id) THEN ' (edited)' ELSE '' END ORDER BY h.t) FROM h WHERE h.call_id = k.call_id), []) AS full_,
+  coalesce((SELECT string_agg(text, chr(10) ORDER BY t) FROM sy WHERE sy.call_id = k.call_id), '') AS s0 FROM k),
+ee AS (SELECT *, CASE WHEN conv_id % 4 = 2 AND turn >= 5 THEN full_[-1:] ELSE full_ END AS hist, s0 || CASE WHEN conv_id % 4 = 3 THEN CASE WHEN s0 = '' THEN '' ELSE chr(10) END || 'rev ' || turn ELSE '' END AS system FROM eh),
+en AS (SELECT *, coalesce(list_sum(list_transform(hist, lambda x: length(x) - instr(x, ':'))), 0)::BIGINT AS chars FROM ee),
+ep AS (SELECT *, chars * CASE WHEN conv_id % 4 = 0 THEN 1000 ELSE 1 END AS inp, chars + length(said) AS thread FROM en),
+el AS (SELECT *, lag(hist) OVER w AS ph, lag(inp) OVER w AS pi, lag(thread) OVER w AS pt, lag(system) OVER w AS ps, lag(call_id) OVER w AS pid FROM ep WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+ec AS (SELECT *, pid IS NOT NULL AND len(ph) > 0 AND (len(hist) < len(ph) OR hist[1:len(ph)] <> ph) AS broken, pid IS NOT NULL AND (inp * 100 < pi * 70 OR thread * 100 < pt * 70) AS fell, pid IS NOT NULL AND system <> ps AS drift, pid IS NOT NULL AND inp / greatest(pi, 1) > 1.4 AND inp - pi >= 20000 AS grew FROM el)"""
+
+
+def _edited(spark, sf_dir):
+    return diagnostics.call_frame(cut(adapters.captures(spark, sf_dir, edited=True), "edited"))
+
+
+@query(f"WITH {_EDITED} SELECT call_id, broken AS chain_break, fell AS compaction, drift AS system_drift FROM ec")
+def v5_session_changes(spark, sf_dir):
+    """Chain breaks, compactions and drifts of sessions whose requests change what was said before."""
+    return diagnostics.timeline(_edited(spark, sf_dir)).select("call_id", "chain_break", "compaction", "system_drift")
+
+
+@query(f"WITH {_EDITED} SELECT 'compaction' AS rule, 'info' AS severity, call_id, NULL AS evidence FROM ec WHERE fell UNION ALL SELECT 'system_prompt_drift', 'warning', call_id, NULL FROM ec WHERE drift UNION ALL SELECT 'excessive_growth', 'warning', call_id, inp::VARCHAR FROM ec WHERE grew")
+def v13_edited_alerts(spark, sf_dir):
+    return diagnostics.session_alerts(_edited(spark, sf_dir)).select("rule", "severity", "call_id", "evidence")
+
+
+@query(f"WITH {_EDITED} SELECT 'conv-' || conv_id AS session, count(*) AS call_count, bool_or(fell) AS has_compaction FROM ec GROUP BY conv_id")
+def v2_edited_summaries(spark, sf_dir):
+    return diagnostics.summaries(_edited(spark, sf_dir)).select("session", "call_count", "has_compaction")
+
+
+@query(f"WITH {ALERTS} SELECT session_id, round(kc, 8) AS metric_value, 0.02 AS threshold FROM sm WHERE kc > 0.02")
+def d20_session_budget(spark, sf_dir):
+    """Sessions over a budget that some of them pass."""
+    x = detect.run_rules(assembled(spark, sf_dir), policy=detect.Policy(session_budget_usd=0.02), rules=("cost.session_budget",))
+    return tidy(x.select("session_id", "metric_value", "threshold"))
+
+
+#: Bodies as they may come: JSON, and JSON with something after it.
+_BODIES = "SELECT event_id AS id, CASE event_id % 8 WHEN 0 THEN props WHEN 1 THEN props || 'x' WHEN 2 THEN props || ' ' || props WHEN 3 THEN '123 abc' WHEN 4 THEN '[' || event_id || ']' WHEN 5 THEN event_id || ' , 2' WHEN 6 THEN '\"q\" z' ELSE ' ' || props || ' ' END AS body FROM events"
+
+
+def _bodies(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    i, p = F.col("event_id"), F.col("props")
+    kinds = [p, F.concat(p, F.lit("x")), F.concat(p, F.lit(" "), p), F.lit("123 abc"), F.concat(F.lit("["), i, F.lit("]")), F.concat(i, F.lit(" , 2")), F.lit('"q" z'), F.concat(F.lit(" "), p, F.lit(" "))]
+    null = F.lit(None).cast("string")
+    return e.select(i.alias("id"), F.col("ts").cast("timestamp").alias("timestamp_start"), F.get(F.array(*kinds), (i % 8).cast("int")).alias("request_body"), null.alias("response_body"), null.alias("response_reconstructed"))
+
+
+@query(f"WITH b AS ({_BODIES}) SELECT id, CASE WHEN json_valid(body) THEN body ELSE to_json(body)::VARCHAR END AS body FROM b")
+def s5_trailing_text(spark, sf_dir):
+    """Bodies that only begin as JSON are texts."""
+    return _bodies(spark, sf_dir).select("id", sources.body_to_json(F.col("request_body")).alias("body"))
+
+
+@query(f"WITH b AS ({_BODIES}) SELECT id AS call_id, 'request' AS stage FROM b WHERE NOT json_valid(body)")
+def s15_trailing_text(spark, sf_dir):
+    return maintenance.quarantine(_bodies(spark, sf_dir))[1].select("call_id", "stage")
+
+
+@query(f"WITH b AS ({_BODIES}) SELECT id AS scope_id, 'data_quality.parser_failed' AS rule_id, 'critical' AS severity FROM b WHERE NOT json_valid(body)")
+def d24_trailing_text(spark, sf_dir):
+    """A finding for each capture whose payload only begins as JSON."""
+    failures = maintenance.quarantine(_bodies(spark, sf_dir))[1]
+    g = adapters.generations(spark, sf_dir).limit(0)
+    x = detect.run_rules(assemble.assemble(pricing.price(g, *adapters.catalogue(spark))), failures=failures, rules=("data_quality.parser_failed",))
+    return x.select(F.col("call_id").alias("scope_id"), "rule_id", "severity")
+
+
+@query("SELECT p_partkey AS call_id, 'pre' || j AS name, p_size % 6 + 1 - j AS pos FROM part, (SELECT unnest(range(1, 7)) AS j) WHERE j <= p_size % 6 + 1 UNION ALL SELECT p_partkey, p_name, p_size % 6 + 1 FROM part")
+def n13_nested_namespaces(spark, sf_dir):
+    """Tools in namespaces one to six deep, each level with a tool of its own before the deeper ones."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    deepest = F.concat(F.lit('{"name":"'), "p_name", F.lit('"}'))
+    nest = F.aggregate(F.sequence(F.lit(1), F.col("p_size") % 6 + 1), deepest, lambda inner, j: F.concat(F.lit('{"type":"namespace","name":"n","tools":[{"name":"pre'), j, F.lit('"},'), inner, F.lit("]}")))
+    body = F.concat(F.lit('{"model":"m","messages":[],"tools":['), nest, F.lit("]}"))
+    null = F.lit(None).cast("string")
+    c = p.select(F.col("p_partkey").alias("id"), F.lit("POST").alias("method"), F.lit("https://x/v1/chat/completions").alias("url"), F.create_map().cast("map<string,string>").alias("request_headers"), body.alias("request_body"), null.alias("response_body"), null.alias("response_reconstructed"))
+    return normalise.tool_decls(normalise.parse(c)).select("call_id", "name", F.col("pos").cast("long").alias("pos"))
+
+
+@query(f"WITH {ALERTS}, fa AS (SELECT * FROM f WHERE rule_id NOT LIKE 'cost.s%' AND rule_id <> 'cache.ttl_overpaid'), fc AS (SELECT t.call_id, count(*) AS n FROM t JOIN fa ON fa.scope_id = t.span_id GROUP BY 1), f1 AS (SELECT t.* FROM t JOIN fc USING (call_id) ORDER BY n DESC, call_id LIMIT 1) SELECT 'call' AS part, model AS name, call_id AS n FROM f1 UNION ALL SELECT 'alert', rule_id, 1 FROM fa JOIN f1 ON fa.scope_id = f1.span_id UNION ALL SELECT 'tool', 'tool-' || i, i FROM f1, (SELECT unnest(range(0, 3)) AS i)")
+def q4_generation_page(spark, sf_dir):
+    """One call, the one with most alerts, with its tool rows in order and its alerts: one answer."""
+    g = cut(assembled(spark, sf_dir), "calls")
+    alerts = cut(detect.alerts(g), "alerts")
+    tools = g.select("call_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("seq")).withColumn("name", F.concat(F.lit("tool-"), "seq"))
+    key = alerts.filter("scope_kind <> 'session'").groupBy("call_id").count().orderBy(F.desc("count"), "call_id").first()["call_id"]
+    one, used, told = surfaces.generation_detail(g, tools, alerts, key)
+    part = lambda df, name, c, n: df.select(F.lit(name).alias("part"), F.col(c).alias("name"), n.cast("long").alias("n"))
+    return part(one, "call", "model", F.col("call_id")).unionByName(part(used, "tool", "name", F.col("seq"))).unionByName(part(told, "alert", "rule_id", F.lit(1)))

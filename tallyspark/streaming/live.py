@@ -1,15 +1,18 @@
 """Captures as a stream: each micro-batch derives its calls, re-assembles their whole sessions and publishes what changed.
 
-Derived tables are kept by day. A batch writes a version of the days it touches and no others; a table is, for each
-day, the last version that touched it.
+Derived tables are kept by day. A batch writes a version of the days it touches and no others. A manifest for each
+version says which version holds each day, so the last one is all that is read of the past; an index from calls and
+sessions to days, in hash buckets kept the same way, says which days a batch has to look at.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyspark.operators import assemble, derive, detect, pricing
 from tallyspark.sources import captures as sources
@@ -47,68 +50,162 @@ def change_feed(captured: DataFrame, derived: DataFrame, failures: DataFrame, ba
     return x.join(before, ["kind", "stretch"]).select(F.lit(batch_id).cast("long").alias("batch"), (F.col("before") + at).cast("long").alias("seq"), "kind", "call_id", "session_id", "trace_id")
 
 
-def _done(spark: SparkSession, path: str) -> list[int]:
-    """The versions under a path that were written to their end."""
+def _files(spark: SparkSession, path: str):
+    """(the Hadoop classes, the file system of a path, the path)."""
     hadoop = spark._jvm.org.apache.hadoop.fs
     root = hadoop.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    return hadoop, root.getFileSystem(spark._jsc.hadoopConfiguration()), root
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """The versions named under a path, the last first: one listing."""
+    _, fs, root = _files(spark, path)
     if not fs.exists(root):
         return []
-    done = lambda p: fs.exists(hadoop.Path(p, "_SUCCESS"))
-    return sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(root) if s.getPath().getName().startswith("v=") and done(s.getPath()))
+    return sorted((int(s.getPath().getName().split("=")[1].removesuffix(".json")) for s in fs.listStatus(root) if s.getPath().getName().startswith("v=")), reverse=True)
+
+
+def _last_done(spark: SparkSession, path: str) -> int | None:
+    """The last version of a table under a path that was written to its end."""
+    hadoop, fs, root = _files(spark, path)
+    return next((v for v in _versions(spark, path) if fs.exists(hadoop.Path(root, f"v={v}/_SUCCESS"))), None)
+
+
+def read_manifest(spark: SparkSession, root: str, name: str, before: int | None = None) -> dict | None:
+    """{"parts": {part: version that holds it}, "schema": ..} of a table's last version (below `before`), or None."""
+    path = f"{root}/{name}/manifest"
+    version = next((v for v in _versions(spark, path) if before is None or v < before), None)
+    if version is None:
+        return None
+    hadoop, fs, file = _files(spark, f"{path}/v={version}.json")
+    stream = fs.open(file)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def write_manifest(spark: SparkSession, root: str, name: str, version: int, parts: dict[str, int], schema: str) -> None:
+    """Puts a version in force: written aside, then renamed, so it is there whole or not at all."""
+    hadoop, fs, file = _files(spark, f"{root}/{name}/manifest/v={version}.json")
+    aside = hadoop.Path(f"{root}/{name}/manifest/_v={version}.json")
+    stream = fs.create(aside, True)
+    stream.write(bytearray(json.dumps({"parts": parts, "schema": schema}).encode()))
+    stream.close()
+    fs.delete(file, False)  # that of the same batch, run before
+    fs.rename(aside, file)
 
 
 def latest_days(spark: SparkSession, root: str, name: str, before: int | None = None) -> dict[str, int]:
-    """For each day of a table the version that holds it. `*` in a version's list of days ends all that were before."""
-    out: dict[str, int] = {}
-    for v in [v for v in _done(spark, f"{root}/{name}/days") if before is None or v < before]:
-        days = [r["day"] for r in spark.read.parquet(f"{root}/{name}/days/v={v}").collect()]  # as many as a batch touches
-        if "*" in days:
-            out = {}
-        out.update({d: v for d in days if d != "*"})
-    return out
+    """For each day of a table the version that holds it."""
+    m = read_manifest(spark, root, name, before)
+    return m["parts"] if m else {}
+
+
+def read_parts(spark: SparkSession, root: str, name: str, before: int | None = None, only: set[str] | None = None) -> DataFrame | None:
+    """The rows of a table as of its last version (below `before`) in its parts, or `only` some: one scan of their folders. None without a version."""
+    m = read_manifest(spark, root, name, before)
+    if m is None:
+        return None
+    schema = T.StructType.fromJson(json.loads(m["schema"]))
+    paths = [f"{root}/{name}/data/v={v}/part={p}" for p, v in sorted(m["parts"].items()) if only is None or p in only]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
 def read_table(spark: SparkSession, root: str, name: str, before: int | None = None) -> DataFrame | None:
     """A derived table as of its last version (below `before`), or None."""
-    days = latest_days(spark, root, name, before)
-    if not days:
-        return None
-    # A version holds its table's schema even where no row is left of the days it touched.
-    frames = []
-    for v in sorted(set(days.values())):
-        df = spark.read.parquet(f"{root}/{name}/data/v={v}")
-        frames.append(df.filter(F.col("day").isin([d for d, w in days.items() if w == v])))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return out.drop("day")
+    return read_parts(spark, root, name, before)
+
+
+def write_parts(spark: SparkSession, root: str, name: str, version: int, rows: DataFrame, touched: set[str] | None) -> None:
+    """Writes `rows`, which have a column `part`, as the whole of the `touched` parts (None: of the table), and the manifest."""
+    path = f"{root}/{name}/data/v={version}"
+    rows.repartition("part", F.pmod(F.xxhash64(*[c for c in rows.columns if c != "part"][:2]), F.lit(8))).write.mode("overwrite").partitionBy("part").parquet(path)
+    _, fs, folder = _files(spark, path)
+    there = [n.split("=", 1)[1] for n in (s.getPath().getName() for s in fs.listStatus(folder)) if n.startswith("part=")]
+    old = {} if touched is None else {p: v for p, v in latest_days(spark, root, name, version).items() if p not in touched}
+    write_manifest(spark, root, name, version, old | {p: version for p in there}, rows.drop("part").schema.json())
+
+
+#: Hash buckets of the index. A batch reads and writes those of its calls and sessions.
+BUCKETS = 256
+
+
+def _bucketed(keys: DataFrame) -> DataFrame:
+    return keys.withColumn("part", F.pmod(F.xxhash64("kind", "key"), F.lit(BUCKETS)).cast("string"))
+
+
+def keys_of(ids: DataFrame, kind: str, column: str) -> DataFrame:
+    """(kind, key): what the index knows rows of a table by."""
+    return ids.filter(F.col(column).isNotNull()).select(F.lit(kind).alias("kind"), F.col(column).cast("string").alias("key")).distinct()
+
+
+def days_of(spark: SparkSession, root: str, before: int, keys: DataFrame) -> dict[str, set[str]]:
+    """For each kind of keys the days in which rows with them may lie: no more pairs than kinds times days."""
+    keys = _bucketed(keys)
+    parts = {r["part"] for r in keys.select("part").distinct().collect()}  # BUCKETS at most
+    known = read_parts(spark, root, "index", before, parts)
+    out: dict[str, set[str]] = {}
+    if known is not None and parts:
+        for r in known.join(keys.drop("part"), ["kind", "key"], "left_semi").select("kind", "day").distinct().collect():
+            out.setdefault(r["kind"], set()).add(r["day"])
+    return out
+
+
+def add_to_index(spark: SparkSession, root: str, version: int, pairs: DataFrame, gone: DataFrame | None = None, whole: bool = False) -> None:
+    """Puts (kind, key, day) into the index, in place of what it has of the keys in `gone`.
+
+    A day that no longer has a row of some other key stays listed with it: that costs a look and no more.
+    """
+    pairs = _write(_bucketed(pairs.distinct()), f"{root}/work/v={version}/pairs")
+    touched, known = None, None
+    if not whole:
+        keys = pairs.select("part") if gone is None else pairs.select("part").unionByName(_bucketed(gone).select("part"))
+        touched = {r["part"] for r in keys.distinct().collect()}
+        known = read_parts(spark, root, "index", version, touched)
+    if known is not None and gone is not None:
+        known = known.join(gone, ["kind", "key"], "left_anti")
+    rows = pairs if known is None else _bucketed(known.select("kind", "key", "day").unionByName(pairs.drop("part")).distinct())
+    write_parts(spark, root, "index", version, rows, touched)
+
+
+#: By which columns a table's rows are looked up.
+KEYS = {"generations": ("call_id", "session_id"), "tool_calls": ("call_id",), "sessions": ("session_id",), "alerts": ("call_id", "session_id"), "failures": ("call_id",)}
 
 
 def day_of(name: str) -> Column:
     return F.coalesce(F.date_format(TABLES[name], "yyyy-MM-dd"), F.lit(NO_DAY))
 
 
-def replace_rows(spark: SparkSession, root: str, name: str, version: int, new: DataFrame, leaving: list[tuple[str, DataFrame]], whole: bool = False) -> None:
-    """Writes a version of the days in which rows leave or come: without those whose key is in one of `leaving`, with `new`.
+def replace_rows(spark: SparkSession, root: str, name: str, version: int, new: DataFrame, leaving: dict[str, DataFrame], whole: bool = False, days: dict[str, set[str]] | None = None, table: bool = False) -> DataFrame:
+    """Writes a version of the days in which rows leave or come: without those that have a key of `leaving`, with `new`.
 
-    whole: all that was there leaves.
+    `days` (as days_of() gives them for the leaving keys) are the only old ones looked at. whole: all that was there
+    leaves. table: `new` is one that was written already. Returns what the index has to know of the new rows.
     """
-    new = new.withColumn("day", day_of(name))
-    old = None if whole else read_table(spark, root, name, version)
-    gone_days: list[str] = []
+    new = new.withColumn("part", day_of(name))
+    new = new if table else _write(new, f"{root}/work/v={version}/new-{name}")
+    old, touched = None, None
+    if not whole:
+        touched = {r["part"] for r in new.select("part").distinct().collect()}  # the days of one batch
+        for column in leaving:
+            touched |= (days or {}).get(f"{name}.{column}", set())
+        old = read_parts(spark, root, name, version, touched)
+    rows = new
     if old is not None:
-        old = old.withColumn("day", day_of(name)).withColumn("_leaves", F.lit(False))
-        for k, (key, ids) in enumerate(leaving):
-            ids = ids.select(F.col(key).alias(f"_k{k}")).filter(F.col(f"_k{k}").isNotNull()).distinct()
-            old = old.join(ids, F.col(key) == F.col(f"_k{k}"), "left").withColumn("_leaves", F.col("_leaves") | F.col(f"_k{k}").isNotNull()).drop(f"_k{k}")
-        gone_days = [r["day"] for r in old.filter("_leaves").select("day").distinct().collect()]
-    days = sorted({*gone_days, *(r["day"] for r in new.select("day").distinct().collect())})  # the days of one batch
-    if old is not None and days:
-        new = old.filter(F.col("day").isin(days) & ~F.col("_leaves")).drop("_leaves").unionByName(new, allowMissingColumns=True)
-    if days or whole:
-        new.sortWithinPartitions("day").write.mode("overwrite").parquet(f"{root}/{name}/data/v={version}")
-        spark.createDataFrame([(d,) for d in [*days, *(["*"] if whole else [])]], "day string").coalesce(1).write.mode("overwrite").parquet(f"{root}/{name}/days/v={version}")
+        for column, ids in leaving.items():
+            old = old.join(ids.select(column).filter(F.col(column).isNotNull()).distinct(), column, "left_anti")
+        rows = old.withColumn("part", day_of(name)).unionByName(new, allowMissingColumns=True)
+    if whole or touched or old is None:
+        write_parts(spark, root, name, version, rows, touched)
+    return _union([new.filter(F.col(c).isNotNull()).select(F.lit(f"{name}.{c}").alias("kind"), F.col(c).cast("string").alias("key"), F.col("part").alias("day")).distinct() for c in KEYS[name]])
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 def _write(df: DataFrame, path: str) -> DataFrame:
@@ -136,28 +233,32 @@ def process_batch(calls: DataFrame, batch_id: int, root: str, rates: tuple[DataF
     failures = _write(failures, f"{work}/failures")
     new_tools = _write(tools, f"{work}/tools")
     ids = new.select("call_id")
-    old = None if whole else read_table(spark, root, "generations", batch_id)
     added = ("agent_id", "agent_role", "agent_name", "span_id", "trace_id", "parent_span_id", "depth")
+    part_of = lambda name, days, column: read_parts(spark, root, name, batch_id, days.get(f"{name}.{column}", set()))
+    old = None if whole else part_of("generations", days_of(spark, root, batch_id, keys_of(ids, "generations.call_id", "call_id")), "call_id")
     if old is None:
-        sessions, again = new.select("session_id").distinct(), new
+        sessions, again = _write(new.select("session_id").filter("session_id IS NOT NULL").distinct(), f"{work}/sessions"), new
     else:
         moved = old.join(ids, "call_id", "left_semi").select("session_id")
         sessions = _write(new.select("session_id").unionByName(moved).filter("session_id IS NOT NULL").distinct(), f"{work}/sessions")
-        rest = old.join(sessions, "session_id", "left_semi").join(ids, "call_id", "left_anti").drop(*added)
+        there = part_of("generations", days_of(spark, root, batch_id, keys_of(sessions, "generations.session_id", "session_id")), "session_id")
+        rest = there.join(sessions, "session_id", "left_semi").join(ids, "call_id", "left_anti").drop(*added)
         again = rest.unionByName(new, allowMissingColumns=True)
     done = _write(assemble.assemble(again), f"{work}/assembled")
-    replace_rows(spark, root, "generations", batch_id, done, [("session_id", sessions), ("call_id", ids)], whole)
+    failed = failures.select("call_id")
+    leaving = {"generations": {"session_id": sessions, "call_id": ids}, "tool_calls": {"call_id": done}, "sessions": {"session_id": sessions}, "failures": {"call_id": ids.unionByName(failed)}, "alerts": {"session_id": sessions, "call_id": done.select("call_id").unionByName(failed)}}
+    gone = _write(_union([keys_of(df, f"{name}.{c}", c) for name, by in leaving.items() for c, df in by.items()]), f"{work}/keys")
+    days = {} if whole else days_of(spark, root, batch_id, gone)
     own = done.select("call_id", F.col("started_at").alias("call_started_at"), "trace_id")
-    prior = None if whole else read_table(spark, root, "tool_calls", batch_id)
+    prior = None if whole else part_of("tool_calls", days, "call_id")
     kept = new_tools.drop("trace_id")
     if prior is not None:
         # Tool rows of the sessions' other calls stay; those of the batch's calls are replaced, or go.
         kept = prior.drop("trace_id", "call_started_at").join(done.select("call_id"), "call_id", "left_semi").join(ids, "call_id", "left_anti").unionByName(kept, allowMissingColumns=True)
     done_tools = _write(kept.join(own, "call_id"), f"{work}/tool_calls")
-    replace_rows(spark, root, "tool_calls", batch_id, done_tools, [("call_id", done)], whole)
-    replace_rows(spark, root, "sessions", batch_id, assemble.rollup_sessions(done), [("session_id", sessions)], whole)
-    replace_rows(spark, root, "failures", batch_id, failures, [("call_id", ids), ("call_id", failures)], whole)
-    replace_rows(spark, root, "alerts", batch_id, detect.alerts(done, done_tools, failures), [("session_id", sessions), ("call_id", done), ("call_id", failures)], whole)
+    rows = {"generations": done, "tool_calls": done_tools, "sessions": assemble.rollup_sessions(done), "failures": failures, "alerts": detect.alerts(done, done_tools, failures)}
+    pairs = [replace_rows(spark, root, name, batch_id, df, leaving[name], whole, days, name in ("generations", "tool_calls", "failures")) for name, df in rows.items()]
+    add_to_index(spark, root, batch_id, _union(pairs), gone, whole)
     _write(change_feed(calls, done.join(ids, "call_id", "left_semi"), failures, batch_id), f"{root}/changes/v={batch_id}")
     stamp(spark, root, batch_id, version)
 
@@ -183,7 +284,8 @@ def pricing_stamp(rates: tuple[DataFrame, DataFrame, DataFrame]) -> str:
 
 
 def next_version(spark: SparkSession, root: str) -> int:
-    return max([-1, *_done(spark, f"{root}/meta")]) + 1
+    last = _last_done(spark, f"{root}/meta")
+    return 0 if last is None else last + 1
 
 
 def backfill(calls: DataFrame, root: str, rates: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
@@ -215,17 +317,16 @@ def reprice_tables(spark: SparkSession, root: str, rates: tuple[DataFrame, DataF
         return
     rates_version = pricing_stamp(rates)
     g = _write(pricing.reprice(g, *rates, version=rates_version), f"{root}/work/v={version}/generations")
-    replace_rows(spark, root, "generations", version, g, [], True)
-    replace_rows(spark, root, "sessions", version, assemble.rollup_sessions(g), [], True)
-    replace_rows(spark, root, "alerts", version, detect.alerts(g, tools, failures), [], True)
+    rows = {"generations": g, "sessions": assemble.rollup_sessions(g), "alerts": detect.alerts(g, tools, failures)}
+    add_to_index(spark, root, version, _union([replace_rows(spark, root, name, version, df, {}, True) for name, df in rows.items()]))
     stamp(spark, root, version, rates_version)
 
 
 def refresh(calls: DataFrame, root: str, rates: tuple[DataFrame, DataFrame, DataFrame]) -> str:
     """Rebuilds if the parser moved, reprices if only the rates did, else backfills; says which."""
     spark = calls.sparkSession
-    done = _done(spark, f"{root}/meta")
-    meta = spark.read.parquet(f"{root}/meta/v={done[-1]}").first().asDict() if done else {"parser_version": derive.PARSER_VERSION, "pricing_version": pricing_stamp(rates)}
+    last = _last_done(spark, f"{root}/meta")
+    meta = spark.read.parquet(f"{root}/meta/v={last}").first().asDict() if last is not None else {"parser_version": derive.PARSER_VERSION, "pricing_version": pricing_stamp(rates)}
     what = refresh_if_stale(meta, derive.PARSER_VERSION, pricing_stamp(rates))
     if what == "rebuild":
         rebuild(calls, root, rates)

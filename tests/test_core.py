@@ -255,6 +255,34 @@ def test_calls_sent_again_replace_what_they_made(spark, rates, tmp_path):
     assert live.latest_days(spark, root, "generations") == {"2026-03-13": 2, "2026-03-14": 1, "2026-03-15": 1}
 
 
+def test_a_batch_does_not_grow_with_the_past(spark, rates, tmp_path):
+    root, day = str(tmp_path), lambda k: f"2026-{1 + k // 28:02d}-{1 + k % 28:02d}"
+    call = lambda i, k: {**MAIN, "id": i, "timestamp_start": f"{day(k)}T08:30:00Z", "timestamp_end": f"{day(k)}T08:30:07Z", "request_headers": {**MAIN["request_headers"], "X-Claude-Code-Session-Id": f"s-{k}"}}
+    made = {}
+
+    def run(version, *calls):
+        spark.sparkContext.setJobGroup(f"batch-{version}", "")
+        live.process_batch(capture(spark, *calls), version, root, rates)
+        spark.sparkContext.setJobGroup("rest", "")
+        made[version] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"batch-{version}"))
+
+    run(0, *[call(k, k) for k in range(60)])  # 60 days
+    run(1, call(100, 3))
+    for v in range(2, 50):  # 48 versions in which nothing is new
+        for name in (*live.TABLES, "index"):
+            m = live.read_manifest(spark, root, name)
+            live.write_manifest(spark, root, name, v, m["parts"], m["schema"])
+    run(50, call(101, 4))
+    assert abs(made[50] - made[1]) <= 3  # Spark may skip or merge a stage's job
+    assert {v for v in live.latest_days(spark, root, "generations").values()} == {0, 1, 50} and live.latest_days(spark, root, "generations")[day(4)] == 50
+    assert live.read_table(spark, root, "generations").count() == 62 and live.read_table(spark, root, "sessions").count() == 60
+    # Only the days of the sessions asked for are looked at, and only their folders read.
+    keys = live.keys_of(spark.createDataFrame([("s-4",), ("s-7",)], "session_id string"), "generations.session_id", "session_id")
+    days = live.days_of(spark, root, 51, keys)["generations.session_id"]
+    assert days == {day(4), day(7)}
+    assert {f.split("/part=")[1].split("/")[0] for f in live.read_parts(spark, root, "generations", None, days).inputFiles()} == days
+
+
 def test_jobs_keep_tables_true(spark, rates, tmp_path):
     root = str(tmp_path)
     calls = adapters.captures(spark, "/root/testdata/sf0.001").filter("id < 8000").coalesce(1)
