@@ -14,7 +14,7 @@ from tallyspark.plans import adapters, diagnostics, surfaces
 from tallyspark.plans.registry import _TURNS, _VC, ALERTS, G, T, assembled, query, tidy
 from tallyspark.sources import captures as sources
 from tallyspark.sources import catalog, maintenance
-from tallyspark.streaming import live
+from tallyspark.streaming import live, standing
 
 _BASE = adapters.a1_sql("duckdb")[0]
 #: Facts of each capture; `ok`: there is a response to read.
@@ -541,3 +541,35 @@ def q4_generation_page(spark, sf_dir):
     one, used, told = surfaces.generation_detail(g, tools, alerts, key)
     part = lambda df, name, c, n: df.select(F.lit(name).alias("part"), F.col(c).alias("name"), n.cast("long").alias("n"))
     return part(one, "call", "model", F.col("call_id")).unionByName(part(used, "tool", "name", F.col("seq"))).unionByName(part(told, "alert", "rule_id", F.lit(1)))
+
+
+@query(f"WITH {_TURNS}, p AS (SELECT k.call_id, conv_id, turn, (SELECT coalesce(sum(length(text)), 0) FROM h WHERE h.call_id = k.call_id)::BIGINT AS i, length(text) AS o FROM k) SELECT 'conv-' || conv_id AS bucket, count(*) AS generations, CAST(sum(i) AS BIGINT) AS input_tokens, CAST(sum(o) AS BIGINT) AS output_tokens, round(sum(i * 10.0 + o * 50.0) / 1e6, 8) AS cost_total_usd, 1.0::DOUBLE AS priced_share FROM p GROUP BY 1")
+def q35_standing_totals(spark, sf_dir):
+    """Cost by session from totals that were kept while calls came late, came again and were repriced."""
+    root, (models, tiers, local) = _root(spark), adapters.catalogue(spark)
+    c = cut(adapters.captures(spark, sf_dir), "captures")
+    live.process_batch(c.filter("id % 1000 >= 3"), 0, root, (models, tiers, local))
+    live.process_batch(c.filter("id % 1000 < 5"), 1, root, (models, tiers, local))
+    live.reprice_tables(spark, root, (models.withColumns({n: F.col(n) * 2 for n in ("input", "output", "cache_read", "cache_write")}), tiers, local))
+    return tidy(standing.cost_by(spark, root, "session").select("bucket", "generations", "input_tokens", "output_tokens", "cost_total_usd", "priced_share"))
+
+
+@query("SELECT conv_id * 1000 + turn AS call_id, epoch_us(TIMESTAMP '2024-01-01' + to_seconds(conv_id * 3600 + turn * 60)) AS started_at FROM conversations WHERE role = 'assistant' AND TIMESTAMP '2024-01-01' + to_seconds(conv_id * 3600 + turn * 60) < TIMESTAMP '2024-01-03 12:00:00' ORDER BY 2 DESC, 1 DESC LIMIT 20")
+def q3_live_page(spark, sf_dir):
+    """A page of live calls before a time, from the newest days that fill it."""
+    root = _root(spark)
+    live.backfill(cut(adapters.captures(spark, sf_dir), "captures"), root, adapters.catalogue(spark))
+    return tidy(standing.read_page(spark, root, "generations", "started_at", "call_id", "2024-01-03T12:00:00Z", 20).select("call_id", "started_at"))
+
+
+@query("SELECT kind, count(*) AS events, CAST(0 AS BIGINT) AS gaps FROM (SELECT unnest(['capture.started', 'generation.derived']) AS kind FROM conversations WHERE role = 'assistant') GROUP BY 1")
+def l3_follow_changes(spark, sf_dir):
+    """The feed of two batches read by a stream that stopped between them."""
+    root, rates = _root(spark), adapters.catalogue(spark)
+    c = cut(adapters.captures(spark, sf_dir), "captures")
+    for k in (0, 1):
+        live.process_batch(c.filter(F.col("id") % 2 == k), k, root, rates)
+        standing.change_stream(spark, root, 3).writeStream.format("parquet").option("checkpointLocation", f"{root}/reader/checkpoint").trigger(availableNow=True).start(f"{root}/reader/events").awaitTermination()
+    got = spark.read.schema(standing.CHANGES).parquet(f"{root}/reader/events")
+    gaps = standing.feed_gaps(got).groupBy("kind").agg(F.count("*").alias("gaps"))
+    return got.groupBy("kind").agg(F.count("*").alias("events")).join(gaps, "kind", "left").select("kind", "events", F.coalesce("gaps", F.lit(0)).cast("long").alias("gaps"))

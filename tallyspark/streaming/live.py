@@ -8,16 +8,16 @@ sessions to days, in hash buckets kept the same way, says which days a batch has
 from __future__ import annotations
 
 import hashlib
-import json
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyspark.operators import assemble, derive, detect, pricing
 from tallyspark.sources import captures as sources
 from tallyspark.sources.catalog import catalog_meta
 from tallyspark.sources.maintenance import backfill_report, pending, quarantine, refresh_if_stale
+from tallyspark.streaming.standing import refresh_totals
+from tallyspark.streaming.versions import last_done, latest_days, read_manifest, read_parts, read_table, write_manifest, write_parts  # noqa: F401
 
 #: Fixed value: the day of rows without a time.
 NO_DAY = "0000-00-00"
@@ -50,83 +50,6 @@ def change_feed(captured: DataFrame, derived: DataFrame, failures: DataFrame, ba
     return x.join(before, ["kind", "stretch"]).select(F.lit(batch_id).cast("long").alias("batch"), (F.col("before") + at).cast("long").alias("seq"), "kind", "call_id", "session_id", "trace_id")
 
 
-def _files(spark: SparkSession, path: str):
-    """(the Hadoop classes, the file system of a path, the path)."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    root = hadoop.Path(path)
-    return hadoop, root.getFileSystem(spark._jsc.hadoopConfiguration()), root
-
-
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """The versions named under a path, the last first: one listing."""
-    _, fs, root = _files(spark, path)
-    if not fs.exists(root):
-        return []
-    return sorted((int(s.getPath().getName().split("=")[1].removesuffix(".json")) for s in fs.listStatus(root) if s.getPath().getName().startswith("v=")), reverse=True)
-
-
-def _last_done(spark: SparkSession, path: str) -> int | None:
-    """The last version of a table under a path that was written to its end."""
-    hadoop, fs, root = _files(spark, path)
-    return next((v for v in _versions(spark, path) if fs.exists(hadoop.Path(root, f"v={v}/_SUCCESS"))), None)
-
-
-def read_manifest(spark: SparkSession, root: str, name: str, before: int | None = None) -> dict | None:
-    """{"parts": {part: version that holds it}, "schema": ..} of a table's last version (below `before`), or None."""
-    path = f"{root}/{name}/manifest"
-    version = next((v for v in _versions(spark, path) if before is None or v < before), None)
-    if version is None:
-        return None
-    hadoop, fs, file = _files(spark, f"{path}/v={version}.json")
-    stream = fs.open(file)
-    try:
-        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-    finally:
-        stream.close()
-
-
-def write_manifest(spark: SparkSession, root: str, name: str, version: int, parts: dict[str, int], schema: str) -> None:
-    """Puts a version in force: written aside, then renamed, so it is there whole or not at all."""
-    hadoop, fs, file = _files(spark, f"{root}/{name}/manifest/v={version}.json")
-    aside = hadoop.Path(f"{root}/{name}/manifest/_v={version}.json")
-    stream = fs.create(aside, True)
-    stream.write(bytearray(json.dumps({"parts": parts, "schema": schema}).encode()))
-    stream.close()
-    fs.delete(file, False)  # that of the same batch, run before
-    fs.rename(aside, file)
-
-
-def latest_days(spark: SparkSession, root: str, name: str, before: int | None = None) -> dict[str, int]:
-    """For each day of a table the version that holds it."""
-    m = read_manifest(spark, root, name, before)
-    return m["parts"] if m else {}
-
-
-def read_parts(spark: SparkSession, root: str, name: str, before: int | None = None, only: set[str] | None = None) -> DataFrame | None:
-    """The rows of a table as of its last version (below `before`) in its parts, or `only` some: one scan of their folders. None without a version."""
-    m = read_manifest(spark, root, name, before)
-    if m is None:
-        return None
-    schema = T.StructType.fromJson(json.loads(m["schema"]))
-    paths = [f"{root}/{name}/data/v={v}/part={p}" for p, v in sorted(m["parts"].items()) if only is None or p in only]
-    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
-
-
-def read_table(spark: SparkSession, root: str, name: str, before: int | None = None) -> DataFrame | None:
-    """A derived table as of its last version (below `before`), or None."""
-    return read_parts(spark, root, name, before)
-
-
-def write_parts(spark: SparkSession, root: str, name: str, version: int, rows: DataFrame, touched: set[str] | None) -> None:
-    """Writes `rows`, which have a column `part`, as the whole of the `touched` parts (None: of the table), and the manifest."""
-    path = f"{root}/{name}/data/v={version}"
-    rows.repartition("part", F.pmod(F.xxhash64(*[c for c in rows.columns if c != "part"][:2]), F.lit(8))).write.mode("overwrite").partitionBy("part").parquet(path)
-    _, fs, folder = _files(spark, path)
-    there = [n.split("=", 1)[1] for n in (s.getPath().getName() for s in fs.listStatus(folder)) if n.startswith("part=")]
-    old = {} if touched is None else {p: v for p, v in latest_days(spark, root, name, version).items() if p not in touched}
-    write_manifest(spark, root, name, version, old | {p: version for p in there}, rows.drop("part").schema.json())
-
-
 #: Hash buckets of the index. A batch reads and writes those of its calls and sessions.
 BUCKETS = 256
 
@@ -259,7 +182,9 @@ def process_batch(calls: DataFrame, batch_id: int, root: str, rates: tuple[DataF
     rows = {"generations": done, "tool_calls": done_tools, "sessions": assemble.rollup_sessions(done), "failures": failures, "alerts": detect.alerts(done, done_tools, failures)}
     pairs = [replace_rows(spark, root, name, batch_id, df, leaving[name], whole, days, name in ("generations", "tool_calls", "failures")) for name, df in rows.items()]
     add_to_index(spark, root, batch_id, _union(pairs), gone, whole)
-    _write(change_feed(calls, done.join(ids, "call_id", "left_semi"), failures, batch_id), f"{root}/changes/v={batch_id}")
+    refresh_totals(spark, root, batch_id)
+    if last_done(spark, f"{root}/changes") != batch_id:  # a batch that runs again has the same events: readers may have them
+        _write(change_feed(calls, done.join(ids, "call_id", "left_semi"), failures, batch_id), f"{root}/changes/v={batch_id}")
     stamp(spark, root, batch_id, version)
 
 
@@ -284,7 +209,7 @@ def pricing_stamp(rates: tuple[DataFrame, DataFrame, DataFrame]) -> str:
 
 
 def next_version(spark: SparkSession, root: str) -> int:
-    last = _last_done(spark, f"{root}/meta")
+    last = last_done(spark, f"{root}/meta")
     return 0 if last is None else last + 1
 
 
@@ -319,13 +244,14 @@ def reprice_tables(spark: SparkSession, root: str, rates: tuple[DataFrame, DataF
     g = _write(pricing.reprice(g, *rates, version=rates_version), f"{root}/work/v={version}/generations")
     rows = {"generations": g, "sessions": assemble.rollup_sessions(g), "alerts": detect.alerts(g, tools, failures)}
     add_to_index(spark, root, version, _union([replace_rows(spark, root, name, version, df, {}, True) for name, df in rows.items()]))
+    refresh_totals(spark, root, version)
     stamp(spark, root, version, rates_version)
 
 
 def refresh(calls: DataFrame, root: str, rates: tuple[DataFrame, DataFrame, DataFrame]) -> str:
     """Rebuilds if the parser moved, reprices if only the rates did, else backfills; says which."""
     spark = calls.sparkSession
-    last = _last_done(spark, f"{root}/meta")
+    last = last_done(spark, f"{root}/meta")
     meta = spark.read.parquet(f"{root}/meta/v={last}").first().asDict() if last is not None else {"parser_version": derive.PARSER_VERSION, "pricing_version": pricing_stamp(rates)}
     what = refresh_if_stale(meta, derive.PARSER_VERSION, pricing_stamp(rates))
     if what == "rebuild":

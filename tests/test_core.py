@@ -12,7 +12,7 @@ from tallyspark.functions.variants import strict_json
 from tallyspark.operators import assemble, derive, detect, normalise, pricing, reassemble
 from tallyspark.plans import adapters, diagnostics, surfaces
 from tallyspark.sources import captures, catalog, maintenance
-from tallyspark.streaming import live
+from tallyspark.streaming import live, standing, versions
 
 NULLS = {k: None for k in ("timestamp_first_chunk", "timestamp_end", "request_body", "response_status", "response_headers", "response_body", "response_raw_sse", "response_reconstructed", "error")}
 
@@ -283,6 +283,20 @@ def test_a_batch_does_not_grow_with_the_past(spark, rates, tmp_path):
     assert {f.split("/part=")[1].split("/")[0] for f in live.read_parts(spark, root, "generations", None, days).inputFiles()} == days
 
 
+def test_pages_follow_days_and_gaps_are_seen(spark, tmp_path):
+    root = str(tmp_path)
+    rows = spark.range(300).select(F.col("id").alias("call_id"), F.when(F.col("id") < 295, F.timestamp_seconds(1_700_000_000 + F.col("id") * 8640)).alias("started_at")).withColumn("part", live.day_of("generations"))
+    versions.write_parts(spark, root, "generations", 0, rows, None)
+    page = lambda cursor, limit: standing.read_page(spark, root, "generations", "started_at", "call_id", cursor, limit)
+    assert [r["call_id"] for r in page(None, 3).collect()] == [294, 293, 292] and len(page(None, 3).inputFiles()) <= 8
+    assert [r["call_id"] for r in page("2023-11-20T00:00:00Z", 25).collect()] == [r["call_id"] for r in rows.filter("started_at < TIMESTAMP '2023-11-20 00:00:00'").orderBy(F.desc("call_id")).limit(25).collect()]
+    assert page("2023-11-14T00:00:00Z", 5).count() == 0 and page(None, 10**6).count() == 200
+    feed = spark.createDataFrame([(1, k, "a") for k in (1, 2, 4)] + [(1, 1, "b"), (2, 1, "a"), (2, 1, "a")], "batch long, seq long, kind string")
+    assert sorted(map(tuple, standing.feed_gaps(feed).collect())) == [(1, "a", 4, 3), (2, "a", 1, 2)]
+    with pytest.raises(ValueError):
+        standing.cost_by(spark, root, "moon")
+
+
 def test_jobs_keep_tables_true(spark, rates, tmp_path):
     root = str(tmp_path)
     calls = adapters.captures(spark, "/root/testdata/sf0.001").filter("id < 8000").coalesce(1)
