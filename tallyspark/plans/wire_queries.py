@@ -573,3 +573,19 @@ def l3_follow_changes(spark, sf_dir):
     got = spark.read.schema(standing.CHANGES).parquet(f"{root}/reader/events")
     gaps = standing.feed_gaps(got).groupBy("kind").agg(F.count("*").alias("gaps"))
     return got.groupBy("kind").agg(F.count("*").alias("events")).join(gaps, "kind", "left").select("kind", "events", F.coalesce("gaps", F.lit(0)).cast("long").alias("gaps"))
+
+
+@query(f"WITH {G}, s AS (SELECT unnest([1, 2]) AS snapshot) SELECT snapshot, count(*) AS calls, round(sum(cost_total_usd) * snapshot, 6) AS cost_total_usd, CAST(1 AS BIGINT) AS stamps, true AS in_force, snapshot = 2 AS moved FROM g, s GROUP BY snapshot")
+def c9_catalogue_in_force(spark, sf_dir):
+    """Calls priced by the catalogue in force, before and after its rates doubled: each row has the stamp of its catalogue's digest."""
+    root, g, out, before = _root(spark), adapters.generations(spark, sf_dir), None, None
+    for snapshot in (1, 2):
+        twice = lambda df, names: df.withColumns({n: F.col(n) * snapshot for n in names})  # noqa: E731,B023
+        models, tiers, local = adapters.catalogue(spark)
+        catalog.put_in_force(spark, root, (twice(models, catalog.RATES), twice(tiers, catalog.RATES), twice(local, ("input", "output"))))
+        rates, known = catalog.in_force(spark, root)
+        stamp = pricing.stamp(known["digest"])
+        x = pricing.price(g, *rates, version=stamp).agg(F.count("*").alias("calls"), F.round(F.sum("cost_total_usd"), 6).alias("cost_total_usd"), F.count_distinct("pricing_version").alias("stamps"), (F.max("pricing_version") == stamp).alias("in_force"))
+        x = x.select(F.lit(snapshot).alias("snapshot"), "*", F.lit(before not in (None, stamp)).alias("moved"))
+        out, before = x if out is None else out.unionByName(x), stamp
+    return out

@@ -1,11 +1,14 @@
-"""The model catalogue: nested JSON to rate tables, its digest, and a gate before it takes effect."""
+"""The model catalogue: nested JSON to rate tables, its digest, a gate before it takes effect, and the one in force."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions.variants import flag, items, json_kind, sub, text, whole
+from tallyspark.streaming.versions import read_manifest, versions, write_manifest
 
 RATES = ("input", "output", "cache_read", "cache_write")
 
@@ -47,3 +50,40 @@ def validate_catalog(models: DataFrame, required: tuple[str, ...] = ("anthropic"
     if missing:
         raise ValueError(f"catalogue lacks {', '.join(sorted(missing))}")
     return models
+
+
+TABLES = ("models", "tiers", "local")
+Rates = tuple[DataFrame, DataFrame, DataFrame]
+
+
+def digest(rates: Rates) -> str:
+    """One digest of all three rate tables."""
+    own = [catalog_meta(df, provider).first()["digest"] for df, provider in zip(rates, ("provider", "provider", "id"), strict=True)]
+    return hashlib.sha256("".join(own).encode()).hexdigest()
+
+
+def put_in_force(spark: SparkSession, root: str, rates: Rates, fetched_at: str | None = None, checked_at: str | None = None, required: tuple[str, ...] = ("anthropic", "openai")) -> str:
+    """Makes rates the catalogue in force and returns their digest.
+
+    They are written whole first; the manifest that points to them is renamed into place last, so a reader has the old
+    ones or these. An error, and the old ones stay, if a required provider is missing. Rates equal to those in force are
+    not written again: only when they were checked is noted.
+    """
+    validate_catalog(rates[0], required)
+    new, known = digest(rates), read_manifest(spark, root, "rates")
+    version = max(versions(spark, f"{root}/rates/manifest"), default=-1) + 1
+    if known and known["digest"] == new:
+        write_manifest(spark, root, "rates", version, known["parts"], "", digest=new, fetched_at=known["fetched_at"], checked_at=checked_at)
+        return new
+    for name, df in zip(TABLES, rates, strict=True):
+        df.coalesce(1).write.mode("overwrite").parquet(f"{root}/rates/v={version}/{name}")  # a catalogue has thousands of rows
+    write_manifest(spark, root, "rates", version, {name: version for name in TABLES}, "", digest=new, fetched_at=fetched_at, checked_at=checked_at)
+    return new
+
+
+def in_force(spark: SparkSession, root: str) -> tuple[Rates, dict]:
+    """(rates, what is known of them: digest, fetched_at, checked_at) of the catalogue in force."""
+    m = read_manifest(spark, root, "rates")
+    if m is None:
+        raise ValueError(f"no catalogue is in force in {root}")
+    return tuple(spark.read.parquet(f"{root}/rates/v={m['parts'][name]}/{name}") for name in TABLES), {k: m[k] for k in ("digest", "fetched_at", "checked_at")}

@@ -44,12 +44,12 @@ def read_manifest(spark: SparkSession, root: str, name: str, before: int | None
         stream.close()
 
 
-def write_manifest(spark: SparkSession, root: str, name: str, version: int, parts: dict[str, int], schema: str) -> None:
-    """Puts a version in force: written aside, then renamed, so it is there whole or not at all."""
+def write_manifest(spark: SparkSession, root: str, name: str, version: int, parts: dict[str, int], schema: str, **more: str | None) -> None:
+    """Puts a version in force, with what `more` there is to say of it: written aside, then renamed, so it is there whole or not at all."""
     hadoop, fs, file = _files(spark, f"{root}/{name}/manifest/v={version}.json")
     aside = hadoop.Path(f"{root}/{name}/manifest/_v={version}.json")
     stream = fs.create(aside, True)
-    stream.write(bytearray(json.dumps({"parts": parts, "schema": schema}).encode()))
+    stream.write(bytearray(json.dumps({"parts": parts, "schema": schema, **more}).encode()))
     stream.close()
     fs.delete(file, False)  # that of the same batch, run before
     fs.rename(aside, file)

@@ -333,6 +333,21 @@ def test_surfaces_refuse_unknown_names(spark):
     assert surfaces.page_limit("x") == 50 and surfaces.page_limit(10**6) == 200 and surfaces.page_limit(0) == 1
 
 
+def test_the_catalogue_in_force(spark, rates, tmp_path):
+    root = str(tmp_path)
+    with pytest.raises(ValueError, match="no catalogue"):
+        catalog.in_force(spark, root)
+    first = catalog.put_in_force(spark, root, rates, "2026-02-02T02:02:02Z")
+    assert catalog.put_in_force(spark, root, rates, "2026-03-03T03:03:03Z", "2026-03-03T03:03:03Z") == first
+    got, known = catalog.in_force(spark, root)
+    assert known == {"digest": first, "fetched_at": "2026-02-02T02:02:02Z", "checked_at": "2026-03-03T03:03:03Z"} and got[0].count() == len(adapters.MODELS)
+    with pytest.raises(ValueError, match="lacks openai"):
+        catalog.put_in_force(spark, root, (rates[0].filter("provider <> 'openai'"), *rates[1:]))
+    dearer = (rates[0].withColumn("input", F.when(F.col("model_id") == "claude-opus-5", 5.5).otherwise(F.col("input"))), *rates[1:])
+    assert catalog.in_force(spark, root)[1]["digest"] == first != catalog.put_in_force(spark, root, dearer)
+    assert catalog.in_force(spark, root)[0][0].filter("input = 5.5").count() == 1
+
+
 def test_catalogue(spark):
     text = json.dumps({"anthropic": {"models": {"a": {"limit": {"context": 5}, "cost": {"input": 5, "tiers": [{"input": 2, "output": 3, "tier": {"size": 9}}]}}, "b": {}}}, "openai": {"models": {"c": {}}}, "empty": {}})
     models, tiers = catalog.load_catalog(spark.createDataFrame([(text,)], "value string"))
