@@ -99,6 +99,18 @@ def test_a_capture_is_read_once(spark, tmp_path):
     assert scans(reassemble.reassemble(spark.read.parquet(f"{tmp_path}/streams"))) == (1, 0)
 
 
+def test_one_id_is_looked_up_in_its_row_group(spark, tmp_path):
+    path, n = f"{tmp_path}/calls", 50_000
+    made = spark.range(n).withColumns({"request_headers": F.create_map(F.lit("authorization"), F.lit("k")), "response_headers": F.create_map().cast("map<string,string>")})
+    for part in range(8):  # every file spans all ids
+        captures.append_calls(made.filter(F.pmod(F.xxhash64("id"), F.lit(8)) == part).coalesce(1), path)
+    one = captures.get_call(spark.read.parquet(path).select("id"), 777)
+    assert [r["id"] for r in one.collect()] == [777]
+    plan = one._jdf.queryExecution().executedPlan()
+    read = plan.collectLeaves().head().metrics().apply("numOutputRows").value()
+    assert read <= n / 7
+
+
 def test_json_is_read_whole(spark):
     good = ['{"a":1}', " [1] ", '"x"', "5", "null", "\t{}\n", '[{"a":[]}]']
     bad = ["{\"a\":1}x", '{"a":1} {"b":2}', "123 abc", '"q" z', "1] , [2", "1,2", '1,"x"', "[1]]", "{}}", "tru", "", " ", "{half"]
