@@ -213,9 +213,7 @@ def sequential(rows):
     return trace, parent
 
 
-def test_assembly_equals_a_loop(spark):
-    g = adapters.generations(spark, "/root/testdata/sf0.001")
-    rows = [r.asDict() for r in assemble.assemble(g).collect()]
+def like_the_loop(rows):
     sessions = {}
     for r in sorted(rows, key=lambda r: (r["started_at"], r["call_id"])):
         sessions.setdefault(r["session_id"], []).append(r)
@@ -229,6 +227,36 @@ def test_assembly_equals_a_loop(spark):
         assert len(set(named.values())) == len(named)
 
 
+def test_assembly_equals_a_loop(spark):
+    like_the_loop([r.asDict() for r in assemble.assemble(adapters.generations(spark, "/root/testdata/sf0.001")).collect()])
+
+
+def long_sessions(spark, n, sessions=3):
+    """Generations of few long sessions: overlapping main calls, helpers at equal times, calls without an end, human turns now and then."""
+    dice = lambda k, m: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(m))
+    helper = dice(1, 3) == 0
+    start = F.timestamp_seconds(1_770_000_000 + F.floor(F.col("id") / 2) * 3)
+    return spark.range(n).select(
+        F.col("id").alias("call_id"), F.concat(F.lit("s"), dice(2, sessions)).alias("session_id"), start.alias("started_at"),
+        F.when(dice(3, 9) > 0, start + F.make_dt_interval(secs=F.when(dice(4, 40) == 0, 400).otherwise(dice(4, 20)).cast("decimal(18,6)"))).alias("ended_at"),
+        F.when(dice(5, 60) == 0, "end_turn").otherwise("tool_use").alias("stop_reason"), (dice(6, 80) == 0).alias("new_user_turn"), F.when(dice(7, 120) > 0, "f").alias("first_turn_hash"),
+        F.lit("claude-opus-5").alias("model"), F.lit(None).cast("string").alias("billing_variant"), F.lit("y").alias("system_hash"), F.when(helper, None).otherwise("t").alias("tools_hash"),
+        F.when(helper, 0).otherwise(7 - (dice(8, 30) == 0).cast("int")).alias("tools_declared_count"), F.lit(9).alias("max_tokens"), F.lit(2).alias("system_segments"), F.lit(None).cast("string").alias("stop_sequences"), (F.col("id") * 2).alias("kept"))
+
+
+def test_long_sessions_are_scanned_in_chunks(spark):
+    g = long_sessions(spark, 900).unionByName(long_sessions(spark, 40).withColumns({"call_id": F.col("call_id") + 5000, "session_id": F.when(F.col("call_id") % 2 == 0, "short")}))
+    whole, parts = assemble.assemble(g), assemble.assemble(g, hot_calls=100, chunk_calls=30)
+    assert whole.schema == parts.schema and whole.columns[:16] == g.columns
+    key = lambda df: sorted(map(str, df.collect()))
+    rows = [r.asDict() for r in parts.collect()]
+    assert key(whole) == key(parts) and len(rows) == 940
+    like_the_loop([r for r in rows if r["session_id"]])
+    assert all(r["trace_id"] is None and r["depth"] is None for r in rows if not r["session_id"])
+    helped = [r for r in rows if r["agent_role"] == "sidechain" and r["session_id"]]
+    assert 50 < sum(r["parent_span_id"] is not None for r in helped) < len(helped)
+
+
 def test_live_equals_batch_in_any_order(spark, rates, tmp_path):
     calls = adapters.captures(spark, "/root/testdata/sf0.001").filter("id < 12000").coalesce(1)
     for k, part in enumerate((calls.filter("id % 2 = 1"), calls.filter("id % 2 = 0"))):
