@@ -214,6 +214,18 @@ def t8_tool_traces(spark, sf_dir):
     return assemble.tool_traces(adapters.tool_calls(spark, sf_dir), assembled(spark, sf_dir)).select("call_id", "tool_id", "trace_id")
 
 
+# A third of all calls in one session, with few turns of a human: long traces, many helpers in each.
+_LONG = {"session_id": "CASE WHEN call_id % 3 = 0 THEN 'long' ELSE session_id END", "new_user_turn": "call_id % 50 = 0", "stop_reason": "CASE WHEN call_id % 170 = 1 THEN 'end_turn' ELSE 'tool_use' END", "first_turn_hash": "'f'"}
+_LONG_T = T.replace("AS w1 FROM a)", "AS w1 FROM (SELECT * REPLACE (" + ", ".join(f"{v} AS {c}" for c, v in _LONG.items()) + ") FROM a))")
+
+
+@query(f"WITH {_LONG_T} SELECT call_id, agent_name, trace_id, span_id, parent_span_id, CAST(depth AS BIGINT) AS depth FROM t")
+def t6_long_session(spark, sf_dir):
+    """Agents, traces and parents where one session holds a third of all calls: it is scanned in chunks of 500."""
+    g = adapters.generations(spark, sf_dir).withColumns({c: F.expr(v) for c, v in _LONG.items()})
+    return tidy(assemble.assemble(g, hot_calls=1_000, chunk_calls=500).select("call_id", "agent_name", "trace_id", "span_id", "parent_span_id", "depth"))
+
+
 @query(f"WITH {E}, p AS (SELECT env, count(*) AS generations, count(DISTINCT CASE WHEN k % 2 = 0 THEN 's-' ELSE 'u-' END || user_id) AS sessions, array_to_string(list_sort(list(DISTINCT 'm-' || k % 5)), ',') AS models, coalesce(array_to_string(list_sort(list(DISTINCT '2.' || k || '.0') FILTER (billing IS NOT NULL)), ','), '') AS billing_variants FROM e WHERE cl GROUP BY env) SELECT * EXCLUDE (env) FROM p WHERE env = (SELECT env FROM e WHERE cl ORDER BY call_id LIMIT 1)")
 def q22_prompt_detail(spark, sf_dir):
     """One system prompt with its use: that of the first call of its dialect."""
