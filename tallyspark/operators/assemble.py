@@ -83,24 +83,42 @@ def traced(g: DataFrame, by: str = "session_id") -> DataFrame:
     x = x.withColumn("_open", F.last(F.when(F.col("_later"), F.struct(F.col("_trace").alias("trace"), F.col("started_at").alias("start"))), True).over(by_end))
     joined = F.when(F.col("_open.start") <= F.col("started_at"), F.col("_open.trace"))
     x = x.withColumn("trace_id", F.when(main, F.col("_trace")).otherwise(F.coalesce(joined, trace_name(F.col("call_id")))))
-    # The latest main call of the trace that was running: as a rule the last that had started.
-    began = Window.partitionBy(by, "trace_id").orderBy(F.col("started_at"), main.desc(), F.col("call_id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return hosted(x, [by]).drop("_prev", "_begins", "_ordinal", "_trace", "_end", "_later", "_open")
+
+
+def hosted(x: DataFrame, by: list[str], chunks: DataFrame | None = None) -> DataFrame:
+    """Adds parent_span_id, `_unsure` and `_overlaps` to rows with their trace.
+
+    The latest main call of the trace that was running is as a rule the last that had started. A helper for which that
+    one was over while an earlier one may not have been is `_unsure`; its parent is among the main calls that ran on
+    when the next had started (`_overlaps`). With `chunks`, `by` names chunks of sessions and `chunks` what each chunk of a trace takes over.
+    """
+    main = F.col("agent_role") == "main"
     ended = main & F.col("ended_at").isNotNull()
-    x = x.withColumns({"_host": F.last(F.when(ended, F.struct("ended_at", "span_id")), True).over(began), "_longest": F.max(F.when(ended, F.col("ended_at"))).over(began)})
+    began = Window.partitionBy(*by, "trace_id").orderBy(F.col("started_at"), main.desc(), F.col("call_id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    after = Window.partitionBy(*by, "trace_id", "_ended").orderBy("started_at", "call_id")
+    host, longest = F.last(F.when(ended, F.struct("ended_at", "span_id")), True).over(began), F.max(F.when(ended, F.col("ended_at"))).over(began)
+    if chunks is not None:
+        x = x.join(chunks, [*by, "trace_id"])
+        host, longest = F.coalesce(host, F.col("host")), F.greatest(longest, F.col("longest"))
+    x = x.withColumns({"_host": host, "_longest": longest, "_ended": ended})
+    # At the end of a chunk the next one is not seen: then it may overlap.
+    x = x.withColumn("_overlaps", F.col("_ended") & F.coalesce(F.col("ended_at") >= F.lead("started_at").over(after), F.lit(chunks is not None)))
     runs = F.col("_host.ended_at") >= F.col("started_at")
     x = x.withColumns({"parent_span_id": F.when(~main & runs, F.col("_host.span_id")), "_unsure": F.coalesce(~main & ~runs & (F.col("_longest") >= F.col("started_at")), F.lit(False))})
-    return x.drop("_prev", "_begins", "_ordinal", "_trace", "_end", "_later", "_open", "_host", "_longest")
+    return x.drop("_host", "_longest", "_ended", "host", "longest")
 
 
-def carried(rows: DataFrame, by: str, **last) -> DataFrame:
+def carried(rows: DataFrame, by: list[str], **told) -> DataFrame:
     """(by, _c, name..): what each chunk `_c` of a key takes over from the chunks before it.
 
-    `last` gives for each name an aggregate over a chunk that is null where the chunk has nothing to tell; the last
-    chunk that has counts. A key has a row a chunk, so the window is over as many rows as there are chunks.
+    `told` gives for each name an aggregate over a chunk that is null where the chunk has nothing to tell, and how those of several
+    chunks make one (left out: the last that tells counts). A key has a row a chunk, so the window is over as many rows as there are chunks.
     """
-    before = Window.partitionBy(by).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    told = rows.groupBy(by, "_c").agg(*[a.alias(f"_{n}") for n, a in last.items()])
-    return told.select(by, "_c", *[F.last(f"_{n}", True).over(before).alias(n) for n in last])
+    before = Window.partitionBy(*by).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    told = {n: t if isinstance(t, tuple) else (t, lambda c: F.last(c, True)) for n, t in told.items()}
+    parts = rows.groupBy(*by, "_c").agg(*[a.alias(f"_{n}") for n, (a, _) in told.items()])
+    return parts.select(*by, "_c", *[fold(f"_{n}").over(before).alias(n) for n, (_, fold) in told.items()])
 
 
 def traced_in_chunks(k: DataFrame, by: str, rows: int, chunk_calls: int) -> DataFrame:
@@ -108,8 +126,8 @@ def traced_in_chunks(k: DataFrame, by: str, rows: int, chunk_calls: int) -> Data
 
     Rows are cut in ranges of (session, time), so a session is a row of chunks. Each scan over a session is one within its
     chunks, begun with what the chunks before left (`carried`). Helpers meet traces in a second cut, by the time they ask
-    for. A session's own facts are aggregates, one row for each session. All helpers are left `_unsure`, as their
-    parents are found by `running_hosts`. Needs `_row`; each step is a table in the shared folder.
+    for. A session's own facts are aggregates, one row for each session. Calls of one instant stay in one chunk. Needs `_row` and
+    span_id; each step is a table in the shared folder.
     """
     n = -(-rows // chunk_calls)
     at = F.struct("started_at", "call_id")
@@ -120,35 +138,36 @@ def traced_in_chunks(k: DataFrame, by: str, rows: int, chunk_calls: int) -> Data
     tools = F.coalesce("tools_declared_count", F.lit(0))
     base = cut(k.groupBy(by).agg(F.max(tools).alias("max_tools"), F.min_by(F.struct("model", "billing_variant"), F.struct((-tools).alias("less"), "started_at", "call_id")).alias("_first")), "baseline")
     base = F.broadcast(base.select(by, "max_tools", F.col("_first.model").alias("main_model"), F.col("_first.billing_variant").alias("main_variant")))  # one row for each long session: `rows` / `hot_calls` at most
-    x = k.repartitionByRange(n, by, "started_at", "call_id").withColumn("_c", F.spark_partition_id())
+    x = k.repartitionByRange(n, by, "started_at").withColumn("_c", F.spark_partition_id())
     x = cut(with_roles(x.join(base, by)), "roles")
 
-    x = x.join(carried(x, by, before=F.max_by(F.struct("stop_reason", "first_turn_hash"), F.when(main, at))), [by, "_c"])
+    x = x.join(carried(x, [by], before=F.max_by(F.struct("stop_reason", "first_turn_hash"), F.when(main, at))), [by, "_c"])
     x = x.withColumn("_prev", F.coalesce(F.last(F.when(main, F.struct("stop_reason", "first_turn_hash")), True).over(earlier), F.col("before")))
     x = cut(x.withColumn("_begins", begins()).drop("_prev", "before"), "begun")
 
     # A main call is of the trace that began last; a trace is named by its first call.
-    x = x.join(carried(x, by, before=F.max_by(F.struct(F.col("call_id").alias("of")), F.when(F.col("_begins"), at))), [by, "_c"])
+    x = x.join(carried(x, [by], before=F.max_by(F.struct(F.col("call_id").alias("of")), F.when(F.col("_begins"), at))), [by, "_c"])
     of = F.coalesce(F.last(F.when(F.col("_begins"), F.struct(F.col("call_id").alias("of"))), True).over(so_far), F.col("before"))
     x = cut(x.withColumn("_of", F.when(main, of["of"])).drop("before"), "owned")
     traces = x.filter(main).groupBy(by, F.col("_of").alias("call_id")).agg(F.max_by(F.coalesce("ended_at", "started_at"), at).alias("_end"), F.min_by(F.struct("_c", "started_at", "session_id"), at).alias("_from"))
     traces = cut(traces.select(by, "call_id", "_end", "_from.*"), "traces")
 
     # Traces that end later than all before them, and the helpers, by the times they end and ask for.
-    tops = traces.groupBy(by, "_c").agg(F.max("_end").alias("_top"))
-    tops = tops.withColumn("before", F.max("_top").over(Window.partitionBy(by).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)))
-    later = traces.join(tops.drop("_top"), [by, "_c"]).withColumn("_top", F.greatest(F.max("_end").over(earlier), F.col("before")))
+    later = traces.join(carried(traces, [by], before=(F.max("_end"), F.max)), [by, "_c"]).withColumn("_top", F.greatest(F.max("_end").over(earlier), F.col("before")))
     later = later.filter(F.col("_top").isNull() | (F.col("_end") > F.col("_top"))).select(by, "call_id", F.col("_end").alias("_key"), F.lit(True).alias("_is"), F.struct(trace_name(F.col("call_id")).alias("trace"), F.col("started_at").alias("start")).alias("_open"), F.lit(None).cast("long").alias("_row"))
     asks = x.filter(~main).select(by, "call_id", F.col("started_at").alias("_key"), F.lit(False).alias("_is"), F.lit(None).cast(later.schema["_open"].dataType).alias("_open"), "_row")
     order = [F.col("_key").desc_nulls_last(), F.col("_is").desc(), F.col("call_id")]
     both = cut(later.unionByName(asks).repartitionByRange(n, F.col(by), *order).withColumn("_c", F.spark_partition_id()), "asked")
-    both = both.join(carried(both, by, before=F.min_by("_open", F.when(F.col("_is"), F.col("_key")))), [by, "_c"])
+    both = both.join(carried(both, [by], before=F.min_by("_open", F.when(F.col("_is"), F.col("_key")))), [by, "_c"])
     met = F.coalesce(F.last("_open", True).over(Window.partitionBy(by, "_c").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.col("before"))
     helped = both.withColumn("_met", met).filter("NOT _is").select("_row", F.when(F.col("_met.start") <= F.col("_key"), F.col("_met.trace")).alias("_joined"))
 
     x = x.join(helped, "_row", "left")
     x = x.withColumn("trace_id", F.when(main, trace_name(F.col("_of"))).otherwise(F.coalesce("_joined", trace_name(F.col("call_id")))))
-    return x.withColumns({"parent_span_id": F.lit(None).cast("string"), "_unsure": ~main}).drop("_c", "_begins", "_of", "_joined")
+    x = cut(x.drop("_begins", "_of", "_joined"), "own")
+    ended = main & F.col("ended_at").isNotNull()
+    left = carried(x, [by, "trace_id"], host=F.max_by(F.struct("ended_at", "span_id"), F.when(ended, at)), longest=(F.max(F.when(ended, F.col("ended_at"))), F.max))
+    return hosted(x, [by, "_c"], left).drop("_c")
 
 
 LEVELS = 62
@@ -212,11 +231,10 @@ def assemble(g: DataFrame, hot_calls: int = 1_000_000, chunk_calls: int = 250_00
         done = traced(classify_agents(x.join(keys, "_s", "left_anti"), "_s"), "_s").unionByName(traced_in_chunks(x.join(keys, "_s", "left_semi"), "_s", n, chunk_calls))
     else:
         done = traced(classify_agents(x, "_s"), "_s")
-    done = cut(done.select("_row", "_s", "call_id", "started_at", "ended_at", "_unsure", *added[:-1]), "traced")
+    done = cut(done.select("_row", "_s", "call_id", "started_at", "ended_at", "_unsure", "_overlaps", *added[:-1]), "traced")
     asked = done.filter("_unsure")
     if not asked.isEmpty():
-        hosts = done.filter((F.col("agent_role") == "main") & F.col("ended_at").isNotNull())
-        done = done.join(running_hosts(asked, hosts, "_s"), "_row", "left").withColumn("parent_span_id", F.coalesce("parent_span_id", "parent"))
+        done = done.join(running_hosts(asked, done.filter("_overlaps"), "_s"), "_row", "left").withColumn("parent_span_id", F.coalesce("parent_span_id", "parent"))
     some = F.substring("_s", 1, 1) != "\u0000"
     done = done.withColumn("depth", F.when(F.col("parent_span_id").isNotNull(), 1).otherwise(0))
     some = F.col("session_id").isNotNull()
