@@ -10,13 +10,17 @@ _SEP = "\u001e"
 
 def header(headers: Column, name: str) -> Column:
     """A header of a map by name, whatever the case of either."""
-    lowered = F.transform_keys(headers, lambda k, _: F.lower(k))
-    return F.try_element_at(lowered, F.lit(name.lower()))
+    return F.try_element_at(lowered(headers), F.lit(name.lower()))
+
+
+def lowered(headers: Column) -> Column:
+    """A map of headers with its names in lower case: what reads several of them makes it once."""
+    return F.transform_keys(headers, lambda k, _: F.lower(k))
 
 
 def millis_between(start: Column, end: Column) -> Column:
     """Whole milliseconds from one timestamp to another, cut towards zero."""
-    return F.timestamp_diff("MILLISECOND", F.try_to_timestamp(start.cast("string")), F.try_to_timestamp(end.cast("string")))
+    return F.timestamp_diff("MILLISECOND", start.try_cast("timestamp"), end.try_cast("timestamp"))
 
 
 def fingerprint(*parts: Column, length: int = 16) -> Column:

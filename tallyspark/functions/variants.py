@@ -43,23 +43,33 @@ def sub(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "variant")
 
 
+def _of_kind(v: Column, path: str, kind: str, made: str) -> Column:
+    """The path is walked once; the kind is then that of the one value."""
+    return let(sub(v, path), lambda x: F.when(F.schema_of_variant(x) == kind, F.try_variant_get(x, "$", made)))
+
+
 def text(v: Column, path: str = "$") -> Column:
     """The string at a path; a number or an array there is null, not its text."""
-    return F.when(json_kind(sub(v, path)) == "STRING", F.try_variant_get(v, path, "string"))
+    return _of_kind(v, path, "STRING", "string")
 
 
 def whole(v: Column, path: str = "$") -> Column:
     """The whole number at a path; a string of digits is null."""
-    return F.when(json_kind(sub(v, path)) == "BIGINT", F.try_variant_get(v, path, "bigint"))
+    return _of_kind(v, path, "BIGINT", "bigint")
 
 
 def flag(v: Column, path: str = "$") -> Column:
-    return F.when(json_kind(sub(v, path)) == "BOOLEAN", F.try_variant_get(v, path, "boolean"))
+    return _of_kind(v, path, "BOOLEAN", "boolean")
 
 
 def items(v: Column, path: str = "$") -> Column:
     """The array at a path as array<variant>; empty if it is none."""
-    return F.coalesce(F.when(json_kind(sub(v, path)) == "ARRAY", F.try_variant_get(v, path, "array<variant>")), F.array().cast("array<variant>"))
+    return F.coalesce(listed(v, path), F.array().cast("array<variant>"))
+
+
+def listed(v: Column, path: str = "$") -> Column:
+    """The array at a path as array<variant>; null if it is none. What is in it is not looked at, as its kind would be."""
+    return F.try_variant_get(v, path, "array<variant>")
 
 
 def chars(v: Column) -> Column:
@@ -69,8 +79,9 @@ def chars(v: Column) -> Column:
 
 def flat_text(v: Column) -> Column:
     """A string, the joined texts of an array of parts, or any other value as JSON; null for an absent one."""
-    parts = F.transform(items(v), lambda p: F.coalesce(text(p, "$.text"), text(p)))
-    return F.when(json_kind(v) == "STRING", F.try_variant_get(v, "$", "string")).when(json_kind(v) == "ARRAY", F.array_join(F.filter(parts, lambda p: p.isNotNull()), "")).when(v.isNotNull(), F.to_json(v))
+    joined = lambda parts: F.array_join(F.filter(F.transform(parts, lambda p: F.coalesce(text(p, "$.text"), text(p))), lambda p: p.isNotNull()), "")
+    one = lambda w: F.when(json_kind(w) == "STRING", F.try_variant_get(w, "$", "string")).when(w.isNotNull(), F.to_json(w))
+    return let(v, lambda w: let(listed(w), lambda parts: F.when(parts.isNotNull(), joined(parts)).otherwise(one(w))))
 
 
 def quoted(c: Column) -> Column:

@@ -5,19 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.functions.scalars import excerpt, fingerprint, header, is_injected, line_value, mcp_server, millis_between, trace_context
-from tallyspark.functions.variants import items, let, strict_json, sub, text, whole
+from tallyspark.functions.scalars import excerpt, fingerprint, is_injected, lowered, line_value, mcp_server, millis_between, trace_context
+from tallyspark.functions.variants import items, let, listed, once, strict_json, sub, text, whole
 from tallyspark.operators import normalise
 
 BILLING_PREFIX = "x-anthropic-billing-header:"
 PARSER_VERSION = "1"
 
 
-def frameworks():
-    """The client of a call by its user agent or originator."""
-    agent = F.lower(F.coalesce(header(F.col("request_headers"), "user-agent"), F.lit("")))
-    origin = F.lower(F.coalesce(header(F.col("request_headers"), "originator"), F.lit("")))
-    has = lambda s: agent.contains(s) | origin.contains(s)
+def frameworks(headers: Column):
+    """The client of a call by its user agent or originator; header names in lower case."""
+    named = lambda n: F.lower(F.coalesce(F.try_element_at(headers, F.lit(n)), F.lit("")))
+    has = lambda s: named("user-agent").contains(s) | named("originator").contains(s)
     return F.when(F.col("dialect") == "claude_code", "claude-code").when(F.col("dialect") == "openai", F.when(has("codex"), "codex").when(has("opencode"), "opencode").when(has("pi-"), "pi-dev").otherwise("openai-sdk"))
 
 
@@ -111,24 +110,26 @@ def tool_calls(x: DataFrame) -> DataFrame:
         F.when(paired, failed).alias("is_error"), F.when(~paired, "pending").when(failed, "error").otherwise("ok").alias("status"), "emitted_at", F.lit(None).cast("timestamp").alias("observed_at"), F.lit(None).cast("long").alias("duration_ms"))
 
 
-def normalised_calls(calls: DataFrame) -> DataFrame:
-    """Inference calls with their segments, declarations, turns and usage in the row."""
-    return normalise.normalised(normalise.parse(normalise.inference_calls(calls)))
+def normalised_calls(calls: DataFrame, parts: tuple[str, ...] = ("segs", "decls", "turns")) -> DataFrame:
+    """Inference calls with their segments, declarations, turns (or only those `parts`) and usage in the row."""
+    return normalise.normalised(normalise.parse(normalise.inference_calls(calls)), parts)
 
 
 def derive_generations(calls: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(generations, tool calls, segments by call, declarations by call) of inference calls; unpriced and unassembled."""
     x = normalised_calls(calls)
     new = F.flatten(F.transform(F.filter("turns", lambda t: t["origin"] == "new"), lambda t: F.transform(F.filter(t["blocks"], lambda b: b["kind"] == "tool_use"), lambda b: F.struct(b["tool_name"].alias("name")))))
-    y = with_thread_shape(with_tool_shape(with_system_shape(x.withColumn("_new", new))))
-    body, r = F.col("body"), F.col("response")
-    h = lambda n: header(F.col("request_headers"), n)
-    rh = lambda n: header(F.col("response_headers"), n)
-    user = strict_json(text(body, "$.metadata.user_id"))
-    five, hour = whole(r, "$.usage.cache_creation.ephemeral_5m_input_tokens"), whole(r, "$.usage.cache_creation.ephemeral_1h_input_tokens")
-    asked = F.regexp_extract_all(F.concat(F.coalesce(F.to_json(sub(body, "$.system")), F.lit("")), F.coalesce(F.to_json(sub(body, "$.messages")), F.lit(""))), F.lit(r'"cache_control":\{[^}]*"ttl":"([^"]+)"'), F.lit(1))
-    split = five.isNotNull() | hour.isNotNull()
+    body, r, u = F.col("body"), F.col("response"), F.col("_usage")
+    read = {"_asked_by": lowered(F.col("request_headers")), "_told": lowered(F.col("response_headers")), "_user": let(text(body, "$.metadata.user_id"), strict_json), "_usage": sub(r, "$.usage"), "_edits": sub(body, "$.context_management"), "_stops": listed(body, "$.stop_sequences")}
+    split = F.col("_five").isNotNull() | F.col("_hour").isNotNull()
     made = F.coalesce(F.col("cache_creation_tokens"), F.lit(0)) > 0
+    ttls = F.regexp_extract_all(F.concat(F.coalesce(F.to_json(sub(body, "$.system")), F.lit("")), F.coalesce(F.to_json(sub(body, "$.messages")), F.lit(""))), F.lit(r'"cache_control":\{[^}]*"ttl":"([^"]+)"'), F.lit(1))
+    x1 = once(once(x, read), {"_five": whole(u, "$.cache_creation.ephemeral_5m_input_tokens"), "_hour": whole(u, "$.cache_creation.ephemeral_1h_input_tokens")})
+    x1 = once(x1, {"_ttls": F.when(made & ~split, ttls)})  # read where the answer does not split what it wrote
+    y = with_thread_shape(with_tool_shape(with_system_shape(x1.withColumn("_new", new))))
+    h = lambda n: F.try_element_at("_asked_by", F.lit(n))
+    rh = lambda n: F.try_element_at("_told", F.lit(n))
+    user, five, hour, asked = F.col("_user"), F.col("_five"), F.col("_hour"), F.col("_ttls")
     long_ttl, short_ttl = F.array_contains(asked, "1h"), F.size(asked) > 0
     trace_id, parent = trace_context(h("traceparent"))
     status = F.col("response_status")
@@ -138,14 +139,14 @@ def derive_generations(calls: DataFrame) -> tuple[DataFrame, DataFrame, DataFram
     cols = {
         "call_id": F.col("id"), "session_id": F.coalesce("session_key", text(user, "$.session_id")), "started_at": F.col("timestamp_start"), "ended_at": F.col("timestamp_end"),
         "ttft_ms": millis_between(F.col("timestamp_start"), F.col("timestamp_first_chunk")), "latency_ms": millis_between(F.col("timestamp_start"), F.col("timestamp_end")), "http_status": status, "is_stream": F.col("response_raw_sse").isNotNull(),
-        "provider": F.when(F.col("dialect") == "claude_code", "anthropic").otherwise(F.col("dialect")), "framework": frameworks(), "client_version": F.nullif(F.regexp_extract(F.coalesce(h("user-agent"), F.lit("")), r"/([0-9][^ ]*)", 1), F.lit("")),
+        "provider": F.when(F.col("dialect") == "claude_code", "anthropic").otherwise(F.col("dialect")), "framework": frameworks(F.col("_asked_by")), "client_version": F.nullif(F.regexp_extract(F.coalesce(h("user-agent"), F.lit("")), r"/([0-9][^ ]*)", 1), F.lit("")),
         "model": F.col("model"), "resolved_model": text(r, "$.model"), "account_uuid": text(user, "$.account_uuid"), "device_id": text(user, "$.device_id"),
         "max_tokens": whole(body, "$.max_tokens"), "temperature": F.try_variant_get(body, "$.temperature", "double"), "thinking_type": text(body, "$.thinking.type"), "thinking_budget": whole(body, "$.thinking.budget_tokens"),
-        "stop_sequences": F.when(F.size(items(body, "$.stop_sequences")) > 0, F.to_json(sub(body, "$.stop_sequences"))), "context_management": F.to_json(sub(body, "$.context_management")), "compaction_requested": F.size(items(body, "$.context_management.edits")) > 0,
+        "stop_sequences": F.when(F.size("_stops") > 0, F.to_json(sub(body, "$.stop_sequences"))), "context_management": F.to_json("_edits"), "compaction_requested": F.size(items(F.col("_edits"), "$.edits")) > 0,
         "input_tokens": F.col("input_tokens"), "output_tokens": F.col("output_tokens"), "total_tokens": F.col("input_tokens") + F.col("output_tokens"), "cache_read_tokens": F.col("cache_read_tokens"), "cache_creation_tokens": F.col("cache_creation_tokens"),
         "cache_creation_5m_tokens": F.when(split, five).when(made & ~long_ttl, F.col("cache_creation_tokens")), "cache_creation_1h_tokens": F.when(split, hour).when(made & long_ttl, F.col("cache_creation_tokens")),
-        "cache_ttl_source": F.when(split, "response").when(made & short_ttl, "request").when(made, "assumed"), "thinking_tokens": F.coalesce(whole(r, "$.usage.output_tokens_details.thinking_tokens"), whole(r, "$.usage.completion_tokens_details.reasoning_tokens"), whole(r, "$.usage.output_tokens_details.reasoning_tokens")),
-        "service_tier": F.coalesce(text(r, "$.usage.service_tier"), text(r, "$.service_tier")), "stop_reason": F.coalesce(text(r, "$.stop_reason"), text(r, "$.choices[0].finish_reason"), text(r, "$.status")),
+        "cache_ttl_source": F.when(split, "response").when(made & short_ttl, "request").when(made, "assumed"), "thinking_tokens": F.coalesce(whole(u, "$.output_tokens_details.thinking_tokens"), whole(u, "$.completion_tokens_details.reasoning_tokens"), whole(u, "$.output_tokens_details.reasoning_tokens")),
+        "service_tier": F.coalesce(text(u, "$.service_tier"), text(r, "$.service_tier")), "stop_reason": F.coalesce(text(r, "$.stop_reason"), text(r, "$.choices[0].finish_reason"), text(r, "$.status")),
         "retry_count": F.try_to_number(h("x-stainless-retry-count"), F.lit("999999")).cast("long"), "request_id": F.coalesce(rh("request-id"), rh("x-request-id")), "org_id": F.coalesce(rh("anthropic-organization-id"), rh("openai-organization")), "should_retry": rh("x-should-retry") == "true",
         "ratelimit_status": rh("anthropic-ratelimit-unified-status"), "ratelimit_5h_utilization": rh("anthropic-ratelimit-unified-5h-utilization").try_cast("double"), "ratelimit_7d_utilization": rh("anthropic-ratelimit-unified-7d-utilization").try_cast("double"),
         "overage_status": rh("anthropic-ratelimit-unified-overage-status"), "ratelimit_reset_at": F.timestamp_seconds(rh("anthropic-ratelimit-unified-reset").try_cast("long")),

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.functions.scalars import header
-from tallyspark.functions.variants import chars, flag, flat_text, items, json_kind, let, once, strict_json, sub, text, whole
+from tallyspark.functions.scalars import lowered
+from tallyspark.functions.variants import chars, flag, flat_text, items, json_kind, let, listed, once, strict_json, sub, text, whole
 
 #: Wrappers that mark text which the harness put in.
 TAGS = ("system-reminder", "local-command-caveat", "command-name", "command-message", "command-args", "local-command-stdout")
@@ -20,7 +20,10 @@ DIALECTS: dict = {}
 
 def detect_provider(headers: Column, url: Column) -> Column:
     """The dialect of a request by its headers and URL; the first rule that holds, else `unknown`."""
-    low = F.transform_keys(headers, lambda k, _: F.lower(k))
+    return let(F.struct(lowered(headers).alias("h"), url.alias("url")), lambda r: _provider(r["h"], r["url"]))
+
+
+def _provider(low: Column, url: Column) -> Column:
     h = lambda name: F.coalesce(F.try_element_at(low, F.lit(name)), F.lit(""))
     agent = F.lower(h("user-agent"))
     claude = (F.lower(h("x-app")) == "cli") | agent.contains("claude-cli") | (h("anthropic-version") != "") | url.contains("/v1/messages")
@@ -36,16 +39,17 @@ def inference_calls(calls: DataFrame) -> DataFrame:
 def parse(calls: DataFrame) -> DataFrame:
     """Calls with dialect, body and response as VARIANT, model and session_key. Invalid JSON is null."""
     body, answer = strict_json(F.col("request_body")), F.coalesce(strict_json(F.col("response_reconstructed")), strict_json(F.col("response_body")))
-    x = once(calls, {"dialect": detect_provider(F.col("request_headers"), F.col("url")), "body": body, "_answer": answer})
+    x = once(calls, {"_low": lowered(F.col("request_headers")), "body": body, "_answer": answer})
+    x = once(x, {"dialect": _provider(F.col("_low"), F.col("url"))})
     kind = text(F.col("_answer"), "$.type")
     typed = json_kind(sub(F.col("_answer"), "$.type")) == "STRING"
     x = x.withColumn("response", F.when((F.col("dialect") != "claude_code") | ~F.coalesce(typed, F.lit(False)) | (kind == "message"), F.col("_answer"))).drop("_answer")
-    h = lambda n: F.nullif(header(F.col("request_headers"), n), F.lit(""))
-    claude_key = F.coalesce(header(F.col("request_headers"), "x-claude-code-session-id"), text(F.col("body"), "$.metadata.user_id.session_id"))
+    h = lambda n: F.nullif(F.try_element_at("_low", F.lit(n)), F.lit(""))
+    claude_key = F.coalesce(F.try_element_at("_low", F.lit("x-claude-code-session-id")), text(F.col("body"), "$.metadata.user_id.session_id"))
     openai_key = F.coalesce(*[h(n) for n in ("session-id", "thread-id", "session_id", "x-session-id", "x-codex-session-id")], text(F.col("body"), "$.conversation"))
     return x.withColumns({
         "model": text(F.col("body"), "$.model"), "raw_fallback": F.col("dialect") == "unknown",
-        "session_key": F.when(F.col("dialect") == "claude_code", claude_key).when(F.col("dialect") == "openai", openai_key)})
+        "session_key": F.when(F.col("dialect") == "claude_code", claude_key).when(F.col("dialect") == "openai", openai_key)}).drop("_low")
 
 
 def _openai_items(body: Column) -> Column:
@@ -70,8 +74,9 @@ def _segments() -> Column:
     """The system prompt in pieces. Of an OpenAI request: the instructions and the text of its leading system items."""
     seg = lambda t, c: F.struct(t.alias("text"), c.alias("cache_control"))
     body = F.col("body")
-    listed = F.filter(F.transform(items(body, "$.system"), lambda b: seg(text(b, "$.text"), sub(b, "$.cache_control").isNotNull())), lambda s: s["text"].isNotNull())
-    claude = F.when(json_kind(sub(body, "$.system")) == "STRING", F.array(seg(text(body, "$.system"), F.lit(False)))).otherwise(listed)
+    several = lambda parts: F.filter(F.transform(parts, lambda b: seg(text(b, "$.text"), sub(b, "$.cache_control").isNotNull())), lambda s: s["text"].isNotNull())
+    single = let(text(body, "$.system"), lambda t: F.when(t.isNotNull(), F.array(seg(t, F.lit(False)))).otherwise(_none(SEGMENT)))
+    claude = let(listed(body, "$.system"), lambda parts: F.when(parts.isNotNull(), several(parts)).otherwise(single))
     said = F.filter(F.slice("_items", F.lit(1), F.col("_start")), lambda i: ~F.coalesce(text(i, "$.type") == "additional_tools", F.lit(False)))
     lead = F.filter(F.transform(said, lambda i: seg(flat_text(sub(i, "$.content")), F.lit(False))), lambda s: F.coalesce(s["text"], F.lit("")) != "")
     given = F.filter(F.array(seg(text(body, "$.instructions"), F.lit(False))), lambda s: s["text"].isNotNull())
@@ -90,14 +95,13 @@ def _declarations() -> Column:
     """Declared tools; nameless ones are dropped, namespaces flattened."""
     extra = F.flatten(F.transform(F.filter(F.slice("_items", F.lit(1), F.col("_start")), lambda i: F.coalesce(text(i, "$.type") == "additional_tools", F.lit(False))), lambda i: items(i, "$.tools")))
     own = items(F.col("body"), "$.tools")
-    listed = F.when(F.col("dialect") == "claude_code", own).when(F.col("dialect") == "openai", let(F.concat(own, extra), _flat_tools)).otherwise(_none("variant"))
+    given = F.when(F.col("dialect") == "claude_code", own).when(F.col("dialect") == "openai", let(F.concat(own, extra), _flat_tools)).otherwise(_none("variant"))
 
-    def one(t):
-        spec = F.coalesce(sub(t, "$.function"), t)
+    def one(spec):
         schema = F.coalesce(sub(spec, "$.parameters"), sub(spec, "$.input_schema"), sub(spec, "$.format"))
         return F.struct(text(spec, "$.name").alias("name"), text(spec, "$.description").alias("description"), F.to_json(schema).alias("input_schema"))
 
-    return F.filter(F.transform(listed, one), lambda d: d["name"].isNotNull())
+    return F.filter(F.transform(given, lambda t: let(F.coalesce(sub(t, "$.function"), t), one)), lambda d: d["name"].isNotNull())
 
 
 def _block(kind, content=None, size=None, tag=None, name=None, given=None, use=None, error=None) -> Column:
@@ -108,18 +112,21 @@ def _block(kind, content=None, size=None, tag=None, name=None, given=None, use=N
 def _tagged(said: Column) -> Column:
     """A text block; a wrapper that marks injected text is taken off and named (its end may be missing)."""
     pattern = rf"(?s)^<({'|'.join(TAGS)})>(.*?)(?:</\1>)?$"
-    clean = F.trim(said)
-    tag = F.nullif(F.regexp_extract(clean, pattern, 1), F.lit(""))
-    inner = F.when(tag.isNotNull(), F.trim(F.regexp_extract(clean, pattern, 2))).otherwise(said)
-    return _block("text", inner, F.char_length(inner).cast("long"), tag)
+    found = lambda s, k: F.regexp_extract(F.trim(s), pattern, k)
+    inner = lambda s, tag: F.when(tag.isNotNull(), F.trim(found(s, 2))).otherwise(s)
+    made = lambda s, tag: let(inner(s, tag), lambda t: _block("text", t, F.char_length(t).cast("long"), tag))
+    return let(said, lambda s: let(F.nullif(found(s, 1), F.lit("")), lambda tag: made(s, tag)))
 
 
 def _plain(said: Column) -> Column:
-    return _block("text", said, F.char_length(said).cast("long"))
+    return let(said, lambda s: _block("text", s, F.char_length(s).cast("long")))
 
 
 def _claude_block(b: Column) -> Column:
-    t = F.coalesce(text(b, "$.type"), F.lit(""))
+    return let(F.coalesce(text(b, "$.type"), F.lit("")), lambda t: _claude_kind(t, b))
+
+
+def _claude_kind(t: Column, b: Column) -> Column:
     return (
         F.when(t == "text", _tagged(F.coalesce(text(b, "$.text"), F.lit(""))))
         .when(t == "thinking", _block("thinking", text(b, "$.thinking"), chars(b)))
@@ -130,8 +137,7 @@ def _claude_block(b: Column) -> Column:
 
 
 def _role(i: Column) -> Column:
-    r = text(i, "$.role")
-    return F.when(r.isin("user", "assistant", "tool", "system"), r).when(r == "developer", "system").otherwise("other")
+    return let(text(i, "$.role"), lambda r: F.when(r.isin("user", "assistant", "tool", "system"), r).when(r == "developer", "system").otherwise("other"))
 
 
 def _turn(at, role, origin: str, made) -> Column:
@@ -140,52 +146,55 @@ def _turn(at, role, origin: str, made) -> Column:
 
 def _claude_turns(body: Column, response: Column) -> Column:
     def turn(m, at, origin):
-        c = sub(m, "$.content")
-        made = F.when(json_kind(c) == "STRING", F.array(_tagged(text(m, "$.content")))).when(json_kind(c) == "ARRAY", F.transform(items(m, "$.content"), _claude_block)).when(c.isNotNull(), F.array(_block("other", F.to_json(c), chars(c)))).otherwise(_none(BLOCK))
+        single = lambda c: F.when(json_kind(c) == "STRING", F.array(_tagged(F.try_variant_get(c, "$", "string")))).when(c.isNotNull(), F.array(_block("other", F.to_json(c), chars(c)))).otherwise(_none(BLOCK))
+        made = let(listed(m, "$.content"), lambda parts: F.when(parts.isNotNull(), F.transform(parts, _claude_block)).otherwise(let(sub(m, "$.content"), single)))
         return _turn(at, _role(m), origin, made)
 
     return let(items(body, "$.messages"), lambda sent: F.concat(F.transform(sent, lambda m, i: turn(m, i, "history")), F.when(response.isNotNull(), F.array(turn(response, F.size(sent), "new"))).otherwise(_none(TURN))))
 
 
-def _uses(calls: Column) -> Column:
-    def use(c):
-        f = F.coalesce(sub(c, "$.function"), c)
-        return _block("tool_use", None, chars(c), None, text(f, "$.name"), F.to_json(strict_json(text(f, "$.arguments"))), text(c, "$.id"))
+def _arguments(f: Column) -> Column:
+    return let(text(f, "$.arguments"), lambda raw: F.to_json(strict_json(raw)))
 
-    return F.transform(calls, use)
+
+def _uses(calls: Column) -> Column:
+    use = lambda c, f: _block("tool_use", None, chars(c), None, text(f, "$.name"), _arguments(f), text(c, "$.id"))
+    return F.transform(calls, lambda c: let(F.coalesce(sub(c, "$.function"), c), lambda f: use(c, f)))
 
 
 def _function_call(i: Column) -> Column:
-    return _block("tool_use", None, chars(i), None, text(i, "$.name"), F.to_json(strict_json(text(i, "$.arguments"))), text(i, "$.call_id"))
+    return _block("tool_use", None, chars(i), None, text(i, "$.name"), _arguments(i), text(i, "$.call_id"))
 
 
 def _some(said: Column, make=_plain) -> Column:
     """One block of a text that is there and not empty, else none."""
-    return F.when(F.coalesce(said, F.lit("")) != "", F.array(make(said))).otherwise(_none(BLOCK))
+    return let(said, lambda s: F.when(F.coalesce(s, F.lit("")) != "", F.array(make(s))).otherwise(_none(BLOCK)))
 
 
 def _openai_turns(body: Column, response: Column) -> Column:
-    result = lambda said, use: F.array(_block("tool_result", F.coalesce(said, F.lit("")), F.char_length(F.coalesce(said, F.lit(""))).cast("long"), None, None, None, use))
+    result = lambda said, use: let(F.coalesce(said, F.lit("")), lambda s: F.array(_block("tool_result", s, F.char_length(s).cast("long"), None, None, None, use)))
 
     def old(m, at):
         kind = F.coalesce(text(m, "$.type"), F.lit(""))
-        role = F.when(kind == "function_call", "assistant").when(kind == "function_call_output", "tool").otherwise(_role(m))
+        return let(F.struct(kind.alias("kind"), _role(m).alias("role")), lambda k: sent_turn(m, at, k["kind"], k["role"]))
+
+    def sent_turn(m, at, kind, given):
+        role = F.when(kind == "function_call", "assistant").when(kind == "function_call_output", "tool").otherwise(given)
         made = (
             F.when(kind == "function_call", F.array(_function_call(m)))
             .when(kind == "function_call_output", result(flat_text(sub(m, "$.output")), text(m, "$.call_id")))
-            .when(_role(m) == "tool", result(flat_text(sub(m, "$.content")), text(m, "$.tool_call_id")))
+            .when(given == "tool", result(flat_text(sub(m, "$.content")), text(m, "$.tool_call_id")))
             .otherwise(F.concat(_some(flat_text(sub(m, "$.content"))), _uses(items(m, "$.tool_calls")))))
         return _turn(at, role, "history", made)
 
     def out(i):
-        t = text(i, "$.type")
         said, summary = flat_text(sub(i, "$.content")), F.coalesce(flat_text(sub(i, "$.summary")), F.lit(""))
-        return F.when(t == "message", _some(said)).when(t == "reasoning", F.array(_block("thinking", summary, chars(i)))).when(t == "function_call", F.array(_function_call(i))).otherwise(_none(BLOCK))
+        return let(text(i, "$.type"), lambda t: F.when(t == "message", _some(said)).when(t == "reasoning", F.array(_block("thinking", summary, chars(i)))).when(t == "function_call", F.array(_function_call(i))).otherwise(_none(BLOCK)))
 
     r = response
-    message, thought = sub(r, "$.choices[0].message"), text(r, "$.choices[0].message.reasoning_content")
-    chat = F.concat(_some(flat_text(sub(r, "$.choices[0].message.content"))), F.filter(F.array(F.when(thought.isNotNull(), _block("thinking", thought, F.char_length(thought).cast("long")))), lambda b: b.isNotNull()), _uses(items(r, "$.choices[0].message.tool_calls")))
-    made = F.concat(F.when(message.isNotNull(), chat).otherwise(_none(BLOCK)), F.flatten(F.transform(items(r, "$.output"), out)))
+    thinks = lambda m: let(text(m, "$.reasoning_content"), lambda t: F.when(t.isNotNull(), F.array(_block("thinking", t, F.char_length(t).cast("long")))).otherwise(_none(BLOCK)))
+    chat = lambda m: F.when(m.isNotNull(), F.concat(_some(flat_text(sub(m, "$.content"))), thinks(m), _uses(items(m, "$.tool_calls")))).otherwise(_none(BLOCK))
+    made = F.concat(let(sub(r, "$.choices[0].message"), chat), F.flatten(F.transform(items(r, "$.output"), out)))
     sent = F.transform(F.slice("_items", F.col("_start") + 1, F.size("_items")), old)
     new = let(F.when(r.isNotNull(), made), lambda b: F.when(F.size(b) > 0, F.array(_turn(F.size("_items") - F.col("_start"), F.lit("assistant"), "new", b))).otherwise(_none(TURN)))
     return F.concat(sent, new)
@@ -203,11 +212,11 @@ def normalised(parsed: DataFrame, parts: tuple[str, ...] = ("segs", "decls", "tu
     for name, f in DIALECTS.items():
         turns_ = turns_.when(F.col("dialect") == name, f(body, r))
     claude, known = F.col("dialect") == "claude_code", F.col("dialect") != "unknown"
-    n = lambda p: whole(r, f"$.usage.{p}")
+    n = lambda p: whole(F.col("_usage"), f"$.{p}")
     made = {"segs": _segments(), "decls": _declarations(), "turns": turns_.otherwise(_none(TURN))}
-    return (once(x, {k: made[k] for k in parts}) if parts else x).withColumns({
+    return once(x, {"_usage": sub(r, "$.usage")} | {k: made[k] for k in parts}).withColumns({
         "input_tokens": F.when(claude, n("input_tokens")).when(known, F.coalesce(n("prompt_tokens"), n("input_tokens"))), "output_tokens": F.when(claude, n("output_tokens")).when(known, F.coalesce(n("completion_tokens"), n("output_tokens"))),
-        "cache_read_tokens": F.when(claude, n("cache_read_input_tokens")).when(known, F.coalesce(n("prompt_tokens_details.cached_tokens"), n("input_tokens_details.cached_tokens"))), "cache_creation_tokens": F.when(claude, n("cache_creation_input_tokens"))}).drop("_items", "_start")
+        "cache_read_tokens": F.when(claude, n("cache_read_input_tokens")).when(known, F.coalesce(n("prompt_tokens_details.cached_tokens"), n("input_tokens_details.cached_tokens"))), "cache_creation_tokens": F.when(claude, n("cache_creation_input_tokens"))}).drop("_items", "_start", "_usage")
 
 
 def _listed(parsed: DataFrame, *parts: str) -> DataFrame:
@@ -252,10 +261,14 @@ def oversized_blocks(b: DataFrame, most: int = LARGE_BLOCK) -> DataFrame:
 
 
 def pair_tools(b: DataFrame) -> DataFrame:
-    """Tool uses with the first result of their id in the same call (result columns null if there is none)."""
-    at = F.struct("turn", "block")
-    done = b.filter("kind = 'tool_result' AND tool_use_id IS NOT NULL").groupBy("call_id", "tool_use_id").agg(F.min_by(F.struct(F.col("content").alias("result"), F.col("chars").alias("result_chars"), F.coalesce("is_error", F.lit(False)).alias("result_error")), at).alias("r"))
-    return b.filter("kind = 'tool_use'").join(done, ["call_id", "tool_use_id"], "left").select("call_id", "turn", "block", "origin", "tool_use_id", F.col("tool_name").alias("name"), "input", "r.result", "r.result_chars", "r.result_error", F.col("r").isNotNull().alias("paired"))
+    """Tool uses with the first result of their id in the same call (result columns null if there is none).
+
+    Uses and results meet in one window, so what makes the blocks runs once. Blocks without an id have no result.
+    """
+    done = F.when((F.col("kind") == "tool_result") & F.col("tool_use_id").isNotNull() & F.col("call_id").isNotNull(), F.struct("turn", "block"))
+    r = F.struct(F.col("content").alias("result"), F.col("chars").alias("result_chars"), F.coalesce("is_error", F.lit(False)).alias("result_error"))
+    x = b.filter("kind IN ('tool_use', 'tool_result')").withColumn("r", F.min_by(r, done).over(Window.partitionBy("call_id", "tool_use_id")))
+    return x.filter("kind = 'tool_use'").select("call_id", "turn", "block", "origin", "tool_use_id", F.col("tool_name").alias("name"), "input", "r.result", "r.result_chars", "r.result_error", F.col("r").isNotNull().alias("paired"))
 
 
 def undeclared(uses: DataFrame, decls: DataFrame) -> DataFrame:
