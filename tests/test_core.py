@@ -1,5 +1,6 @@
 """The traffic operators on literal captures, rate cases and streams."""
 
+import datetime
 import json
 import os
 import subprocess
@@ -8,6 +9,7 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
+from tallyspark.functions import variants
 from tallyspark.functions.variants import strict_json
 from tallyspark.operators import assemble, derive, detect, normalise, pricing, reassemble
 from tallyspark.plans import adapters, diagnostics, surfaces
@@ -418,3 +420,46 @@ def test_the_rest_works_without_the_text_operators(tmp_path):
             os.symlink(f"{here}/tallyspark/{name}", tmp_path / "tallyspark" / name)
     code = "import importlib.util as u; s=u.spec_from_file_location('e','entry_copy.py'); m=u.module_from_spec(s); s.loader.exec_module(m); q=m.queries(); assert q and not any(k.startswith('op') or k == 'pipeline' for k in q), list(q); m.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+
+
+def _scans(df):
+    """How often a plan reads the rows it was made of."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD")
+
+
+def _block_rows(spark):
+    kinds = "call_id long, turn int, role string, origin string, block int, kind string, content_tag string, chars long, content string, tool_name string, input string, tool_use_id string, is_error boolean"
+    row = lambda call, at, kind, use, content=None, bad=None, chars=3: (call, at, "r", "history", 0, kind, None, chars, content, "T", None, use, bad)
+    rows = [row(1, 0, "tool_use", "a"), row(1, 1, "tool_use", "b"), row(1, 2, "tool_use", None), row(1, 3, "tool_result", "a", "late"), row(1, 4, "tool_result", "a", "later"), row(1, 5, "tool_result", None, "x"), row(1, 6, "tool_result", "z", "y", True), row(2, 0, "text", None, "long", None, 99)]
+    return spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), kinds)
+
+
+def test_uses_and_results_meet_in_one_pass(spark):
+    b = _block_rows(spark)
+    gaps, pairs = diagnostics.pairing_gaps(b), normalise.pair_tools(b)
+    assert {tuple(r) for r in gaps.collect()} == {(1, "tool_result_missing", "b"), (1, "tool_use_missing", "z")}
+    assert sorted((r["turn"], r["result"], r["paired"]) for r in pairs.collect()) == [(0, "late", True), (1, None, False), (2, None, False)]
+    assert _scans(gaps) == _scans(pairs) == 1
+
+
+def test_call_alerts_read_calls_and_blocks_once(spark):
+    kinds = "call_id long, session string, status long, error string, start timestamp, first_chunk timestamp, end timestamp, input_tokens long, output_tokens long, cache_read_tokens long, cache_creation_tokens long"
+    at = datetime.datetime(2024, 1, 1)
+    c = spark.createDataFrame(spark.sparkContext.parallelize([(1, "s", 500, "x", at, at, at, 5000, 1, 10, 0), (2, "s", 200, None, at, None, at, None, None, None, None), (3, "s", None, "down", at, at, None, 1, 1, 1, 0)], 2), kinds)
+    x = diagnostics.call_alerts(c, _block_rows(spark), diagnostics.CallPolicy(large_block_chars=50))
+    got = {(r["call_id"], r["rule"], r["evidence"]) for r in x.collect()}
+    assert {(1, "http_status", "500"), (1, "execution.tool_error", "z"), (1, "tool_result_missing", "b"), (1, "tool_use_missing", "z"), (2, "context.large_block", "99"), (3, "transport_error", "down"), (2, "usage_missing", None)} <= got and len(got) == x.count() == 11
+    assert _scans(x) == 2
+
+
+def test_variant_reads_keep_to_the_kind_asked_for(spark):
+    x = spark.createDataFrame([('{"a":[1,null],"s":"[1]","o":{"text":"t"},"n":null,"d":1.0,"i":7,"b":true}',)], "raw string").select(variants.strict_json(F.col("raw")).alias("v"))
+    v = F.col("v")
+    got = x.select(*[F.size(variants.items(v, f"$.{k}")).alias(k) for k in "asonx"], *[variants.text(v, f"$.{k}").alias(f"t{k}") for k in "asoix"], *[variants.whole(v, f"$.{k}").alias(f"w{k}") for k in "sdi"], variants.flag(v, "$.b").alias("f")).first()
+    assert tuple(got) == (2, 0, 0, 0, 0, None, "[1]", None, None, None, None, None, 7, True)
+
+
+def test_only_the_parts_asked_for_are_made(spark):
+    calls = spark.createDataFrame([(1, "POST", "https://x/v1/messages", {}, '{"system":"hi","tools":[{"name":"T"}],"messages":[]}', None, None)], "id long, method string, url string, request_headers map<string,string>, request_body string, response_body string, response_reconstructed string")
+    x = derive.normalised_calls(calls, ("segs", "decls"))
+    assert "turns" not in x.columns and x.select(F.size("segs"), F.size("decls")).first() == (1, 1)
