@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions import scalars
+from tallyspark.functions.tables import cut
 from tallyspark.operators import assemble, derive, detect, normalise, pricing, reassemble
 from tallyspark.plans import adapters, diagnostics, surfaces
 from tallyspark.sources import captures as sources
@@ -410,7 +411,7 @@ def q8_thread_outline(spark, sf_dir):
 @query(f"WITH {_TURNS} SELECT count(*) AS prompts, CAST(sum(generations) AS BIGINT) AS generations, max(generations) AS most FROM (SELECT s, count(*) AS generations FROM (SELECT call_id, string_agg(text, chr(30) ORDER BY t) AS s FROM sy GROUP BY call_id) GROUP BY s)")
 def q19_harness_prompts(spark, sf_dir):
     c = adapters.captures(spark, sf_dir)
-    g, prompts = derive.derive_generations(c)[0], derive.harness_dims(derive.normalised_calls(c))[0]
+    g, prompts = derive.derive_generations(c)[0], derive.harness_dims(derive.normalised_calls(c, ("segs", "decls")))[0]
     x = surfaces.harness_prompts(prompts, assemble.assemble(pricing.price(g, *adapters.catalogue(spark))))
     return x.agg(F.count("*").alias("prompts"), F.sum("generations").alias("generations"), F.max("generations").alias("most"))
 
@@ -418,7 +419,7 @@ def q19_harness_prompts(spark, sf_dir):
 @query("SELECT count(*) AS generations, count(DISTINCT conv_id) AS sessions, CAST(1 AS BIGINT) AS tool_count FROM conversations WHERE role = 'assistant'")
 def q20_harness_tool_sets(spark, sf_dir):
     c = adapters.captures(spark, sf_dir)
-    g, sets = derive.derive_generations(c)[0], derive.harness_dims(derive.normalised_calls(c))[1]
+    g, sets = derive.derive_generations(c)[0], derive.harness_dims(derive.normalised_calls(c, ("segs", "decls")))[1]
     return surfaces.harness_tool_sets(sets, assemble.assemble(pricing.price(g, *adapters.catalogue(spark)))).select("generations", "sessions", "tool_count")
 
 
@@ -590,14 +591,14 @@ def n21_pair_tools(spark, sf_dir):
 
 @query(f"WITH {adapters.USES_SQL} SELECT call_id, use AS tool_use_id, name FROM x WHERE NOT declared")
 def n22_undeclared(spark, sf_dir):
-    parsed = _tool_parsed(spark, sf_dir)
+    parsed = cut(normalise.normalised(_tool_parsed(spark, sf_dir), ("decls", "turns")).select("id", "decls", "turns"), "parsed")  # read for its turns and for its tools
     uses = normalise.pair_tools(normalise.blocks(normalise.turns(parsed)))
     return normalise.undeclared(uses, normalise.tool_decls(parsed)).select("call_id", "tool_use_id", "name")
 
 
 @query(f"WITH {adapters.USES_SQL} SELECT call_id, use AS tool_use_id, name, declared AS was_declared, CASE WHEN NOT done THEN 'pending' WHEN failed THEN 'error' ELSE 'ok' END AS status, row_number() OVER (PARTITION BY call_id ORDER BY use, name) - 1 AS seq, '{{\"q\":\"' || use || '\"}}' AS input_excerpt, CASE WHEN done THEN 'result of ' || use END AS result_excerpt FROM x")
 def p18_tool_calls(spark, sf_dir):
-    t = derive.tool_calls(normalise.normalised(_tool_parsed(spark, sf_dir)))
+    t = derive.tool_calls(normalise.normalised(_tool_parsed(spark, sf_dir), ("decls", "turns")))
     return tidy(t.select("call_id", "tool_use_id", "name", "was_declared", "status", "seq", "input_excerpt", "result_excerpt"))
 
 
@@ -608,7 +609,7 @@ def p8_tool_shape(spark, sf_dir):
 
 @query(f"WITH {adapters.USES_SQL} SELECT count(DISTINCT s) AS sets, sum(n)::BIGINT AS members FROM (SELECT s, any_value(n) AS n FROM (SELECT call_id, string_agg(name, ',' ORDER BY name) AS s, count(*) AS n FROM d GROUP BY 1) GROUP BY s)")
 def p20_harness_dims(spark, sf_dir):
-    _, sets, schemas = derive.harness_dims(normalise.normalised(_tool_parsed(spark, sf_dir)))
+    _, sets, schemas = derive.harness_dims(normalise.normalised(_tool_parsed(spark, sf_dir), ("segs", "decls")))
     return sets.agg(F.count("*").alias("sets"), F.sum("tool_count").alias("members"))
 
 
@@ -624,7 +625,7 @@ def n8_blocks(spark, sf_dir):
 
 @query(f"WITH {adapters.USES_SQL} SELECT call_id, 1 + 1 + CASE WHEN call_id % 2 = 0 THEN 1 ELSE count(*) FILTER (done) END AS messages_count, call_id % 2 = 0 AND false OR NOT bool_or(true) AS new_user_turn, 'order ' || call_id AS user_prompt FROM x GROUP BY 1")
 def p12_thread_shape(spark, sf_dir):
-    return derive.with_thread_shape(normalise.normalised(_tool_parsed(spark, sf_dir))).select(F.col("id").alias("call_id"), "messages_count", "new_user_turn", "user_prompt")
+    return derive.with_thread_shape(normalise.normalised(_tool_parsed(spark, sf_dir), ("turns",))).select(F.col("id").alias("call_id"), "messages_count", "new_user_turn", "user_prompt")
 
 
 # ---- functions, details and records ----
