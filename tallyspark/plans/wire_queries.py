@@ -232,7 +232,7 @@ def q22_prompt_detail(spark, sf_dir):
     c = _captures(spark, sf_dir)
     g = cut(assemble.classify_agents(derive.derive_generations(c)[0]), "roles")
     key = g.filter("provider = 'anthropic'").orderBy("call_id").select("system_hash").first()[0]
-    return surfaces.prompt_detail(derive.harness_dims(derive.normalised_calls(c))[0], g, key).select("generations", "sessions", "models", "billing_variants")
+    return surfaces.prompt_detail(derive.harness_dims(derive.normalised_calls(c, ("segs", "decls")))[0], g, key).select("generations", "sessions", "models", "billing_variants")
 
 
 @query(f"WITH {E}, one AS (SELECT * FROM e WHERE cl ORDER BY call_id DESC LIMIT 1) SELECT 'prompt' AS part, NULL AS name, length(env) + coalesce(length(billing), 0) AS chars FROM one UNION ALL SELECT 'tool', 'Alpha', 5 + 4 + 17 FROM one UNION ALL SELECT 'tool', 'mcp__s__b', 9 + 4 + 17 FROM one")
@@ -241,7 +241,7 @@ def q7_context_parts(spark, sf_dir):
     c = _captures(spark, sf_dir)
     g = cut(derive.derive_generations(c)[0].withColumn("span_id", F.lit(None).cast("string")), "calls")
     key = g.filter("provider = 'anthropic'").agg(F.max("call_id")).first()[0]
-    prompts, _, schemas = derive.harness_dims(derive.normalised_calls(c.filter(F.col("id") == key)))
+    prompts, _, schemas = derive.harness_dims(derive.normalised_calls(c.filter(F.col("id") == key), ("segs", "decls")))
     p, tools = surfaces.context_parts(prompts, schemas, g, key)
     return p.select(F.lit("prompt").alias("part"), F.lit(None).cast("string").alias("name"), F.col("total_chars").alias("chars")).unionByName(tools.select(F.lit("tool").alias("part"), "name", "chars"))
 
