@@ -17,7 +17,7 @@ from tallyspark.sources import captures as sources
 from tallyspark.sources.catalog import catalog_meta
 from tallyspark.sources.maintenance import backfill_report, pending, quarantine, refresh_if_stale
 from tallyspark.streaming.standing import refresh_totals
-from tallyspark.streaming.versions import last_done, latest_days, read_manifest, read_parts, read_table, write_manifest, write_parts  # noqa: F401
+from tallyspark.streaming.versions import last_done, latest_days, part_sizes, read_manifest, read_parts, read_table, write_manifest, write_parts  # noqa: F401
 
 #: Fixed value: the day of rows without a time.
 NO_DAY = "0000-00-00"
@@ -108,9 +108,9 @@ def replace_rows(spark: SparkSession, root: str, name: str, version: int, new: D
     """
     new = new.withColumn("part", day_of(name))
     new = new if table else _write(new, f"{root}/work/v={version}/new-{name}")
-    old, touched = None, None
+    old, touched, sizes = None, None, part_sizes(new)  # the days of one batch
     if not whole:
-        touched = {r["part"] for r in new.select("part").distinct().collect()}  # the days of one batch
+        touched = set(sizes)
         for column in leaving:
             touched |= (days or {}).get(f"{name}.{column}", set())
         old = read_parts(spark, root, name, version, touched)
@@ -120,7 +120,7 @@ def replace_rows(spark: SparkSession, root: str, name: str, version: int, new: D
             old = old.join(ids.select(column).filter(F.col(column).isNotNull()).distinct(), column, "left_anti")
         rows = old.withColumn("part", day_of(name)).unionByName(new, allowMissingColumns=True)
     if whole or touched or old is None:
-        write_parts(spark, root, name, version, rows, touched)
+        write_parts(spark, root, name, version, rows, touched, sizes)
     return _union([new.filter(F.col(c).isNotNull()).select(F.lit(f"{name}.{c}").alias("kind"), F.col(c).cast("string").alias("key"), F.col("part").alias("day")).distinct() for c in KEYS[name]])
 
 

@@ -26,7 +26,7 @@ def refresh_totals(spark: SparkSession, root: str, version: int) -> None:
     now, was = latest_days(spark, root, "generations"), latest_days(spark, root, "generations", version)
     touched = {d for d in now if now[d] != was.get(d)} | {d for d in was if d not in now}
     if touched or not was:
-        write_parts(spark, root, "totals", version, partials(read_parts(spark, root, "generations", None, touched)), touched if was else None)
+        write_parts(spark, root, "totals", version, partials(read_parts(spark, root, "generations", None, touched)), touched)
 
 
 def cost_by(spark: SparkSession, root: str, axis: str = "model") -> DataFrame:

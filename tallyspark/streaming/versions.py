@@ -44,7 +44,7 @@ def read_manifest(spark: SparkSession, root: str, name: str, before: int | None
         stream.close()
 
 
-def write_manifest(spark: SparkSession, root: str, name: str, version: int, parts: dict[str, int], schema: str, **more: str | None) -> None:
+def write_manifest(spark: SparkSession, root: str, name: str, version: int, parts: dict[str, int], schema: str, **more: str | dict | None) -> None:
     """Puts a version in force, with what `more` there is to say of it: written aside, then renamed, so it is there whole or not at all."""
     hadoop, fs, file = _files(spark, f"{root}/{name}/manifest/v={version}.json")
     aside = hadoop.Path(f"{root}/{name}/manifest/_v={version}.json")
@@ -62,13 +62,29 @@ def latest_days(spark: SparkSession, root: str, name: str, before: int | None =
 
 
 def read_parts(spark: SparkSession, root: str, name: str, before: int | None = None, only: set[str] | None = None) -> DataFrame | None:
-    """The rows of a table as of its last version (below `before`) in its parts, or `only` some: one scan of their folders. None without a version."""
+    """The rows of a table as of its last version (below `before`) in its parts, or `only` some: one scan of their folders. None without a version.
+
+    Of a folder that parts share, those of its rows are read whose part is asked for and still in force there.
+    """
     m = read_manifest(spark, root, name, before)
     if m is None:
         return None
     schema = T.StructType.fromJson(json.loads(m["schema"]))
-    paths = [f"{root}/{name}/data/v={v}/part={p}" for p, v in sorted(m["parts"].items()) if only is None or p in only]
-    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+    folders, shared = m.get("folders") or {}, m.get("shared") or {}
+    asked: dict[str, list[str]] = {}
+    for p, v in m["parts"].items():
+        if only is None or p in only:
+            asked.setdefault(f"v={v}/part={folders.get(p, p)}", []).append(f"{v}/{p}")
+    if not asked:
+        return spark.createDataFrame([], schema)
+    some = {f for f, rows in asked.items() if len(rows) < shared.get(f, 1)}
+    paths = lambda fs: [f"{root}/{name}/data/{f}" for f in sorted(fs)]
+    whole = spark.read.schema(schema).parquet(*paths(asked.keys() - some)) if len(some) < len(asked) else None
+    if not some:
+        return whole
+    marked = spark.read.schema(T.StructType([*schema, T.StructField(MARK, T.StringType())])).parquet(*paths(some))
+    picked = marked.filter(F.col(MARK).isin([r for f in some for r in asked[f]])).drop(MARK)
+    return picked if whole is None else whole.unionByName(picked)
 
 
 def read_table(spark: SparkSession, root: str, name: str, before: int | None = None) -> DataFrame | None:
@@ -76,11 +92,54 @@ def read_table(spark: SparkSession, root: str, name: str, before: int | None = N
     return read_parts(spark, root, name, before)
 
 
-def write_parts(spark: SparkSession, root: str, name: str, version: int, rows: DataFrame, touched: set[str] | None) -> None:
-    """Writes `rows`, which have a column `part`, as the whole of the `touched` parts (None: of the table), and the manifest."""
+#: A version has no more folders than this, and about this many rows a file.
+FOLDERS = 256
+FILE_ROWS = 500_000
+#: In folders that parts share: the version and part of a row.
+MARK = "__tally_part"
+
+
+def part_sizes(rows: DataFrame) -> dict[str, int]:
+    """How many rows each part has."""
+    return {r["part"]: r["count"] for r in rows.groupBy("part").count().collect()}
+
+
+def write_parts(spark: SparkSession, root: str, name: str, version: int, rows: DataFrame, touched: set[str] | None, sizes: dict[str, int] | None = None) -> None:
+    """Writes `rows`, which have a column `part`, as the whole of the `touched` parts (None: of the table), and the manifest.
+
+    Each part has a folder, up to FOLDERS; of more, neighbours share one, so a version's files follow its rows and not its parts.
+    `sizes`: the rows known of parts, where the caller has counted them; all parts of `rows` must be in it or in `touched`.
+    """
     path = f"{root}/{name}/data/v={version}"
-    rows.repartition("part", F.pmod(F.xxhash64(*[c for c in rows.columns if c != "part"][:2]), F.lit(8))).write.mode("overwrite").partitionBy("part").parquet(path)
-    _, fs, folder = _files(spark, path)
-    there = [n.split("=", 1)[1] for n in (s.getPath().getName() for s in fs.listStatus(folder)) if n.startswith("part=")]
-    old = {} if touched is None else {p: v for p, v in latest_days(spark, root, name, version).items() if p not in touched}
-    write_manifest(spark, root, name, version, old | {p: version for p in there}, rows.drop("part").schema.json())
+    if sizes is None:
+        sizes = part_sizes(rows) if touched is None else {}
+    parts = sorted(sizes.keys() | (touched or set()))
+    step = max(1, -(-len(parts) // FOLDERS))
+    folder = {p: parts[i - i % step] for i, p in enumerate(parts)}
+    held: dict[str, int] = {}
+    for p, f in folder.items():
+        held[f] = held.get(f, 0) + sizes.get(p, 0)
+    least = max(1, min(8, 128 // max(1, len(held))))
+    files = {f: max(least, min(64, -(-n // FILE_ROWS))) for f, n in held.items()}
+    columns = [c for c in rows.columns if c != "part"]
+    # One row a part, all known here. The number of tasks is given, or Spark would merge small parts into one task that writes all files.
+    plan = F.broadcast(spark.createDataFrame([(p, f, files[f]) for p, f in folder.items()], "part string, _folder string, _files int").coalesce(1))
+    x = rows.join(plan, "part", "left").withColumn("_salt", F.pmod(F.xxhash64(*columns[:2]), F.coalesce("_files", F.lit(1))))
+    mark = [F.concat(F.lit(f"{version}/"), "part").alias(MARK)] if step > 1 else []
+    x = x.select(*columns, *mark, F.coalesce("_folder", "part").alias("part"), "_salt")
+    tasks = max(1, min(sum(files.values()), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    x.repartition(tasks, "part", "_salt").drop("_salt").write.mode("overwrite").partitionBy("part").parquet(path)
+    _, fs, base = _files(spark, path)
+    there = {n.split("=", 1)[1] for n in (s.getPath().getName() for s in fs.listStatus(base)) if n.startswith("part=")}
+    last = (read_manifest(spark, root, name, version) if touched is not None else None) or {"parts": {}}
+    now = {p: version for p, f in folder.items() if f in there} | {p: version for p in there if p not in folder}
+    old = {p: v for p, v in last["parts"].items() if p not in now and p not in (touched or ())}
+    folders = {p: f for p, f in (last.get("folders") or {}).items() if p in old}
+    still = {f"v={old[p]}/part={f}" for p, f in folders.items()}
+    shared = {f: n for f, n in (last.get("shared") or {}).items() if f in still}
+    if step > 1:
+        folders |= {p: folder.get(p, p) for p in now}
+        for p in now:
+            f = f"v={version}/part={folders[p]}"
+            shared[f] = shared.get(f, 0) + 1
+    write_manifest(spark, root, name, version, old | now, rows.drop("part").schema.json(), folders=folders, shared=shared)

@@ -463,3 +463,27 @@ def test_only_the_parts_asked_for_are_made(spark):
     calls = spark.createDataFrame([(1, "POST", "https://x/v1/messages", {}, '{"system":"hi","tools":[{"name":"T"}],"messages":[]}', None, None)], "id long, method string, url string, request_headers map<string,string>, request_body string, response_body string, response_reconstructed string")
     x = derive.normalised_calls(calls, ("segs", "decls"))
     assert "turns" not in x.columns and x.select(F.size("segs"), F.size("decls")).first() == (1, 1)
+
+
+def test_files_follow_rows_and_not_days(spark, rates, tmp_path):
+    root, n = str(tmp_path), 3 * versions.FOLDERS
+    made = spark.range(4 * n).select(F.col("id").alias("call_id"), F.timestamp_seconds(1_700_000_000 + F.floor(F.col("id") / 4) * 86_400).alias("started_at"), F.lit(0).alias("made")).withColumn("part", live.day_of("generations"))
+    versions.write_parts(spark, root, "generations", 0, made, None)
+    count = lambda v: sum(f.endswith(".parquet") for _, _, fs in os.walk(f"{root}/generations/data/v={v}") for f in fs)
+    days = sorted(live.latest_days(spark, root, "generations"))
+    assert len(days) == n and count(0) <= versions.FOLDERS
+    # Some days are made anew, one of them stays empty: the rest of their folders stays in force, and only that.
+    some = {days[0], days[1], days[7], days[500]}
+    versions.write_parts(spark, root, "generations", 1, made.filter(F.col("part").isin(*(some - {days[7]}))).withColumn("made", F.lit(1)), some)
+    got = {(r["made"], r["call_id"]) for r in live.read_table(spark, root, "generations").collect()}
+    number = {d: k for k, d in enumerate(days)}
+    new = {number[d] for d in some}
+    assert got == {(int(k // 4 in new), k) for k in range(4 * n) if k // 4 != 7} and live.read_table(spark, root, "generations").columns == ["call_id", "started_at", "made"]
+    read = live.read_parts(spark, root, "generations", None, {days[1], days[2], days[9]})
+    assert sorted(r["call_id"] for r in read.collect()) == [*range(4, 12), *range(36, 40)] and read.count() == 12
+    assert len(read.inputFiles()) <= 16
+    # A version of all days again: nothing of the former ones is in force.
+    versions.write_parts(spark, root, "generations", 2, live.read_table(spark, root, "generations").withColumn("made", F.lit(2)).withColumn("part", live.day_of("generations")), set(days))
+    last = live.read_table(spark, root, "generations")
+    assert last.count() == 4 * (n - 1) and last.filter("made <> 2").count() == 0 and {f.split("/part=")[0][-3:] for f in last.inputFiles()} == {"v=2"}
+    assert [r["call_id"] for r in standing.read_page(spark, root, "generations", "started_at", "call_id", None, 6).collect()] == [4 * n - 1 - k for k in range(6)]
