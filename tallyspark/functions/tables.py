@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,3 +25,9 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def is_small(df: DataFrame, rows: int = 50_000, chars: int = 8_000_000) -> bool:
+    """Whether a table may be broadcast, by a count that ends past `rows`. Spark does not know the size of one made of rows or aggregates."""
+    n, size = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(F.length(F.to_csv(F.struct("*")))), F.lit(0))).first()
+    return n <= rows and size <= chars

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.scalars import strip_alias
+from tallyspark.functions.tables import is_small
 
 #: Cache rates as multiples of the input rate where none are published; tokens a rate is for.
 CACHE_READ, WRITE_5M, WRITE_1H, PER = 0.1, 1.25, 2.0, 1_000_000.0
@@ -42,13 +43,15 @@ def resolve_models(g: DataFrame, models: DataFrame) -> DataFrame:
     Exact id within the provider, else its id without alias suffix within the provider, else the exact
     id under another provider (the first by name). Never a prefix.
     """
+    models = models.select("provider", "model_id")
+    # Calls have few models: in a shuffle by model a handful of tasks would take them all. Only a catalogue that is large by count is shuffled.
+    small = F.broadcast if is_small(models) else lambda df: df
     ids = models.select(F.col("provider").alias("_p"), F.col("model_id").alias("_m"))
     other = models.groupBy(F.col("model_id").alias("_m")).agg(F.array_sort(F.collect_set("provider")).alias("_ps"))
-    # No hints: a catalogue under Spark's own size threshold is broadcast, a larger one shuffled.
     x = g.withColumn("_alias", strip_alias(F.col("model")))
-    x = x.join(ids.select(F.col("_p").alias("_p1"), F.col("_m").alias("_m1")), (F.col("provider") == F.col("_p1")) & (F.col("model") == F.col("_m1")), "left")
-    x = x.join(ids.select(F.col("_p").alias("_p2"), F.col("_m").alias("_m2")), (F.col("provider") == F.col("_p2")) & (F.col("_alias") == F.col("_m2")), "left")
-    x = x.join(other.select(F.col("_m").alias("_m3"), "_ps"), F.col("model") == F.col("_m3"), "left")
+    x = x.join(small(ids.select(F.col("_p").alias("_p1"), F.col("_m").alias("_m1"))), (F.col("provider") == F.col("_p1")) & (F.col("model") == F.col("_m1")), "left")
+    x = x.join(small(ids.select(F.col("_p").alias("_p2"), F.col("_m").alias("_m2"))), (F.col("provider") == F.col("_p2")) & (F.col("_alias") == F.col("_m2")), "left")
+    x = x.join(small(other.select(F.col("_m").alias("_m3"), "_ps")), F.col("model") == F.col("_m3"), "left")
     far = F.get(F.filter("_ps", lambda p: p != F.coalesce(F.col("provider"), F.lit(""))), F.lit(0))
     out = x.withColumn("cat_provider", F.coalesce("_p1", "_p2", far)).withColumn("cat_model", F.coalesce("_m1", "_m2", F.when(far.isNotNull(), F.col("_m3"))))
     return out.drop("_alias", "_p1", "_m1", "_p2", "_m2", "_m3", "_ps")
@@ -87,6 +90,7 @@ def price(g: DataFrame, models: DataFrame, tiers: DataFrame, local: DataFrame, v
     x = x.withColumn("_five", five).withColumn("_hour", hour)
     x = x.withColumn("_ctx", count_of("input_tokens") + count_of("cache_read_tokens") + F.col("_five") + F.col("_hour"))
     bands = price_bands(models, tiers).select(*[F.col(c).alias(f"_b_{c}") for c in ("provider", "model_id", "over", "below", *_RATES)])
+    bands = F.broadcast(bands) if is_small(models) and is_small(tiers) else bands
     x = x.join(bands, (F.col("cat_provider") == F.col("_b_provider")) & (F.col("cat_model") == F.col("_b_model_id")) & (F.col("_ctx") > F.col("_b_over")) & (F.col("_b_below").isNull() | (F.col("_ctx") <= F.col("_b_below"))), "left")
     past, gap = F.lit(None), F.lit(None)
     for r in reversed(local_rates(local)):

@@ -9,7 +9,7 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.functions import variants
+from tallyspark.functions import tables, variants
 from tallyspark.functions.variants import strict_json
 from tallyspark.operators import assemble, derive, detect, normalise, pricing, reassemble
 from tallyspark.plans import adapters, diagnostics, surfaces
@@ -487,3 +487,16 @@ def test_files_follow_rows_and_not_days(spark, rates, tmp_path):
     last = live.read_table(spark, root, "generations")
     assert last.count() == 4 * (n - 1) and last.filter("made <> 2").count() == 0 and {f.split("/part=")[0][-3:] for f in last.inputFiles()} == {"v=2"}
     assert [r["call_id"] for r in standing.read_page(spark, root, "generations", "started_at", "call_id", None, 6).collect()] == [4 * n - 1 - k for k in range(6)]
+
+
+def test_calls_are_not_shuffled_by_model(spark, rates, monkeypatch):
+    g = adapters.generations(spark, "/root/testdata/sf0.001")
+    plan = lambda: pricing.price(g, *rates)
+    small = plan()
+    text = small._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in text and text.count("BroadcastHashJoin") >= 4
+    # A large catalogue is shuffled, to the same rows.
+    monkeypatch.setattr(pricing, "is_small", lambda df: False)
+    key = lambda df: sorted(map(str, df.select("call_id", "pricing_model_id", "cost_total_usd").collect()))
+    assert key(plan()) == key(small)
+    assert tables.is_small(spark.range(9), 9) and not tables.is_small(spark.range(10), 9) and not tables.is_small(spark.range(9), 9, 8)
