@@ -6,11 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.scalars import excerpt, fingerprint, is_injected, lowered, line_value, mcp_server, millis_between, trace_context
-from tallyspark.functions.variants import items, let, listed, once, strict_json, sub, text, whole
+from tallyspark.functions.variants import items, let, listed, once, read, strict_json, sub, text, whole
 from tallyspark.operators import normalise
 
 BILLING_PREFIX = "x-anthropic-billing-header:"
 PARSER_VERSION = "1"
+#: What derive_generations() reads of a request, of an answer and of the user id in it: each object is walked once.
+ASKS = "struct<metadata:struct<user_id:variant>,max_tokens:variant,temperature:double,thinking:struct<type:variant,budget_tokens:variant>,stop_sequences:variant,context_management:variant>"
+SAYS = (
+    "struct<model:variant,service_tier:variant,stop_reason:variant,status:variant,choices:array<struct<finish_reason:variant>>,usage:struct<service_tier:variant,cache_creation:struct<ephemeral_5m_input_tokens:variant,ephemeral_1h_input_tokens:variant>,"
+    "output_tokens_details:struct<thinking_tokens:variant,reasoning_tokens:variant>,completion_tokens_details:struct<reasoning_tokens:variant>>>")
+USER = "struct<session_id:variant,account_uuid:variant,device_id:variant>"
 
 
 def frameworks(headers: Column):
@@ -41,11 +47,11 @@ def with_tool_shape(x: DataFrame) -> DataFrame:
     """Declared tools of each row's `decls`: fingerprint of the set by name, sizes, and how many are from servers. Null without tools, but the count."""
     size = lambda d: F.char_length(d["name"]) + F.coalesce(F.char_length(d["description"]), F.lit(0)) + F.coalesce(F.char_length(d["input_schema"]), F.lit(0))
     x = x.withColumn("tools", F.array_sort(F.transform("decls", lambda d: F.struct(d["name"].alias("name"), d["description"].alias("description"), d["input_schema"].alias("input_schema"), size(d).cast("long").alias("chars")))))
-    some = F.size("tools") > 0
+    some = F.size("decls") > 0
     key = F.array_join(F.transform("tools", lambda t: F.concat_ws("\u001e", t["name"], F.coalesce(t["description"], F.lit("")), F.coalesce(t["input_schema"], F.lit("")))), "\u001e")
     return x.withColumns({
-        "tools_hash": F.when(some, fingerprint(key)), "tools_declared_count": F.size("tools").cast("long"), "tools_chars": F.when(some, _sum(F.transform("tools", lambda t: t["chars"]))),
-        "mcp_tools_count": F.when(some, F.size(F.filter("tools", lambda t: mcp_server(t["name"]).isNotNull())).cast("long"))})
+        "tools_hash": F.when(some, fingerprint(key)), "tools_declared_count": F.size("decls").cast("long"), "tools_chars": F.when(some, _sum(F.transform("tools", lambda t: t["chars"]))),
+        "mcp_tools_count": F.when(some, F.size(F.filter("decls", lambda t: mcp_server(t["name"]).isNotNull())).cast("long"))})
 
 
 def turn_hash(t: Column) -> Column:
@@ -69,7 +75,7 @@ def with_thread_shape(x: DataFrame) -> DataFrame:
 
     The conversation's fingerprint is chained() over its history, turn by turn.
     """
-    x = x.withColumn("_old", F.filter("turns", lambda t: t["origin"] == "history")).withColumn("_hashes", F.transform("_old", turn_hash))
+    x = once(x, {"_old": F.filter("turns", lambda t: t["origin"] == "history")}).withColumn("_hashes", F.transform("_old", turn_hash))
     last, some = F.try_element_at("_old", F.lit(-1)), F.size("_old") > 0
     own = lambda b: (b["kind"] == "text") & b["content_tag"].isNull() & ~is_injected(b["content"]) & (F.trim(b["content"]) != "")
     said = F.flatten(F.transform(F.filter("turns", lambda t: t["role"] == "user"), lambda t: F.filter(t["blocks"], own)))
@@ -118,18 +124,18 @@ def normalised_calls(calls: DataFrame, parts: tuple[str, ...] = ("segs", "decls"
 def derive_generations(calls: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(generations, tool calls, segments by call, declarations by call) of inference calls; unpriced and unassembled."""
     x = normalised_calls(calls)
-    new = F.flatten(F.transform(F.filter("turns", lambda t: t["origin"] == "new"), lambda t: F.transform(F.filter(t["blocks"], lambda b: b["kind"] == "tool_use"), lambda b: F.struct(b["tool_name"].alias("name")))))
-    body, r, u = F.col("body"), F.col("response"), F.col("_usage")
-    read = {"_asked_by": lowered(F.col("request_headers")), "_told": lowered(F.col("response_headers")), "_user": let(text(body, "$.metadata.user_id"), strict_json), "_usage": sub(r, "$.usage"), "_edits": sub(body, "$.context_management"), "_stops": listed(body, "$.stop_sequences")}
-    split = F.col("_five").isNotNull() | F.col("_hour").isNotNull()
+    new = F.flatten(F.transform(F.filter("turns", lambda t: t["origin"] == "new"), lambda t: F.transform(F.filter(t["blocks"], lambda b: b["kind"] == "tool_use"), lambda b: b["tool_name"])))
+    body, asks, r, u, user = F.col("body"), F.col("_asks"), F.col("_says"), F.col("_says.usage"), F.col("_user")
+    x1 = once(x, {"_asked_by": lowered(F.col("request_headers")), "_told": lowered(F.col("response_headers")), "_asks": read(body, "$", ASKS), "_says": read(F.col("response"), "$", SAYS), "_new": new})
+    five, hour = whole(u["cache_creation"]["ephemeral_5m_input_tokens"]), whole(u["cache_creation"]["ephemeral_1h_input_tokens"])
+    split = five.isNotNull() | hour.isNotNull()
     made = F.coalesce(F.col("cache_creation_tokens"), F.lit(0)) > 0
     ttls = F.regexp_extract_all(F.concat(F.coalesce(F.to_json(sub(body, "$.system")), F.lit("")), F.coalesce(F.to_json(sub(body, "$.messages")), F.lit(""))), F.lit(r'"cache_control":\{[^}]*"ttl":"([^"]+)"'), F.lit(1))
-    x1 = once(once(x, read), {"_five": whole(u, "$.cache_creation.ephemeral_5m_input_tokens"), "_hour": whole(u, "$.cache_creation.ephemeral_1h_input_tokens")})
-    x1 = once(x1, {"_ttls": F.when(made & ~split, ttls)})  # read where the answer does not split what it wrote
-    y = with_thread_shape(with_tool_shape(with_system_shape(x1.withColumn("_new", new))))
+    x1 = once(x1, {"_ttls": F.when(made & ~split, ttls), "_user": let(text(asks["metadata"]["user_id"]), lambda t: read(strict_json(t), "$", USER))})  # lifetimes are read where the answer does not split what it wrote
+    y = with_thread_shape(with_tool_shape(with_system_shape(x1)))
     h = lambda n: F.try_element_at("_asked_by", F.lit(n))
     rh = lambda n: F.try_element_at("_told", F.lit(n))
-    user, five, hour, asked = F.col("_user"), F.col("_five"), F.col("_hour"), F.col("_ttls")
+    asked = F.col("_ttls")
     long_ttl, short_ttl = F.array_contains(asked, "1h"), F.size(asked) > 0
     trace_id, parent = trace_context(h("traceparent"))
     status = F.col("response_status")
@@ -137,23 +143,23 @@ def derive_generations(calls: DataFrame) -> tuple[DataFrame, DataFrame, DataFram
     failed = F.col("error").isNotNull() & status.isNull()
     kind = F.when(failed, "transport").when(status.isNotNull() & ~status.between(200, 299), "http").when(incomplete | F.coalesce(F.col("error").startswith("reconstruct:"), F.lit(False)), "stream_incomplete").when(F.col("response_body").isNull() & F.col("response_reconstructed").isNull(), "body_missing")
     cols = {
-        "call_id": F.col("id"), "session_id": F.coalesce("session_key", text(user, "$.session_id")), "started_at": F.col("timestamp_start"), "ended_at": F.col("timestamp_end"),
+        "call_id": F.col("id"), "session_id": F.coalesce("session_key", text(user["session_id"])), "started_at": F.col("timestamp_start"), "ended_at": F.col("timestamp_end"),
         "ttft_ms": millis_between(F.col("timestamp_start"), F.col("timestamp_first_chunk")), "latency_ms": millis_between(F.col("timestamp_start"), F.col("timestamp_end")), "http_status": status, "is_stream": F.col("response_raw_sse").isNotNull(),
         "provider": F.when(F.col("dialect") == "claude_code", "anthropic").otherwise(F.col("dialect")), "framework": frameworks(F.col("_asked_by")), "client_version": F.nullif(F.regexp_extract(F.coalesce(h("user-agent"), F.lit("")), r"/([0-9][^ ]*)", 1), F.lit("")),
-        "model": F.col("model"), "resolved_model": text(r, "$.model"), "account_uuid": text(user, "$.account_uuid"), "device_id": text(user, "$.device_id"),
-        "max_tokens": whole(body, "$.max_tokens"), "temperature": F.try_variant_get(body, "$.temperature", "double"), "thinking_type": text(body, "$.thinking.type"), "thinking_budget": whole(body, "$.thinking.budget_tokens"),
-        "stop_sequences": F.when(F.size("_stops") > 0, F.to_json(sub(body, "$.stop_sequences"))), "context_management": F.to_json("_edits"), "compaction_requested": F.size(items(F.col("_edits"), "$.edits")) > 0,
+        "model": F.col("model"), "resolved_model": text(r["model"]), "account_uuid": text(user["account_uuid"]), "device_id": text(user["device_id"]),
+        "max_tokens": whole(asks["max_tokens"]), "temperature": asks["temperature"], "thinking_type": text(asks["thinking"]["type"]), "thinking_budget": whole(asks["thinking"]["budget_tokens"]),
+        "stop_sequences": F.when(F.size(listed(asks["stop_sequences"])) > 0, F.to_json(asks["stop_sequences"])), "context_management": F.to_json(asks["context_management"]), "compaction_requested": F.size(items(asks["context_management"], "$.edits")) > 0,
         "input_tokens": F.col("input_tokens"), "output_tokens": F.col("output_tokens"), "total_tokens": F.col("input_tokens") + F.col("output_tokens"), "cache_read_tokens": F.col("cache_read_tokens"), "cache_creation_tokens": F.col("cache_creation_tokens"),
         "cache_creation_5m_tokens": F.when(split, five).when(made & ~long_ttl, F.col("cache_creation_tokens")), "cache_creation_1h_tokens": F.when(split, hour).when(made & long_ttl, F.col("cache_creation_tokens")),
-        "cache_ttl_source": F.when(split, "response").when(made & short_ttl, "request").when(made, "assumed"), "thinking_tokens": F.coalesce(whole(u, "$.output_tokens_details.thinking_tokens"), whole(u, "$.completion_tokens_details.reasoning_tokens"), whole(u, "$.output_tokens_details.reasoning_tokens")),
-        "service_tier": F.coalesce(text(u, "$.service_tier"), text(r, "$.service_tier")), "stop_reason": F.coalesce(text(r, "$.stop_reason"), text(r, "$.choices[0].finish_reason"), text(r, "$.status")),
+        "cache_ttl_source": F.when(split, "response").when(made & short_ttl, "request").when(made, "assumed"), "thinking_tokens": F.coalesce(whole(u["output_tokens_details"]["thinking_tokens"]), whole(u["completion_tokens_details"]["reasoning_tokens"]), whole(u["output_tokens_details"]["reasoning_tokens"])),
+        "service_tier": F.coalesce(text(u["service_tier"]), text(r["service_tier"])), "stop_reason": F.coalesce(text(r["stop_reason"]), text(F.get(r["choices"], F.lit(0))["finish_reason"]), text(r["status"])),
         "retry_count": F.try_to_number(h("x-stainless-retry-count"), F.lit("999999")).cast("long"), "request_id": F.coalesce(rh("request-id"), rh("x-request-id")), "org_id": F.coalesce(rh("anthropic-organization-id"), rh("openai-organization")), "should_retry": rh("x-should-retry") == "true",
         "ratelimit_status": rh("anthropic-ratelimit-unified-status"), "ratelimit_5h_utilization": rh("anthropic-ratelimit-unified-5h-utilization").try_cast("double"), "ratelimit_7d_utilization": rh("anthropic-ratelimit-unified-7d-utilization").try_cast("double"),
         "overage_status": rh("anthropic-ratelimit-unified-overage-status"), "ratelimit_reset_at": F.timestamp_seconds(rh("anthropic-ratelimit-unified-reset").try_cast("long")),
         "upstream_trace_id": trace_id, "upstream_parent_id": parent, "error": F.col("error"), "error_kind": kind, "is_error": F.coalesce(kind.isin("transport", "http", "stream_incomplete"), F.lit(False)), "raw_fallback": F.col("raw_fallback"), "parser_version": F.lit(PARSER_VERSION),
     }
     shapes = ["system_hash", "system_chars", "system_segments", "cache_points", "billing_variant", "git_branch", "cwd"]
-    called = F.array_sort(F.array_distinct(F.filter(F.transform("_new", lambda u: u["name"]), lambda n: n.isNotNull())))
+    called = F.array_sort(F.array_distinct(F.filter("_new", lambda n: n.isNotNull())))
     cols |= {n: F.col(n) for n in shapes} | {"project_name": F.nullif(F.substring_index("cwd", "/", -1), F.lit(""))}
     cols |= {n: F.col(n) for n in ("tools_hash", "tools_declared_count", "tools_chars", "mcp_tools_count", "messages_count", "context_chars", "new_user_turn", "conversation_hash", "first_turn_hash", "user_prompt")}
     cols |= {"tool_call_count": F.size("_new").cast("long"), "tools_called": F.when(F.size("_new") > 0, called)}

@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.scalars import lowered
-from tallyspark.functions.variants import chars, flag, flat_text, items, json_kind, let, listed, once, strict_json, sub, text, whole
+from tallyspark.functions.variants import chars, flag, flat_text, items, json_kind, let, listed, once, read, strict_json, sub, text, whole
 
 #: Wrappers that mark text which the harness put in.
 TAGS = ("system-reminder", "local-command-caveat", "command-name", "command-message", "command-args", "local-command-stdout")
 LARGE_BLOCK = 10_000
 BLOCK = "struct<kind:string,content_tag:string,chars:bigint,content:string,tool_name:string,input:string,tool_use_id:string,is_error:boolean>"
+USAGE = "struct<input_tokens:variant,output_tokens:variant,prompt_tokens:variant,completion_tokens:variant,cache_read_input_tokens:variant,cache_creation_input_tokens:variant,prompt_tokens_details:struct<cached_tokens:variant>,input_tokens_details:struct<cached_tokens:variant>>"
 SEGMENT, DECLARATION = "struct<text:string,cache_control:boolean>", "struct<name:string,description:string,input_schema:string>"
 TURN = f"struct<turn:int,role:string,origin:string,blocks:array<{BLOCK}>>"
 #: Further dialects: name -> function(body, response) -> an array of TURN as a column. The two built in are below.
@@ -41,9 +42,8 @@ def parse(calls: DataFrame) -> DataFrame:
     body, answer = strict_json(F.col("request_body")), F.coalesce(strict_json(F.col("response_reconstructed")), strict_json(F.col("response_body")))
     x = once(calls, {"_low": lowered(F.col("request_headers")), "body": body, "_answer": answer})
     x = once(x, {"dialect": _provider(F.col("_low"), F.col("url"))})
-    kind = text(F.col("_answer"), "$.type")
-    typed = json_kind(sub(F.col("_answer"), "$.type")) == "STRING"
-    x = x.withColumn("response", F.when((F.col("dialect") != "claude_code") | ~F.coalesce(typed, F.lit(False)) | (kind == "message"), F.col("_answer"))).drop("_answer")
+    # A type that is no string says nothing.
+    x = x.withColumn("response", F.when((F.col("dialect") != "claude_code") | (F.coalesce(text(F.col("_answer"), "$.type"), F.lit("message")) == "message"), F.col("_answer"))).drop("_answer")
     h = lambda n: F.nullif(F.try_element_at("_low", F.lit(n)), F.lit(""))
     claude_key = F.coalesce(F.try_element_at("_low", F.lit("x-claude-code-session-id")), text(F.col("body"), "$.metadata.user_id.session_id"))
     openai_key = F.coalesce(*[h(n) for n in ("session-id", "thread-id", "session_id", "x-session-id", "x-codex-session-id")], text(F.col("body"), "$.conversation"))
@@ -53,7 +53,7 @@ def parse(calls: DataFrame) -> DataFrame:
 
 
 def _openai_items(body: Column) -> Column:
-    return F.when(json_kind(sub(body, "$.messages")).isNotNull(), items(body, "$.messages")).otherwise(items(body, "$.input"))
+    return F.when(sub(body, "$.messages").isNotNull(), items(body, "$.messages")).otherwise(items(body, "$.input"))
 
 
 def _is_system(i: Column) -> Column:
@@ -212,9 +212,9 @@ def normalised(parsed: DataFrame, parts: tuple[str, ...] = ("segs", "decls", "tu
     for name, f in DIALECTS.items():
         turns_ = turns_.when(F.col("dialect") == name, f(body, r))
     claude, known = F.col("dialect") == "claude_code", F.col("dialect") != "unknown"
-    n = lambda p: whole(F.col("_usage"), f"$.{p}")
+    n = lambda p: whole(F.col(f"_usage.{p}"))
     made = {"segs": _segments(), "decls": _declarations(), "turns": turns_.otherwise(_none(TURN))}
-    return once(x, {"_usage": sub(r, "$.usage")} | {k: made[k] for k in parts}).withColumns({
+    return once(x, {"_usage": read(r, "$.usage", USAGE)} | {k: made[k] for k in parts}).withColumns({
         "input_tokens": F.when(claude, n("input_tokens")).when(known, F.coalesce(n("prompt_tokens"), n("input_tokens"))), "output_tokens": F.when(claude, n("output_tokens")).when(known, F.coalesce(n("completion_tokens"), n("output_tokens"))),
         "cache_read_tokens": F.when(claude, n("cache_read_input_tokens")).when(known, F.coalesce(n("prompt_tokens_details.cached_tokens"), n("input_tokens_details.cached_tokens"))), "cache_creation_tokens": F.when(claude, n("cache_creation_input_tokens"))}).drop("_items", "_start", "_usage")
 

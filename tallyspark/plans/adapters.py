@@ -233,8 +233,11 @@ def a5_sql() -> str:
 
 
 def event_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A5: each event as a capture, in one of three wire forms or an unknown one, with headers, limits, failures and tool uses."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    """A5: each event as a capture, in one of three wire forms or an unknown one, with headers, limits, failures and tool uses.
+
+    Events are narrow and captures are wide: events are dealt out first, else a file of a few row groups is made and derived in as few tasks.
+    """
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).repartition(4 * spark.sparkContext.defaultParallelism, "event_id")
     x = e.selectExpr(*[f"{v} AS {c}" for c, v in A1_BASE.items()]).selectExpr(*[f"{v} AS {c}" for c, v in A5.items()])
     k, n, s = F.col("k"), F.col("call_id"), F.struct
     ttl = F.when(k % 4 == 1, s(F.lit("1h").alias("ttl"))).when(k % 4 == 2, s(F.lit("5m").alias("ttl")))

@@ -30,7 +30,9 @@ def _captures(spark, sf_dir: str) -> DataFrame:
 
 
 def _wide(spark, sf_dir: str) -> DataFrame:
-    return derive.derive_generations(_captures(spark, sf_dir))[0]
+    """Generations alone read their captures once: these are made in passing, behind a generator so that no reader makes them again."""
+    c = adapters.event_captures(spark, sf_dir)
+    return derive.derive_generations(c.select(F.inline(F.array(F.struct("*")))))[0]
 
 
 _GENERATION = {

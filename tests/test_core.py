@@ -500,3 +500,19 @@ def test_calls_are_not_shuffled_by_model(spark, rates, monkeypatch):
     key = lambda df: sorted(map(str, df.select("call_id", "pricing_model_id", "cost_total_usd").collect()))
     assert key(plan()) == key(small)
     assert tables.is_small(spark.range(9), 9) and not tables.is_small(spark.range(10), 9) and not tables.is_small(spark.range(9), 9, 8)
+
+
+def test_events_of_one_file_are_derived_in_many_tasks(spark, tmp_path):
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    assert adapters.event_captures(spark, str(tmp_path)).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_absent_paths_are_read_as_fields(spark):
+    row = spark.sql("""SELECT parse_json('{"a":{"b":1},"c":[{"d":"x"}],"n":null,"s":"y"}') AS v, parse_json('[1]') AS w, '{"a":1},2' AS two, ' {"a":1} ' AS one""")
+    v = F.col("v")
+    got = row.select(
+        variants.whole(v, "$.a.b"), variants.whole(v, "$.a.x"), variants.text(v, "$.s.b"), variants.text(v, "$.c[0].d"), variants.text(v, "$.c[1].d"), variants.text(v, "$.a[0].d"), variants.json_kind(variants.sub(v, "$.n")), variants.sub(v, "$.x").isNull(),
+        F.size(variants.items(v, "$.c")), variants.whole(F.col("w"), "$[0]"), variants.text(F.col("w"), "$.a"), variants.strict_json(F.col("two")).isNull(), F.to_json(variants.strict_json(F.col("one")))).first()
+    assert tuple(got) == (1, None, None, "x", None, None, "VOID", True, 1, 1, None, True, '{"a":1}')
+    plan = row.select(variants.text(v, "$.s"), variants.strict_json(F.col("one")), variants.listed(v, "$.a.c"))._jdf.queryExecution().analyzed().toString()
+    assert "try_variant_get" in plan and "$." not in plan and "$[" not in plan
