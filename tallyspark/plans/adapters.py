@@ -104,10 +104,18 @@ def catalogue(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
     return models.join(F.broadcast(tiered), ["provider", "model_id"], "left").withColumn("tiered", F.coalesce("tiered", F.lit(False))), tiers, local
 
 
+#: Line items a task joins, at about 400 bytes of sorting memory each.
+LINES = 500_000
+
+
 def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A3: line items as tool calls, orders as their calls, customers as sessions, brands as tools."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    x = read("lineitem").join(read("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(read("part").select("p_partkey", "p_brand", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
+    # The last join deals by call: what groups or joins by call after it shuffles no more. Partitions grow in number with the rows, not in size.
+    lines = read("lineitem")
+    n = max(spark.sparkContext.defaultParallelism, -(-lines.count() // LINES))
+    x = lines.repartition(n, "l_partkey").join(read("part").select("p_partkey", "p_brand", "p_size").repartition(n, "p_partkey"), F.col("l_partkey") == F.col("p_partkey"))
+    x = x.repartition(n, "l_orderkey").join(read("orders").select("o_orderkey", "o_custkey").repartition(n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     return x.select(
         F.col("l_orderkey").alias("call_id"), F.concat(F.lit("c"), F.col("o_custkey")).alias("session_id"), F.concat(F.lit("t"), F.col("l_orderkey")).alias("trace_id"), F.col("l_linenumber").alias("seq"),
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("tool_id"), F.when(F.col("p_size") % 5 == 0, F.concat(F.lit("mcp__srv__"), F.col("p_brand"))).otherwise(F.col("p_brand")).alias("name"),

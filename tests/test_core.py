@@ -516,3 +516,10 @@ def test_absent_paths_are_read_as_fields(spark):
     assert tuple(got) == (1, None, None, "x", None, None, "VOID", True, 1, 1, None, True, '{"a":1}')
     plan = row.select(variants.text(v, "$.s"), variants.strict_json(F.col("one")), variants.listed(v, "$.a.c"))._jdf.queryExecution().analyzed().toString()
     assert "try_variant_get" in plan and "$." not in plan and "$[" not in plan
+
+
+def test_tool_calls_are_joined_in_partitions_of_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(adapters, "LINES", 300)  # of 6,000 line items
+    t = adapters.tool_calls(spark, "/root/testdata/sf0.001")
+    assert t.count() == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert t.select("call_id", "name").rdd.getNumPartitions() >= 20
