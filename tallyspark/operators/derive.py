@@ -166,15 +166,41 @@ def derive_generations(calls: DataFrame) -> tuple[DataFrame, DataFrame, DataFram
     return y.select(*[c.alias(n) for n, c in cols.items()]), tool_calls(x), normalise.system_segments(x), normalise.tool_decls(x)
 
 
+def _prompt_row() -> Column:
+    texts = F.transform("segs", lambda s: F.struct(s["text"].alias("text"), F.char_length(s["text"]).cast("long").alias("chars"), s["cache_control"].alias("cache_control")))
+    return F.struct(F.col("system_chars").alias("total_chars"), F.col("system_segments").alias("segment_count"), "cache_points", texts.alias("segments"))
+
+
+def _set_row() -> Column:
+    return F.struct(F.col("tools_declared_count").alias("tool_count"), F.col("tools_chars").alias("total_chars"), F.col("mcp_tools_count").alias("mcp_count"), "tools")
+
+
+def system_prompts(calls: DataFrame) -> DataFrame:
+    """A row for each system prompt of normalised() calls, of which only the segments are read."""
+    s = with_system_shape(calls).filter("system_hash IS NOT NULL")
+    return s.groupBy("system_hash").agg(F.min_by(_prompt_row(), "id").alias("p")).select("system_hash", "p.*")
+
+
+def tool_schemas(sets: DataFrame) -> DataFrame:
+    """The members of tool sets that still have their `tools`."""
+    members = sets.select("tools_hash", F.posexplode("tools").alias("seq", "t")).select("tools_hash", "seq", "t.*").dropDuplicates(["tools_hash", "name"])
+    return members.withColumns({"server": mcp_server(F.col("name")), "is_mcp": F.col("name").startswith("mcp__")})
+
+
 def harness_dims(calls: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(system prompts, tool sets, tool schemas) of normalised() calls: one row for each fingerprint, and each member of a set.
 
     The texts of a fingerprint are those of its least call: only they meet in a shuffle, one for each fingerprint and task.
     """
-    listed = F.transform("segs", lambda s: F.struct(s["text"].alias("text"), F.char_length(s["text"]).cast("long").alias("chars"), s["cache_control"].alias("cache_control")))
-    s = with_system_shape(calls).filter("system_hash IS NOT NULL")
-    prompts = s.groupBy("system_hash").agg(F.min_by(F.struct(F.col("system_chars").alias("total_chars"), F.col("system_segments").alias("segment_count"), "cache_points", listed.alias("segments")), "id").alias("p")).select("system_hash", "p.*")
     t = with_tool_shape(calls).filter("tools_hash IS NOT NULL")
-    sets = t.groupBy("tools_hash").agg(F.min_by(F.struct(F.col("tools_declared_count").alias("tool_count"), F.col("tools_chars").alias("total_chars"), F.col("mcp_tools_count").alias("mcp_count"), "tools"), "id").alias("p")).select("tools_hash", "p.*")
-    schemas = sets.select("tools_hash", F.posexplode("tools").alias("seq", "t")).select("tools_hash", "seq", "t.*").dropDuplicates(["tools_hash", "name"])
-    return prompts, sets.drop("tools"), schemas.withColumns({"server": mcp_server(F.col("name")), "is_mcp": F.col("name").startswith("mcp__")})
+    sets = t.groupBy("tools_hash").agg(F.min_by(_set_row(), "id").alias("p")).select("tools_hash", "p.*")
+    return system_prompts(calls), sets.drop("tools"), tool_schemas(sets)
+
+
+def harness_rows(calls: DataFrame) -> DataFrame:
+    """(kind, hash, prompt, set) of normalised() calls: the prompts and tool sets of harness_dims(), all in one pass over the calls."""
+    x = with_tool_shape(with_system_shape(calls)).select("id", _prompt_row().alias("prompt"), _set_row().alias("set"), "system_hash", "tools_hash")
+    # Not in the select above: beside a generator Spark forgets how the fields of a struct were named.
+    x = x.select("id", "prompt", "set", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(h).alias("hash")) for k, h in (("prompt", "system_hash"), ("set", "tools_hash"))])).alias("k"))
+    own = lambda kind: F.min_by(F.when(F.col("k.kind") == kind, F.col(kind)), "id").alias(kind)
+    return x.filter("k.hash IS NOT NULL").groupBy(F.col("k.kind").alias("kind"), F.col("k.hash").alias("hash")).agg(own("prompt"), own("set"))

@@ -435,7 +435,7 @@ def l2_late_calls(spark, sf_dir):
 
 @query(_LIVE)
 def s11_rebuild(spark, sf_dir):
-    """Half of the captures derived, the rest backfilled, then all tables made anew."""
+    """Half of the captures derived, then every table made anew of all of them."""
     root, rates = _root(spark), adapters.catalogue(spark)
     c = cut(adapters.captures(spark, sf_dir), "captures")
     live.backfill(c.filter("id % 2 = 0"), root, rates)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tallyspark.operators import assemble, derive, detect, pricing
 from tallyspark.sources import captures as sources
 from tallyspark.sources.catalog import catalog_meta
-from tallyspark.sources.maintenance import backfill_report, pending, quarantine, refresh_if_stale
+from tallyspark.sources.maintenance import backfill_report, merge_dims, pending, quarantine, refresh_if_stale
 from tallyspark.streaming.standing import refresh_totals
 from tallyspark.streaming.versions import last_done, latest_days, part_sizes, read_manifest, read_parts, read_table, write_manifest, write_parts  # noqa: F401
 
@@ -124,6 +124,34 @@ def replace_rows(spark: SparkSession, root: str, name: str, version: int, new: D
     return _union([new.filter(F.col(c).isNotNull()).select(F.lit(f"{name}.{c}").alias("kind"), F.col(c).cast("string").alias("key"), F.col("part").alias("day")).distinct() for c in KEYS[name]])
 
 
+#: What the requests declare, kept once for each fingerprint: table -> its key. A set comes after its members, so it is there with all of them or not at all.
+HARNESS = {"system_prompts": "system_hash", "tool_schemas": "tools_hash", "tool_sets": "tools_hash"}
+
+
+def merge_harness(spark: SparkSession, root: str, version: int, calls: DataFrame, whole: bool = False) -> None:
+    """Adds the prompts, tool sets and their members that are not there yet. whole: all that was there leaves.
+
+    Kept by the first two digits of the fingerprint: a batch looks at those of its own and writes those that gain a row.
+    """
+    work = f"{root}/work/v={version}"
+    made = _write(derive.harness_rows(derive.normalised_calls(calls, ("segs", "decls"))), f"{work}/harness")
+    prompts, sets = (made.filter(F.col("kind") == k).select(F.col("hash").alias(h), f"{k}.*") for k, h in (("prompt", "system_hash"), ("set", "tools_hash")))
+    at = lambda name: F.left(HARNESS[name], F.lit(2))
+    new = {"system_prompts": prompts, "tool_sets": sets}
+    if not whole:
+        for name, df in new.items():
+            known = read_parts(spark, root, name, version, {r["part"] for r in df.select(at(name).alias("part")).distinct().collect()})  # 256 at most
+            new[name] = df if known is None else _write(merge_dims(df, known, HARNESS[name]), f"{work}/new-{name}")
+    new["tool_schemas"] = derive.tool_schemas(new["tool_sets"])
+    new = {n: new[n].drop("tools").withColumn("parser_version", F.lit(derive.PARSER_VERSION)).withColumn("part", at(n)) for n in HARNESS}
+    for name, df in new.items():
+        sizes = part_sizes(df)
+        old = None if whole else read_parts(spark, root, name, version, set(sizes))
+        if whole or sizes or old is None:
+            rows = df if old is None else old.withColumn("part", at(name)).unionByName(df)
+            write_parts(spark, root, name, version, rows, None if old is None else set(sizes), sizes)
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:
@@ -138,7 +166,7 @@ def _write(df: DataFrame, path: str) -> DataFrame:
 
 
 def process_batch(calls: DataFrame, batch_id: int, root: str, rates: tuple[DataFrame, DataFrame, DataFrame], whole: bool = False) -> None:
-    """Derives a batch and replaces what it touches: its calls with their tool rows, the sessions these are or were in, their rollups, alerts and failures.
+    """Derives a batch and replaces what it touches: its calls with their tool rows, the sessions these are or were in, their rollups, alerts and failures; adds what prompts and tool sets are new.
 
     Order is by start time and a session is assembled whole, so a call that comes late, however late,
     lands where it belongs. Nothing is dropped for lateness. A call that is sent again replaces its row, whatever
@@ -155,6 +183,7 @@ def process_batch(calls: DataFrame, batch_id: int, root: str, rates: tuple[DataF
     new = _write(pricing.price(g, *rates, version=version), f"{work}/generations")
     failures = _write(failures, f"{work}/failures")
     new_tools = _write(tools, f"{work}/tools")
+    merge_harness(spark, root, batch_id, good, whole)
     ids = new.select("call_id")
     added = ("agent_id", "agent_role", "agent_name", "span_id", "trace_id", "parent_span_id", "depth")
     part_of = lambda name, days, column: read_parts(spark, root, name, batch_id, days.get(f"{name}.{column}", set()))
@@ -227,7 +256,11 @@ def backfill(calls: DataFrame, root: str, rates: tuple[DataFrame, DataFrame, Dat
 
 
 def rebuild(calls: DataFrame, root: str, rates: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
-    """Makes all derived tables anew from the captures; one row that reports on it. Ids are functions of the captures, so they stay."""
+    """Drops every derived table and makes it anew from the captures; one row that reports on it. Ids are functions of the captures, so they stay.
+
+    Dropped are the rows of TABLES and HARNESS, the index and the totals: the manifests of the new version name nothing older. Each table changes
+    from its old rows to its new ones at once, so readers see none of them empty; a rebuild that broke off is run again as the same version.
+    """
     spark = calls.sparkSession
     version = next_version(spark, root)
     process_batch(calls, version, root, rates, whole=True)

@@ -360,6 +360,31 @@ def test_jobs_keep_tables_true(spark, rates, tmp_path):
     assert live.refresh(calls, root, rates) == "rebuild" and ids() == before and cost() == pytest.approx(total)
 
 
+def test_rebuild_makes_every_table_anew(spark, rates, tmp_path):
+    root = str(tmp_path)
+    asks = lambda system, *tools: {**MAIN["request_body"], "system": system, "tools": [{"name": t} for t in tools]}
+    gone = {**MAIN, "id": 1, "timestamp_start": "2026-03-13T08:30:00Z", "request_body": asks("old", "Read"), "request_headers": {"X-Claude-Code-Session-Id": "s-old", "anthropic-version": "1"}}
+    stays, bad = {**MAIN, "id": 2, "request_body": asks("new", "Grep", "Fetch")}, {**MAIN, "id": 3, "request_body": "{cut off"}
+    rows = lambda name, *cols: sorted(tuple(r) for r in live.read_table(spark, root, name).select(*cols).collect())
+    live.process_batch(capture(spark, gone, bad), 0, root, rates)
+    assert rows("system_prompts", "total_chars") == [(3,)] and rows("tool_sets", "tool_count") == [(1,)] and rows("tool_schemas", "name") == [("Read",)]
+    # Captures 1 and 3 are gone: nothing that was derived of them is left in any table.
+    assert tuple(live.rebuild(capture(spark, stays), root, rates).first()) == (1, 0, 0)
+    assert rows("generations", "call_id") == [(2,)] and rows("sessions", "session_id") == [("sess-7",)] and rows("failures", "call_id") == []
+    assert {c for (c,) in rows("tool_calls", "call_id")} == {2} and {c for (c,) in rows("alerts", "session_id")} == {"sess-7"}
+    (prompt, tools), = rows("generations", "system_hash", "tools_hash")
+    assert rows("system_prompts", "system_hash", "segment_count", "parser_version") == [(prompt, 1, derive.PARSER_VERSION)]
+    assert rows("tool_sets", "tools_hash") == [(tools,)] and rows("tool_schemas", "tools_hash", "name") == [(tools, "Fetch"), (tools, "Grep")]
+    assert {v for n in (*live.TABLES, *live.HARNESS, "index", "totals") for v in live.latest_days(spark, root, n).values()} == {1}
+    # Later batches add what is new; what is there stays as it was and is not written again.
+    held = lambda: {n: live.latest_days(spark, root, n) for n in live.HARNESS}
+    before = held()
+    live.merge_harness(spark, root, 2, capture(spark, stays))
+    assert held() == before
+    live.merge_harness(spark, root, 3, capture(spark, gone, stays))
+    assert len(rows("system_prompts", "system_hash")) == 2 and rows("tool_schemas", "name") == [("Fetch",), ("Grep",), ("Read",)] and {v for n in held().values() for v in n.values()} == {1, 3}
+
+
 def test_rules_are_complete(spark):
     ids = [r.id for r in detect.RULES]
     assert len(ids) == len(set(ids)) == 24 and all(r.title and r.advice for r in detect.RULES)
