@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """then(value), with `value` computed once however often `then` reads it, also inside other lambdas."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
+    """then(value), with `value` computed once however often `then` reads it, also inside other lambdas.
+
+    The value is what an aggregate over no items begins with and `then` its end. An item of a transformed array would
+    do as well, but Spark works out the type of that array, through all that is nested in it, for every row, and copies the result.
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda known, _: known, then)
 
 
 def once(x: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -68,8 +72,11 @@ def _of_kind(v: Column, path: str, kind: str, made: str) -> Column:
 
 
 def text(v: Column, path: str = "$") -> Column:
-    """The string at a path; a number or an array there is null, not its text."""
-    return _of_kind(v, path, "STRING", "string")
+    """The string at a path; a number or an array there is null, not its text.
+
+    Read as `binary`, which of all JSON kinds only strings can be cast to: so the kind needs no look of its own.
+    """
+    return read(v, path, "binary").cast("string")
 
 
 def whole(v: Column, path: str = "$") -> Column:

@@ -15,6 +15,11 @@ BLOCK = "struct<kind:string,content_tag:string,chars:bigint,content:string,tool_
 USAGE = "struct<input_tokens:variant,output_tokens:variant,prompt_tokens:variant,completion_tokens:variant,cache_read_input_tokens:variant,cache_creation_input_tokens:variant,prompt_tokens_details:struct<cached_tokens:variant>,input_tokens_details:struct<cached_tokens:variant>>"
 SEGMENT, DECLARATION = "struct<text:string,cache_control:boolean>", "struct<name:string,description:string,input_schema:string>"
 TURN = f"struct<turn:int,role:string,origin:string,blocks:array<{BLOCK}>>"
+#: What is read of a message, a block, an item and a tool call, each in one walk; `binary` as in text().
+CLAUDE_MESSAGE = "struct<role:binary,content:variant>"
+CLAUDE_BLOCK = "struct<type:binary,text:binary,thinking:binary,name:binary,input:variant,id:binary,content:variant,tool_use_id:binary,is_error:variant>"
+OPENAI_ITEM = "struct<type:binary,role:binary,content:variant,tool_calls:array<variant>,tool_call_id:binary,call_id:binary,output:variant,name:binary,arguments:binary>"
+CALL = "struct<name:binary,arguments:binary>"
 #: Further dialects: name -> function(body, response) -> an array of TURN as a column. The two built in are below.
 DIALECTS: dict = {}
 
@@ -53,7 +58,8 @@ def parse(calls: DataFrame) -> DataFrame:
 
 
 def _openai_items(body: Column) -> Column:
-    return F.when(sub(body, "$.messages").isNotNull(), items(body, "$.messages")).otherwise(items(body, "$.input"))
+    given = F.when(sub(body, "$.messages").isNull(), listed(body, "$.input"))  # asked for only where the messages are no array
+    return F.coalesce(listed(body, "$.messages"), given, F.array().cast("array<variant>"))
 
 
 def _is_system(i: Column) -> Column:
@@ -118,26 +124,31 @@ def _tagged(said: Column) -> Column:
     return let(said, lambda s: let(F.nullif(found(s, 1), F.lit("")), lambda tag: made(s, tag)))
 
 
+def _said(fields: Column, name: str) -> Column:
+    """A text among the fields that were read of an object; empty if there is none."""
+    return F.coalesce(fields[name].cast("string"), F.lit(""))
+
+
 def _plain(said: Column) -> Column:
     return let(said, lambda s: _block("text", s, F.char_length(s).cast("long")))
 
 
 def _claude_block(b: Column) -> Column:
-    return let(F.coalesce(text(b, "$.type"), F.lit("")), lambda t: _claude_kind(t, b))
+    return let(read(b, "$", CLAUDE_BLOCK), lambda f: let(_said(f, "type"), lambda t: _claude_kind(t, f, b)))
 
 
-def _claude_kind(t: Column, b: Column) -> Column:
+def _claude_kind(t: Column, f: Column, b: Column) -> Column:
     return (
-        F.when(t == "text", _tagged(F.coalesce(text(b, "$.text"), F.lit(""))))
-        .when(t == "thinking", _block("thinking", text(b, "$.thinking"), chars(b)))
-        .when(t == "tool_use", _block("tool_use", None, chars(b), None, text(b, "$.name"), F.to_json(sub(b, "$.input")), text(b, "$.id")))
-        .when(t == "tool_result", _block("tool_result", flat_text(sub(b, "$.content")), chars(b), None, None, None, text(b, "$.tool_use_id"), flag(b, "$.is_error")))
+        F.when(t == "text", _tagged(_said(f, "text")))
+        .when(t == "thinking", _block("thinking", f["thinking"].cast("string"), chars(b)))
+        .when(t == "tool_use", _block("tool_use", None, chars(b), None, f["name"].cast("string"), F.to_json(f["input"]), f["id"].cast("string")))
+        .when(t == "tool_result", _block("tool_result", flat_text(f["content"]), chars(b), None, None, None, f["tool_use_id"].cast("string"), flag(f["is_error"])))
         .when(t == "image", _block("image", None, chars(b)))
         .otherwise(_block("other", F.to_json(b), chars(b))))
 
 
-def _role(i: Column) -> Column:
-    return let(text(i, "$.role"), lambda r: F.when(r.isin("user", "assistant", "tool", "system"), r).when(r == "developer", "system").otherwise("other"))
+def _role(said: Column) -> Column:
+    return let(said, lambda r: F.when(r.isin("user", "assistant", "tool", "system"), r).when(r == "developer", "system").otherwise("other"))
 
 
 def _turn(at, role, origin: str, made) -> Column:
@@ -147,23 +158,25 @@ def _turn(at, role, origin: str, made) -> Column:
 def _claude_turns(body: Column, response: Column) -> Column:
     def turn(m, at, origin):
         single = lambda c: F.when(json_kind(c) == "STRING", F.array(_tagged(F.try_variant_get(c, "$", "string")))).when(c.isNotNull(), F.array(_block("other", F.to_json(c), chars(c)))).otherwise(_none(BLOCK))
-        made = let(listed(m, "$.content"), lambda parts: F.when(parts.isNotNull(), F.transform(parts, _claude_block)).otherwise(let(sub(m, "$.content"), single)))
-        return _turn(at, _role(m), origin, made)
+        made = let(listed(m["content"]), lambda parts: F.when(parts.isNotNull(), F.transform(parts, _claude_block)).otherwise(single(m["content"])))
+        return _turn(at, _role(m["role"].cast("string")), origin, made)
 
-    return let(items(body, "$.messages"), lambda sent: F.concat(F.transform(sent, lambda m, i: turn(m, i, "history")), F.when(response.isNotNull(), F.array(turn(response, F.size(sent), "new"))).otherwise(_none(TURN))))
+    old = F.coalesce(read(body, "$.messages", f"array<{CLAUDE_MESSAGE}>"), F.array().cast(f"array<{CLAUDE_MESSAGE}>"))
+    new = lambda at: let(read(response, "$", CLAUDE_MESSAGE), lambda m: F.array(turn(m, at, "new")))
+    return let(old, lambda sent: F.concat(F.transform(sent, lambda m, i: turn(m, i, "history")), F.when(response.isNotNull(), new(F.size(sent))).otherwise(_none(TURN))))
 
 
-def _arguments(f: Column) -> Column:
-    return let(text(f, "$.arguments"), lambda raw: F.to_json(strict_json(raw)))
+def _arguments(raw: Column) -> Column:
+    return F.to_json(strict_json(raw))
 
 
 def _uses(calls: Column) -> Column:
-    use = lambda c, f: _block("tool_use", None, chars(c), None, text(f, "$.name"), _arguments(f), text(c, "$.id"))
-    return F.transform(calls, lambda c: let(F.coalesce(sub(c, "$.function"), c), lambda f: use(c, f)))
+    use = lambda c, f: _block("tool_use", None, chars(c), None, f["name"].cast("string"), _arguments(f["arguments"].cast("string")), text(c, "$.id"))
+    return F.transform(calls, lambda c: let(read(F.coalesce(sub(c, "$.function"), c), "$", CALL), lambda f: use(c, f)))
 
 
-def _function_call(i: Column) -> Column:
-    return _block("tool_use", None, chars(i), None, text(i, "$.name"), _arguments(i), text(i, "$.call_id"))
+def _function_call(i: Column, f: Column) -> Column:
+    return _block("tool_use", None, chars(i), None, f["name"].cast("string"), _arguments(f["arguments"].cast("string")), f["call_id"].cast("string"))
 
 
 def _some(said: Column, make=_plain) -> Column:
@@ -175,21 +188,20 @@ def _openai_turns(body: Column, response: Column) -> Column:
     result = lambda said, use: let(F.coalesce(said, F.lit("")), lambda s: F.array(_block("tool_result", s, F.char_length(s).cast("long"), None, None, None, use)))
 
     def old(m, at):
-        kind = F.coalesce(text(m, "$.type"), F.lit(""))
-        return let(F.struct(kind.alias("kind"), _role(m).alias("role")), lambda k: sent_turn(m, at, k["kind"], k["role"]))
+        return let(read(m, "$", OPENAI_ITEM), lambda f: let(F.struct(_said(f, "type").alias("kind"), _role(f["role"].cast("string")).alias("role")), lambda k: sent_turn(m, f, at, k["kind"], k["role"])))
 
-    def sent_turn(m, at, kind, given):
+    def sent_turn(m, f, at, kind, given):
         role = F.when(kind == "function_call", "assistant").when(kind == "function_call_output", "tool").otherwise(given)
         made = (
-            F.when(kind == "function_call", F.array(_function_call(m)))
-            .when(kind == "function_call_output", result(flat_text(sub(m, "$.output")), text(m, "$.call_id")))
-            .when(given == "tool", result(flat_text(sub(m, "$.content")), text(m, "$.tool_call_id")))
-            .otherwise(F.concat(_some(flat_text(sub(m, "$.content"))), _uses(items(m, "$.tool_calls")))))
+            F.when(kind == "function_call", F.array(_function_call(m, f)))
+            .when(kind == "function_call_output", result(flat_text(f["output"]), f["call_id"].cast("string")))
+            .when(given == "tool", result(flat_text(f["content"]), f["tool_call_id"].cast("string")))
+            .otherwise(F.concat(_some(flat_text(f["content"])), _uses(F.coalesce(f["tool_calls"], F.array().cast("array<variant>"))))))
         return _turn(at, role, "history", made)
 
     def out(i):
         said, summary = flat_text(sub(i, "$.content")), F.coalesce(flat_text(sub(i, "$.summary")), F.lit(""))
-        return let(text(i, "$.type"), lambda t: F.when(t == "message", _some(said)).when(t == "reasoning", F.array(_block("thinking", summary, chars(i)))).when(t == "function_call", F.array(_function_call(i))).otherwise(_none(BLOCK)))
+        return let(text(i, "$.type"), lambda t: F.when(t == "message", _some(said)).when(t == "reasoning", F.array(_block("thinking", summary, chars(i)))).when(t == "function_call", F.array(let(read(i, "$", OPENAI_ITEM), lambda f: _function_call(i, f)))).otherwise(_none(BLOCK)))
 
     r = response
     thinks = lambda m: let(text(m, "$.reasoning_content"), lambda t: F.when(t.isNotNull(), F.array(_block("thinking", t, F.char_length(t).cast("long")))).otherwise(_none(BLOCK)))
@@ -277,6 +289,14 @@ def undeclared(uses: DataFrame, decls: DataFrame) -> DataFrame:
     return named.join(decls.select("call_id", "name").distinct(), ["call_id", "name"], "left_anti")
 
 
+def undeclared_uses(parsed: DataFrame) -> DataFrame:
+    """undeclared() of parse()'s rows, (call_id, tool_use_id, name), made within the row: a call holds its uses and its declarations. Without an id no declaration is its own."""
+    uses = F.filter(F.flatten(F.transform("turns", lambda t: t["blocks"])), lambda b: b["kind"] == "tool_use")
+    named = F.transform(uses, lambda b: F.struct(b["tool_use_id"].alias("tool_use_id"), F.coalesce(b["tool_name"], F.lit("<unnamed>")).alias("name")))
+    own = F.when(F.col("id").isNotNull(), F.transform("decls", lambda d: d["name"])).otherwise(F.array().cast("array<string>"))
+    return _listed(parsed, "decls", "turns").select(F.col("id").alias("call_id"), F.inline(let(own, lambda names: F.filter(named, lambda u: ~F.array_contains(names, u["name"])))))
+
+
 def thread_outline(b: DataFrame, preview: int = 2000) -> DataFrame:
     """Blocks with a preview of their content, and whether it was cut."""
     return b.select("call_id", "turn", "role", "origin", "block", "kind", "content_tag", "tool_name", "chars", F.left("content", F.lit(preview)).alias("preview"), F.coalesce(F.char_length("content") > preview, F.lit(False)).alias("truncated"))

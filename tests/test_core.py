@@ -360,6 +360,30 @@ def test_jobs_keep_tables_true(spark, rates, tmp_path):
     assert live.refresh(calls, root, rates) == "rebuild" and ids() == before and cost() == pytest.approx(total)
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_strings_are_read_in_one_walk(spark):
+    values = ['"s"', '""', '"\\u00e9"', "5", "5.5", "1e300", "12345678901234567890123", "true", "null", "[1]", '["x"]', '{"b":"x"}', '"5"']
+    x = spark.createDataFrame([(i, f'{{"a":{v}}}') for i, v in enumerate(values)], "i int, j string").select("i", variants.text(strict_json(F.col("j")), "$.a").alias("t"))
+    assert {r["i"]: r["t"] for r in x.collect()} == {i: json.loads(v) if v[0] == '"' else None for i, v in enumerate(values)}
+    assert "schema_of_variant" not in plan_of(x).lower().replace("schemaofvariant", "schema_of_variant")
+    # A bound value is worked out once, and is no item of an array that is typed and copied for each row.
+    bound = spark.range(3).select(variants.let(F.col("id") * 2, lambda v: F.struct(v.alias("a"), (v + v).alias("b"))).alias("s"))
+    assert [tuple(r["s"]) for r in bound.collect()] == [(0, 0), (2, 4), (4, 8)] and "transform(" not in plan_of(bound)
+
+
+def test_odd_messages_and_blocks(spark):
+    """What is no object, or has other kinds of values than it should, stays a block of its own and names nothing."""
+    parts = ["bare", 7, {"type": 5}, {"type": "tool_use", "id": 3, "name": ["x"], "input": None}, {"type": "tool_result", "tool_use_id": "u", "content": [{"type": "text", "text": "a"}, "b"], "is_error": "yes"}, {"type": "text", "text": 1}]
+    body = {"model": "m", "messages": [{"role": "developer", "content": parts}, {"role": 4, "content": "plain"}, "no message", {"role": "user"}, {"role": "user", "content": 9}]}
+    b = normalise.blocks(normalise.turns(normalise.parse(capture(spark, {**MAIN, "request_body": body, "response_body": None})))).orderBy("turn", "block").collect()
+    assert [(r["turn"], r["role"], r["kind"]) for r in b] == [(0, "system", k) for k in ("other", "other", "other", "tool_use", "tool_result", "text")] + [(1, "other", "text"), (4, "user", "other")]
+    assert [(r["content"], r["tool_name"], r["input"], r["tool_use_id"], r["is_error"]) for r in b[3:6]] == [(None, None, "null", None, None), ("ab", None, None, "u", None), ("", None, None, None, None)]
+    assert [r["content"] for r in b if r["kind"] == "other"] == ['"bare"', "7", '{"type":5}', "9"] and b[6]["content"] == "plain"
+
+
 def test_rebuild_makes_every_table_anew(spark, rates, tmp_path):
     root = str(tmp_path)
     asks = lambda system, *tools: {**MAIN["request_body"], "system": system, "tools": [{"name": t} for t in tools]}
