@@ -591,9 +591,7 @@ def n21_pair_tools(spark, sf_dir):
 
 @query(f"WITH {adapters.USES_SQL} SELECT call_id, use AS tool_use_id, name FROM x WHERE NOT declared")
 def n22_undeclared(spark, sf_dir):
-    parsed = cut(normalise.normalised(_tool_parsed(spark, sf_dir), ("decls", "turns")).select("id", "decls", "turns"), "parsed")  # read for its turns and for its tools
-    uses = normalise.pair_tools(normalise.blocks(normalise.turns(parsed)))
-    return normalise.undeclared(uses, normalise.tool_decls(parsed)).select("call_id", "tool_use_id", "name")
+    return normalise.undeclared_uses(_tool_parsed(spark, sf_dir)).select("call_id", "tool_use_id", "name")
 
 
 @query(f"WITH {adapters.USES_SQL} SELECT call_id, use AS tool_use_id, name, declared AS was_declared, CASE WHEN NOT done THEN 'pending' WHEN failed THEN 'error' ELSE 'ok' END AS status, row_number() OVER (PARTITION BY call_id ORDER BY use, name) - 1 AS seq, '{{\"q\":\"' || use || '\"}}' AS input_excerpt, CASE WHEN done THEN 'result of ' || use END AS result_excerpt FROM x")

@@ -384,6 +384,15 @@ def test_odd_messages_and_blocks(spark):
     assert [r["content"] for r in b if r["kind"] == "other"] == ['"bare"', "7", '{"type":5}', "9"] and b[6]["content"] == "plain"
 
 
+def test_undeclared_uses_need_no_shuffle(spark):
+    openai = {**MAIN, "id": 2, "url": "https://o/v1/chat/completions", "request_headers": {}, "request_body": {"model": "m", "tools": [{"type": "function", "function": {"name": "A"}}], "messages": [{"role": "assistant", "tool_calls": [{"id": "c1", "function": {"name": "A", "arguments": "{}"}}, {"id": "c2", "function": {"arguments": "{"}}]}]}, "response_body": None}
+    parsed = normalise.parse(normalise.inference_calls(capture(spark, MAIN, openai, {**MAIN, "id": None})))
+    rows = lambda df: sorted((str(r["call_id"]), r["tool_use_id"], r["name"]) for r in df.collect())
+    got = normalise.undeclared_uses(parsed)
+    assert rows(got) == [("1", "t2", "Fetch"), ("2", "c2", "<unnamed>"), ("None", "t1", "Grep"), ("None", "t2", "Fetch")] == rows(normalise.undeclared(normalise.pair_tools(normalise.blocks(normalise.turns(parsed))), normalise.tool_decls(parsed)))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_rebuild_makes_every_table_anew(spark, rates, tmp_path):
     root = str(tmp_path)
     asks = lambda system, *tools: {**MAIN["request_body"], "system": system, "tools": [{"name": t} for t in tools]}
