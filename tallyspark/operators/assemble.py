@@ -9,6 +9,10 @@ from tallyspark.functions.scalars import fingerprint, stop_sequence_tag
 from tallyspark.functions.tables import cut
 
 
+#: What classify_agents() reads of a call beside its id, session, time, model, system prompt and billing variant.
+ROLE_FACTS = ("tools_hash", "tools_declared_count", "max_tokens", "system_segments", "stop_sequences")
+
+
 def session_baseline(g: DataFrame, by: str = "session_id") -> DataFrame:
     """Adds max_tools, main_model and main_variant: the session's most tools, and the model and variant of the first call with them."""
     session = Window.partitionBy(by)

@@ -232,9 +232,10 @@ def t6_long_session(spark, sf_dir):
 def q22_prompt_detail(spark, sf_dir):
     """One system prompt with its use: that of the first call of its dialect."""
     c = _captures(spark, sf_dir)
-    g = cut(assemble.classify_agents(derive.derive_generations(c)[0]), "roles")
+    g = derive.derive_generations(c)[0].select("call_id", "session_id", "started_at", "provider", "model", "system_hash", "billing_variant", *assemble.ROLE_FACTS)
+    g = cut(assemble.classify_agents(g).drop(*assemble.ROLE_FACTS), "roles")  # what the page does not show is not made
     key = g.filter("provider = 'anthropic'").orderBy("call_id").select("system_hash").first()[0]
-    return surfaces.prompt_detail(derive.harness_dims(derive.normalised_calls(c, ("segs", "decls")))[0], g, key).select("generations", "sessions", "models", "billing_variants")
+    return surfaces.prompt_detail(derive.system_prompts(derive.normalised_calls(c, ("segs",))), g, key).select("generations", "sessions", "models", "billing_variants")
 
 
 @query(f"WITH {E}, one AS (SELECT * FROM e WHERE cl ORDER BY call_id DESC LIMIT 1) SELECT 'prompt' AS part, NULL AS name, length(env) + coalesce(length(billing), 0) AS chars FROM one UNION ALL SELECT 'tool', 'Alpha', 5 + 4 + 17 FROM one UNION ALL SELECT 'tool', 'mcp__s__b', 9 + 4 + 17 FROM one")

@@ -393,6 +393,17 @@ def test_undeclared_uses_need_no_shuffle(spark):
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_a_prompt_needs_its_segments_alone(spark):
+    c = capture(spark, MAIN, {**MAIN, "id": 2, "request_body": {**MAIN["request_body"], "system": "other", "tools": []}})
+    alone = derive.system_prompts(derive.normalised_calls(c, ("segs",)))
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(alone) == key(derive.harness_dims(derive.normalised_calls(c, ("segs", "decls")))[0]) and alone.count() == 2
+    g = derive.derive_generations(c)[0]
+    few = g.select("call_id", "session_id", "started_at", "model", "system_hash", "billing_variant", *assemble.ROLE_FACTS)
+    roles = lambda df: key(assemble.classify_agents(df).select("call_id", "agent_id", "agent_role", "agent_name"))
+    assert roles(few) == roles(g)
+
+
 def test_rebuild_makes_every_table_anew(spark, rates, tmp_path):
     root = str(tmp_path)
     asks = lambda system, *tools: {**MAIN["request_body"], "system": system, "tools": [{"name": t} for t in tools]}
